@@ -125,9 +125,9 @@ def shingle_sets(col: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
             if b - a >= size:
                 yield np.unique(acc[a : b - size + 1])
             elif b > a:
-                x = _U(b - a)
-                for v in h[a:b]:
-                    x = x * _U(0xD6E8FEB86659FD93) + v
+                x = int(b - a)
+                for v in h[a:b].tolist():
+                    x = (x * 0xD6E8FEB86659FD93 + v) % (1 << 64)
                 yield mix(np.array([x], dtype=_U))
             else:
                 yield np.zeros(0, dtype=_U)

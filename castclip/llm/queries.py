@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, tokens, toxicity, warc
+from . import exact_dedup, jaccard_join, language_id, neighbours, packing, tokens, toxicity, warc
 from .shared import documents, fold
 
 
@@ -37,12 +37,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(documents(spark, sf_dir, "pages"))
     back = warc.read(manifest)
     return back.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neighbours.search(documents(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return out.withColumnRenamed("id", "vec_id")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -50,7 +59,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language_id, op4_byte_bpe, op5_toxicity, op7_warc, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language_id, op4_byte_bpe, op5_toxicity, op6_jaccard_join, op7_warc, op9_neighbours, op10_best_fit_packing)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
@@ -64,7 +73,7 @@ WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
 h AS (SELECT page_id, first, html, sha1(html) AS hex FROM p),
 b AS (
-  SELECT h.*, array_to_string(list_transform(range(32), k ->
+  SELECT h.*, array_to_string(list_transform(range(32), lambda k:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
       (CAST(('0x' || substr(hex, 1 + 10 * CAST(floor(k / 8) AS INTEGER), 10)) AS BIGINT) >> (35 - 5 * CAST(k % 8 AS INTEGER))) & 31 AS INTEGER), 1)), '') AS digest
   FROM h)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 #: Unicode White_Space, as the pattern's \s has it.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+WHITE = re.compile(f"[{SPACES}]")
 SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 KEPT = 150_000
 
@@ -70,6 +71,7 @@ class Encoder:
     def __init__(self, path: str, ranks: str | None = None):
         self.tok = tokenizer(path)
         self.known: dict[str, bytes] = {}
+        self.size = np.array([len(b) for b in id_bytes(path)], dtype=np.int64)
         self.new = None
         if ranks:
             own, wanted = id_bytes(path), {b: i for i, b in enumerate(id_bytes(ranks))}
@@ -77,18 +79,32 @@ class Encoder:
             if not np.array_equal(new[new >= 0], np.arange(len(own))[new >= 0]):
                 self.new = new
 
+    def _learn(self, segments: list[str]) -> None:
+        """Encode new segments: those of white space and then other characters as one text, which is cut at the same places, the others alone."""
+        spaced = [s for s in segments if WHITE.match(s) and not WHITE.match(s[-1])]
+        spaced_set = set(spaced)
+        other = [s for s in segments if s not in spaced_set]
+        runs = [spaced[k : k + 1000] for k in range(0, len(spaced), 1000)]
+        for run, e in zip(runs, self.tok.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=np.int64)
+            end = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(s.encode()) for s in run])) + 1
+            raw = (ids if self.new is None else self.new[ids]).astype("<u4").tobytes()
+            at = 0
+            for s, k in zip(run, (end * 4).tolist(), strict=True):
+                self.known[s] = raw[at:k]
+                at = k
+        for s, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=np.int64)
+            self.known[s] = (ids if self.new is None else self.new[ids]).astype("<u4").tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [SEGMENT.findall(t) for t in texts]
-        known = self.known
-        missing = list({s for c in cut for s in c if s not in known})
-        for at in range(0, len(missing), 2000):
-            part = missing[at : at + 2000]
-            for s, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, dtype=np.int64)
-                known[s] = (ids if self.new is None else self.new[ids]).astype("<u4").tobytes()
-        out = [b"".join([known[s] for s in c]) for c in cut]
-        if len(known) > KEPT:
-            known.clear()
+        here = set().union(*cut)
+        self._learn(list(here.difference(self.known)))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, c)) for c in cut]
+        if len(self.known) > KEPT:  # what this run of texts has used stays
+            self.known = {s: get(s) for s in here}
         return out
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
