@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, neighbours, packing, tokens, toxicity, warc
+from . import exact_dedup, jaccard_join, language_id, neighbours, packing, suffix_dedup, tokens, toxicity, warc
 from .shared import documents, fold
 
 
@@ -47,6 +47,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), with_kept=False).withColumnRenamed("id", "doc_id")
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neighbours.search(documents(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
     return out.withColumnRenamed("id", "vec_id")
@@ -59,7 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language_id, op4_byte_bpe, op5_toxicity, op6_jaccard_join, op7_warc, op9_neighbours, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language_id, op4_byte_bpe, op5_toxicity, op6_jaccard_join, op7_warc, op8_suffix_dedup, op9_neighbours, op10_best_fit_packing)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
