@@ -28,7 +28,7 @@ from .shared import stored
 
 LENGTH, GRAM = 200, 32
 CONTEXTS = 4096  # of one hash, in a block
-SORTED = 1 << 20  # bytes in one suffix array
+SORTED = 1 << 18  # bytes of contexts that are taken together
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15)
 
@@ -211,7 +211,7 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = (np.bincount(run)[run] > 1) & ~flags[0]
         open_ = new_c & (np.bincount(group, weights=new_c)[group] > 1) & ~flags[1]
         pick = np.flatnonzero(full | open_)
-        yield pa.RecordBatch.from_arrays([*(pa.array(rows[k][pick]) for k in (0, 2, 4, 5)), pa.array(full[pick]), pa.array(open_[pick])], names=["h", "id", "s", "e", "full", "open"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(rows[k][pick]) for k in (0, 2, 3, 4, 5)), pa.array(full[pick]), pa.array(open_[pick])], names=["h", "id", "at", "s", "e", "full", "open"])
         flags[0] |= full
         flags[1] |= open_
         # of the last hash, what decides on rows to come: its first row, and two of its last context
@@ -230,26 +230,43 @@ def _spans(who: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray,
     return by[first] >> 36, by[first] & mask, (by[last] & mask) + length
 
 
-def _sorted_rows(length: int):
+def partners(key: np.ndarray, parts: list[bytes], a: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Contexts that can hold a match: of what a passage has beside the anchor, half or more lies on one side, so
+    another context of the key must agree with this one over that much to the left or to the right."""
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    end = np.cumsum([len(p) for p in parts])
+    first = end - np.diff(end, prepend=0)
+    half, out = (length - gram + 1) // 2, np.zeros(len(parts), dtype=bool)
+    for s, e in ((first + a, first + a + gram + half), (first + a - half, first + a + gram)):
+        ok = np.flatnonzero((s >= first) & (e <= end))
+        h = span_hashes(data, s[ok], e[ok]) ^ mix(key[ok].view(_U))
+        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+        out[ok[count[inverse] > 1]] = True
+    return out
+
+
+def _sorted_rows(length: int, gram: int = GRAM):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, key = 0, None
 
         def flush() -> pa.RecordBatch:
-            ids = np.array([r[0] for r in held], dtype=np.int64)
-            start = np.array([r[1] for r in held], dtype=np.int64)
-            part, offset = repeated([r[2] for r in held], ids, start, length)
+            can = np.flatnonzero(partners(np.array([r[3] for r in held], dtype=np.int64), [r[2] for r in held], np.array([r[4] for r in held], dtype=np.int64), length, gram))
+            rows = [held[k] for k in can.tolist()]
+            ids = np.array([r[0] for r in rows], dtype=np.int64)
+            start = np.array([r[1] for r in rows], dtype=np.int64)
+            part, offset = repeated([r[2] for r in rows], ids, start, length) if rows else (can, can)
             names, code = np.unique(ids, return_inverse=True)
             who, s, e = _spans(code[part].astype(np.int64), start[part] + offset, length) if len(part) else (part, part, part)
             return pa.RecordBatch.from_arrays([pa.array(names[who], pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["id", "s", "e"])
 
         for b in batches:
-            for k, i, s, raw in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+            for k, i, s, raw, a in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
                 if size > SORTED and k != key:
                     yield flush()
                     held, size = [], 0
                 key = k
-                held.append((i, s, raw))
+                held.append((i, s, raw, k, a))
                 size += len(raw) + 1
         if held:
             yield flush()
@@ -293,18 +310,18 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     """id, s, e: byte spans (they may overlap) that cover every repeated passage."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = rows.mapInArrow(_anchor_rows(length, gram), "h long, c long, id long, at long, s long, e long")
-    told = stored(marks.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_sort_out, "h long, id long, s long, e long, full boolean, open boolean"), "anchors")
-    open_ = told.filter("open").select("h", "id", "s", "e")
+    told = stored(marks.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_sort_out, "h long, id long, at long, s long, e long, full boolean, open boolean"), "anchors")
+    open_ = told.filter("open").select("h", "id", "at", "s", "e")
     crowded = open_.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > CONTEXTS).withColumn("blocks", F.ceil(F.col("m") * 2 / CONTEXTS).cast("int"))
     own = F.pmod(F.xxhash64("id", "s"), F.col("blocks")).cast("int")
     pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != own), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
     )
-    wanted = open_.groupBy("id").agg(F.collect_list(F.struct("h", "s", "e")).alias("w"))
+    wanted = open_.groupBy("id").agg(F.collect_list(F.struct("h", "at", "s", "e")).alias("w"))
     raw = rows.join(wanted, "id").select("id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"), F.explode("w").alias("w"))
-    parts = raw.select("id", "w.h", "w.s", F.substring("raw", F.col("w.s").cast("int") + 1, (F.col("w.e") - F.col("w.s")).cast("int")).alias("part"))
-    dealt = parts.join(crowded, "h", "left").withColumn("pair", F.explode(pairs)).select(F.xxhash64("h", "pair").alias("k"), "id", "s", "part")
-    found = dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_sorted_rows(length), "id long, s long, e long")
+    parts = raw.select("id", "w.h", "w.at", "w.s", F.substring("raw", F.col("w.s").cast("int") + 1, (F.col("w.e") - F.col("w.s")).cast("int")).alias("part"))
+    dealt = parts.join(crowded, "h", "left").withColumn("pair", F.explode(pairs)).select(F.xxhash64("h", "pair").alias("k"), "id", "s", "part", (F.col("at") - F.col("s")).alias("a"))
+    found = dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_sorted_rows(length, gram), "id long, s long, e long")
     whole = told.filter(F.col("full") & (F.col("e") - F.col("s") >= length)).select("id", "s", "e")
     return whole.unionByName(found)
 
