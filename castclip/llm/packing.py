@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .tokens import Encoder, grouped
+from .tokens import encoder, grouped
 
 BUCKETS = 64
+KEPT = 800_000  # pieces of text whose ids a worker process remembers
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -36,7 +37,7 @@ def cut(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col:
     """One row per piece; with ids also the piece's ids, as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = Encoder(path), int(end_id).to_bytes(4, "little")
+        enc, end = encoder(path, kept=KEPT), int(end_id).to_bytes(4, "little")
         for b in batches:
             doc, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in grouped(texts_ := [t or "" for t in texts]):

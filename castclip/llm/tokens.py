@@ -12,9 +12,11 @@ text that looks like a special token is ordinary text; an empty table gives no r
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Unicode White_Space, as the pattern's \s has it.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-WHITE = re.compile(f"[{SPACES}]")
+ROUGH = re.compile(f"[{SPACES}](?: |$)|[{SPACES}]\\Z")
 SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 KEPT = 150_000
 
@@ -40,6 +42,12 @@ def byte_characters() -> dict[int, str]:
     return table
 
 
+@lru_cache(maxsize=4)
+def encoder(path: str, ranks: str | None = None, kept: int = KEPT) -> Encoder:
+    """One for all tasks of a worker process; it keeps the ids of about ``kept`` pieces of text."""
+    return Encoder(path, ranks, kept)
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -66,11 +74,17 @@ def id_bytes(path: str) -> list[bytes]:
 
 
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit integers in bytes. renumber: from the file's ids to those wanted."""
+    """Ids of texts, as little-endian unsigned 32-bit integers in bytes, numbered as in ``ranks`` if that is given.
 
-    def __init__(self, path: str, ranks: str | None = None):
+    A text without white space before a space, or at its end, is split at its spaces, and pieces are known by what follows the space;
+    other texts are cut by SEGMENT."""
+
+    def __init__(self, path: str, ranks: str | None = None, kept: int = KEPT):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.kept = kept
         self.tok = tokenizer(path)
-        self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
         self.size = np.array([len(b) for b in id_bytes(path)], dtype=np.int64)
         self.new = None
         if ranks:
@@ -79,32 +93,36 @@ class Encoder:
             if not np.array_equal(new[new >= 0], np.arange(len(own))[new >= 0]):
                 self.new = new
 
-    def _learn(self, segments: list[str]) -> None:
-        """Encode new segments: those of white space and then other characters as one text, which is cut at the same places, the others alone."""
-        spaced = [s for s in segments if WHITE.match(s) and not WHITE.match(s[-1])]
-        spaced_set = set(spaced)
-        other = [s for s in segments if s not in spaced_set]
-        runs = [spaced[k : k + 1000] for k in range(0, len(spaced), 1000)]
-        for run, e in zip(runs, self.tok.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=np.int64)
-            end = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(s.encode()) for s in run])) + 1
-            raw = (ids if self.new is None else self.new[ids]).astype("<u4").tobytes()
-            at = 0
-            for s, k in zip(run, (end * 4).tolist(), strict=True):
-                self.known[s] = raw[at:k]
-                at = k
-        for s, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=np.int64)
-            self.known[s] = (ids if self.new is None else self.new[ids]).astype("<u4").tobytes()
+    def _own(self, ids: list[int]) -> np.ndarray:
+        x = np.array(ids, dtype=np.int64)
+        return x if self.new is None else self.new[x]
+
+    def _learn_spaced(self, pieces: list[str]) -> None:
+        """Encode many pieces as one text, which the tokenizer cuts before each piece's space."""
+        runs = [pieces[k : k + 2000] for k in range(0, len(pieces), 2000)]
+        for run, e in zip(runs, self.tok.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ends = np.cumsum([len(s.encode()) + 1 for s in run])
+            cut = (np.searchsorted(np.cumsum(self.size[e.ids]), ends) + 1) * 4
+            raw = self._own(e.ids).astype("<u4").tobytes()
+            self.spaced.update(zip(run, map(raw.__getitem__, map(slice, [0, *cut[:-1].tolist()], cut.tolist())), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [SEGMENT.findall(t) for t in texts]
-        here = set().union(*cut)
-        self._learn(list(here.difference(self.known)))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
-        if len(self.known) > KEPT:  # what this run of texts has used stays
-            self.known = {s: get(s) for s in here}
+        rough = [t == "" or ROUGH.search(t) is not None for t in texts]
+        cut = [SEGMENT.findall(t) if r else t.split(" ") for t, r in zip(texts, rough, strict=True)]
+        alone = {s for c, r in zip(cut, rough, strict=True) for s in (c if r else c[:1])}
+        alone.discard("")
+        here = set().union(*[c[1:] for c, r in zip(cut, rough, strict=True) if not r])
+        self._learn_spaced(list(here.difference(self.spaced)))
+        new = list(alone.difference(self.plain))
+        for s, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.plain[s] = self._own(e.ids).astype("<u4").tobytes()
+        self.plain[""] = b""
+        spaced, plain = self.spaced.__getitem__, self.plain.__getitem__
+        out = [b"".join(map(plain, c)) if r else plain(c[0]) + b"".join(map(spaced, c[1:])) for c, r in zip(cut, rough, strict=True)]
+        if len(self.spaced) > self.kept:  # what came first stays, being most frequent, and what these texts have used
+            self.spaced = dict(islice(self.spaced.items(), self.kept // 3)) | {s: spaced(s) for s in here}
+        if len(self.plain) > self.kept:
+            self.plain = {s: plain(s) for s in alone}
         return out
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +179,7 @@ def encode(df: DataFrame, path: str, ranks: str | None = None, id_col: str = "do
     kind = "id long, ids binary, n_tokens long" + (", byte_at array<int>, char_at array<int>" if with_spans else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, ranks)
+        enc = encoder(path, ranks)
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in grouped(texts):
