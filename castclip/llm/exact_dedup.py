@@ -167,7 +167,7 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, keep_id (largest id of the class), group_size, sha. ``members``: of a class, about as many are compared in one stream."""
     prints = stored(fingerprint(df, id_col, text_col, huge_bytes), "prints")
     groups = prints.groupBy("fp", "n").agg(F.max("id").alias("rep"), F.count("*").alias("size")).filter("size > 1")
-    dup = prints.join(groups, ["fp", "n"]).select("id", "fp", "n", "rep", "size")
+    dup = prints.join(groups.hint("merge"), ["fp", "n"]).select("id", "fp", "n", "rep", "size")
     salts = F.ceil(F.col("size") / members).cast("int")
     plan = stored(
         dup.select("id", "fp", "n", F.lit(False).alias("own"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), (salts - 1).alias("last")).filter(F.col("id") != F.col("rep"))
@@ -176,7 +176,7 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # members and representatives meet their texts; representatives then go once to each salt of their class
-    rows = plan.join(texts, "id").withColumn("salt", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), "last")).otherwise(F.array("salt"))))
+    rows = plan.hint("merge").join(texts, "id").withColumn("salt", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), "last")).otherwise(F.array("salt"))))
     checked = (
         rows.select("fp", "n", "salt", "own", "id", F.col("text").cast("binary").alias("text"))
         .repartition("fp", "n", "salt")
@@ -185,6 +185,6 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     other = stored(checked.filter("differs").select("id").distinct().withColumn("alone", F.lit(True)), "collisions")
     # a row whose bytes differ from its representative's makes a class by its digest
-    named = prints.join(other, "id", "left").select("id", "fp", "n", "sha", F.when(F.col("alone"), F.col("sha")).otherwise(F.lit("")).alias("twin"))
+    named = prints.join(other.hint("merge"), "id", "left").select("id", "fp", "n", "sha", F.when(F.col("alone"), F.col("sha")).otherwise(F.lit("")).alias("twin"))
     final = named.groupBy("fp", "n", "twin").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    return named.join(final, ["fp", "n", "twin"], "left").select("id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "sha")
+    return named.join(final.hint("merge"), ["fp", "n", "twin"], "left").select("id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "sha")

@@ -188,7 +188,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cells = stored(reps.select(F.explode("keys").alias("key"), "id", "n").withColumn("m", F.count("*").over(w)).filter("m > 1").select("key", "id", "n", F.lit(None).cast("double").alias("d")), "cells")
     inside = stored(cells.select("id").distinct(), "inside")
     keys = stored(reps.join(inside, "id"), "keys")
-    sets = stored(_sets(rows.join(inside, "id"), size), "wholes")
+    sets = stored(_sets(rows.join(inside.hint("merge"), "id"), size), "wholes")
     label = inside.select("id", F.col("id").alias("c"))
     tried = None
     fits = lambda n, m: F.greatest(n, m) * percent <= F.least(n, m) * 100

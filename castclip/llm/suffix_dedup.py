@@ -318,7 +318,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != own), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
     )
     wanted = open_.groupBy("id").agg(F.collect_list(F.struct("h", "at", "s", "e")).alias("w"))
-    raw = rows.join(wanted, "id").select("id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"), F.explode("w").alias("w"))
+    raw = rows.join(wanted.hint("merge"), "id").select("id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"), F.explode("w").alias("w"))
     parts = raw.select("id", "w.h", "w.at", "w.s", F.substring("raw", F.col("w.s").cast("int") + 1, (F.col("w.e") - F.col("w.s")).cast("int")).alias("part"))
     dealt = parts.join(crowded, "h", "left").withColumn("pair", F.explode(pairs)).select(F.xxhash64("h", "pair").alias("k"), "id", "s", "part", (F.col("at") - F.col("s")).alias("a"))
     found = dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_sorted_rows(length, gram), "id long, s long, e long")
@@ -329,6 +329,6 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = True) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left) of every row."""
     spans = repeats(df, id_col, text_col, length).groupBy("id").agg(F.flatten(F.collect_list(F.array("s", "e"))).alias("spans"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(spans, "id", "left").select("id", "text", "spans")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(spans.hint("merge"), "id", "left").select("id", "text", "spans")
     kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return rows.mapInArrow(_cut_out, kind + ", kept binary") if with_kept else rows.mapInArrow(_digest_only, kind)

@@ -225,7 +225,7 @@ def write(df: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_
             p, r, s = zip(*made, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(r, pa.int64()), pa.array(s, pa.int64())], names=["path", "records", "bytes"])
 
-    return stored(rows.join(refers, "id", "left").select("id", "uri", "payload", "refers_to").mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    return stored(rows.join(refers.hint("merge"), "id", "left").select("id", "uri", "payload", "refers_to").mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
