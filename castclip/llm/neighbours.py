@@ -7,7 +7,7 @@ true neighbours, which a pass over the whole table determines. Leaves are search
 vectors, so that a leaf with very many vectors is shared among tasks.
 
 Similarity is the cosine in double precision. Cases: vectors that are null, zero, of another length than most, or hold
-null or non-finite components take no part; equal similarities go to the smaller id; a query is not its own neighbour,
+null or non-finite components, or have no id, take no part; equal similarities go to the smaller id; a query is not its own neighbour,
 yet equal vectors under other ids are; with fewer candidates than k all are returned; an empty table gives no rows.
 """
 
@@ -31,7 +31,7 @@ def valid(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     """id and v (doubles) of the vectors that take part, and their length."""
     v = F.col(vec_col).cast("array<double>")
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(good)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(good & F.col("id").isNotNull())
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return (rows.filter(F.size("v") == size["n"]), size["n"]) if size else (rows, 0)
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, neighbours, packing, suffix_dedup, tokens, toxicity, warc
+from . import exact_dedup, jaccard_join, language_id, lm_scoring, neighbours, packing, suffix_dedup, tokens, toxicity, warc
 from .shared import documents, fold
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scoring.score(documents(spark, sf_dir), fold("doc_id", 5) != 1).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_classes(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
@@ -63,7 +68,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language_id, op4_byte_bpe, op5_toxicity, op6_jaccard_join, op7_warc, op8_suffix_dedup, op9_neighbours, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_language_id, op4_byte_bpe, op5_toxicity, op6_jaccard_join, op7_warc, op8_suffix_dedup, op9_neighbours, op10_best_fit_packing)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """

@@ -10,7 +10,8 @@ successors; scanning buckets from the smallest first byte induces the others. Ne
 ``LENGTH`` bytes are repeated. Hashes with very many contexts are split into blocks, and each pair of blocks is sorted.
 
 Cases: null texts are empty, and texts shorter than ``LENGTH`` stay whole; equal documents of that length lose every byte,
-all of them; overlapping repeats within one document count; strings are judged on the input; an empty table gives no rows.
+all of them; overlapping repeats within one document count; strings are judged on the input; rows without an id
+keep every byte and match nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -309,6 +310,7 @@ def _digest_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """id, s, e: byte spans (they may overlap) that cover every repeated passage."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.filter("id is not null")
     marks = rows.mapInArrow(_anchor_rows(length, gram), "h long, c long, id long, at long, s long, e long")
     told = stored(marks.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_sort_out, "h long, id long, at long, s long, e long, full boolean, open boolean"), "anchors")
     open_ = told.filter("open").select("h", "id", "at", "s", "e")
