@@ -2,8 +2,8 @@
 
 A passage of ``LENGTH`` bytes that starts in two places is removed in both. All documents together are too much for one
 suffix array, so places that could match are brought together first. Of the hashes of the ``GRAM``-byte strings in a
-passage the smallest marks an anchor; equal passages have equal anchors at the same distance, so each match lies in the
-contexts (``LENGTH`` bytes to either side, less the anchor) of two anchors with one hash. Anchors are grouped by hash: contexts that
+passage the smallest is its anchor; equal passages have equal anchors at the same distance, so each match lies in the contexts (all
+passages of one anchor together) of two anchors with one hash. Anchors are grouped by hash: contexts that
 occur twice as a whole are repeated in full and count as one; where a hash has several different contexts, their bytes
 are fetched and go into suffix arrays. A suffix array sorts directly only the suffixes that are smaller than their
 successors; scanning buckets from the smallest first byte induces the others. Neighbours with a common prefix of
@@ -29,7 +29,7 @@ from .shared import stored
 
 LENGTH, GRAM = 200, 32
 CONTEXTS = 4096  # of one hash, in a block
-SORTED = 1 << 18  # bytes of contexts that are taken together
+SORTED = 1 << 20  # bytes of contexts that are taken together
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15)
 
@@ -43,32 +43,36 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(y[: len(x) - width + 1], y[width - w : width - w + len(x) - width + 1]) if width > w else y
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of all anchors, their hashes, and the text of each."""
+def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring strings of ``length`` bytes that have one anchor: its place and hash, where the first of them
+    begins and the last one ends, and the text. Of equal hashes in a string the first is its anchor."""
     n = len(data)
     none = np.zeros(0, np.int64)
     sizes = np.diff(offs)
     if n < length or sizes.max() < length:
-        return none, none.astype(_U), none
+        return none, none.astype(_U), none, none, none
     h, w, b = BYTE_VALUE[data], 1, _B
     while w < gram:
         h = h[:-w] * b + h[w:]
         w, b = 2 * w, _U(int(b) ** 2 % (1 << 64))
     h ^= h >> _U(32)
     h *= _U(0xD6E8FEB86659FD93)
-    h >>= _U(1)  # leaves the largest value free for places where no string fits
-    low = _sliding(h, length - gram + 1, np.minimum)
-    ends = np.repeat(offs[1:], sizes)
-    low[np.arange(len(low)) + length > ends[: len(low)]] = 0
-    span = length - gram
-    high = _sliding(np.concatenate([np.zeros(span, _U), low, np.zeros(span, _U)]), span + 1, np.maximum)
-    at = np.flatnonzero((h == high[: len(h)]) & (high[: len(h)] > 0))
-    return at, h[at], np.searchsorted(offs, at, "right") - 1
-
-
-def contexts(at: np.ndarray, first: np.ndarray, past: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Where the context of an anchor begins and ends, within its text's bounds."""
-    return np.maximum(at - (length - gram), first), np.minimum(at + length, past)
+    width = length - gram + 1
+    low = _sliding(h, width, np.minimum)
+    text = np.repeat(np.arange(len(sizes)), sizes)[: len(low)]
+    fits = np.arange(len(low)) + length <= offs[1:][text]
+    new = np.append(True, (low[1:] != low[:-1]) | (text[1:] != text[:-1])) & fits
+    first = np.flatnonzero(new)
+    stop = np.flatnonzero(fits & ~np.append(fits[1:] & ~new[1:], False))
+    every = np.lib.stride_tricks.sliding_window_view(h, width)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(first):
+        at = first + np.concatenate([every[first[k : k + 2048]].argmin(axis=1) for k in range(0, len(first), 2048)])
+        out.append((at, first, np.minimum(stop, at)))
+        more = stop > at  # equal hashes: the strings after this anchor have the next one
+        first, stop = at[more] + 1, stop[more]
+    at, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
+    return at, h[at], s, e + length, text[s]
 
 
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
@@ -181,11 +185,10 @@ def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offs in slices(b.column(1), 1 << 18):
-                at, h, text = anchors(data, offs, length, gram)
+                at, h, s, e, text = anchors(data, offs, length, gram)
                 if not len(at):
                     continue
-                first, past = offs[text], offs[text + 1]
-                s, e = contexts(at, first, past, length, gram)
+                first = offs[text]
                 c = mix(span_hashes(data, s, e) + ((at - s).astype(_U) << _U(20)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).slice(lo, hi - lo).take(pa.array(text)), pa.array(at - first, pa.int64()), pa.array(s - first, pa.int64()), pa.array(e - first, pa.int64())],
@@ -231,19 +234,27 @@ def _spans(who: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray,
     return by[first] >> 36, by[first] & mask, (by[last] & mask) + length
 
 
-def partners(key: np.ndarray, parts: list[bytes], a: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Contexts that can hold a match: of what a passage has beside the anchor, half or more lies on one side, so
-    another context of the key must agree with this one over that much to the left or to the right."""
+def candidates(key: np.ndarray, parts: list[bytes], a: np.ndarray, length: int, gram: int, steps: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts that can hold a match, and which part of them: (context, first, past).
+
+    A string that begins x bytes before the anchor, x between two marks, has in common with all such strings what lies between
+    the lower mark before the anchor and the string's end for the higher one; another context of the key must agree there."""
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
     end = np.cumsum([len(p) for p in parts])
     first = end - np.diff(end, prepend=0)
-    half, out = (length - gram + 1) // 2, np.zeros(len(parts), dtype=bool)
-    for s, e in ((first + a, first + a + gram + half), (first + a - half, first + a + gram)):
-        ok = np.flatnonzero((s >= first) & (e <= end))
-        h = span_hashes(data, s[ok], e[ok]) ^ mix(key[ok].view(_U))
+    a = a + first
+    least, most = a - (end - length), a - first  # x of the last and the first string of the context
+    marks = np.linspace(0, length - gram, steps + 1).astype(np.int64)
+    low, high = np.full(len(parts), length), np.full(len(parts), -1)
+    for x, y in zip(marks[:-1], marks[1:], strict=True):
+        ok = np.flatnonzero((x <= most) & (y >= least))
+        h = span_hashes(data, a[ok] - x, a[ok] + length - y) ^ mix(key[ok].view(_U))
         _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-        out[ok[count[inverse] > 1]] = True
-    return out
+        ok = ok[count[inverse] > 1]
+        low[ok] = np.minimum(low[ok], np.maximum(x, least[ok]))
+        high[ok] = np.maximum(high[ok], np.minimum(y, most[ok]))
+    keep = np.flatnonzero(high >= 0)
+    return keep, (a - high - first)[keep], (a + length - low - first)[keep]
 
 
 def _sorted_rows(length: int, gram: int = GRAM):
@@ -251,26 +262,29 @@ def _sorted_rows(length: int, gram: int = GRAM):
         held: list[tuple] = []
         size, key = 0, None
 
-        def flush() -> pa.RecordBatch:
-            can = np.flatnonzero(partners(np.array([r[3] for r in held], dtype=np.int64), [r[2] for r in held], np.array([r[4] for r in held], dtype=np.int64), length, gram))
-            rows = [held[k] for k in can.tolist()]
-            ids = np.array([r[0] for r in rows], dtype=np.int64)
-            start = np.array([r[1] for r in rows], dtype=np.int64)
-            part, offset = repeated([r[2] for r in rows], ids, start, length) if rows else (can, can)
-            names, code = np.unique(ids, return_inverse=True)
-            who, s, e = _spans(code[part].astype(np.int64), start[part] + offset, length) if len(part) else (part, part, part)
-            return pa.RecordBatch.from_arrays([pa.array(names[who], pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["id", "s", "e"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            column = lambda k: np.array([r[k] for r in held], dtype=np.int64)
+            keep, first, past = candidates(column(3), [r[2] for r in held], column(4), length, gram)
+            if not len(keep):
+                return
+            ids, start = column(0)[keep], column(1)[keep] + first
+            parts = [held[k][2][x:y] for k, x, y in zip(keep.tolist(), first.tolist(), past.tolist(), strict=True)]
+            part, offset = repeated(parts, ids, start, length)
+            if len(part):
+                names, code = np.unique(ids, return_inverse=True)
+                who, s, e = _spans(code[part].astype(np.int64), start[part] + offset, length)
+                yield pa.RecordBatch.from_arrays([pa.array(names[who], pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["id", "s", "e"])
 
         for b in batches:
             for k, i, s, raw, a in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
                 if size > SORTED and k != key:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
                 key = k
                 held.append((i, s, raw, k, a))
                 size += len(raw) + 1
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
