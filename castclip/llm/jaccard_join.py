@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesets import shingle_sets
-from .shared import stored
+from .shared import release, stored
 
 SHINGLE, PERCENT = 5, 80
 HEAVY_SHARE, HEAVY_SEEN, HEAVY = 8, 2, 400_000
@@ -187,8 +187,9 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     w = Window.partitionBy("key")
     cells = stored(reps.select(F.explode("keys").alias("key"), "id", "n").withColumn("m", F.count("*").over(w)).filter("m > 1").select("key", "id", "n", F.lit(None).cast("double").alias("d")), "cells")
     inside = stored(cells.select("id").distinct(), "inside")
-    keys = stored(reps.join(inside, "id"), "keys")
-    sets = stored(_sets(rows.join(inside.hint("merge"), "id"), size), "wholes")
+    keys = stored(reps.join(inside.hint("merge"), "id"), "keys")
+    release(spark)
+    sets = None
     label = inside.select("id", F.col("id").alias("c"))
     tried = None
     fits = lambda n, m: F.greatest(n, m) * percent <= F.least(n, m) * 100
@@ -213,7 +214,18 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        seen = stored(_measured(_possible(pairs, keys, heavy, percent), sets, percent), "seen")
+        near = stored(_possible(pairs, keys, heavy, percent), "possible")
+        release(spark)
+        # whole sets only of documents that need them, made once
+        need = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        if sets is None:
+            sets = stored(_sets(rows.join(need.hint("merge"), "id"), size), "wholes")
+        else:
+            need = stored(need.join(sets.select("id"), "id", "left_anti"), "need")
+            if not need.isEmpty():
+                sets = sets.unionByName(stored(_sets(rows.join(need, "id"), size), "wholes"))
+        release(spark)
+        seen = stored(_measured(near, sets, percent), "seen")
         links = seen.filter("near").select("a", "b")
         if not links.isEmpty():
             of = lambda c: label.select(F.col("id").alias(c), F.col("c").alias(f"c{c}"))
