@@ -56,8 +56,16 @@ def heavy_shingles(rows: DataFrame, size: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
     part = rows.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(HEAVY_SHARE)) == 0)
-    top = part.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= HEAVY_SEEN).orderBy(F.desc("c"), "h").limit(HEAVY)
-    return np.sort(np.array([r["h"] for r in top.toLocalIterator()], dtype=np.int64).view(np.uint64))
+    often = stored(part.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= HEAVY_SEEN), "heavy")
+    # from the highest counts down, as many levels as HEAVY allows
+    level, least, total = F.least("c", F.lit(1000)), None, 0
+    for r in sorted(often.groupBy(level.alias("l")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > HEAVY:
+            break
+        least = r["l"]
+    top = often.filter(level >= least).select("h").toPandas()["h"] if least is not None else []
+    return np.sort(np.array(top, dtype=np.int64).view(np.uint64))
 
 
 def prefixes(rows: DataFrame, size: int, percent: int, heavy) -> DataFrame:

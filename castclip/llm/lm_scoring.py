@@ -34,7 +34,7 @@ CLASS, CLASSES, GROUPS, HIDDEN = 32, 32, 64, 16
 SYMBOLS = CLASS * CLASSES
 WORDS = SYMBOLS - GROUPS - 1
 NEAR = 1 << 18
-TURNS, WINDOW, LANES = 3, 16, 256
+TURNS, WINDOW, LANES, PIECE = 3, 16, 256, 1024
 BLOCKS = 16
 
 
@@ -69,8 +69,21 @@ class Vocabulary:
     kinds: int
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words above a count that at most ``most`` of them reach; found from a histogram by sixteenths of a doubling."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    levels = sorted(counts.groupBy(level.alias("l")).count().collect(), reverse=True)  # some hundred rows
+    total, least = 0, None
+    for r in levels:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["l"]
+    return counts.filter(level >= least) if least is not None else counts.limit(0)
+
+
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    near = counts.orderBy(F.desc("c"), "h").limit(NEAR).toPandas()  # bounded by NEAR
+    near = frequent(counts, NEAR).toPandas().sort_values(["c", "h"], ascending=[False, True])  # bounded by NEAR
     word, group, count = near["h"].to_numpy(np.int64).view(np.uint64), near["g"].to_numpy(np.int64), near["c"].to_numpy(np.int64)
     sums = {r["g"]: (r["c"], r["n"]) for r in counts.groupBy("g").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
     share = np.array([sums.get(g, (0, 0))[0] + 0.5 * sums.get(g, (0, 0))[1] + 0.5 for g in range(GROUPS)])
@@ -93,9 +106,7 @@ def look_up(v: Vocabulary, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
-    """Logistic function, in place."""
-    np.negative(x, out=x)
-    np.minimum(x, np.float32(80), out=x)
+    """1 / (1 + exp(x)), in place."""
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
@@ -123,27 +134,31 @@ def states(p: dict, x: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[n
     """Hidden states after each step of x (steps by lanes)."""
     n, kept = HIDDEN, []
     out = np.empty((len(x), len(h), n), dtype=np.float32)
-    gates = p["x"][x]
-    for t in range(len(x)):
-        if not x[t].all():  # the end symbol comes in where a text begins, from an empty state
-            h = h * (x[t] != 0)[:, None]
-        a = h @ p["u"]
-        zr = _logistic(gates[t, :, : 2 * n] + a[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        m = a[:, 2 * n :] * r
-        m += gates[t, :, 2 * n :]
-        m += m
-        m = _logistic(m)
-        m += m
-        m -= 1
-        if keep:
-            kept.append((h, z, r, m, a[:, 2 * n :]))
-        h = np.subtract(h, m, out=out[t])
-        h *= z
-        h += m
+    # gates take minus their argument, the new state minus twice its own
+    gates, u = (p["x"] * SIGNS)[x], p["u"] * SIGNS
+    with np.errstate(over="ignore"):
+        for t in range(len(x)):
+            if not x[t].all():  # the end symbol comes in where a text begins, from an empty state
+                h = h * (x[t] != 0)[:, None]
+            a = h @ u
+            zr = _logistic(gates[t, :, : 2 * n] + a[:, : 2 * n])
+            z, r = zr[:, :n], zr[:, n:]
+            m = a[:, 2 * n :] * r
+            m += gates[t, :, 2 * n :]
+            m = _logistic(m)
+            m += m
+            m -= 1
+            if keep:
+                kept.append((h, z, r, m, a[:, 2 * n :]))
+            h = np.subtract(h, m, out=out[t])
+            h *= z
+            h += m
     return out, kept
 
 
+SIGNS = np.repeat(np.array([-1, -1, -2], dtype=np.float32), HIDDEN)
+#: Largest output weight; with states within -1 and 1 it bounds the logits, so that they need no shift.
+MOST = np.float32(4)
 ONES = np.ones(max(CLASS, CLASSES), dtype=np.float32)
 
 
@@ -156,8 +171,6 @@ def outputs(p: dict, h: np.ndarray, y: np.ndarray, d: dict | None = None) -> tup
     at = np.arange(len(y))
 
     def softmax(a: np.ndarray, own: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # weights stay small, so that the logits need no shift
-        np.clip(a, -60, 60, out=a)
         chosen = a[own, pick]
         np.exp(a, out=a)
         s = a @ ONES[: a.shape[1]]
@@ -224,11 +237,19 @@ def train(w: np.ndarray, seen: np.ndarray, ids: list[np.ndarray], rate: float =
     used, n = 0, HIDDEN
     if not ids:
         return 0
-    table, valid, *_ = streams(ids, LANES)
+    # texts train in pieces, so that the lanes end together; a mark between pieces is no target, and as an input it empties the state
+    cut = np.array([-1], dtype=np.int16)
+    pieces = [np.append(x[k : k + PIECE], cut) if k + PIECE < len(x) else x[k : k + PIECE] for x in ids for k in range(0, len(x), PIECE)]
+    table, valid, *_ = streams(pieces, LANES)
+    valid &= table[1:] >= 0
+    np.maximum(table, 0, out=table)
     h = np.zeros((table.shape[1], n), dtype=np.float32)
     for at0 in range(0, len(valid), WINDOW):
         real = valid[at0 : at0 + WINDOW]
-        live = int(real[0].sum())
+        some = np.flatnonzero(real.any(axis=0))
+        if not len(some):
+            continue
+        live = int(some[-1]) + 1
         real, h = real[:, :live], h[:live]
         x, y = table[at0 : at0 + len(real), :live], table[at0 + 1 : at0 + 1 + len(real), :live]
         hs, kept = states(p, x, h, True)
@@ -250,7 +271,7 @@ def train(w: np.ndarray, seen: np.ndarray, ids: list[np.ndarray], rate: float =
             dh = dh + dh_out[t]
             dm = dh * (1 - z) * (1 - m * m)
             dg[t, :, :n] = dh * (prev - m) * z * (1 - z)
-            dg[t, :, n : 2 * n] = dm * hn * r * (1 - r)
+            dg[t, :, n : 2 * n] = dm * hn * r * (1 - r) * np.float32(-0.5)
             dg[t, :, 2 * n :] = dm
             da[t, :, : 2 * n] = dg[t, :, : 2 * n]
             da[t, :, 2 * n :] = dm * r
@@ -272,6 +293,7 @@ def train(w: np.ndarray, seen: np.ndarray, ids: list[np.ndarray], rate: float =
         lo = p["x"].size
         seen[lo:] += grads * grads
         w[lo:] -= rate * grads / (np.sqrt(seen[lo:]) + 1e-5)
+        np.clip(w[lo:], -MOST, MOST, out=w[lo:])
         h = hs[-1]
         used += len(flat)
     return used
