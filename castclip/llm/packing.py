@@ -39,10 +39,10 @@ def cut(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path, kept=KEPT), int(end_id).to_bytes(4, "little")
         for b in batches:
-            doc, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in grouped(texts_ := [t or "" for t in texts]):
+            doc, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            for lo, hi in grouped(texts):
                 rows: list[tuple] = []
-                for d, raw in zip(doc[lo:hi], enc.ids(texts_[lo:hi]), strict=True):
+                for d, raw in zip(doc[lo:hi], enc.ids(texts[lo:hi]), strict=True):
                     raw += end
                     n, at, k = len(raw) // 4, 0, 0
                     size = n % capacity or capacity

@@ -181,9 +181,9 @@ def encode(df: DataFrame, path: str, ranks: str | None = None, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, ranks)
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = [t or "" for t in b.column(1).to_pylist()]
             for lo, hi in grouped(texts):
-                part = [t or "" for t in texts[lo:hi]]
+                part = texts[lo:hi]
                 ids = enc.ids(part)
                 cols = [b.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 if with_spans:
