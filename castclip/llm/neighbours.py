@@ -211,15 +211,36 @@ def search(df: DataFrame, queries: Column, k: int = 5, recall: float = 0.97, id_
             take = np.repeat(np.arange(len(order)), [len(o) for o in order])
             yield pa.RecordBatch.from_arrays([pa.array([x for o in order for x in o], pa.int32()), b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take))], names=["leaf", "id", "v"])
 
+    def nearest(q: np.ndarray, i: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query."""
+        by = np.lexsort((i, -score, q))
+        q, i, score = q[by], i[by], score[by]
+        first = np.append(True, q[1:] != q[:-1]) if len(q) else np.zeros(0, bool)
+        keep = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) < k
+        return q[keep], i[keep], score[keep]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        new: list[tuple] = []
+
+        def rows_() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(held, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
+
         for b in batches:
             for qi, qv, mi, mv in zip(*(b.column(c).to_pylist() for c in range(1, 5)), strict=True):
                 qid, ids = np.frombuffer(qi, np.int64), np.frombuffer(mi, np.int64)
                 q, y = np.frombuffer(qv).reshape(-1, dim), np.frombuffer(mv).reshape(-1, dim)
                 near = unit(q) @ unit(y).T
-                out = [(int(qid[j]), i, s) for j in range(len(qid)) for i, s in best(ids, y, qid[j], q[j], near[j], k)]
-                cols = list(zip(*out, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
+                new += [(int(qid[j]), i, s) for j in range(len(qid)) for i, s in best(ids, y, qid[j], q[j], near[j], k)]
+                if len(new) > 1 << 16:
+                    held = nearest(*(np.concatenate([a, np.array(c, dtype=a.dtype)]) for a, c in zip(held, zip(*new, strict=True), strict=True)))
+                    new = []
+                    if len(held[0]) > 1 << 20:  # too many queries to keep in one task
+                        yield rows_()
+                        held = tuple(a[:0] for a in held)
+        if new:
+            held = nearest(*(np.concatenate([a, np.array(c, dtype=a.dtype)]) for a, c in zip(held, zip(*new, strict=True), strict=True)))
+        yield rows_()
 
     kind = "leaf int, id long, v array<double>"
     # vectors of one leaf are dealt over as many tasks as blocks of 8 * BLOCK rows could hold by the leaf's share of the sample
