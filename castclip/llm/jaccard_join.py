@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesets import shingle_sets
@@ -32,7 +32,7 @@ from .shared import release, stored
 
 SHINGLE, PERCENT = 5, 80
 HEAVY_SHARE, HEAVY_SEEN, HEAVY = 8, 2, 400_000
-ROUNDS, SMALL = 8, 6
+ROUNDS, PIVOTS, SMALL, FIRST = 3, 4, 6, 8
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -173,10 +173,8 @@ def components(edges: DataFrame) -> DataFrame:
     label = stored(left.select(F.col("a").alias("v"), F.col("a").alias("c")).distinct(), "labels")
     while not left.isEmpty():
         up = stored(left.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), "parents")
-        for _ in range(2):
-            top = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            up = up.join(top, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-        up = stored(up, "parents")
+        top = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        up = up.join(top, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
         label = stored(label.join(up.withColumnRenamed("a", "c"), "c", "left").select("v", F.coalesce("p", "c").alias("c")), "labels")
         ends = left.join(up, "a").select(F.col("p").alias("a"), F.col("b").alias("_b"))
         ends = ends.join(up.select(F.col("a").alias("_b"), F.col("p").alias("b")), "_b").select("a", "b")
@@ -193,37 +191,49 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = stored(first.filter("n > 0").groupBy("s", "x", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "sets")
     reps = same.select(F.col("rep").alias("id"), "n", "keys")
     w = Window.partitionBy("key")
-    cells = stored(reps.select(F.explode("keys").alias("key"), "id", "n").withColumn("m", F.count("*").over(w)).filter("m > 1").select("key", "id", "n", F.lit(None).cast("double").alias("d")), "cells")
+    cells = stored(reps.select("id", "n", F.posexplode("keys").alias("pos", "key")).withColumn("m", F.count("*").over(w)).filter("m > 1").select("key", "id", "n", "pos"), "cells")
+    # the first FIRST cells of each document go along: a pair that meets in one of them need not meet again in a later one
+    firsts = cells.groupBy("id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "key"))), 1, FIRST), lambda x: x["key"]).alias("f"))
+    cells = stored(cells.join(firsts.hint("merge"), "id").select("key", "id", "n", "pos", "f", F.lit(None).cast("double").alias("d")), "cells")
     inside = stored(cells.select("id").distinct(), "inside")
     keys = stored(reps.join(inside.hint("merge"), "id"), "keys")
     release(spark)
     sets = None
     label = inside.select("id", F.col("id").alias("c"))
-    tried = None
+    tried: list[DataFrame] = []
     fits = lambda n, m: F.greatest(n, m) * percent <= F.least(n, m) * 100
+
+    def meets(key: Column, n: Column, i: Column, f: Column, m: Column, j: Column, g: Column) -> Column:
+        """Whether a pair should meet in a cell: what follows its places in both prefixes is enough for a link if it is the first in common,
+        and no earlier one is known to be."""
+        enough = F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent
+        before = F.when(F.array_position(f, key) > 0, F.slice(f, F.lit(1), F.greatest(F.array_position(f, key).cast("int") - 1, F.lit(0)))).otherwise(f)
+        return enough & ~F.arrays_overlap(before, g)
+
     window = lambda d, e: F.coalesce(F.abs(d - e) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    # of each part of a cell, the one in the smallest class
+    pivot = lambda j: F.min_by(F.struct("id", "n", "c", "d", "pos", "f"), F.when(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(PIVOTS)) == j, F.struct("k", F.xxhash64("id"))))
     for turn in range(rounds + 1):
         many = label.groupBy("c").agg(F.count("*").alias("k"))
         now = cells.join(label.join(many, "c"), "id")
         open_ = stored(
-            now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.min_by(F.struct("id", "n", "c", "d"), F.struct("k", F.xxhash64("id"))).alias("p")).filter("lo < hi").select("key", "m", "p"),
+            now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.array_compact(F.array(*[pivot(j) for j in range(PIVOTS)])).alias("ps")).filter("lo < hi").select("key", "m", "ps"),
             "open",
         )
         direct = F.col("m") <= (SMALL if turn < rounds else 1 << 62)
-        rest = now.join(open_.filter(direct).select("key"), "key").select("key", "id", "n", "c", "d")
-        other = rest.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("d").alias("d2"))
-        met = rest.join(other, "key").filter((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & fits(F.col("n"), F.col("n2")) & window(F.col("d"), F.col("d2")))
+        rest = now.join(open_.filter(direct).select("key"), "key").select("key", "id", "n", "c", "d", "pos", "f")
+        other = rest.select("key", *[F.col(x).alias(f"{x}2") for x in ("id", "n", "c", "d", "pos", "f")])
+        met = rest.join(other, "key").filter((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & fits(F.col("n"), F.col("n2")) & window(F.col("d"), F.col("d2")) & meets(*[F.col(x) for x in ("key", "n", "pos", "f", "n2", "pos2", "f2")]))
         pairs = met.select(F.col("id").alias("a"), F.col("id2").alias("b"))
         large = open_.filter(~direct)
         if turn < rounds:
-            met = now.join(large, "key").filter((F.col("c") != F.col("p.c")) & fits(F.col("n"), F.col("p.n")) & window(F.col("d"), F.col("p.d")))
+            met = now.join(large.select("key", F.explode("ps").alias("p")), "key").filter((F.col("id") != F.col("p.id")) & (F.col("c") != F.col("p.c")) & fits(F.col("n"), F.col("p.n")) & window(F.col("d"), F.col("p.d")) & meets(*[F.col(x) for x in ("key", "n", "pos", "f", "p.n", "p.pos", "p.f")]))
             pairs = pairs.unionByName(met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
         pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         near = stored(_possible(pairs, keys, heavy, percent), "possible")
-        release(spark)
         # whole sets only of documents that need them, made once
         need = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if sets is None:
@@ -232,7 +242,6 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             need = stored(need.join(sets.select("id"), "id", "left_anti"), "need")
             if not need.isEmpty():
                 sets = sets.unionByName(stored(_sets(rows.join(need, "id"), size), "wholes"))
-        release(spark)
         seen = stored(_measured(near, sets, percent), "seen")
         links = seen.filter("near").select("a", "b")
         if not links.isEmpty():
@@ -242,12 +251,13 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             label = stored(label.join(joined, "c", "left").select("id", F.coalesce("c2", "c").alias("c")), "classes")
         if turn == rounds or large.isEmpty():
             break
-        tried = pairs if tried is None else stored(tried.unionByName(pairs), "tried")
-        # the pivot has met all others of its cell and leaves; the first one's distances stay as windows
-        kept = cells.join(large.select("key", F.col("p.id").alias("pid")), "key").filter("id <> pid")
+        tried.append(pairs)
+        # the pivots have met all others of their cell and leave; the first one's distances stay as windows
+        kept = cells.join(large.select("key", F.col("ps")[0]["id"].alias("pid"), F.col("ps")["id"].alias("pids")), "key").filter(~F.array_contains("pids", F.col("id")))
         if turn == 0:
             far = seen.select("a", "b", F.col("d").alias("far"))
-            kept = kept.select("key", "id", "n", F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).join(far, ["a", "b"], "left").withColumn("d", F.col("far"))
-        cells = stored(kept.select("key", "id", "n", "d"), "cells")
+            kept = kept.select("key", "id", "n", "pos", "f", F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).join(far, ["a", "b"], "left").withColumn("d", F.col("far"))
+        cells = stored(kept.select("key", "id", "n", "pos", "f", "d"), "cells")
+        release(spark)
     grouped = same.select("s", "x", "n", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("s", "x", "n", F.coalesce("c", "rep").alias("c"))
     return first.select("id", "s", "x", "n").join(grouped, ["s", "x", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
