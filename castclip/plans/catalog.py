@@ -962,3 +962,17 @@ def udf1_score_chunks(s, d):
 @query("SELECT episode_id, moment_idx, CAST(score10 AS DOUBLE) / 10 AS r1 FROM fx_moments")
 def udf3_py_round(s, d):
     return _moms(s, d).select("episode_id", "moment_idx", clips.py_round(F.col("score"), 1).alias("r1"))
+
+
+# Columns that SQL makes decimals of.
+_DOUBLES = {
+    "fn4_to_fn7_trend_score": "CAST(keyword_score AS DOUBLE) AS keyword_score",
+    "fn6_older_duration_score": "CAST(points AS DOUBLE) AS points",
+    "join9_attach_zones": "CAST(center_x AS DOUBLE) AS center_x, CAST(center_y AS DOUBLE) AS center_y",
+    "agg4_face_positions": "CAST(cx AS DOUBLE) AS cx",
+    "agg13_speaker_coherence": "CAST(confidence_score AS DOUBLE) AS confidence_score",
+    "agg14_slot_quality": "CAST(spread AS DOUBLE) AS spread",
+    "prj10_camera_mode": "CAST(crop_cx AS DOUBLE) AS crop_cx",
+}
+for _name, _cols in _DOUBLES.items():
+    ORACLE_SQL[_name] = f"SELECT * REPLACE ({_cols}) FROM ({ORACLE_SQL[_name]})"
