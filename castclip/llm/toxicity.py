@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import LOWER_VALUE, mix, per_text, slices, span_hashes, words
 
-TOXIC, ORDINARY = 2000, 4000
+TOXIC, ORDINARY = 1500, 2500
 WINDOWS = (1, 3, 8, 32)
 DISCOUNT = 0.75
 STEM = 4
@@ -168,9 +168,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     rate = F.when(F.col("y") == 1, min(1.0, toxic / counts[1])).otherwise(min(1.0, ordinary / counts[0]))
     picked = marks.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < rate)
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = sorted((r["id"], r["y"], r["text"]) for r in picked.join(texts, "id").select("id", "y", "text").collect())
+    rows = sorted((r["id"], r["y"], r["text"]) for r in texts.join(F.broadcast(picked), "id").select("id", "y", "text").collect())  # toxic + ordinary rows, more or less
     y = np.array([r[1] for r in rows])
     text = [r[2] for r in rows]
+    del rows
     if len(set(y.tolist())) < 2:
         return Model(z, z, z, z, z, z, z, z, z, z, False)
     return fit_texts(text, y)
@@ -189,6 +190,7 @@ def fit_texts(text: list[str], y: np.ndarray, folds: int = 4) -> Model:
             held = count_models(part(~own), y[~own])
             rows += [evidence(held, data, offs) for _, _, data, offs in slices(pa.array(part(own), pa.string()))]
             marks.append(y[own])
+            del held
     model = count_models(text, y)
     if not marks:
         rows, marks = [evidence(model, data, offs) for _, _, data, offs in slices(pa.array(text, pa.string()))], [y]
