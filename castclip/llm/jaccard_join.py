@@ -169,16 +169,16 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """v, c: the smallest vertex that each vertex of the edges (a, b) is connected with. Edges are contracted in rounds."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    left = stored(both, "edges")
-    label = stored(left.select(F.col("a").alias("v"), F.col("a").alias("c")).distinct(), "labels")
+    left = stored(both, "edges", True)
+    label = stored(left.select(F.col("a").alias("v"), F.col("a").alias("c")).distinct(), "labels", True)
     while not left.isEmpty():
-        up = stored(left.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), "parents")
+        up = stored(left.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), "parents", True)
         top = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
         up = up.join(top, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-        label = stored(label.join(up.withColumnRenamed("a", "c"), "c", "left").select("v", F.coalesce("p", "c").alias("c")), "labels")
+        label = stored(label.join(up.withColumnRenamed("a", "c"), "c", "left").select("v", F.coalesce("p", "c").alias("c")), "labels", True)
         ends = left.join(up, "a").select(F.col("p").alias("a"), F.col("b").alias("_b"))
         ends = ends.join(up.select(F.col("a").alias("_b"), F.col("p").alias("b")), "_b").select("a", "b")
-        left = stored(ends.filter("a <> b").distinct(), "edges")
+        left = stored(ends.filter("a <> b").distinct(), "edges", True)
     return label
 
 
@@ -195,7 +195,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the first FIRST cells of each document go along: a pair that meets in one of them need not meet again in a later one
     firsts = cells.groupBy("id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "key"))), 1, FIRST), lambda x: x["key"]).alias("f"))
     cells = stored(cells.join(firsts.hint("merge"), "id").select("key", "id", "n", "pos", "f", F.lit(None).cast("double").alias("d")), "cells")
-    inside = stored(cells.select("id").distinct(), "inside")
+    inside = stored(cells.select("id").distinct(), "inside", True)
     keys = stored(reps.join(inside.hint("merge"), "id"), "keys")
     release(spark)
     sets = None
@@ -219,6 +219,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         open_ = stored(
             now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.array_compact(F.array(*[pivot(j) for j in range(PIVOTS)])).alias("ps")).filter("lo < hi").select("key", "m", "ps"),
             "open",
+            True,
         )
         direct = F.col("m") <= (SMALL if turn < rounds else 1 << 62)
         rest = now.join(open_.filter(direct).select("key"), "key").select("key", "id", "n", "c", "d", "pos", "f")
@@ -232,23 +233,23 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = pairs.distinct()
         for before in tried:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        near = stored(_possible(pairs, keys, heavy, percent), "possible")
+        pairs = stored(pairs, "pairs", True)
+        near = stored(_possible(pairs, keys, heavy, percent), "possible", True)
         # whole sets only of documents that need them, made once
         need = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if sets is None:
             sets = stored(_sets(rows.join(need.hint("merge"), "id"), size), "wholes")
         else:
-            need = stored(need.join(sets.select("id"), "id", "left_anti"), "need")
+            need = stored(need.join(sets.select("id"), "id", "left_anti"), "need", True)
             if not need.isEmpty():
                 sets = sets.unionByName(stored(_sets(rows.join(need, "id"), size), "wholes"))
-        seen = stored(_measured(near, sets, percent), "seen")
+        seen = stored(_measured(near, sets, percent), "seen", True)
         links = seen.filter("near").select("a", "b")
         if not links.isEmpty():
             of = lambda c: label.select(F.col("id").alias(c), F.col("c").alias(f"c{c}"))
             between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
             joined = components(between).select(F.col("v").alias("c"), F.col("c").alias("c2"))
-            label = stored(label.join(joined, "c", "left").select("id", F.coalesce("c2", "c").alias("c")), "classes")
+            label = stored(label.join(joined, "c", "left").select("id", F.coalesce("c2", "c").alias("c")), "classes", True)
         if turn == rounds or large.isEmpty():
             break
         tried.append(pairs)
@@ -257,7 +258,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if turn == 0:
             far = seen.select("a", "b", F.col("d").alias("far"))
             kept = kept.select("key", "id", "n", "pos", "f", F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).join(far, ["a", "b"], "left").withColumn("d", F.col("far"))
-        cells = stored(kept.select("key", "id", "n", "pos", "f", "d"), "cells")
+        cells = stored(kept.select("key", "id", "n", "pos", "f", "d"), "cells", True)
         release(spark)
     grouped = same.select("s", "x", "n", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("s", "x", "n", F.coalesce("c", "rep").alias("c"))
     return first.select("id", "s", "x", "n").join(grouped, ["s", "x", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))

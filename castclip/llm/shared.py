@@ -22,9 +22,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage."""
+def stored(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
+
+    packed: for narrow rows, of which a table has few bytes; not more files than two for each core."""
     path = shared_dir(df.sparkSession, name)
+    if packed:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
