@@ -245,7 +245,7 @@ _VOTE = f"{_WIN}, votes AS (SELECT a.episode_id, s.speaker, a.track_id, CAST(sum
 
 def _windows(s, d):
     at = F.floor(F.col("w") / 100) * 0.4
-    return view(s, d, "fx_track_windows").filter("episode_id < 60").select("episode_id", "w", "track_id", F.round(at, 3).alias("start"), F.round(at + 0.4, 3).alias("end"), F.col("mad").cast("double").alias("score"))
+    return view(s, d, "fx_track_windows").select("episode_id", "w", "track_id", F.round(at, 3).alias("start"), F.round(at + 0.4, 3).alias("end"), F.col("mad").cast("double").alias("score"))
 
 
 @query(f"WITH {_WIN} SELECT a.episode_id, w, track_id, seg_idx FROM wins a JOIN fx_segments s ON a.episode_id = s.episode_id AND we >= s.start_ms AND ws <= s.end_ms")
