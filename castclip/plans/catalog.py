@@ -645,7 +645,7 @@ def win15_dedup_moments(s, d):
 
 @query()
 def win16_to_win18_enforce_constraints(s, d):
-    m = _moms(s, d).filter("moment_idx % 60 = 0")
+    m = _moms(s, d)
     out = moments.enforce_constraints(moments.dedup_moments(moments.min_score(m), keys=K), m, 20, 35, keys=K)
     return out.select("episode_id", ms("start"), ms("end"), "score", "reason")
 

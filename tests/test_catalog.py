@@ -62,3 +62,38 @@ def test_speakers_of_every_episode_are_assigned(spark, talks):
         best = max(sum(mean[ep, a, b] for a, b in zip(some, order)) for some in itertools.combinations(names, n) for order in itertools.permutations((1, 2, 3), n))
         assert len(pairs) == len(set(pairs.values())) == n
         assert abs(sum(mean[ep, a, b] for a, b in pairs.items()) - best) < 1e-9
+
+
+@pytest.fixture(scope="module")
+def candidates(spark, tmp_path_factory):
+    """Two episodes of 150 and 250 candidates."""
+    folder = tmp_path_factory.mktemp("candidates")
+    made = [(k, 3 if k % 8 < 3 else 20) for k in range(1, 401)]
+    spark.createDataFrame(made, "event_id long, user_id long").selectExpr("*", "timestamp '2024-01-01' AS ts", "'view' AS event_type").write.parquet(f"{folder}/events.parquet")
+    pool = {0: [], 1: []}
+    for k, user in made:
+        start = k * 7919 % 1200
+        pool[user // 15].append((k, float(start), float(start + 30 + k * 104729 % 200), k * 31 % 101 / 10))
+    return str(folder), pool
+
+
+def test_constraints_see_the_whole_pool(spark, candidates):
+    folder, pool = candidates
+    want = []
+    for ep, own in pool.items():
+        kept = []
+        for m in sorted(own, key=lambda m: (-m[3], m[0])):
+            if m[3] >= 3.5 and not any((min(m[2], x[2]) - max(m[1], x[1])) / (m[2] - m[1]) > 0.70 for x in kept):
+                kept.append(m)
+        good = lambda some: [m for m in some if 61 <= m[2] - m[1] <= 180]
+        kept = sorted(good(kept), key=lambda m: (-m[3], m[1], m[0]))[:35]
+        if len(kept) < 20:
+            seen, room = {m[1:3] for m in kept}, 35 - len(kept)
+            first = {}
+            for m in good(own):
+                if m[3] >= 3.0 and m[1:3] not in seen:
+                    first.setdefault(m[1:3], m)
+            kept += sorted(first.values(), key=lambda m: (-m[3], m[0]))[:room]
+        assert 20 <= len(kept) <= 35
+        want += [(ep, round(m[1] * 1000), round(m[2] * 1000), m[3], "") for m in kept]
+    assert sorted(map(tuple, catalog.win16_to_win18_enforce_constraints(spark, folder).collect())) == sorted(want)
