@@ -518,8 +518,8 @@ def agg15_validation_report(s, d):
 @query("""WITH m AS (SELECT episode_id, count(*) AS shorts FROM fx_moments WHERE moment_idx % 50 = 0 GROUP BY 1), a AS (SELECT episode_id, count(*) FILTER (n_completed = 8) AS exported, bool_or(n_completed = 2) AS has_transcript FROM fx_jobs WHERE id % 40 = 1 GROUP BY 1)
 SELECT episode_id, coalesce(shorts, 0) AS shorts, coalesce(has_transcript, false) AS has_transcript, CAST(coalesce(exported, 0) AS BIGINT) AS exported, CASE WHEN shorts > 0 THEN floor(least(coalesce(exported, 0), shorts) * 1000.0 / shorts + 0.5) / 10 ELSE 0 END AS export_pct FROM m FULL JOIN a USING (episode_id)""")
 def agg16_episode_counts(s, d):
-    a = view(s, d, "fx_jobs").filter("id % 40 = 1").select("episode_id", F.when(F.col("n_completed") == 8, "final").when(F.col("n_completed") == 2, "transcript").otherwise("other").alias("kind"))
-    return jobs.episode_counts(_moms(s, d).filter("moment_idx % 50 = 0"), a, K)
+    a = view(s, d, "fx_jobs").select("episode_id", F.when(F.col("n_completed") == 8, "final").when(F.col("n_completed") == 2, "transcript").otherwise("other").alias("kind"))
+    return jobs.episode_counts(_moms(s, d), a, K)
 
 
 @query("SELECT episode_id, count(*) AS segments_count, max(end_ms) AS duration_ms, CASE WHEN episode_id % 2 = 0 THEN 'es' END AS language FROM fx_segments GROUP BY 1")

@@ -97,3 +97,16 @@ def test_constraints_see_the_whole_pool(spark, candidates):
         assert 20 <= len(kept) <= 35
         want += [(ep, round(m[1] * 1000), round(m[2] * 1000), m[3], "") for m in kept]
     assert sorted(map(tuple, catalog.win16_to_win18_enforce_constraints(spark, folder).collect())) == sorted(want)
+
+
+def test_counts_are_of_all_moments_and_jobs(spark, candidates):
+    folder, pool = candidates
+    orders = [(o, o % 3 + 50 * (o % 2)) for o in range(1, 91)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").selectExpr("*", "date '2024-01-01' AS o_orderdate").write.parquet(f"{folder}/orders.parquet")
+    want = []
+    for ep in range(3):
+        done = [o % 9 for o, c in orders if c % 50 == ep]
+        shorts, exported = len(pool.get(ep, ())), done.count(8)
+        want.append((ep, shorts, 2 in done, exported, int(min(exported, shorts) * 1000 / shorts + 0.5) / 10 if shorts else 0.0))
+    got = catalog.agg16_episode_counts(spark, folder).select("episode_id", "shorts", "has_transcript", "exported", "export_pct")
+    assert sorted(map(tuple, got.collect())) == want
