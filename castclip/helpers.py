@@ -188,7 +188,7 @@ def aligned(blocks: list[list[str]], words: list[str], needle: int = 10) -> list
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    return np.stack([((points - c) ** 2).sum(axis=1) for c in centres], axis=1).argmin(axis=1)
 
 
 def lloyd(points: np.ndarray, centres: np.ndarray, rounds: int, atol: float = 1e-4) -> np.ndarray:
@@ -202,12 +202,20 @@ def lloyd(points: np.ndarray, centres: np.ndarray, rounds: int, atol: float = 1e
 
 
 def silhouette(points: np.ndarray, own: np.ndarray, most: int) -> float:
-    """Mean silhouette of the first ``most`` points against all."""
+    """Mean silhouette of the first ``most`` points against all, which are taken in blocks."""
     n = min(len(points), most)
-    d = np.sqrt(((points[:n, None] - points[None]) ** 2).sum(axis=2))
     kinds = np.unique(own)
-    sums = np.stack([d[:, own == c].sum(axis=1) for c in kinds], axis=1)
-    size = np.array([(own == c).sum() for c in kinds])
+    sums, size = np.zeros((n, len(kinds))), np.array([(own == c).sum() for c in kinds])
+    step, squares = max(1, 2_000_000 // n), (points**2).sum(axis=1)
+    few = points.shape[1] <= 8
+    for at in range(0, len(points), step):
+        part = points[at : at + step]
+        if few:
+            d = np.sqrt(sum((points[:n, None, j] - part[None, :, j]) ** 2 for j in range(points.shape[1])))
+        else:
+            d = np.sqrt(np.maximum(squares[:n, None] + squares[None, at : at + step] - 2 * points[:n] @ part.T, 0.0))
+        for k, c in enumerate(kinds):
+            sums[:, k] += d[:, own[at : at + step] == c].sum(axis=1)
     mine = np.searchsorted(kinds, own[:n])
     a = np.where(size[mine] > 1, sums[np.arange(n), mine] / np.maximum(size[mine] - 1, 1), 0.0)
     mean = sums / size
@@ -250,7 +258,7 @@ def voice_clusters(x: np.ndarray, fixed: int | None, min_k: int, max_k: int) ->
     best, score = None, -1.0
     for k in range(max(2, min_k), min(max_k, len(x) - 1) + 1):
         own = labels(k)
-        s = silhouette(x, own, 2000)
+        s = silhouette(x[:2000], own[:2000], 2000) if len(np.unique(own[:2000])) > 1 else -1.0
         if s > 0 and s > score * 0.85:
             best, score = own, max(score, s)
     return best if best is not None else np.zeros(len(x), dtype=int)

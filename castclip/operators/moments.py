@@ -54,16 +54,20 @@ def recover_moments(kept: DataFrame, pool: DataFrame, min_count: int = MIN_COUNT
 
 
 def dedup_moments(m: DataFrame, share: float = 0.70, keys=KEYS) -> DataFrame:
-    """Best first, a moment goes when more than ``share`` of it lies in one kept."""
+    """Best first, a moment goes when more than ``share`` of it lies in one kept. Moments that don't touch, directly or through
+    others, are independent: each run of overlapping ones is a group of its own."""
     keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy("start", "end", "moment_idx")
+    apart = F.coalesce(F.col("start") >= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    cols, runs = m.columns, m.withColumn("_a", apart.cast("int")).withColumn("_run", F.sum("_a").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def run(pdf):
         from ..helpers import kept_by_overlap
 
         pdf = pdf.sort_values(["score", "moment_idx"], ascending=[False, True], kind="stable")
-        return pdf[kept_by_overlap(pdf["start"].to_numpy(float), pdf["end"].to_numpy(float), share)]
+        return pdf[kept_by_overlap(pdf["start"].to_numpy(float), pdf["end"].to_numpy(float), share)][cols]
 
-    return m.groupBy(*keys).applyInPandas(run, m.schema)
+    return runs.groupBy(*keys, "_run").applyInPandas(run, m.schema)
 
 
 def enforce_constraints(kept: DataFrame, pool: DataFrame, min_count: int = MIN_COUNT, max_count: int = MAX_COUNT, floor: float = MIN_SCORE, min_dur: float = MIN_DUR, max_dur: float = MAX_DUR, keys=KEYS) -> DataFrame:

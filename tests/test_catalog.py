@@ -1,9 +1,14 @@
 """Registered queries take in every row of their views: small tables against brute force."""
 
 import itertools
+import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
+from castclip import helpers
+from castclip.operators import moments
 from castclip.plans import catalog
 
 
@@ -110,3 +115,33 @@ def test_counts_are_of_all_moments_and_jobs(spark, candidates):
         want.append((ep, shorts, 2 in done, exported, int(min(exported, shorts) * 1000 / shorts + 0.5) / 10 if shorts else 0.0))
     got = catalog.agg16_episode_counts(spark, folder).select("episode_id", "shorts", "has_transcript", "exported", "export_pct")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_moments_are_deduplicated_by_runs(spark):
+    rng = random.Random(3)
+    rows = [(ep, k, float(s := 400 * rng.randrange(6) + rng.randrange(150)), float(s + rng.randrange(0, 120)), float(rng.randrange(5))) for ep in (1, 2) for k in range(60)]
+    out = moments.dedup_moments(spark.createDataFrame(rows, "ep long, moment_idx long, start double, end double, score double"), keys=("ep",))
+    want = []
+    for ep in (1, 2):
+        kept = []
+        for m in sorted((r for r in rows if r[0] == ep), key=lambda r: (-r[4], r[1])):
+            if not any(m[3] > m[2] and (min(m[3], x[3]) - max(m[2], x[2])) / (m[3] - m[2]) > 0.70 for x in kept):
+                kept.append(m)
+        want += kept
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "_run" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_silhouettes_are_taken_in_blocks():
+    x = np.random.default_rng(1).normal(size=(2200, 32)) + np.repeat(np.arange(4), 550)[:, None] * 4
+    tracemalloc.start()
+    own = helpers.voice_clusters(x, None, 2, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(own)) == 4 and all(len(set(own[550 * k : 550 * k + 550])) == 1 for k in range(4))
+    assert peak < 200e6
+    few, kinds = x[::20], own[::20]
+    d = np.sqrt(((few[:, None] - few[None]) ** 2).sum(axis=2))
+    a = np.array([d[i, kinds == kinds[i]].sum() / ((kinds == kinds[i]).sum() - 1) for i in range(len(few))])
+    b = np.array([min(d[i, kinds == c].mean() for c in set(kinds) - {kinds[i]}) for i in range(len(few))])
+    assert abs(helpers.silhouette(few, kinds, 50) - ((b - a) / np.maximum(a, b))[:50].mean()) < 1e-9
