@@ -6,8 +6,9 @@ frequent words, and ``GROUPS`` groups of all other words (by their last two byte
 ``CLASS`` symbols, then the symbol within it.
 
 Training is data-parallel over all training texts: in each of ``TURNS`` turns every task starts from the same weights, runs
-truncated backpropagation over its texts of that turn (windows of ``WINDOW`` words, the state carried from window to window),
-and the tasks' weights are averaged by their tokens. Scoring carries the state through whole texts.
+truncated backpropagation over its texts of that turn (windows of ``WINDOW`` words, the state carried from window to window
+within pieces of ``PIECE`` words and emptied where a longer text is cut), and the tasks' weights are averaged by their tokens. Scoring
+carries the state through whole texts, without cuts.
 
 Counts of at most ``NEAR`` words are sent to all tasks; the other words of a text are joined with the count table.
 
