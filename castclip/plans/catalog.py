@@ -835,9 +835,9 @@ def prj11_frame_sample_plan(s, d):
 @query("SELECT episode_id, CAST(seg_idx - 1 AS INTEGER) AS cue_idx, start_ms, end_ms, length(text) AS n FROM fx_segments WHERE trim(text) <> ''")
 def src1_src8_srt_round_trip(s, d):
     c = _cues(s, d).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", "  "))).withColumn("start", (F.col("start_ms") + 0.25) / 1000).withColumn("end", (F.col("end_ms") + 0.25) / 1000)
-    n = _segs(s, d).select("episode_id", (F.col("seg_idx") - 1).cast("int").alias("cue_idx"), F.length("text").cast("bigint").alias("n"))
     back = io.parse_srt(io.render_srt(c, K).withColumnRenamed("srt", "text"), keys=K)
-    return back.select("episode_id", "cue_idx", ms("start"), ms("end")).join(n, ["episode_id", "cue_idx"])
+    # each gap between words went in as two spaces
+    return back.select("episode_id", "cue_idx", ms("start"), ms("end"), F.length(F.replace("text", F.lit("  "), F.lit(" "))).cast("bigint").alias("n"))
 
 
 @query("SELECT episode_id, CAST(seg_idx - 1 AS INTEGER) AS line_no, start_ms, end_ms FROM fx_segments WHERE trim(text) <> ''")

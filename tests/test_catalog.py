@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from castclip import helpers
 from castclip.operators import moments
@@ -145,3 +146,12 @@ def test_silhouettes_are_taken_in_blocks():
     a = np.array([d[i, kinds == kinds[i]].sum() / ((kinds == kinds[i]).sum() - 1) for i in range(len(few))])
     b = np.array([min(d[i, kinds == c].mean() for c in set(kinds) - {kinds[i]}) for i in range(len(few))])
     assert abs(helpers.silhouette(few, kinds, 50) - ((b - a) / np.maximum(a, b))[:50].mean()) < 1e-9
+
+
+def test_round_trip_gives_the_length_of_the_parsed_text(spark, talks, monkeypatch):
+    folder, spans, _, _ = talks
+    whole = [(x[0], x[1] - 1, x[3], x[4], (x[4] - x[3] - 400) // 40) for x in spans]
+    assert sorted(map(tuple, catalog.src1_src8_srt_round_trip(spark, folder).collect())) == sorted(whole)
+    parse = catalog.io.parse_srt
+    monkeypatch.setattr(catalog.io, "parse_srt", lambda *a, **k: parse(*a, **k).withColumn("text", F.left("text", F.lit(5))))
+    assert {r["n"] for r in catalog.src1_src8_srt_round_trip(spark, folder).collect()} == {5}
