@@ -1,38 +1,48 @@
-"""N-gram Jaccard join as a metric-space join: pivots, triangle-inequality windows, recursive regions.
-
-The Jaccard distance is a metric. Most documents share nothing, so they are at distance 1 from any document taken as a
-pivot and its window would take in everything; the first level therefore uses single shingles as pivots: a document
-lies in the cells of its ``prefix``, the n - ceil(0.8 n) + 1 rarest of its shingles in one global order (those frequent in a
-sample last, then by hash), and documents within distance 0.2 of each other always meet in a cell, whatever that order.
-
-Cells of at most ``SMALL`` documents are compared pair by pair. In larger ones the join recurses: one document becomes the pivot, the distances of the others from it are
-found, those within 0.2 join its class, and the pivot leaves. Of what remains only pairs of different classes matter, and
-only where their distances from the cell's first pivot differ by 0.2 at most (triangle inequality). Cells with one class
-left are closed. After ``ROUNDS`` rounds the pairs still open are compared directly. A pair's distance is first bounded
-by the prefixes: both know their common order up to the lower of their last entries, and a symmetric difference there
-above (n + m) / 9 rules it out. What is left is decided on the whole sets.
+"""N-gram Jaccard join as a metric-space join: pivots, regions, triangle-inequality windows, recursion; exact.
+
+A document's set of word shingles has the Jaccard distance to other sets; linked documents are within 0.2 of each other.
+Most documents share nothing and are at distance 1 from any pivot, where no window could part them, so a pre-partition comes
+first: a set lies in the cells of its ``prefix``, the n - ceil(0.8 n) + 1 first of its shingles in one global order (those in
+many documents last, then by hash). Linked sets have their first common shingle in both prefixes, at places early enough
+for what precedes them, so each linked pair meets in a cell where both places allow a link.
+
+Each cell has its member of the smallest hash as its pivot, and a pivot's region is what lies in its cells: documents
+between pivots are in the regions of all of them. In a region a parity bitmap of each set comes first (the number of bits that
+differ bounds the symmetric difference from below); only documents with a possible partner go on with their sets. There
+the join recurses: some members far apart become pivots, those within 0.2 of one join its class, every member goes to the
+Voronoi region of its nearest pivot and, if it is at most 0.4 farther from another pivot, to that one's too, since a partner
+may have that one as its nearest. Regions whose members are all of one class are closed. Where regions overlap too much
+to shrink, the members outside the largest class meet the others one by one, and only those that are within 0.2
+in their distances from all pivots. A region returns at most one link for each member, so a group of n near copies makes n rows.
+
+Regions too large for one task (``MOST`` shingles) are dealt out in blocks after a round of pivots: blocks whose members are all
+linked to the same pivot do not meet.
 
 Documents with equal sets are one from the start. Each result row carries its class, the smallest id reachable by links.
 
 Cases: null and empty texts, and texts of white space, have no set and are alone; fewer than five words make one shingle; an
-id that occurs twice counts as one document; an empty table gives no rows; extra columns are ignored.
+id that occurs twice counts as one document; rows without an id link with nothing; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import shingle_sets
-from .shared import release, stored
+from .bytesets import mix, shingle_sets
+from .shared import stored
 
 SHINGLE, PERCENT = 5, 80
-HEAVY_SHARE, HEAVY_SEEN, HEAVY = 8, 2, 400_000
-ROUNDS, PIVOTS, SMALL, FIRST = 3, 4, 6, 8
+COUNTED, HEAVY_SEEN, HEAVY = 0.5, 8, 400_000  # share of hashes that are counted, and of those at most HEAVY come last
+MOST = 4 << 20  # shingles of the members of a region that one task takes
+ROW = 128  # what a member counts besides its shingles
+LEAF, PIVOTS = 32, 8
+SET = "r long, u long, id long, n long, set binary"
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,25 +50,28 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def heavy_shingles(rows: DataFrame, size: int) -> np.ndarray:
-    """At most HEAVY shingles that are frequent in one of HEAVY_SHARE documents; they only make the order better."""
+    """At most HEAVY shingles that occur in many documents, of the lower hashes, which prefixes are made of; they only make the order better."""
+    below = np.uint64(int(COUNTED * 2**64))
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            held: list[np.ndarray] = []
-            for s in shingle_sets(b.column(1), size):
-                held.append(s)
-                if sum(map(len, held)) > 1 << 20:
-                    h, c = np.unique(np.concatenate(held), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
-                    held = []
-            if held:
-                h, c = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
-
-    part = rows.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(HEAVY_SHARE)) == 0)
-    often = stored(part.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= HEAVY_SEEN), "heavy")
+            for s in shingle_sets(b.column(0), size):
+                held.append(s[: np.searchsorted(s, below)])
+                n += len(held[-1])
+                if n > 1 << 20:
+                    yield counted(held)
+                    held, n = [], 0
+        if held:
+            yield counted(held)
+
+    often = stored(rows.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= HEAVY_SEEN), "heavy", True)
     # from the highest counts down, as many levels as HEAVY allows
-    level, least, total = F.least("c", F.lit(1000)), None, 0
+    level, least, total = F.floor(F.log2("c") * 16).cast("int"), None, 0
     for r in sorted(often.groupBy(level.alias("l")).count().collect(), reverse=True):
         total += r["count"]
         if total > HEAVY:
@@ -68,102 +81,165 @@ def heavy_shingles(rows: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array(top, dtype=np.int64).view(np.uint64))
 
 
+def name_of(s: np.ndarray) -> int:
+    """A hash of a whole set."""
+    x = s.sum(dtype=np.uint64) + mix(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15), keepdims=True)) + np.uint64(len(s))
+    return int(mix(x).view(np.int64)[0])
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of the set's hashes fall on them; four bits a hash at least, in 64-bit words."""
+    size = 512
+    while size < 4 * len(s):
+        size *= 2
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little")
+
+
 def prefixes(rows: DataFrame, size: int, percent: int, heavy) -> DataFrame:
-    """id, n, two digests of the set, keys (the prefix in order)."""
+    """id, n, u (a hash of the set), keys (the prefix in order), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = heavy.value
         for b in batches:
-            n, total, crossed, keys = [], [], [], []
+            n, name, keys, bits = [], [], [], []
             for s in shingle_sets(b.column(1), size):
                 p = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 if p and len(often):
-                    k = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    hit = often[k] == s
+                    hit = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
                     first = np.concatenate([s[~hit][:p], s[hit][:p]])[:p]
                 else:
                     first = s[:p]
                 n.append(len(s))
-                total.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                crossed.append(int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)) if len(s) else 0)
+                name.append(name_of(s) if len(s) else 0)
                 keys.append(first.view(np.int64))
+                bits.append(parity(s).tobytes() if len(s) else b"")
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(crossed, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64()))], names=["id", "n", "s", "x", "keys"])
-
-    return rows.mapInArrow(run, "id long, n long, s long, x long, keys array<long>")
-
-
-def _sets(rows: DataFrame, size: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done, raw = 0, []
-            for s in shingle_sets(b.column(1), size):
-                raw.append(s.tobytes())
-                if sum(map(len, raw)) > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(raw)), pa.array(raw, pa.binary())], names=["id", "set"])
-                    done, raw = done + len(raw), []
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(raw)), pa.array(raw, pa.binary())], names=["id", "set"])
-
-    return rows.mapInArrow(run, "id long, set binary")
-
-
-def _possible(pairs: DataFrame, keys: DataFrame, heavy, percent: int) -> DataFrame:
-    """The pairs (a, b) that their prefixes don't rule out."""
-
-    def ordered(x: np.ndarray, often: np.ndarray) -> np.ndarray:
-        """Prefix entries with the frequent ones moved behind all others: (flag, hash) as sortable pairs."""
-        flag = np.zeros(len(x), dtype=bool)
-        if len(often):
-            flag = often[np.minimum(np.searchsorted(often, x), len(often) - 1)] == x
-        out = np.empty(len(x), dtype=[("f", bool), ("h", np.uint64)])
-        out["f"], out["h"] = flag, x
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = heavy.value
-        for b in batches:
-            keep = []
-            lists = [b.column(c) for c in (4, 5)]
-            flat = [c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in lists]
-            at = [np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in lists]
-            for i, (na, nb) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                x, y = flat[0][at[0][i] : at[0][i + 1]], flat[1][at[1][i] : at[1][i + 1]]
-                ox, oy = ordered(x[-1:], often)[0], ordered(y[-1:], often)[0]
-                last = min((bool(ox["f"]), int(ox["h"])), (bool(oy["f"]), int(oy["h"])))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                upto = 0
-                for z, o in ((x, ox), (y, oy)):
-                    if (bool(o["f"]), int(o["h"])) == last:
-                        upto += len(z)
-                    else:
-                        w = ordered(z, often)
-                        upto += int(((w["f"] < last[0]) | ((w["f"] == last[0]) & (w["h"] <= np.uint64(last[1])))).sum())
-                # common entries of both prefixes lie at or before the lower end
-                keep.append((upto - 2 * common) * (100 + percent) <= (100 - percent) * (na + nb))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
-
-    side = lambda c: keys.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"k{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
-
-
-def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, d (distance), near (linked) of each pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d, near = [], []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                either = len(x) + len(y) - both
-                d.append(1 - both / either)
-                near.append(100 * both >= percent * either)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.float64()), pa.array(near, pa.bool_())], names=["a", "b", "d", "near"])
-
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"s{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d double, near boolean")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "u", "keys", "bits"])
+
+    return rows.mapInArrow(run, "id long, n long, u long, keys array<long>, bits binary")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], work: Callable[[list[tuple]], list[tuple]], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """``work`` on the rows of each group; rows come sorted by their first column, the group, then by the second."""
+    held: list[tuple] = []
+    out: list[tuple] = []
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(kind), kind.types, strict=True)], schema=kind)
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                out += work(held)
+                held = []
+                if len(out) > 1 << 16:
+                    yield made()
+                    out = []
+            if not held or held[-1][1] != row[1]:  # a repeated row counts once
+                held.append(row)
+    if held:
+        out += work(held)
+    yield made()
+
+
+def possible(n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Which sets have a possible partner: sizes and bitmaps allow a link with another one."""
+    order = np.argsort(n, kind="stable")
+    n = n[order]
+    found = np.zeros(len(n), dtype=bool)
+    words = [np.frombuffer(bits[k], dtype=np.uint64) for k in order]
+    width = np.array([len(w) for w in words])
+    least = lambda x, k: x if len(x) == k else least(x[: len(x) // 2] ^ x[len(x) // 2 :], k)
+    at = 0
+    while at < len(n):
+        # rows of one width, against the same and the next one folded to it: sizes of partners are within a factor of two
+        past = int(np.searchsorted(width, width[at], "right"))
+        upto = int(np.searchsorted(n, n[past - 1] * 100 // percent, "right"))
+        table = np.stack([least(w, int(width[at])) for w in words[at:upto]])
+        step = max(1, (1 << 20) // table.size)
+        for i in range(0, past - at, step):
+            a = table[i : min(i + step, past - at)]
+            own = n[at + i : at + i + len(a)]
+            last = int(np.searchsorted(n, own[-1] * 100 // percent, "right"))
+            b, m = table[i : last - at], n[at + i : last]
+            differ = np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2, dtype=np.int64)
+            ok = differ * (100 + percent) <= (own[:, None] + m[None]) * (100 - percent)
+            ok &= m[None] * percent <= own[:, None] * 100
+            ok &= np.arange(len(b))[None] > np.arange(len(a))[:, None]
+            found[at + i : at + i + len(a)] |= ok.any(axis=1)
+            found[at + i : last] |= ok.any(axis=0)
+        at = past
+    out = np.zeros_like(found)
+    out[order] = found
+    return out
+
+
+class Region:
+    """Sets that may be linked; ``links`` after ``settle`` is a forest whose trees are their classes."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int, kind: list[int | None] | None = None):
+        self.n = np.array([len(s) for s in sets], dtype=np.int64)
+        self.code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.cut = np.concatenate([[0], np.cumsum(self.n)])
+        self.mark = np.zeros(int(self.code.max()) + 1, dtype=bool)
+        self.percent, self.reach = percent, 1 - percent / 100
+        self.own = np.arange(len(sets))  # the class of each
+        if kind:  # those of one kind are known to be linked
+            first = {g: k for k, g in reversed(list(enumerate(kind)))}
+            self.own = np.array([k if g is None else first[g] for k, g in enumerate(kind)])
+        self.links: list[tuple[int, int]] = []
+
+    def meet(self, q: int, who: np.ndarray) -> np.ndarray:
+        """Distances of ``who`` from q; linked ones join its class."""
+        mine = self.code[self.cut[q] : self.cut[q + 1]]
+        self.mark[mine] = True
+        parts = np.concatenate([self.code[self.cut[k] : self.cut[k + 1]] for k in who.tolist()])
+        both = np.add.reduceat(self.mark[parts], np.concatenate([[0], np.cumsum(self.n[who])[:-1]]), dtype=np.int64)
+        self.mark[mine] = False
+        either = self.n[q] + self.n[who] - both
+        for k in who[100 * both >= self.percent * either].tolist():
+            if self.own[k] != self.own[q]:
+                self.own[self.own == self.own[k]] = self.own[q]
+                self.links.append((q, k))
+        return 1 - both / either
+
+    def settle(self, who: np.ndarray) -> None:
+        far: list[np.ndarray] = []
+        if len(who) > LEAF:
+            q = 0
+            for _ in range(PIVOTS):
+                far.append(self.meet(int(who[q]), who))
+                q = int(np.min(far, axis=0).argmax())
+            d = np.stack(far, axis=1)
+            into = d <= d.min(axis=1, keepdims=True) + 2 * self.reach + 1e-9
+            if into.sum() <= 1.5 * len(who):
+                for j in range(PIVOTS):
+                    part = who[into[:, j]]
+                    if len(part) > 1 and (self.own[part] != self.own[part[0]]).any():
+                        self.settle(part)
+                return
+        # what pivots cannot part: those of small classes leave one by one, after meeting the others
+        kinds, inverse, count = np.unique(self.own[who], return_inverse=True, return_counts=True)
+        if len(kinds) < 2:
+            return
+        order = np.argsort(count[inverse], kind="stable")
+        who = who[order]
+        d = np.stack(far, axis=1)[order] if far else np.zeros((len(who), 1))
+        for k in range(len(who) - 1):
+            rest = np.arange(k + 1, len(who))
+            q = int(who[k])
+            if (self.own[who[rest]] == self.own[q]).all():
+                return
+            rest = rest[(self.own[who[rest]] != self.own[q]) & (np.abs(d[rest] - d[k]).max(axis=1) <= self.reach + 1e-9)]
+            m = self.n[who[rest]]
+            rest = rest[(np.minimum(m, self.n[q]) * 100 >= np.maximum(m, self.n[q]) * self.percent)]
+            if len(rest):
+                self.meet(q, who[rest])
+
+
+def region_links(ids: list[int], sets: list[np.ndarray], percent: int, kind: list[int | None] | None = None) -> list[tuple[int, int]]:
+    """Links (a, b) that make the classes of a region's documents, one less than documents in each class."""
+    r = Region(sets, percent, kind)
+    r.settle(np.arange(len(sets)))
+    return [(ids[a], ids[b]) for a, b in r.links]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -182,83 +258,128 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def _dealt(rows: DataFrame, most: int, kind: str | None = None) -> DataFrame:
+    """``rows`` (r, n, u and more) with k, the task's part of their region; rows of a large region go to each pair of blocks.
+
+    kind: a column that tells classes of linked rows; two blocks of one class do not meet. Regions of one row are left out."""
+    rows = rows.withColumn("g", F.coalesce(F.col(kind), F.lit(-1)) if kind else F.lit(-1))
+    size = rows.groupBy("r", "g").agg(F.sum(F.col("n") + ROW).alias("w"), F.count("*").alias("m"))
+    blocks = F.collect_list(F.struct("g", F.ceil(F.col("w") * 2 / most).cast("int").alias("b")))  # PIVOTS + 1 at most
+    size = size.groupBy("r").agg(F.sum("w").alias("w"), F.sum("m").alias("m"), blocks.alias("blocks")).filter("m > 1")
+    rows = rows.join(size.hint("merge"), "r")
+    many = F.filter("blocks", lambda x: x["g"] == F.col("g"))[0]["b"]
+    every = F.flatten(F.transform("blocks", lambda x: F.transform(F.sequence(F.lit(0), x["b"] - 1), lambda i: F.struct(x["g"].alias("g"), i.alias("i")))))
+    rows = rows.withColumn("many", many).withColumn("own", F.struct("g", F.pmod(F.xxhash64("u"), many).cast("int").alias("i")))
+    # rows of no class meet those of their own block in each pair, or, if that is the only one, by themselves
+    meets = lambda x: (x["g"] != F.col("g")) | ((F.col("g") == -1) & ((x["i"] != F.col("own.i")) | (F.col("many") == 1)))
+    pair = F.transform(F.filter(every, meets), lambda x: F.xxhash64("r", F.least(x, F.col("own")), F.greatest(x, F.col("own"))))
+    return rows.withColumn("k", F.explode(F.when(F.col("w") <= most, F.array("r")).otherwise(pair))).drop("w", "m", "blocks", "many", "own", "g")
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """wanted: id, u and the regions rs. A row (r, u, id, n, set) for each region of each document."""
+    names, kinds = ["r", "u", "id", "n", "set"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, held = [], 0
+            for i, u, rs, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), shingle_sets(b.column(1), size), strict=True):
+                if len(s) and name_of(s) == u:  # another text may have the same id
+                    raw = s.tobytes()
+                    for r in rs:
+                        out.append((r, u, i, len(s), raw))
+                        held += len(raw)
+                        if held > 8 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                            out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return rows.join(wanted.hint("merge"), "id").select("id", "text", "u", "rs").mapInArrow(run, SET)
+
+
+def _pivoted(sets: DataFrame, most: int, percent: int) -> DataFrame:
+    """Rows of large regions with ``to``, those of up to PIVOTS members that they are linked with, and g, a class of such pivots."""
+    picks = [F.min(F.when(F.pmod(F.xxhash64("u"), F.lit(PIVOTS)) == j, F.col("u"))) for j in range(PIVOTS)]
+    large = sets.groupBy("r").agg(F.array_compact(F.array(*picks)).alias("pivots"), F.ceil(F.sum("n") * 2 / most).cast("int").alias("parts"))
+    pivot = F.array_contains("pivots", F.col("u"))
+    part = F.pmod(F.xxhash64("u", F.lit(1)), F.col("parts")).cast("int")
+    rows = sets.join(large.hint("merge"), "r").withColumn("part", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))))
+    rows = rows.select(F.xxhash64("r", "part").alias("k"), (~pivot).alias("later"), "u", "r", "part", "id", "n", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, heads, root = None, [], []
+        for b in batches:
+            out = []
+            for k, later, u, r, part, i, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != k:
+                    key, heads, root = k, [], []
+                s = np.frombuffer(raw, np.uint64)
+                linked = []
+                for j, (_, h) in enumerate(heads):
+                    both = len(np.intersect1d(h, s, assume_unique=True))
+                    if 100 * both >= percent * (len(h) + len(s) - both):
+                        linked.append(j)
+                if not later:
+                    joined = {root[j] for j in linked}
+                    heads.append((i, s))
+                    root = [len(root) if x in joined else x for x in root] + [len(root)]
+                    if part:
+                        continue
+                out.append((r, u, i, n, raw, [heads[j][0] for j in linked], root[linked[0]] if linked else None))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["r", "u", "id", "n", "set", "to", "g"])
+
+    return rows.repartition("k").sortWithinPartitions("k", "later", "u").mapInArrow(run, SET + ", to array<long>, g int")
+
+
+def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, most: int = MOST) -> DataFrame:
     """id, n_shingles, component_id of every row."""
     spark = df.sparkSession
     rows = _texts(df, id_col, text_col)
     heavy = spark.sparkContext.broadcast(heavy_shingles(rows, size))  # HEAVY entries at most
     first = stored(prefixes(rows, size, percent, heavy), "prefixes")
-    same = stored(first.filter("n > 0").groupBy("s", "x", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "sets")
-    reps = same.select(F.col("rep").alias("id"), "n", "keys")
-    w = Window.partitionBy("key")
-    cells = stored(reps.select("id", "n", F.posexplode("keys").alias("pos", "key")).withColumn("m", F.count("*").over(w)).filter("m > 1").select("key", "id", "n", "pos"), "cells")
-    # the first FIRST cells of each document go along: a pair that meets in one of them need not meet again in a later one
-    firsts = cells.groupBy("id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "key"))), 1, FIRST), lambda x: x["key"]).alias("f"))
-    cells = stored(cells.join(firsts.hint("merge"), "id").select("key", "id", "n", "pos", "f", F.lit(None).cast("double").alias("d")), "cells")
-    inside = stored(cells.select("id").distinct(), "inside", True)
-    keys = stored(reps.join(inside.hint("merge"), "id"), "keys")
-    release(spark)
-    sets = None
-    label = inside.select("id", F.col("id").alias("c"))
-    tried: list[DataFrame] = []
-    fits = lambda n, m: F.greatest(n, m) * percent <= F.least(n, m) * 100
-
-    def meets(key: Column, n: Column, i: Column, f: Column, m: Column, j: Column, g: Column) -> Column:
-        """Whether a pair should meet in a cell: what follows its places in both prefixes is enough for a link if it is the first in common,
-        and no earlier one is known to be."""
-        enough = F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent
-        before = F.when(F.array_position(f, key) > 0, F.slice(f, F.lit(1), F.greatest(F.array_position(f, key).cast("int") - 1, F.lit(0)))).otherwise(f)
-        return enough & ~F.arrays_overlap(before, g)
-
-    window = lambda d, e: F.coalesce(F.abs(d - e) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    # of each part of a cell, the one in the smallest class
-    pivot = lambda j: F.min_by(F.struct("id", "n", "c", "d", "pos", "f"), F.when(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(PIVOTS)) == j, F.struct("k", F.xxhash64("id"))))
-    for turn in range(rounds + 1):
-        many = label.groupBy("c").agg(F.count("*").alias("k"))
-        now = cells.join(label.join(many, "c"), "id")
-        open_ = stored(
-            now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.array_compact(F.array(*[pivot(j) for j in range(PIVOTS)])).alias("ps")).filter("lo < hi").select("key", "m", "ps"),
-            "open",
-            True,
-        )
-        direct = F.col("m") <= (SMALL if turn < rounds else 1 << 62)
-        rest = now.join(open_.filter(direct).select("key"), "key").select("key", "id", "n", "c", "d", "pos", "f")
-        other = rest.select("key", *[F.col(x).alias(f"{x}2") for x in ("id", "n", "c", "d", "pos", "f")])
-        met = rest.join(other, "key").filter((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & fits(F.col("n"), F.col("n2")) & window(F.col("d"), F.col("d2")) & meets(*[F.col(x) for x in ("key", "n", "pos", "f", "n2", "pos2", "f2")]))
-        pairs = met.select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        large = open_.filter(~direct)
-        if turn < rounds:
-            met = now.join(large.select("key", F.explode("ps").alias("p")), "key").filter((F.col("id") != F.col("p.id")) & (F.col("c") != F.col("p.c")) & fits(F.col("n"), F.col("p.n")) & window(F.col("d"), F.col("p.d")) & meets(*[F.col(x) for x in ("key", "n", "pos", "f", "p.n", "p.pos", "p.f")]))
-            pairs = pairs.unionByName(met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
-        pairs = pairs.distinct()
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs", True)
-        near = stored(_possible(pairs, keys, heavy, percent), "possible", True)
-        # whole sets only of documents that need them, made once
-        need = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        if sets is None:
-            sets = stored(_sets(rows.join(need.hint("merge"), "id"), size), "wholes")
-        else:
-            need = stored(need.join(sets.select("id"), "id", "left_anti"), "need", True)
-            if not need.isEmpty():
-                sets = sets.unionByName(stored(_sets(rows.join(need, "id"), size), "wholes"))
-        seen = stored(_measured(near, sets, percent), "seen", True)
-        links = seen.filter("near").select("a", "b")
-        if not links.isEmpty():
-            of = lambda c: label.select(F.col("id").alias(c), F.col("c").alias(f"c{c}"))
-            between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-            joined = components(between).select(F.col("v").alias("c"), F.col("c").alias("c2"))
-            label = stored(label.join(joined, "c", "left").select("id", F.coalesce("c2", "c").alias("c")), "classes", True)
-        if turn == rounds or large.isEmpty():
-            break
-        tried.append(pairs)
-        # the pivots have met all others of their cell and leave; the first one's distances stay as windows
-        kept = cells.join(large.select("key", F.col("ps")[0]["id"].alias("pid"), F.col("ps")["id"].alias("pids")), "key").filter(~F.array_contains("pids", F.col("id")))
-        if turn == 0:
-            far = seen.select("a", "b", F.col("d").alias("far"))
-            kept = kept.select("key", "id", "n", "pos", "f", F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).join(far, ["a", "b"], "left").withColumn("d", F.col("far"))
-        cells = stored(kept.select("key", "id", "n", "pos", "f", "d"), "cells", True)
-        release(spark)
-    grouped = same.select("s", "x", "n", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("s", "x", "n", F.coalesce("c", "rep").alias("c"))
-    return first.select("id", "s", "x", "n").join(grouped, ["s", "x", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
+    same = stored(first.filter("n > 0 and id is not null").groupBy("u").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "sets")
+
+    # cells of more than one document; two places allow a link if their t add up to 0 at most
+    places = same.select("u", "n", F.posexplode("keys").alias("pos", "key")).select("key", "u", "n", (F.col("pos") * (100 + percent) - F.col("n") * (100 - percent)).alias("t"))
+    multi = places.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    cells = stored(places.join(multi.hint("merge"), "key"), "cells")
+    each = cells.groupBy("key").agg(F.min("u").alias("r"), F.min("t").alias("lo"), F.count("*").alias("m"), F.sum("t").alias("both"), F.min("n").alias("a"), F.max("n").alias("z"))
+    each = each.filter((F.col("lo") <= 0) & ((F.col("m") > 2) | ((F.col("both") <= 0) & (F.col("z") * percent <= F.col("a") * 100))))
+    members = stored(cells.join(each.hint("merge"), "key").filter(F.col("t") + F.col("lo") <= 0).select("r", "u", "n").distinct(), "members", True)
+
+    # bitmaps: which members have a possible partner in their region
+    def alive(held: list[tuple]) -> list[tuple]:
+        ok = possible(np.array([x[3] for x in held]), [x[4] for x in held], percent)
+        return [(x[2], x[1], x[3]) for x, keep in zip(held, ok.tolist(), strict=True) if keep]
+
+    schema = pa.schema([("r", pa.int64()), ("u", pa.int64()), ("n", pa.int64())])
+    near = _dealt(members, most).join(same.select("u", "bits").hint("merge"), "u").select("k", "u", "r", "n", "bits").repartition("k").sortWithinPartitions("k", "u")
+    live = stored(near.mapInArrow(lambda batches: grouped(batches, alive, schema), "r long, u long, n long").distinct(), "live", True)
+
+    # sets, and links that make classes
+    def links(held: list[tuple]) -> list[tuple]:
+        return region_links([x[2] for x in held], [np.frombuffer(x[3], np.uint64) for x in held], percent, [x[4] for x in held] if len(held[0]) > 4 else None)
+
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    linked = lambda x: x.sortWithinPartitions(x.columns[0], "u").mapInArrow(lambda batches: grouped(batches, links, pair), "a long, b long")
+    wanted = live.groupBy("u").agg(F.collect_list("r").alias("rs")).join(same.select("u", "id").hint("merge"), "u").select("id", "u", "rs")
+    sets = _sets(rows, wanted, size)
+    large = stored(live.groupBy("r").agg(F.sum(F.col("n") + ROW).alias("w")).filter(F.col("w") > most).select("r"), "large", True)
+    if large.isEmpty():
+        edges = linked(sets.select("r", "u", "id", "set").repartition("r"))
+    else:
+        sets = stored(sets, "wholes")
+        some = stored(_pivoted(sets.join(large, "r", "left_semi"), most, percent), "pivoted")
+        edges = linked(sets.join(large, "r", "left_anti").select("r", "u", "id", "set").repartition("r"))
+        edges = edges.unionByName(some.select(F.col("id").alias("a"), F.explode("to").alias("b")))
+        edges = edges.unionByName(linked(_dealt(some.drop("to").withColumnRenamed("g", "kind"), most, "kind").select("k", "u", "id", "set", "kind").repartition("k")))
+    label = components(stored(edges, "links", True))
+
+    named = same.select("u", F.col("id").alias("v")).join(label.hint("merge"), "v").select("u", "c")
+    told = lambda c: F.when(F.col("id").isNotNull(), c)
+    out = first.filter("n > 0").select("id", "n", "u").join(same.select("u", F.col("id").alias("v")).hint("merge"), "u", "left").join(named.hint("merge"), "u", "left")
+    out = out.select("id", F.col("n").alias("n_shingles"), told(F.coalesce("c", "v")).alias("component_id"))
+    return out.unionByName(first.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))

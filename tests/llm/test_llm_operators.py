@@ -77,18 +77,60 @@ def classes():
     return sets, top
 
 
-def test_jaccard_classes(docs, none):
+@pytest.mark.parametrize("most", [jaccard_join.MOST, 3000, 600])
+def test_jaccard_classes(docs, none, most):
     sets, top = classes()
-    for small in (6, 1):
-        keep, jaccard_join.SMALL = jaccard_join.SMALL, small
-        try:
-            got = {r["id"]: r for r in jaccard_join.jaccard_classes(docs, rounds=2).collect()}
-        finally:
-            jaccard_join.SMALL = keep
-        assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == {k: (len(s), top[k]) for k, s in sets.items()}
+    got = {r["id"]: r for r in jaccard_join.jaccard_classes(docs, most=most).collect()}
+    assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == {k: (len(s), top[k]) for k, s in sets.items()}
     assert jaccard_join.jaccard_classes(none).count() == 0
 
 
+def brute_classes(sets):
+    top = list(range(len(sets)))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if 100 * len(x & y) >= 80 * len(x | y) and top[a] != top[b]:
+                old, new = max(top[a], top[b]), min(top[a], top[b])
+                top = [new if t == old else t for t in top]
+    return top
+
+
+@pytest.mark.parametrize("leaf", [32, 6])
+def test_regions_find_the_classes_with_one_link_a_member(leaf):
+    rng = np.random.default_rng(leaf)
+    sets = []
+    for k in range(6):
+        base = rng.choice(1 << 40, 100, replace=False)
+        for _ in range(30):
+            own = base.copy()
+            at = rng.choice(100, rng.integers(0, 25), replace=False)
+            own[at] = rng.integers(1 << 50, 1 << 51, len(at))
+            sets.append(own[: rng.integers(80, 101)])
+    keep, jaccard_join.LEAF = jaccard_join.LEAF, leaf
+    try:
+        got = jaccard_join.region_links(list(range(len(sets))), [np.sort(s).astype(np.uint64) for s in sets], 80)
+    finally:
+        jaccard_join.LEAF = keep
+    want = brute_classes([set(s.tolist()) for s in sets])
+    assert len(got) == len(sets) - len(set(want))
+    top = list(range(len(sets)))
+    for a, b in got:
+        top = [min(top[a], top[b]) if t in (top[a], top[b]) else t for t in top]
+    assert top == want
+
+
+def test_bitmaps_rule_out_no_link():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:n], rng.integers(0, 1 << 63, extra).astype(np.uint64)])) for n in (100, 126, 130, 500, 600, 1000, 1024, 1100, 2900) for extra in (0, 9, 30)]
+    bits = [jaccard_join.parity(s).tobytes() for s in sets]
+    ok = jaccard_join.possible(np.array([len(s) for s in sets]), bits, 80)
+    link = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+    for k, s in enumerate(sets):
+        if any(link(s, y) for j, y in enumerate(sets) if j != k):
+            assert ok[k]
+
+
 def test_chains_of_links_become_one_class(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101)], "a long, b long")
     got = {r["v"]: r["c"] for r in jaccard_join.components(edges).collect()}
