@@ -38,7 +38,7 @@ from .bytesets import mix, shingle_sets
 from .shared import stored
 
 SHINGLE, PERCENT = 5, 80
-COUNTED, HEAVY_SEEN, HEAVY = 0.5, 8, 400_000  # share of hashes that are counted, and of those at most HEAVY come last
+COUNTED, HEAVY_SEEN, HEAVY = 0.3, 8, 400_000  # share of hashes that are counted, the lowest; of those at most HEAVY come last
 MOST = 4 << 20  # shingles of the members of a region that one task takes
 ROW = 128  # what a member counts besides its shingles
 LEAF, PIVOTS = 32, 8
@@ -69,7 +69,7 @@ def heavy_shingles(rows: DataFrame, size: int) -> np.ndarray:
         if held:
             yield counted(held)
 
-    often = stored(rows.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= HEAVY_SEEN), "heavy", True)
+    often = stored(rows.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= HEAVY_SEEN), "heavy")
     # from the highest counts down, as many levels as HEAVY allows
     level, least, total = F.floor(F.log2("c") * 16).cast("int"), None, 0
     for r in sorted(often.groupBy(level.alias("l")).count().collect(), reverse=True):
