@@ -98,10 +98,34 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, value: np.ndarra
 LOWER_VALUE = BYTE_VALUE[LOWER]
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, offs: np.ndarray, word: np.ndarray = ~SPACE, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, bytes, offsets) of parts of about ``most`` bytes that cut no word, so that a very long text needs no arrays of its length."""
+    at, n = 0, len(data)
+    while at < n:
+        end = at + most
+        while end < n:  # on to a byte outside words
+            free = np.flatnonzero(~word[data[end : end + most]])
+            if len(free):
+                end += int(free[0])
+                break
+            end += most
+        end = min(end, n)
+        inside = offs[np.searchsorted(offs, at, "right") : np.searchsorted(offs, end)]
+        yield at, data[at:end], np.concatenate([[0], inside - at, [end - at]])
+        at = end
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray, word: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start, end and text of every lower-cased word."""
-    s, e, doc = words(data, offs)
-    return span_hashes(data, s, e, LOWER_VALUE), s, e, doc
+    out = []
+    for at, part, cuts in pieces(data, offs, word):
+        s, e, _ = words(part, cuts, word)
+        out.append((span_hashes(part, s, e, LOWER_VALUE), s + at, e + at))
+    if not out:
+        z = np.zeros(0, np.int64)
+        return z.astype(_U), z, z, z
+    h, s, e = (np.concatenate(x) for x in zip(*out, strict=True)) if len(out) > 1 else out[0]
+    return h, s, e, np.searchsorted(offs, s, "right") - 1
 
 
 def per_text(doc: np.ndarray, n: int) -> np.ndarray:

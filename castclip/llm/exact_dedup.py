@@ -4,11 +4,10 @@ A text's fingerprint is two polynomial hashes modulo primes near 2**31. Chunks h
 combine by length-shifted arithmetic, ``H(ab) = H(a) * r**len(b) + H(b)``; texts above ``huge_bytes``
 are split into chunk rows, so that many tasks hash one document. Rows with equal fingerprints are then
 compared with the row that represents them, chunk by chunk, in salted streams that hold one
-representative and one member at a time.
+representative and one member at a time. Between the steps rows are told apart by id and SHA-256 of their text.
 
-Cases: a null text counts as empty; empty texts are equal to each other; ids tied within a class cannot
-decide more than the largest id does (rows that repeat an id each get a result row); an empty table
-gives no rows; extra columns are ignored.
+Cases: a null text counts as empty; empty texts are equal to each other; ids may repeat or be null: each row gets a result
+row and counts in its class, whose largest id stays (null if it has none); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,7 +113,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, offs in slices(b.column(2)):
             for f in fingerprints(LOWER[data], offs):
                 h1.append(f[0]), h2.append(f[1]), size.append(f[2])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int64())], names=["id", "k", "h1", "h2", "size"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int64())], names=["sha", "k", "h1", "h2", "size"])
 
 
 def _fold_chunks(pdf):
@@ -124,67 +123,71 @@ def _fold_chunks(pdf):
     acc = (0, 0, 0)
     for row in zip(pdf["h1"].tolist(), pdf["h2"].tolist(), pdf["size"].tolist(), strict=True):
         acc = combine(acc, row)
-    return pd.DataFrame({"id": [int(pdf["id"].iloc[0])], "fp": [acc[0] << 31 ^ acc[1]], "n": [acc[2]]})
+    return pd.DataFrame({"sha": [pdf["sha"].iloc[0]], "fp": [acc[0] << 31 ^ acc[1]], "n": [acc[2]]})
+
+
+def text_sha(text) -> F.Column:
+    """SHA-256 of a text, A-Z lower-cased; null counts as empty."""
+    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.sha2(low.cast("binary"), 256)
 
 
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge_bytes: int = HUGE) -> DataFrame:
     """id, fp, n (bytes), sha (SHA-256 of the lower-cased text) of every row."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     small = rows.filter(F.octet_length("text") <= huge_bytes).mapInArrow(_hash_rows, "id long, fp long, n long, sha string")
-    raw = F.encode("text", "utf-8")
-    huge = rows.filter(F.octet_length("text") > huge_bytes)
+    huge = rows.filter(F.octet_length("text") > huge_bytes).withColumn("sha", text_sha(F.col("text")))
     step = 1 << 20
     parts = (
-        huge.withColumn("k", F.explode(F.expr(f"sequence(0L, cast((octet_length(text) - 1) div {step} as bigint))")))
-        .select("id", "k", F.substring(raw, F.col("k").cast("int") * step + 1, F.lit(step)).alias("part"))
-        .repartition("id", "k")
-        .mapInArrow(_chunk_rows, "id long, k long, h1 long, h2 long, size long")
+        huge.dropDuplicates(["sha"])
+        .withColumn("k", F.explode(F.expr(f"sequence(0L, cast((octet_length(text) - 1) div {step} as bigint))")))
+        .select("sha", "k", F.substring(F.encode("text", "utf-8"), F.col("k").cast("int") * step + 1, F.lit(step)).alias("part"))
+        .repartition("sha", "k")
+        .mapInArrow(_chunk_rows, "sha string, k long, h1 long, h2 long, size long")
     )
-    folded = parts.groupBy("id").applyInPandas(_fold_chunks, "id long, fp long, n long")
-    ascii_low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    shas = huge.select("id", F.sha2(ascii_low.cast("binary"), 256).alias("sha"))
-    return small.unionByName(folded.join(shas, "id"))
+    folded = parts.groupBy("sha").applyInPandas(_fold_chunks, "sha string, fp long, n long")
+    return small.unionByName(huge.select("id", "sha").join(folded, "sha").select("id", "fp", "n", "sha"))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by class and salt, the representative first."""
+    """Rows come sorted by class and salt, the representative first; the members with twin, their digest if they differ from it."""
     key, rep = None, b""
     for b in batches:
-        ids, differs = [], []
-        for fp, n, salt, own, i, text in zip(*(b.column(k).to_pylist() for k in range(5)), b.column(5), strict=True):
+        out = []
+        for fp, n, salt, later, i, sha, text in zip(*(b.column(k).to_pylist() for k in range(6)), b.column(6), strict=True):
             low = LOWER[np.frombuffer(text.as_buffer(), dtype=np.uint8)] if n else np.zeros(0, np.uint8)
-            if own:
+            if not later:
                 key, rep = (fp, n, salt), low
                 continue
             if key != (fp, n, salt):
                 raise ValueError("a member came without its representative")
-            ids.append(i)
-            differs.append(any(not np.array_equal(rep[k : k + CHUNK], low[k : k + CHUNK]) for k in range(0, n, CHUNK)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(differs, pa.bool_())], names=["id", "differs"])
+            differs = any(not np.array_equal(rep[k : k + CHUNK], low[k : k + CHUNK]) for k in range(0, n, CHUNK))
+            out.append((i, fp, n, sha, sha if differs else ""))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["id", "fp", "n", "sha", "twin"])
 
 
 def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge_bytes: int = HUGE, members: int = MEMBERS) -> DataFrame:
     """id, keep_id (largest id of the class), group_size, sha. ``members``: of a class, about as many are compared in one stream."""
     prints = stored(fingerprint(df, id_col, text_col, huge_bytes), "prints")
-    groups = prints.groupBy("fp", "n").agg(F.max("id").alias("rep"), F.count("*").alias("size")).filter("size > 1")
-    dup = prints.join(groups.hint("merge"), ["fp", "n"]).select("id", "fp", "n", "rep", "size")
+    # of each fingerprint that several rows have, a row that represents it, and the digests it comes with
+    groups = stored(prints.groupBy("fp", "n").agg(F.max(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("i"), "sha")).alias("rep"), F.count("*").alias("size")).filter("size > 1"), "groups", True)
+    found = stored(prints.join(groups.hint("merge"), ["fp", "n"]).select("fp", "n", "sha", "rep", "size").distinct(), "digests", True)
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_sha(F.col(text_col)).alias("sha"))
     salts = F.ceil(F.col("size") / members).cast("int")
-    plan = stored(
-        dup.select("id", "fp", "n", F.lit(False).alias("own"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), (salts - 1).alias("last")).filter(F.col("id") != F.col("rep"))
-        .unionByName(groups.select(F.col("rep").alias("id"), "fp", "n", F.lit(True).alias("own"), F.lit(0).alias("salt"), (salts - 1).alias("last"))),
-        "members",
-    )
-    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # members and representatives meet their texts; representatives then go once to each salt of their class
-    rows = plan.hint("merge").join(texts, "id").withColumn("salt", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), "last")).otherwise(F.array("salt"))))
+    member = F.array(F.struct(F.lit(True).alias("later"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt")))
+    head = F.transform(F.sequence(F.lit(0), salts - 1), lambda k: F.struct(F.lit(False).alias("later"), k.alias("salt")))
+    own = F.col("rep") == F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("i"), "sha")
+    # members and representatives meet their texts; representatives go to each salt of their class besides
+    rows = texts.join(found.hint("merge"), "sha").withColumn("x", F.explode(F.when(own, F.concat(member, head)).otherwise(member)))
     checked = (
-        rows.select("fp", "n", "salt", "own", "id", F.col("text").cast("binary").alias("text"))
+        rows.select("fp", "n", F.col("x.salt").alias("salt"), F.col("x.later").alias("later"), "id", "sha", F.col("text").cast("binary").alias("text"))
         .repartition("fp", "n", "salt")
-        .sortWithinPartitions("fp", "n", "salt", F.desc("own"), "id")
-        .mapInArrow(_compare, "id long, differs boolean")
+        .sortWithinPartitions("fp", "n", "salt", "later")
+        .mapInArrow(_compare, "id long, fp long, n long, sha string, twin string")
     )
-    other = stored(checked.filter("differs").select("id").distinct().withColumn("alone", F.lit(True)), "collisions")
-    # a row whose bytes differ from its representative's makes a class by its digest
-    named = prints.join(other.hint("merge"), "id", "left").select("id", "fp", "n", "sha", F.when(F.col("alone"), F.col("sha")).otherwise(F.lit("")).alias("twin"))
-    final = named.groupBy("fp", "n", "twin").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    return named.join(final.hint("merge"), ["fp", "n", "twin"], "left").select("id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "sha")
+    checked = stored(checked, "checked")
+    final = stored(checked.groupBy("fp", "n", "twin").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "classes", True)
+    several = checked.join(final.hint("merge"), ["fp", "n", "twin"]).select("id", "keep_id", "group_size", "sha")
+    alone = prints.join(groups.select("fp", "n").hint("merge"), ["fp", "n"], "left_anti")
+    return several.unionByName(alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha"))

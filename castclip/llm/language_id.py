@@ -3,13 +3,13 @@
 A text's features are its byte 2-, 3- and 4-grams (A-Z lower-cased, other ASCII than letters as a space) and its words,
 each hashed to a row of an embedding table; the average row goes through a linear layer. Both are trained by
 stochastic gradient descent in numpy on a bounded sample: about ``per_language`` labelled texts of each language,
-of which a longer text gives one passage of ``passage`` characters. Averaging and the linear layer commute, so tasks
+of which a longer text gives one passage of ``passage`` characters that begins at a place given by a hash of its id. Averaging and the linear layer commute, so tasks
 get the product of both tables. A temperature is fitted on a held-out part of the sample, and texts are rejected whose
 calibrated score lies under a threshold that keeps 99.9 % of the right answers there.
 
 Cases: a null text, and one without a letter, is ``und`` with score 0 and rejected; very short texts are predicted from
 what they have; ties between languages go to the first in sorted order; without training rows every text is ``und``;
-an empty table gives no rows; extra columns are ignored.
+equal rows get equal results; an empty table gives no rows; of extra columns those named like a result are replaced, the others stay.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import LOWER, span_hashes, slices, words
+from .bytesets import LOWER, SLICE, pieces, slices, span_hashes, words
 
 BITS = 16
 PER_LANGUAGE = 1500
-PASSAGE = 8000
+PASSAGE = 2000
 DIM = 16
 LETTERS = LOWER.copy()
 LETTERS[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -41,22 +41,24 @@ class Model:
     threshold: float
 
 
-def buckets(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text) of every feature, a kind at a time; texts ascend."""
-    b = LETTERS[data].astype(np.uint32)
-    n, text = len(b), np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+def buckets(data: np.ndarray, offs: np.ndarray, most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, text) of every feature, a kind at a time and of at most about ``most`` bytes; texts ascend."""
     for k in (2, 3, 4):
-        if n < k:
-            continue
-        gram = np.zeros(n - k + 1, dtype=np.uint32)
-        for j in range(k):
-            gram = (gram << np.uint32(8)) | b[j : n - k + 1 + j]
-        ok = text[: n - k + 1] == text[k - 1 :]
-        gram = (gram + np.uint32(k)) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
-        yield (gram, text[: n - k + 1]) if ok.all() else (gram[ok], text[: n - k + 1][ok])
-    low = LETTERS[data]
-    s, e, doc = words(low, offs)
-    yield (span_hashes(low, s, e) >> np.uint64(64 - BITS)).astype(np.uint32), doc
+        for at in range(0, len(data) - k + 1, most):
+            part = LETTERS[data[at : at + most + k - 1]].astype(np.uint32)
+            n = len(part) - k + 1
+            gram = np.zeros(n, dtype=np.uint32)
+            for j in range(k):
+                gram = (gram << np.uint32(8)) | part[j : n + j]
+            place = np.arange(at, at + n)
+            text = np.searchsorted(offs, place, "right") - 1
+            ok = place + k <= offs[text + 1]
+            gram = (gram + np.uint32(k)) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
+            yield (gram, text) if ok.all() else (gram[ok], text[ok])
+    for at, part, cuts in pieces(data, offs, LETTERS != 32, most):
+        low = LETTERS[part]
+        s, e, _ = words(low, cuts)
+        yield (span_hashes(low, s, e) >> np.uint64(64 - BITS)).astype(np.uint32), np.searchsorted(offs, s + at, "right") - 1
 
 
 def logits(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -108,7 +110,7 @@ def train(pairs: list[tuple[str, str]], epochs: int = 4, rate: float = 25.0, dim
         y = languages.index(lang)
         at = int(rng.integers(0, max(1, len(text) - 40)))
         short = text[at : at + int(rng.integers(15, 160))]
-        for t in (text[:2000], short):
+        for t in (text, short):
             if len(t.encode()) >= 2:
                 (tests if k % 5 == 4 else examples).append((*features(t), y))
     tests = tests or examples
@@ -150,27 +152,28 @@ def fit(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col:
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``df`` with lang_pred, score (calibrated) and rejected."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # languages * 2**BITS numbers
-    names = [f"_c{k}" for k in range(len(df.columns))]
-    src = df.toDF(*names)
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields) + ", lang_pred string, score double, rejected boolean"
-    text_at = df.columns.index(text_col)
+    new = ["lang_pred", "score", "rejected"]
+    kept = [c for c in df.columns if c not in new]
+    names = [f"_c{k}" for k in range(len(kept))]
+    kind = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(kept, names, strict=True)) + ", lang_pred string, score double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            for lo, hi, data, offs in slices(b.column(text_at)):
+            for lo, hi, data, offs in slices(b.column(b.num_columns - 1)):
                 part = b.slice(lo, hi - lo)
                 if m.languages:
                     p = softmax(logits(m, data, offs) / m.temperature)
                     best, score = p.argmax(axis=1), p.max(axis=1)
                 else:
                     best, score = np.full(hi - lo, -1), np.zeros(hi - lo)
-                lettered = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
+                lettered = part.column(part.num_columns - 2).to_numpy(zero_copy_only=False)
                 lettered = lettered.astype(bool) & (best >= 0)
                 lang = [m.languages[k] if ok else "und" for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
                 score = np.where(lettered, np.clip(score, 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(~lettered | (score < m.threshold))], names=[*names, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(~lettered | (score < m.threshold))], names=[*names, *new])
 
-    lettered = F.coalesce(F.col(names[text_at]).rlike(r"\p{L}"), F.lit(False))
-    new = ["lang_pred", "score", "rejected"]
-    return src.withColumn("_lettered", lettered).mapInArrow(run, kind).toDF(*df.columns, *new)
+    text = F.col(f"`{text_col}`").cast("string")
+    lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    src = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], lettered.alias("_lettered"), text.alias("_text"))
+    return src.mapInArrow(run, kind).toDF(*kept, *new)

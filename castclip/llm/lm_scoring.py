@@ -7,14 +7,15 @@ frequent words, and ``GROUPS`` groups of all other words (by their last two byte
 
 Training is data-parallel over all training texts: in each of ``TURNS`` turns every task starts from the same weights, runs
 truncated backpropagation over its texts of that turn (windows of ``WINDOW`` words, the state carried from window to window
-within pieces of ``PIECE`` words and emptied where a longer text is cut), and the tasks' weights are averaged by their tokens. Scoring
-carries the state through whole texts, without cuts.
+within pieces of ``PIECE`` words and emptied where a longer text is cut), and the tasks' weights are averaged by their tokens, in two
+levels and as streams, so that no task holds the weights of many. Scoring carries the state through whole texts, without cuts, in memory
+in proportion to its words.
 
 Counts of at most ``NEAR`` words are sent to all tasks; the other words of a text are joined with the count table.
 
 Cases: null and empty texts have one token, the end; white space makes no token; a word never seen gets its group's share; without
-training rows every token's base is log10(0.5 / 0.5 (V + 1)) with V = 0, and the network is untrained; an id that occurs
-twice gets sums of both rows' rare words, so ids must be unique; an empty table gives no rows.
+training rows every token's base is log10(0.5 / 0.5 (V + 1)) with V = 0, and the network is untrained; rows are told apart by id
+and text, so ids may repeat or be null, and equal rows get equal results; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ SYMBOLS = CLASS * CLASSES
 WORDS = SYMBOLS - GROUPS - 1
 NEAR = 1 << 18
 TURNS, WINDOW, LANES, PIECE = 3, 16, 256, 1024
-BLOCKS = 16
+BLOCKS, SUMS = 16, 256  # parts of the weights, and how many sums of each are made before the last one
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,22 +303,47 @@ def train(w: np.ndarray, seen: np.ndarray, ids: list[np.ndarray], rate: float =
 
 
 def log_likelihoods(w: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each whole text's symbols."""
+    """log10 probability of each whole text's symbols. Texts lie one after another in lanes; of a lane only its sum so far is kept."""
     if not ids:
         return np.zeros(0)
     p = views(w)
-    table, real, lane, first, past = streams(ids, 512)
-    sums = np.zeros((len(real) + 1, table.shape[1]))
-    h = np.zeros((table.shape[1], HIDDEN), dtype=np.float32)
-    for at in range(0, len(real), 32):
-        n = min(32, len(real) - at)
-        live = int(real[at].sum())
-        hs, _ = states(p, table[at : at + n, :live], h[:live])
-        logp, _ = outputs(p, hs.reshape(-1, HIDDEN), table[at + 1 : at + 1 + n, :live].ravel())
-        sums[at + 1 : at + 1 + n, :live] = logp.reshape(n, -1)
-        h = hs[-1]
-    np.cumsum(sums, axis=0, out=sums)
-    return (sums[past, lane] - sums[first, lane]) / np.log(10)
+    width = min(512, len(ids))
+    load = [(0, k) for k in range(width)]
+    held: list[list[int]] = [[] for _ in range(width)]
+    for j in sorted(range(len(ids)), key=lambda j: -len(ids[j])):
+        n, k = heapq.heappop(load)
+        held[k].append(j)
+        heapq.heappush(load, (n + len(ids[j]), k))
+    # the fullest lanes come first, so that those still running are always the first ones
+    order = [k for _, k in sorted(load, key=lambda x: (-x[0], x[1]))]
+    size = np.array([n for n, _ in sorted(load, key=lambda x: (-x[0], x[1]))])
+    held = [held[k] for k in order]
+    rows = [np.concatenate([np.zeros(1, np.int16), *(ids[j] for j in own)]) for own in held]
+    text = np.array([j for own in held for j in own])
+    past = np.concatenate([np.cumsum([len(ids[j]) for j in own]) for own in held])
+    lane = np.repeat(np.arange(width), [len(own) for own in held])
+    by = np.argsort(past, kind="stable")
+    upto = np.zeros(len(text))  # of each text, the sum of its lane at its end
+    sums, h, done = np.zeros(width), np.zeros((width, HIDDEN), dtype=np.float32), 0
+    for at in range(0, int(size[0]), 32):
+        n = min(32, int(size[0]) - at)
+        live = int((size > at).sum())
+        table = np.zeros((live, n + 1), dtype=np.int16)
+        for k in range(live):
+            part = rows[k][at : at + n + 1]
+            table[k, : len(part)] = part
+        table = np.ascontiguousarray(table.T)
+        hs, _ = states(p, table[:n], h[:live])
+        logp, _ = outputs(p, hs.reshape(-1, HIDDEN), table[1:].ravel())
+        so_far = np.cumsum(logp.reshape(n, live), axis=0, dtype=np.float64) + sums[:live]
+        end = int(np.searchsorted(past[by], at + n, "right"))
+        now = by[done:end]
+        upto[now] = so_far[past[now] - 1 - at, lane[now]]
+        sums, h, done = so_far[-1], hs[-1], end
+    before = np.where(np.append(True, lane[1:] != lane[:-1]), 0.0, np.append(0.0, upto[:-1]))
+    out = np.zeros(len(text))
+    out[text] = upto - before
+    return out / np.log(10)
 
 
 def _symbols(v: Vocabulary, col: pa.Array) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -328,6 +355,24 @@ def _symbols(v: Vocabulary, col: pa.Array) -> Iterator[tuple[list[np.ndarray], n
         yield [np.append(s[cut[k] : cut[k + 1]], np.int16(0)) for k in range(hi - lo)], h, i, g, cut
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of w and n over rows that come sorted by k and g."""
+    key, w, n = None, np.zeros(0), 0.0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([w.tobytes()]), pa.array([n])], names=["k", "g", "w", "n"])
+
+    for b in batches:
+        for k, g, raw, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != (k, g):
+                if key:
+                    yield row()
+                key, w, n = (k, g), np.zeros(len(raw) // 8), 0.0
+            w, n = w + np.frombuffer(raw), n + m
+    if key:
+        yield row()
+
+
 def fit(rows: DataFrame, v: Vocabulary, turns: int = TURNS) -> np.ndarray:
     """Weights after all turns; rows: id and text of the training documents, each used in one turn."""
     sc = rows.sparkSession.sparkContext
@@ -342,16 +387,15 @@ def fit(rows: DataFrame, v: Vocabulary, turns: int = TURNS) -> np.ndarray:
             for b in batches:
                 used += train(own, seen, [x for ids, *_ in _symbols(shared.value, b.column(0)) for x in ids], rate)
             if used:
+                task = TaskContext.get()
+                group = (task.partitionId() if task else 0) % SUMS
                 parts = np.array_split(own.astype(np.float64) * used, BLOCKS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in parts]), pa.array([float(used)] * BLOCKS)], names=["k", "w", "n"])
-
-        def add(pdf):
-            import pandas as pd
-
-            return pd.DataFrame({"k": [pdf["k"].iloc[0]], "w": [sum(np.frombuffer(x) for x in pdf["w"]).tobytes()], "n": [pdf["n"].sum()]})
+                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([group] * BLOCKS, pa.int32()), pa.array([x.tobytes() for x in parts]), pa.array([float(used)] * BLOCKS)], names=["k", "g", "w", "n"])
 
         part = rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(turns)) == turn).select("text")
-        got = sorted(part.mapInArrow(run, "k int, w binary, n double").groupBy("k").applyInPandas(add, "k int, w binary, n double").collect())
+        kind = "k int, g int, w binary, n double"
+        sums = part.mapInArrow(run, kind).repartition("k", "g").sortWithinPartitions("k", "g").mapInArrow(_added, kind)
+        got = sorted(sums.withColumn("g", F.lit(0)).repartition("k").sortWithinPartitions("k").mapInArrow(_added, kind).collect())  # BLOCKS rows
         if got:
             w = np.concatenate([np.frombuffer(r["w"]) / r["n"] for r in got]).astype(np.float32)
     return w
@@ -360,7 +404,7 @@ def fit(rows: DataFrame, v: Vocabulary, turns: int = TURNS) -> np.ndarray:
 def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every row; training: which rows are learned from."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), training.alias("t"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), training.alias("t")).withColumn("row", F.xxhash64("id", "text"))
     learn = rows.filter("t").select("id", "text")
     counts = stored(word_counts(learn), "counts")
     texts = learn.count()
@@ -392,19 +436,21 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
             score = log_likelihoods(w, whole) + extra
             at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in cols[3]])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in whole], pa.int64()), pa.array(known_n.astype(np.int64)), pa.array(base), pa.array(score)]
+                [b.column(0), b.column(2), pa.array([len(x) for x in whole], pa.int64()), pa.array(known_n.astype(np.int64)), pa.array(base), pa.array(score)]
                 + [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x), pa.int64())) for x in cols[3:]],
-                names=["id", "n_tokens", "near", "base", "score", "tail_h", "tail_n"],
+                names=["id", "row", "n_tokens", "near", "base", "score", "tail_h", "tail_n"],
             )
 
-    parts = stored(rows.select("id", "text").mapInArrow(run, "id long, n_tokens long, near long, base double, score double, tail_h array<long>, tail_n array<long>"), "scores")
-    tail = parts.select("id", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("x")).select("id", F.col("x.tail_h").alias("h"), F.col("x.tail_n").alias("n"))
+    parts = stored(rows.select("id", "text", "row").mapInArrow(run, "id long, row long, n_tokens long, near long, base double, score double, tail_h array<long>, tail_n array<long>"), "scores")
+    tail = parts.select("row", F.posexplode(F.arrays_zip("tail_h", "tail_n")).alias("k", "x")).select("row", "k", F.col("x.tail_h").alias("h"), F.col("x.tail_n").alias("n"))
     c = F.coalesce("c", F.lit(0))
-    rare = tail.join(counts.select("h", "c"), "h", "left").groupBy("id").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("far"))
+    # equal rows come together; each has the first of its rare words once
+    equal = F.sum(F.when(F.col("k") == 0, 1).otherwise(0))
+    rare = tail.join(counts.select("h", "c"), "h", "left").groupBy("row").agg((F.sum(F.col("n") * F.log10(c + 0.5)) / equal).alias("rare"), (F.sum(F.when(c > 0, F.col("n")).otherwise(0)) / equal).cast("long").alias("far"))
     end_base = float(np.log10(texts + 0.5))
     floor = float(np.log10(v.total + 0.5 * (v.kinds + 1)))
     r = F.coalesce("rare", F.lit(0.0))
-    return parts.select("id", "n_tokens", "near", "base", "score").join(rare, "id", "left").select(
+    return parts.select("id", "row", "n_tokens", "near", "base", "score").join(rare, "row", "left").select(
         "id", "n_tokens", (F.col("near") + F.coalesce("far", F.lit(0)) + (1 if texts else 0)).cast("long").alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
         (F.col("base") + r + end_base - F.col("n_tokens") * floor).alias("base_score"), (F.col("score") + r).alias("score"),
     )

@@ -5,13 +5,14 @@ the packing has to know is how many pieces there are of each length, ``capacity`
 plan is made on the driver from that histogram: for each length, largest first, the gap it leaves is looked up
 among available lengths, then sums of two, then sums of three, and as many sequences as the counts allow
 take that combination at once. What no combination fills exactly goes best-fit. Pieces then find their places
-by their rank within their length; ranks are numbered in buckets, so a common length is spread over tasks.
+by their rank within their length; ranks are numbered in buckets of about ``BUCKET`` pieces, so a common length is spread over tasks.
 
 The plan has at most four groups of equal sequences for each length, and each group names at most
 sqrt(2 * capacity) different lengths: that bounds what tasks are sent (under 200,000 entries at 1024).
 
 Cases: a null text is empty and still yields its end token; an empty table yields no rows; equal texts are
-packed separately; a document as long as the capacity or a multiple of it has only full pieces.
+packed separately, and so are rows that repeat an id; a document as long as the capacity or a multiple of it has only full pieces; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from .shared import stored
 from .tokens import encoder, grouped
 
-BUCKETS = 64
+BUCKET = 1 << 17
 KEPT = 800_000  # pieces of text whose ids a worker process remembers
+_BUCKET, _RANK = "_packing_bucket", "_packing_rank"
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -140,23 +142,28 @@ def _places(groups: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return {"key": (cols[0] << 44) + cols[1], "first": cols[1], "sequence": cols[2], "at": cols[3], "each": cols[4]}
 
 
-def place(pieces: DataFrame, capacity: int = 1024, buckets: int = BUCKETS) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and more) with sequence_id and offset. They are read more than once: pass a stored table."""
-    rows = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("length", "_b").count().collect()  # capacity * buckets rows at most
-    before, total = np.zeros((capacity + 1, buckets), dtype=np.int64), Counter()
-    for r in sorted(counts):
-        before[r["length"], r["_b"]] = total[r["length"]]
-        total[r["length"]] += r["count"]
-    at = _places(plan(dict(total), capacity))
+def place(pieces: DataFrame, capacity: int = 1024, bucket: int = BUCKET) -> DataFrame:
+    """``pieces`` (doc_id, piece, start, length, ids_crc32 and more) with sequence_id and offset. They are read more than once: pass a stored table."""
+    total = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
+    many = np.ones(capacity + 1, dtype=np.int64)
+    for n, c in total.items():
+        many[n] = -(-c // bucket)
+    split = {int(n): int(m) for n, m in enumerate(many) if m > 1}
+    of = F.element_at(F.create_map(*[F.lit(x) for kv in split.items() for x in kv]), F.col("length")) if split else F.lit(None).cast("int")
+    rows = pieces.withColumn(_BUCKET, F.coalesce(F.pmod(F.xxhash64("doc_id", "piece"), of).cast("int"), F.lit(0)))
+    before, sums = np.zeros((capacity + 1, int(many.max())), dtype=np.int64), Counter()
+    for r in sorted(rows.groupBy("length", _BUCKET).count().collect()):  # one row for each length and each ``bucket`` pieces
+        before[r["length"], r[_BUCKET]] = sums[r["length"]]
+        sums[r["length"]] += r["count"]
+    at = _places(plan(total, capacity))
     names = pieces.columns
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece")))
+    ranked = rows.withColumn(_RANK, F.row_number().over(Window.partitionBy("length", _BUCKET).orderBy("doc_id", "piece", "start", "ids_crc32")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = b.column("length").to_numpy().astype(np.int64)
-            rank = before[size, b.column("_b").to_numpy()] + b.column("_r").to_numpy() - 1
+            rank = before[size, b.column(_BUCKET).to_numpy()] + b.column(_RANK).to_numpy() - 1
             k = np.searchsorted(at["key"], (size << 44) + rank, "right") - 1
             inner = rank - at["first"][k]
             sequence = at["sequence"][k] + inner // at["each"][k]

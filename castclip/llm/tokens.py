@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ROUGH = re.compile(f"[{SPACES}](?: |$)|[{SPACES}]\\Z")
 SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-KEPT = 150_000
+KEPT, KEPT_SIZE = 150_000, 48  # pieces that are kept, and the characters of the longest of them
 
 
 def byte_characters() -> dict[int, str]:
@@ -119,6 +119,10 @@ class Encoder:
         self.plain[""] = b""
         spaced, plain = self.spaced.__getitem__, self.plain.__getitem__
         out = [b"".join(map(plain, c)) if r else plain(c[0]) + b"".join(map(spaced, c[1:])) for c, r in zip(cut, rough, strict=True)]
+        for table in (self.spaced, self.plain):
+            for s in [s for s in (here if table is self.spaced else alone) if len(s) > KEPT_SIZE]:
+                table.pop(s, None)
+        here, alone = {s for s in here if len(s) <= KEPT_SIZE}, {s for s in alone if len(s) <= KEPT_SIZE}
         if len(self.spaced) > self.kept:  # what came first stays, being most frequent, and what these texts have used
             self.spaced = dict(islice(self.spaced.items(), self.kept // 3)) | {s: spaced(s) for s in here}
         if len(self.plain) > self.kept:

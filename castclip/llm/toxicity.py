@@ -7,11 +7,12 @@ same smoothing in both. A text's evidence is the difference of the two log-likel
 length, over the whole text and over its most toxic windows of 1, 3, 8 and 32 words; a logistic
 layer, fitted on texts that the counts left out, turns it into a probability.
 
-The models are fitted on a bounded sample: about ``toxic`` and ``ordinary`` labelled texts, picked by a hash of the id.
-Bigrams seen once are left to the backoff.
+The models are fitted on a bounded sample: about ``toxic`` and ``ordinary`` labelled texts, picked by a hash of the id, of
+which a longer text gives one passage of ``passage`` characters that begins at a place given by a hash of its id. Bigrams seen
+once are left to the backoff, a usual cut-off of such models: held out, more toxic texts are found with it and fewer others marked.
 
 Cases: null and empty texts, and texts without a word, get the score of no evidence; words are runs of letters and
-bytes above ASCII, A-Z lower-cased; repeated label rows of an id count once (1 wins over 0); without labels of both
+bytes above ASCII, A-Z lower-cased; equal texts get equal scores; repeated label rows of an id count once (1 wins over 0); without labels of both
 classes every score is 0; an empty table gives no rows.
 """
 
@@ -25,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import LOWER_VALUE, mix, per_text, slices, span_hashes, words
+from .bytesets import LOWER_VALUE, mix, per_text, pieces, slices, span_hashes, word_hashes
 
-TOXIC, ORDINARY = 1500, 2500
+TOXIC, ORDINARY, PASSAGE = 1500, 2500, 40_000
 WINDOWS = (1, 3, 8, 32)
 DISCOUNT = 0.75
 STEM = 4
@@ -57,8 +58,14 @@ def _pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of words and of their beginnings, and the text of each."""
-    s, e, doc = words(data, offs, WORD)
-    return span_hashes(data, s, e, LOWER_VALUE), span_hashes(data, s, np.minimum(e, s + STEM), LOWER_VALUE), doc
+    h, s, e, doc = word_hashes(data, offs, WORD)
+    stems, at = [np.zeros(0, np.uint64)], 0
+    for begin, part, _ in pieces(data, offs, WORD):
+        past = int(np.searchsorted(s, begin + len(part)))
+        own = s[at:past] - begin
+        stems.append(span_hashes(part, own, np.minimum(e[at:past] - begin, own + STEM), LOWER_VALUE))
+        at = past
+    return h, np.concatenate(stems), doc
 
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +165,7 @@ def scores(m: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TOXIC, ordinary: int = ORDINARY) -> Model:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TOXIC, ordinary: int = ORDINARY, passage: int = PASSAGE) -> Model:
     """labels: id and 0/1."""
     marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
@@ -168,7 +175,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     rate = F.when(F.col("y") == 1, min(1.0, toxic / counts[1])).otherwise(min(1.0, ordinary / counts[0]))
     picked = marks.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < rate)
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = sorted((r["id"], r["y"], r["text"]) for r in texts.join(F.broadcast(picked), "id").select("id", "y", "text").collect())  # toxic + ordinary rows, more or less
+    start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("text") - passage + 1, F.lit(1))).cast("int") + 1
+    texts = texts.select("id", F.substring("text", start, F.lit(passage)).alias("text"))
+    rows = sorted((r["id"], r["y"], r["text"]) for r in texts.join(F.broadcast(picked), "id").select("id", "y", "text").collect())  # toxic + ordinary passages, more or less
     y = np.array([r[1] for r in rows])
     text = [r[2] for r in rows]
     del rows

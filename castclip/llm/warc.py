@@ -6,7 +6,8 @@ its checks (header, length, CRC, digest), it looks for the next valid member, or
 version line, goes on from there, and reports the bytes in between as quarantined.
 
 Cases: a null payload is empty; equal payloads of at least ``revisit_from`` bytes are stored once, by the smallest
-id, and the others are revisit records; ties do not occur, ids being unique; an empty table writes no archive.
+id, and the others are revisit records; rows that repeat that id with that payload are responses too, and rows without an id
+refer to it; an empty table writes no archive; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .shared import shared_dir, stored
 VERSION = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
 MAGIC = b"\x1f\x8b\x08"
 WINDOW = 1 << 20
+READERS = 100_000  # tasks that read at most
 RECORD = "path string, at long, size long, id long, uri string, kind string, refers_to long, digest string, payload_bytes long, payload binary, problem string"
 
 
@@ -194,9 +196,9 @@ def write(df: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_
     spark = df.sparkSession
     folder = shared_dir(spark, "warc")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(uri_col).cast("string"), F.lit("")).alias("uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    prints = rows.select("id", F.sha2("payload", 256).alias("sha"), F.length("payload").alias("n"))
-    first = prints.filter(F.col("n") >= revisit_from).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("sha", "first")
-    refers = stored(prints.filter(F.col("n") >= revisit_from).join(first, "sha").filter("id > first").select("id", F.col("first").alias("refers_to")), "revisits")
+    rows = rows.withColumn("sha", F.sha2("payload", 256))
+    several = rows.filter(F.length("payload") >= revisit_from).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    first = stored(several.select("sha", "first"), "firsts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _file_system(folder)
@@ -225,7 +227,10 @@ def write(df: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_
             p, r, s = zip(*made, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(r, pa.int64()), pa.array(s, pa.int64())], names=["path", "records", "bytes"])
 
-    return stored(rows.join(refers.hint("merge"), "id", "left").select("id", "uri", "payload", "refers_to").mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    # a payload that very many rows have is split by Spark's own handling of skewed joins
+    refers_to = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
+    marked = rows.join(first.hint("merge"), "sha", "left").select("id", "uri", "payload", refers_to.alias("refers_to"))
+    return stored(marked.mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -247,5 +252,5 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    # each archive is a task's work of its own: files are named at random, so their hash spreads them
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, RECORD)
+    # as many tasks as archives: a given number is not merged into fewer tasks for being few bytes
+    return manifest.select("path").repartition(min(max(1, manifest.count()), READERS), "path").mapInArrow(run, RECORD)
