@@ -8,7 +8,8 @@ get the product of both tables. A temperature is fitted on a held-out part of th
 calibrated score lies under a threshold that keeps 99.9 % of the right answers there.
 
 Cases: a null text, and one without a letter, is ``und`` with score 0 and rejected; very short texts are predicted from
-what they have; ties between languages go to the first in sorted order; without training rows every text is ``und``;
+what they have; ties between languages go to the first in sorted order; without training rows every text is ``und`` with score 0,
+and rejected only without a letter;
 equal rows get equal results; an empty table gives no rows; of extra columns those named like a result are replaced, the others stay.
 """
 
@@ -90,7 +91,7 @@ def sample(df: DataFrame, lang: Column, id_col: str, text_col: str, per_language
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("text") - passage, F.lit(1))).cast("int") + 1
     got = rows.filter(draw < rate).select("id", F.substring("text", start, F.lit(passage)).alias("text"), "lang").collect()
-    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["id"], r["text"], r["lang"]))]
+    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["id"] or 0, r["text"], r["lang"]))]
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -167,11 +168,11 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     best, score = p.argmax(axis=1), p.max(axis=1)
                 else:
                     best, score = np.full(hi - lo, -1), np.zeros(hi - lo)
-                lettered = part.column(part.num_columns - 2).to_numpy(zero_copy_only=False)
-                lettered = lettered.astype(bool) & (best >= 0)
+                has = part.column(part.num_columns - 2).to_numpy(zero_copy_only=False).astype(bool)
+                lettered = has & (best >= 0)
                 lang = [m.languages[k] if ok else "und" for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
                 score = np.where(lettered, np.clip(score, 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(~lettered | (score < m.threshold))], names=[*names, *new])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(~has | ((best >= 0) & (score < m.threshold)))], names=[*names, *new])
 
     text = F.col(f"`{text_col}`").cast("string")
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))

@@ -4,14 +4,18 @@ A passage of ``LENGTH`` bytes that starts in two places is removed in both. All
 suffix array, so places that could match are brought together first. Of the hashes of the ``GRAM``-byte strings in a
 passage the smallest is its anchor; equal passages have equal anchors at the same distance, so each match lies in the contexts (all
 passages of one anchor together) of two anchors with one hash. Anchors are grouped by hash: contexts that
-occur twice as a whole are repeated in full and count as one; where a hash has several different contexts, their bytes
-are fetched and go into suffix arrays. A suffix array sorts directly only the suffixes that are smaller than their
+occur twice as a whole, by a 64-bit hash of their bytes, are repeated in full and count as one; where a hash has several different
+contexts, their bytes are fetched and go into suffix arrays. A suffix array sorts directly only the suffixes that are smaller than their
 successors; scanning buckets from the smallest first byte induces the others. Neighbours with a common prefix of
-``LENGTH`` bytes are repeated. Hashes with very many contexts are split into blocks, and each pair of blocks is sorted.
+``LENGTH`` bytes are repeated.
+
+A context that a task meets twice is known to be repeated there; the task sends on one row of it, so that what fills a
+corpus (long runs of one byte, common lines) comes to one row a task. Where more than ``CONTEXTS`` different contexts have one
+hash, they are not sorted together: each of their strings is counted by its hash, rows in proportion to their bytes.
 
 Cases: null texts are empty, and texts shorter than ``LENGTH`` stay whole; equal documents of that length lose every byte,
-all of them; overlapping repeats within one document count; strings are judged on the input; rows without an id
-keep every byte and match nothing; an empty table gives no rows.
+all of them; overlapping repeats within one document count; strings are judged on the input; rows are told apart by id and text, so ids
+may repeat or be null; an empty table gives no rows; extra columns are ignored or, if asked for, returned.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import BYTE_VALUE, mix, slices, span_hashes
+from .bytesets import BYTE_VALUE, SLICE, mix, slices, span_hashes
 from .shared import stored
 
 LENGTH, GRAM = 200, 32
-CONTEXTS = 4096  # of one hash, in a block
+CONTEXTS = 4096  # different ones of one hash that are sorted together
+TOLD = 1 << 20  # repeated contexts that a task remembers
 SORTED = 1 << 20  # bytes of contexts that are taken together
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15)
@@ -181,47 +186,83 @@ def repeated(parts: list[bytes], who: np.ndarray, start: np.ndarray, length: int
     return part[hit], order[hit] - at[part[hit]]
 
 
+def _windows(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A very long text in parts, in each of which other strings begin."""
+    if len(offs) > 2 or len(data) <= 4 * SLICE:
+        yield 0, data, offs
+        return
+    for at in range(0, len(data) - length + 1, SLICE):
+        part = data[at : at + SLICE + length - 1]
+        yield at, part, np.array([0, len(part)])
+
+
+#: Kinds of anchor rows: met once in its task; met again there, and sent on for all; such a one itself.
+ONCE, AGAIN, FULL = 0, 1, 2
+
+
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
         for b in batches:
             for lo, hi, data, offs in slices(b.column(1), 1 << 18):
-                at, h, s, e, text = anchors(data, offs, length, gram)
-                if not len(at):
-                    continue
-                first = offs[text]
-                c = mix(span_hashes(data, s, e) + ((at - s).astype(_U) << _U(20)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).slice(lo, hi - lo).take(pa.array(text)), pa.array(at - first, pa.int64()), pa.array(s - first, pa.int64()), pa.array(e - first, pa.int64())],
-                    names=["h", "c", "id", "at", "s", "e"],
-                )
+                for base, part, cuts in _windows(data, offs, length):
+                    at, h, s, e, text = anchors(part, cuts, length, gram)
+                    if not len(at):
+                        continue
+                    c = mix(span_hashes(part, s, e) + ((at - s).astype(_U) << _U(20)))
+                    by = np.lexsort((c, h))
+                    new = np.append(True, (h[by][1:] != h[by][:-1]) | (c[by][1:] != c[by][:-1]))
+                    run_, first = np.cumsum(new) - 1, by[new]
+                    again = np.zeros(len(h), dtype=bool)
+                    again[by] = (np.bincount(run_) > 1)[run_]
+                    heads = first[again[first]]
+                    known = list(zip(h[heads].tolist(), c[heads].tolist(), strict=True))
+                    heads = heads[[k not in told for k in known]]
+                    if len(told) < TOLD:
+                        told.update(known)
+                    pick = np.concatenate([np.flatnonzero(~again), heads, np.flatnonzero(again)])
+                    kind = np.repeat(np.array([ONCE, AGAIN, FULL], dtype=np.int8), [int((~again).sum()), len(heads), int(again.sum())])
+                    at, h, s, e, text, c = (x[pick] for x in (at, h, s, e, text, c))
+                    # what is settled is dealt by its text, not by the hash
+                    rows = b.column(0).slice(lo, hi - lo).take(pa.array(text)).to_numpy()
+                    h = np.where(kind == FULL, rows, h.view(np.int64))
+                    move = base - cuts[text]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h), pa.array(c.view(np.int64)), pa.array(rows), pa.array(at + move), pa.array(s + move), pa.array(e + move), pa.array(kind)],
+                        names=["h", "c", "row", "at", "s", "e", "kind"],
+                    )
 
     return run
 
 
 def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by h, c. full: the context occurs twice; open: first of its kind where its hash has several kinds."""
-    carry = np.zeros((6, 0), np.int64)
+    carry = np.zeros((7, 0), np.int64)
     done = np.zeros((2, 0), bool)
     for b in batches:
-        rows = np.stack([b.column(k).to_numpy() for k in range(6)])
-        rows = np.concatenate([carry, rows], axis=1)
-        flags = np.concatenate([done, np.zeros((2, b.num_rows), bool)], axis=1)
-        n = rows.shape[1]
-        if not n:
-            continue
-        new_h = np.append(True, rows[0][1:] != rows[0][:-1])
-        new_c = new_h | np.append(True, rows[1][1:] != rows[1][:-1])
-        run, group = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
-        full = (np.bincount(run)[run] > 1) & ~flags[0]
-        open_ = new_c & (np.bincount(group, weights=new_c)[group] > 1) & ~flags[1]
-        pick = np.flatnonzero(full | open_)
-        yield pa.RecordBatch.from_arrays([*(pa.array(rows[k][pick]) for k in (0, 2, 3, 4, 5)), pa.array(full[pick]), pa.array(open_[pick])], names=["h", "id", "at", "s", "e", "full", "open"])
-        flags[0] |= full
-        flags[1] |= open_
-        # of the last hash, what decides on rows to come: its first row, and two of its last context
-        last_h, last_c = np.flatnonzero(new_h)[-1], np.flatnonzero(new_c)[-1]
-        keep = np.unique(np.array([last_h, last_c, min(last_c + 1, n - 1)]))
-        carry, done = rows[:, keep], flags[:, keep]
+        rows = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(7)])
+        whole = rows[:, rows[6] == FULL]
+        rows = np.concatenate([carry, rows[:, rows[6] != FULL]], axis=1)
+        flags = np.concatenate([done, np.zeros((2, rows.shape[1] - done.shape[1]), bool)], axis=1)
+        full = open_ = np.zeros(0, bool)
+        pick = np.zeros(0, np.int64)
+        if n := rows.shape[1]:
+            new_h = np.append(True, rows[0][1:] != rows[0][:-1])
+            new_c = new_h | np.append(True, rows[1][1:] != rows[1][:-1])
+            run, group = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
+            full = (np.bincount(run, weights=1 + rows[6])[run] > 1) & ~flags[0]
+            open_ = new_c & (np.bincount(group, weights=new_c)[group] > 1) & ~flags[1]
+            pick = np.flatnonzero(full | open_)
+            flags[0] |= full
+            flags[1] |= open_
+        out = np.concatenate([whole, rows[:, pick]], axis=1)
+        yes = np.ones(whole.shape[1], bool)
+        yield pa.RecordBatch.from_arrays([*(pa.array(out[k]) for k in (0, 2, 3, 4, 5)), pa.array(np.append(yes, full[pick])), pa.array(np.append(~yes, open_[pick]))], names=["h", "row", "at", "s", "e", "full", "open"])
+        if n:
+            # of the last hash, what decides on rows to come: its first row, and two of its last context
+            last_h, last_c = np.flatnonzero(new_h)[-1], np.flatnonzero(new_c)[-1]
+            keep = np.unique(np.array([last_h, last_c, min(last_c + 1, n - 1)]))
+            carry, done = rows[:, keep], flags[:, keep]
 
 
 def _spans(who: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +314,7 @@ def _sorted_rows(length: int, gram: int = GRAM):
             if len(part):
                 names, code = np.unique(ids, return_inverse=True)
                 who, s, e = _spans(code[part].astype(np.int64), start[part] + offset, length)
-                yield pa.RecordBatch.from_arrays([pa.array(names[who], pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["id", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[who], pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["row", "s", "e"])
 
         for b in batches:
             for k, i, s, raw, a in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
@@ -289,62 +330,94 @@ def _sorted_rows(length: int, gram: int = GRAM):
     return run
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        spans = b.column(2)
-        for lo, hi, data, offs in slices(b.column(1)):
-            ids, total, removed, runs, sha, kept = b.column(0).slice(lo, hi - lo), [], [], [], [], []
-            for k in range(hi - lo):
-                raw = data[offs[k] : offs[k + 1]]
-                pairs = spans[lo + k].as_py()
-                total.append(len(raw))
-                if pairs:
-                    edge = np.zeros(len(raw) + 1, np.int64)
-                    p = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-                    np.add.at(edge, p[:, 0], 1)
-                    np.add.at(edge, p[:, 1], -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    removed.append(int(gone.sum()))
-                    runs.append(int((gone & ~np.append(False, gone[:-1])).sum()))
-                    raw = raw[~gone]
-                else:
-                    removed.append(0)
-                    runs.append(0)
-                out = raw.tobytes()
-                sha.append(hashlib.sha256(out).hexdigest())
-                kept.append(out)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def _digest_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _cut_out(batches):
-        yield b.select(b.schema.names[:5])
-
-
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """id, s, e: byte spans (they may overlap) that cover every repeated passage."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.filter("id is not null")
-    marks = rows.mapInArrow(_anchor_rows(length, gram), "h long, c long, id long, at long, s long, e long")
-    told = stored(marks.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_sort_out, "h long, id long, at long, s long, e long, full boolean, open boolean"), "anchors")
-    open_ = told.filter("open").select("h", "id", "at", "s", "e")
-    crowded = open_.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > CONTEXTS).withColumn("blocks", F.ceil(F.col("m") * 2 / CONTEXTS).cast("int"))
-    own = F.pmod(F.xxhash64("id", "s"), F.col("blocks")).cast("int")
-    pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != own), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
-    )
-    wanted = open_.groupBy("id").agg(F.collect_list(F.struct("h", "at", "s", "e")).alias("w"))
-    raw = rows.join(wanted.hint("merge"), "id").select("id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"), F.explode("w").alias("w"))
-    parts = raw.select("id", "w.h", "w.at", "w.s", F.substring("raw", F.col("w.s").cast("int") + 1, (F.col("w.e") - F.col("w.s")).cast("int")).alias("part"))
-    dealt = parts.join(crowded, "h", "left").withColumn("pair", F.explode(pairs)).select(F.xxhash64("h", "pair").alias("k"), "id", "s", "part", (F.col("at") - F.col("s")).alias("a"))
-    found = dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_sorted_rows(length, gram), "id long, s long, e long")
-    whole = told.filter(F.col("full") & (F.col("e") - F.col("s") >= length)).select("id", "s", "e")
+def _string_rows(length: int):
+    """Every string of each context: its hash and where it begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, start = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for lo, hi, data, offs in slices(b.column(2)):
+                many = np.maximum(np.diff(offs) - length + 1, 0)
+                part = np.repeat(np.arange(hi - lo), many)
+                inner = np.arange(len(part)) - np.repeat(np.cumsum(many) - many, many)
+                at = offs[part] + inner
+                k = span_hashes(data, at, at + length)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(row[lo + part]), pa.array(start[lo + part] + inner)], names=["k", "row", "s"])
+
+    return run
+
+
+def _runs(pairs: list[int], n: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes in spans given as start, end, start, end and so on."""
+    p = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    p = p[np.argsort(p[:, 0], kind="stable")]
+    past = np.minimum(np.maximum.accumulate(p[:, 1]), n)
+    first = np.flatnonzero(np.append(True, p[1:, 0] > past[:-1]))
+    return list(zip(p[first, 0].tolist(), past[np.append(first[1:], len(p)) - 1].tolist(), strict=True))
+
+
+def _cut_out(with_kept: bool, others: int):
+    """Rows of text and spans to their results; the last ``others`` columns go along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column(2)
+            for lo, hi, data, offs in slices(b.column(1)):
+                removed, runs, sha, kept = [], [], [], []
+                for k in range(hi - lo):
+                    raw = data[offs[k] : offs[k + 1]]
+                    pairs = spans[lo + k].as_py()
+                    gone = _runs(pairs, len(raw)) if pairs else []
+                    removed.append(sum(y - x for x, y in gone))
+                    runs.append(len(gone))
+                    edge = [0, *(x for g in gone for x in g), len(raw)]
+                    out = b"".join(raw[x:y].tobytes() for x, y in zip(edge[::2], edge[1::2], strict=True))
+                    sha.append(hashlib.sha256(out).hexdigest())
+                    kept.append(out)
+                cols = [b.column(0).slice(lo, hi - lo), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())]
+                names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                if with_kept:  # a character that was cut in two has no bytes in the text
+                    cols += [pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())]
+                    names += ["kept", "kept_text"]
+                cols += [b.column(3 + k).slice(lo, hi - lo) for k in range(others)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, *["other"][:others]])
+
+    return run
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str, *others) -> DataFrame:
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *others)
+    return rows.withColumn("row", F.xxhash64("id", "text"))
+
+
+def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """row, s, e: byte spans (they may overlap) that cover every repeated passage. rows: row (a name for it) and text."""
+    rows = rows.select("row", "text")
+    marks = rows.mapInArrow(_anchor_rows(length, gram), "h long, c long, row long, at long, s long, e long, kind byte")
+    told = stored(marks.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_sort_out, "h long, row long, at long, s long, e long, full boolean, open boolean"), "anchors")
+    open_ = told.filter("open").select("h", "row", "at", "s", "e")
+    crowded = stored(open_.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > CONTEXTS).select("h"), "crowded", True)
+    wanted = open_.groupBy("row").agg(F.collect_list(F.struct("h", "at", "s", "e")).alias("w"))
+    raw = rows.join(wanted.hint("merge"), "row").select("row", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"), F.explode("w").alias("w"))
+    parts = raw.select("w.h", "row", "w.s", F.substring("raw", F.col("w.s").cast("int") + 1, (F.col("w.e") - F.col("w.s")).cast("int")).alias("part"), (F.col("w.at") - F.col("w.s")).alias("a"))
+    whole = told.filter(F.col("full") & (F.col("e") - F.col("s") >= length)).select("row", "s", "e")
+    if not crowded.isEmpty():
+        parts = stored(parts, "contexts")
+        strings = parts.join(crowded.hint("merge"), "h", "left_semi").select("row", "s", "part").mapInArrow(_string_rows(length), "k long, row long, s long")
+        twice = strings.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k")
+        whole = whole.unionByName(strings.join(stored(twice, "strings").hint("merge"), "k").select("row", "s", (F.col("s") + length).alias("e")))
+        parts = parts.join(crowded.hint("merge"), "h", "left_anti")
+    found = parts.select("h", "row", "s", "part", "a").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_rows(length, gram), "row long, s long, e long")
     return whole.unionByName(found)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = True) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left) of every row."""
-    spans = repeats(df, id_col, text_col, length).groupBy("id").agg(F.flatten(F.collect_list(F.array("s", "e"))).alias("spans"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(spans.hint("merge"), "id", "left").select("id", "text", "spans")
-    kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.mapInArrow(_cut_out, kind + ", kept binary") if with_kept else rows.mapInArrow(_digest_only, kind)
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = True, with_row: bool = False) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with kept also the bytes left (kept) and their whole characters
+    (kept_text); with row a struct ``other`` of all columns."""
+    rows = _keyed(df, id_col, text_col, *[F.struct(*df.drop(text_col).columns).alias("other")][: int(with_row)])
+    spans = repeats(rows, length).groupBy("row").agg(F.flatten(F.collect_list(F.array("s", "e"))).alias("spans"))
+    rows = rows.join(spans.hint("merge"), "row", "left").select("id", "text", "spans", *["other"][: int(with_row)])
+    kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_kept
+    if with_row:
+        kind += f", other {rows.schema['other'].dataType.simpleString()}"
+    return rows.mapInArrow(_cut_out(with_kept, int(with_row)), kind)

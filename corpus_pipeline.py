@@ -3,8 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes to the shared folder and reads
 again as the next stage's docs. All but the last return the columns of ``documents``.
 
-Documents without an id go with exact dedup, whose decision is by id; null texts count as empty after language ID, which rejects
-them; rows that repeat the id that stays all stay; an empty table passes through every stage.
+Language ID rejects null and empty texts, texts without a letter and those whose score is too low. Documents without an id go with exact
+dedup, whose decision is by id; of equal texts with one id, all rows stay. In the Jaccard join an id that occurs twice counts as
+one document, and all its rows stay or go. The suffix arrays remove equal rows' bytes in all of them; packing packs empty texts
+too. An empty table passes through every stage. Texts that are tied have the same fate in each stage but where their ids decide.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the largest id stays."""
-    kept = exact_dedup.exact_classes(docs).filter("id = keep_id").select(F.col("id").alias("doc_id"))
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    kept = exact_dedup.exact_classes(docs).filter("id = keep_id").select(F.col("id").alias("doc_id"), F.col("sha").alias("_sha"))
+    own = docs.withColumn("_sha", exact_dedup.text_sha(F.col("text")))
+    return own.join(kept.hint("merge"), ["doc_id", "_sha"], "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +39,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; bytes of a character that was cut in two go with them."""
-    kept = suffix_dedup.remove_repeats(docs).select(F.col("id").alias("doc_id"), F.col("kept"), (F.col("n_removed") > 0).alias("cut"))
-    text = F.when(F.col("cut"), whole_characters(F.col("kept"))).otherwise(F.decode("kept", "utf-8"))
-    rows = docs.drop("text", "n_chars").join(kept.hint("merge"), "doc_id").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
-
-
-def whole_characters(raw) -> F.Column:
-    """The text of bytes, without those that make no character."""
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
+    kept = suffix_dedup.remove_repeats(docs, with_row=True)
+    own = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    return kept.select(*[own.get(c, F.col(f"other.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from castclip.llm import exact_dedup, jaccard_join, language_id, lm_scoring, neighbours, packing, suffix_dedup, tokens, toxicity, warc
+from castclip.llm import bytesets, exact_dedup, jaccard_join, language_id, lm_scoring, neighbours, packing, suffix_dedup, tokens, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long"
 BASE = "the quick brown fox jumps over the lazy dog while seven wizards boil green tea near a quiet harbour at night and nobody asks why"
@@ -60,6 +60,19 @@ def test_exact_classes(docs, none):
     assert exact_dedup.exact_classes(none).count() == 0
 
 
+def test_exact_classes_with_ids_that_repeat(spark, monkeypatch):
+    rows = [(1, "same"), (5, "Same"), (5, "other"), (9, "same"), (None, "SAME"), (None, None), (7, ""), (7, ""), (8, "twin A"), (2, "twin B"), (3, "twin b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted([(1, 9, 4), (5, 9, 4), (5, 5, 1), (9, 9, 4), (-1, 9, 4), (-1, 7, 3), (7, 7, 3), (7, 7, 3), (8, 8, 1), (2, 3, 2), (3, 3, 2)])
+    told = lambda x: sorted((-1 if r["id"] is None else r["id"], r["keep_id"], r["group_size"]) for r in x.collect())
+    assert told(exact_dedup.exact_classes(df)) == want
+    assert told(exact_dedup.exact_classes(df, huge_bytes=3, members=1)) == want
+    # all texts of one length collide
+    plain = exact_dedup.fingerprint
+    monkeypatch.setattr(exact_dedup, "fingerprint", lambda *a: plain(*a).withColumn("fp", F.lit(7).cast("long")))
+    assert told(exact_dedup.exact_classes(df, members=2)) == want
+
+
 def classes():
     sets = {}
     for k, t, *_ in ROWS:
@@ -156,7 +169,7 @@ def test_repeats_are_cut_out(docs, none, length):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-def test_crowded_anchors_are_sorted_in_pairs_of_blocks(spark):
+def test_strings_of_crowded_anchors_are_counted(spark):
     rng = np.random.default_rng(5)
     shared = "".join(rng.choice(list("abcdefgh"), 230))
     rows = [(k, "".join(rng.choice(list("abcdefgh"), 200)) + shared + "".join(rng.choice(list("abcdefgh"), 200))) for k in range(30)]
@@ -169,6 +182,46 @@ def test_crowded_anchors_are_sorted_in_pairs_of_blocks(spark):
     assert {r["n_removed"] >= 230 for r in got} == {True} and max(r["n_removed"] for r in got) < 240
 
 
+def test_repeats_with_ids_that_repeat_and_long_runs(spark):
+    """Rows of one id with other texts, equal rows, no id, and a text of one byte over and over."""
+    rows = [(1, BASE * 2), (1, "x" * 20 + BASE * 2), (1, "short"), (None, BASE * 2 + "y"), (3, "a" * 700), (4, PASSAGE), (4, PASSAGE), (5, "�" + PASSAGE[:150])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    count = Counter(t.encode()[k : k + 200] for _, t in rows for k in range(len(t.encode()) - 199))
+    want = []
+    for i, t in rows:
+        raw = t.encode()
+        gone = np.zeros(len(raw), bool)
+        for k in range(len(raw) - 199):
+            if count[raw[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        want.append((i or 0, len(raw), int(gone.sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+    got = suffix_dedup.remove_repeats(df, with_row=True).collect()
+    assert sorted((r["id"] or 0, r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got) == sorted(want)
+    assert all(r["other"]["doc_id"] == r["id"] for r in got)
+
+
+def test_long_texts_are_taken_in_parts(monkeypatch):
+    """What a long text gives in small parts is what it gives in one."""
+    text = " ".join(np.random.default_rng(8).choice(["ab", "cde", "f", "ghij", "é"], 4000)).encode()
+    data, offs = np.frombuffer(text, np.uint8), np.array([0, 700, 700, len(text)])
+    one, parts = bytesets.word_hashes(data, offs), []
+    for at, part, cuts in bytesets.pieces(data, offs, most=64):
+        s, e, _ = bytesets.words(part, cuts)
+        parts.append((bytesets.span_hashes(part, s, e, bytesets.LOWER_VALUE), s + at, e + at))
+    for k in range(3):
+        assert np.array_equal(np.concatenate([p[k] for p in parts]), one[k])
+    whole = [np.concatenate([np.stack([b, t]) for b, t in language_id.buckets(data, offs, most)], axis=1) for most in (1 << 20, 50)]
+    assert np.array_equal(*[w[:, np.lexsort(w)] for w in whole])
+    plain = data[:0].tobytes() + b"q" * 300 + text[:4000] * 2
+    raw = np.frombuffer(plain, np.uint8)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 100)
+    starts = set()
+    for base, part, cuts in suffix_dedup._windows(raw, np.array([0, len(raw)]), 200):
+        _, _, s, e, _ = suffix_dedup.anchors(part, cuts)
+        starts |= {base + k for x, y in zip(s.tolist(), e.tolist(), strict=True) for k in range(x, y - 199)}
+    assert starts == set(range(len(raw) - 199))
+
+
 def test_packing(docs, none):
     import public_tokenizers as P
 
@@ -221,6 +274,24 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(df.filter("page_id < 0"))).count() == 0
 
 
+def test_warc_salvages_an_archive_that_was_damaged(spark):
+    rows = [(k, f"http://h/{k}", f"<p>{k} é</p>" * 50 + ("x" * 3_000_000 if k == 4 else "")) for k in range(9)] + [(3, "http://again", "<p>3 é</p>" * 50), (None, "http://none", "<p>3 é</p>" * 50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write(df)
+    assert sorted((-1 if r["id"] is None else r["id"], r["kind"], r["refers_to"]) for r in warc.read(manifest).filter("digest = '%s'" % warc.digest(("<p>3 é</p>" * 50).encode())).collect()) == [(-1, "revisit", 3), (3, "response", None), (3, "response", None)]
+    path = manifest.first()["path"].removeprefix("file://")
+    with open(path, "rb") as f:
+        raw = bytearray(f.read())
+    starts = [m.start() for m in __import__("re").finditer(rb"\x1f\x8b\x08\x00", raw)]
+    raw[starts[2] + 60] ^= 0xFF
+    with open(path, "wb") as f:
+        f.write(raw)
+    got = warc.read(manifest).collect()
+    (gap,) = [r for r in got if r["kind"] == "quarantined"]
+    assert gap["at"] == starts[2] and gap["size"] == starts[3] - starts[2] and gap["problem"]
+    assert len(got) == len(rows)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((900, 12))
@@ -249,11 +320,13 @@ def test_language_id(spark, docs, none):
     words = {"aa": ["the", "of", "and", "thing", "other", "ship"], "bb": ["der", "und", "nicht", "schiff", "zeit", "über"]}
     rows = [(k, " ".join(rng.choice(words[lang], 30)), lang) for k, lang in enumerate(["aa", "bb"] * 60)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    tests = spark.createDataFrame([(1, "the other ship and the thing"), (2, "und nicht der zeit über"), (3, None), (4, ""), (5, "12 :-)"), (6, "der " * 9000)], "doc_id long, text string").withColumn("score_", F.lit(1))
+    tests = spark.createDataFrame([(1, "the other ship and the thing"), (2, "und nicht der zeit über"), (3, None), (4, ""), (5, "12 :-)"), (6, "der " * 9000)], "doc_id long, text string").withColumn("score", F.lit("mine")).withColumn("other", F.lit(1))
     got = {r["doc_id"]: r for r in language_id.predict(tests, model).collect()}
     assert [got[k]["lang_pred"] for k in range(1, 7)] == ["aa", "bb", "und", "und", "und", "bb"]
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[3]["rejected"] and not got[6]["rejected"]
+    assert {r["other"] for r in got.values()} == {1}
     untrained = language_id.fit(none)
+    assert {r["rejected"] for r in language_id.predict(tests.filter("doc_id in (1, 6)"), untrained).collect()} == {False}
     assert {r["lang_pred"] for r in language_id.predict(docs, untrained).collect()} == {"und"}
     assert language_id.predict(none, model).count() == 0
 
@@ -293,6 +366,22 @@ def test_lm_scoring(docs, none):
     assert lm_scoring.score(none, F.lit(True)).count() == 0
 
 
+def test_lm_rows_without_ids_of_their_own_and_long_texts(spark):
+    rng = np.random.default_rng(0)
+    words = [f"v{k}" for k in range(300)]
+    rows = [(1, "a rare zebra"), (1, "a rare zebra"), (1, "another text"), (None, "a rare zebra"), (None, "another text")] + [(k, " ".join(rng.choice(words, 30))) for k in range(10, 40)]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()
+    count = Counter(x for _, t in rows for x in [*t.split(), None])
+    n, v = sum(count.values()), len(count)
+    base = lambda t: sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in [*t.split(), None])
+    key = lambda r: (r[0] or 0, r[1], round(r[2], 5))
+    assert sorted(key((r["id"], r["n_known"], r["base_score"])) for r in got) == sorted(key((i, len(t.split()) + 1, base(t))) for i, t in rows)
+    w = lm_scoring.start()
+    ids = [np.append(rng.integers(1, 900, n), 0).astype(np.int16) for n in (3000, 0, 1, 40, 700)] + [np.append(rng.integers(1, 900, 5), 0).astype(np.int16) for _ in range(700)]
+    alone = np.array([lm_scoring.log_likelihoods(w, [x])[0] for x in ids[:20]])
+    assert np.allclose(lm_scoring.log_likelihoods(w, ids)[:20], alone, rtol=1e-5)
+
+
 def test_lm_probabilities_sum_to_one_and_gradients_are_right():
     w = lm_scoring.start().astype(np.float32)
     p = lm_scoring.views(w)
