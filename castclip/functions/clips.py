@@ -19,6 +19,10 @@ HOOKS = [(r"^\?|¿", 3.0), (r"sabías que|lo que nadie te dice", 2.5), (r"error|
 FRAME_RATES = [(23.976, 24000, 1001), (24.0, 24, 1), (25.0, 25, 1), (29.97, 30000, 1001), (30.0, 30, 1), (50.0, 50, 1), (59.94, 60000, 1001), (60.0, 60, 1)]
 
 
+# Fixed value: a name in capitals before a colon.
+SPEAKER_NAME = r"([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s\d]{0,30}):"
+
+
 def srt_time(col: Column) -> Column:
     """Seconds as HH:MM:SS,mmm; milliseconds are cut, not rounded."""
     s = F.floor(col)
@@ -39,9 +43,13 @@ def normalize_text(col: Column) -> Column:
     return F.filter(F.split(F.trim(plain), " "), lambda w: w != "")
 
 
-def viral_categories(hook: Column, topic: Column, reason: Column) -> Column:
-    """Sorted names of the categories of which any word occurs in the texts."""
-    text = F.lower(F.concat_ws(" ", hook, topic, reason))
+def viral_text(hook: Column, topic: Column, reason: Column) -> Column:
+    """What categories are looked for in."""
+    return F.lower(F.concat_ws(" ", hook, topic, reason))
+
+
+def viral_categories(text: Column) -> Column:
+    """Sorted names of the categories of which any word occurs in ``viral_text``; give a column, as each word is looked for in it."""
 
     def hit(words: list[str]) -> Column:
         found = F.lit(False)
@@ -95,7 +103,7 @@ def fps_rational(fps: Column) -> Column:
 
 def script_speakers(text: Column) -> Column:
     """Sorted distinct names that stand, in capitals, before a colon at the start of a line."""
-    names = F.regexp_extract_all(text, F.lit(r"(?m)^([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s\d]{0,30}):"), F.lit(1))
+    names = F.regexp_extract_all(text, F.lit("(?m)^" + SPEAKER_NAME), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(names, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))))
 
 

@@ -26,35 +26,37 @@ def kept_by_overlap(start: np.ndarray, end: np.ndarray, share: float) -> np.ndar
 
 
 def interrupted(cuts: list[tuple], window: float, speakers: int, sub: float, seed: float) -> list[tuple]:
-    """Cuts (speaker, start, end) with each burst dealt anew in pieces of ``sub`` seconds."""
-    if len(cuts) < speakers:
-        return cuts
-    out: list[tuple] = []
-    at = 0
-    while at < len(cuts):
-        begin = cuts[at][1]
-        past = at + 1
-        while past < len(cuts) and cuts[past][2] - begin <= window:
-            past += 1
-        names = sorted({c[0] for c in cuts[at:past]})
-        if len(names) < speakers or past - at < speakers:
-            out.append(cuts[at])
-            at += 1
+    """Cuts (speaker, start, end) with each burst dealt anew in pieces of ``sub`` seconds.
+
+    A burst is a cut and those after it that end within ``window`` seconds of its start, ``speakers`` cuts and names at least."""
+    dealt: list[tuple] = []  # speaker, start, end, whether it was drawn
+    free = 0
+    for first, cut in enumerate(cuts):
+        if first < free:
             continue
-        draw, t, stop = random.Random(seed + begin), begin, cuts[past - 1][2]
-        while t < stop:
-            to, who = min(t + sub, stop), draw.choice(names)
-            if out and out[-1][0] == who:
-                out[-1] = (who, out[-1][1], to)
-            else:
-                out.append((who, t, to))
-            t = to
-        at = past
-    return out
+        later = [c[2] - cut[1] > window for c in cuts[first + 1 :]]
+        burst = cuts[first : first + 1 + (later.index(True) if True in later else len(later))]
+        names = sorted({c[0] for c in burst})
+        if min(len(names), len(burst)) < speakers:
+            dealt.append((*cut, False))
+            continue
+        free = first + len(burst)
+        begin, stop = cut[1], burst[-1][2]
+        draw = random.Random(seed + begin)
+        edges = [*np.arange(begin, stop, sub).tolist(), stop]
+        dealt += [(draw.choice(names), x, y, True) for x, y in zip(edges, edges[1:], strict=False)]
+    # a drawn piece goes to the one before it if that has the same speaker
+    new = [not d[3] or k == 0 or d[0] != dealt[k - 1][0] for k, d in enumerate(dealt)]
+    heads = [k for k, n in enumerate(new) if n]
+    return [(dealt[k][0], dealt[k][1], dealt[past - 1][2]) for k, past in zip(heads, [*heads[1:], len(dealt)], strict=True)]
+
+
+# Texts of clips that fill gaps.
+FILLER = {"topic": "Segmento complementario", "hook": "", "summary": ""}
 
 
 def _filler(start: float, length: float, score: float, why: str) -> dict:
-    return {"start": round(start, 2), "end": round(start + length, 2), "score": score, "topic": "Segmento complementario", "hook": "", "summary": "", "reason": why}
+    return {"start": round(start, 2), "end": round(start + length, 2), "score": score, **FILLER, "reason": why}
 
 
 def _length(k: int, room: float, min_dur: float, max_dur: float) -> int:
@@ -63,44 +65,60 @@ def _length(k: int, room: float, min_dur: float, max_dur: float) -> int:
     return int(min_dur) + xxhash.xxh64_intdigest(str(k).encode()) % (most - int(min_dur) + 1)
 
 
+def _value(m: dict) -> float:
+    return m["score"] or 0.0
+
+
+def _merged(short: list[dict], most: int, min_dur: float, max_dur: float, apart: float = 5.0) -> list[dict]:
+    """At most ``most`` clips, each of two neighbours that are too short alone; none is in two of them."""
+    out: list[dict] = []
+    used = None
+    for a, b in zip(short, short[1:], strict=False):
+        if len(out) < most and a is not used and b["start"] - a["end"] <= apart and min_dur <= b["end"] - a["start"] <= max_dur:
+            why = f"Merge: {a['topic'] or ''} + {b['topic'] or ''}"
+            out.append({**{c: a[c] for c in ("start", "topic", "hook")}, "end": b["end"], "score": max(_value(a), _value(b)), "summary": a["summary"] or b["summary"], "reason": why})
+            used = b
+    return out
+
+
+def _gaps(clips: list[dict], total: float, least: float) -> list[tuple[float, float]]:
+    """Free stretches before, between and after the clips; the outer ones must be longer than ``least``, inner ones as long."""
+    edges = sorted(((m["start"], m["end"]) for m in clips), key=lambda e: e[0])
+    lows, highs = [0.0, *(e for _, e in edges)], [*(s for s, _ in edges), total]
+    size = [hi - lo for lo, hi in zip(lows, highs, strict=True)]
+    outer = (0, len(edges))
+    return [(lows[k], highs[k]) for k, n in enumerate(size) if not edges or n > least or (n == least and k not in outer)]
+
+
+def _fillers(gaps: list[tuple[float, float]], total: float, need: int, min_dur: float, max_dur: float) -> list[dict]:
+    """``need`` clips if there is room: in the gaps, 5 s from one to the next; then at equal steps over the whole."""
+    out: list[dict] = []
+    for at, past in gaps:
+        while len(out) < need and past - at >= min_dur:
+            size = _length(len(out), past - at, min_dur, max_dur)
+            out.append(_filler(at, size, 3.0, "auto-fill"))
+            at += size + 5
+    missing = need - len(out)
+    step = total / (missing + 1)
+    for at in (k * step for k in range(missing)):
+        if total - at >= min_dur:
+            out.append(_filler(at, _length(len(out), total - at, min_dur, max_dur), 2.5, "auto-fill-overlap"))
+    return out
+
+
 def topped_up(own: list[dict], pool: list[dict], min_count: int, max_count: int, floor: float, min_dur: float, max_dur: float) -> list[dict]:
     """Clips of an episode that has too few: short neighbours merged, then gaps filled, then fillers over what is there."""
-    out = list(own)
-    score = lambda m: m["score"] or 0.0
-    short = sorted((m for m in pool if 0 < m["end"] - m["start"] < min_dur and score(m) >= max(0.0, floor - 0.5)), key=lambda m: m["start"])
-    k = 0
-    while k + 1 < len(short) and len(out) < min_count:
-        a, b = short[k], short[k + 1]
-        if b["start"] - a["end"] <= 5.0 and min_dur <= b["end"] - a["start"] <= max_dur:
-            out.append({"start": a["start"], "end": b["end"], "score": max(score(a), score(b)), "topic": a["topic"], "hook": a["hook"], "summary": a["summary"] or b["summary"], "reason": f"Merge: {a['topic'] or ''} + {b['topic'] or ''}"})
-            k += 1
-        k += 1
-    out = sorted(out, key=lambda m: -score(m))[:max_count]
-    total = max((m["end"] for m in pool if m["end"] > 0), default=0.0)
-    if len(out) < min_count and total > 0:
-        edges = sorted(out, key=lambda m: m["start"])
-        gaps = [(0.0, total)] if not edges else []
-        if edges and edges[0]["start"] > min_dur:
-            gaps.append((0.0, edges[0]["start"]))
-        gaps += [(a["end"], b["start"]) for a, b in zip(edges, edges[1:], strict=False) if b["start"] - a["end"] >= min_dur]
-        if edges and total - edges[-1]["end"] > min_dur:
-            gaps.append((edges[-1]["end"], total))
-        made = 0
-        for lo, hi in gaps:
-            at = lo
-            while at + min_dur <= hi and len(out) < min_count:
-                length = _length(made, hi - at, min_dur, max_dur)
-                out.append(_filler(at, length, 3.0, "auto-fill"))
-                made += 1
-                at += length + 5
-        step, at = total / (min_count - len(out) + 1), 0.0
-        while len(out) < min_count and at + min_dur <= total:
-            out.append(_filler(at, _length(made, total - at, min_dur, max_dur), 2.5, "auto-fill-overlap"))
-            made += 1
-            at += step
-    return sorted(sorted(out, key=lambda m: -score(m))[:max_count], key=lambda m: m["start"])
+    best = lambda clips: sorted(clips, key=_value, reverse=True)[:max_count]
+    low = max(0.0, floor - 0.5)
+    short = sorted((m for m in pool if 0 < m["end"] - m["start"] < min_dur and _value(m) >= low), key=lambda m: m["start"])
+    clips = best(own + _merged(short, min_count - len(own), min_dur, max_dur))
+    total = max([0.0, *(m["end"] for m in pool)])
+    if total > 0 and len(clips) < min_count:
+        clips = best(clips + _fillers(_gaps(clips, total, min_dur), total, min_count - len(clips), min_dur, max_dur))
+    return sorted(clips, key=lambda m: m["start"])
 
 
+# Fixed value: a time at the start of a transcript's line.
 STAMP = re.compile(r"\[(\d{2}):(\d{2}):(\d{2})[,.](\d+)")
 
 
@@ -112,36 +130,34 @@ def stamp_seconds(line: str) -> float | None:
 def chunks(lines: list[str], max_chars: int) -> list[str]:
     """Chunks of a transcript of about max_chars: cut after a pause of over 2 s in the last part if there is one; each
     later chunk begins with the end of the one before as context, and with its last stamped lines."""
+    at = [stamp_seconds(x) for x in lines]
+    upto = np.cumsum([0, *map(len, lines)])
+    stamped = lambda some: [k for k in some if at[k] is not None]
     out: list[str] = []
-    held: list[str] = []
-    context = ""
-
-    def text(part: list[str]) -> str:
-        body = "\n".join(part)
-        return f"[Contexto previo: {context}]\n\n{body}" if context else body
-
-    size = 0
-    for line in lines:
-        held.append(line)
-        size += len(line)
-        if size < max_chars:
-            continue
-        n, cut, later = len(held), len(held), None
-        for k in range(int(n * 0.95), max(int(n * 0.5), int(n * 0.6)), -1):
-            t = stamp_seconds(held[k]) if k < n else None
-            if t is None:
-                continue
-            if later is not None and later - t > 2.0:
-                cut = k + 1
-                break
-            later = t
-        part = held[:cut]
-        out.append(text(part))
-        context = " ".join([x for x in part[-10:] if STAMP.search(x)][-3:])[:200]
-        held = [x for x in part[-30:] if STAMP.search(x)] + held[cut:]
-        size = sum(map(len, held))
+    held: list[int] = []  # numbers of the lines of the chunk to come
+    fresh, context = 0, ""
+
+    def put(part: list[int]) -> None:
+        head = f"[Contexto previo: {context}]\n\n" if context else ""
+        out.append(head + "\n".join(lines[k] for k in part))
+
+    while fresh < len(lines):
+        # the first line with which the chunk is large enough
+        wanted = upto[fresh] + max_chars - sum(len(lines[k]) for k in held)
+        past = max(fresh + 1, int(np.searchsorted(upto, wanted)))
+        held, fresh = held + list(range(fresh, min(past, len(lines)))), past
+        if past > len(lines):
+            break
+        n = len(held)
+        late = range(max(int(n * 0.5), int(n * 0.6)) + 1, min(int(n * 0.95), n - 1) + 1)
+        times = [(k, at[held[k]]) for k in late if at[held[k]] is not None]
+        pauses = [k + 1 for (k, t), (_, then) in zip(times, times[1:], strict=False) if then - t > 2.0]
+        cut = pauses[-1] if pauses else n
+        put(held[:cut])
+        context = " ".join(lines[k] for k in stamped(held[:cut][-10:])[-3:])[:200]
+        held = stamped(held[:cut][-30:]) + held[cut:]
     if held:
-        out.append(text(held))
+        put(held)
     return out
 
 
@@ -161,44 +177,58 @@ def simple_chunks(lines: list[str], max_chars: int) -> list[str]:
     return [*out, "\n".join(held)] if held else out
 
 
+def _closeness(first: np.ndarray, words: np.ndarray, places: int) -> np.ndarray:
+    """How well each place's window (of the needle's length and five words) holds the needle: its words, its word pairs, its start."""
+    size = len(first) + 5
+
+    def held(hits: np.ndarray, width: int) -> np.ndarray:
+        """Whether a window of ``width`` from each place on has a hit, from running counts."""
+        count = np.concatenate([[0], np.cumsum(hits)])
+        lo = np.arange(places)
+        return count[np.minimum(lo + width, len(hits))] > count[np.minimum(lo, len(hits))]
+
+    kinds, many = np.unique(first, return_counts=True)
+    found = sum(n * held(words == w, size) for w, n in zip(kinds, many, strict=True))
+    pairs = set(zip(first.tolist(), first[1:].tolist(), strict=False))
+    both = sum((held((words[:-1] == a) & (words[1:] == b), size - 1).astype(int) for a, b in pairs), np.zeros(places, int))
+    return 0.35 * found / len(first) + 0.5 * both / max(1, len(pairs)) + np.where(words[:places] == first[0], 0.15, 0.0)
+
+
 def aligned(blocks: list[list[str]], words: list[str], needle: int = 10) -> list[tuple[int, int]]:
     """(block, word position) of script blocks found in a transcript's words, always forward."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    said = np.array([number[w] for w in words], dtype=np.int64)
     out: list[tuple[int, int]] = []
     last = 0
     for k, own in enumerate(blocks):
-        if len(own) < 2:
-            continue
-        first = own[:needle]
-        pairs = set(zip(first, first[1:], strict=False))
+        first = np.array([number.setdefault(w, len(number)) for w in own[:needle]], dtype=np.int64)
         begin = max(0, last - 50)
-        reach = max(500, int((len(words) - begin) / max(1, len(blocks) - k) * 3))
-        best, where = 0.0, -1
-        for at in range(begin, min(len(words) - len(first), begin + reach)):
-            window = words[at : at + len(first) + 5]
-            near = set(window)
-            score = 0.35 * sum(w in near for w in first) / len(first) + 0.5 * len(pairs & set(zip(window, window[1:], strict=False))) / max(1, len(pairs)) + (0.15 if window[0] == first[0] else 0.0)
-            if score > best:
-                best, where = score, at
-            if score >= 0.75:
-                break
-        if where >= 0 and best >= 0.25:
-            out.append((k, where))
-            last = where + max(len(own) // 2, 5)
+        ahead = max(500, 3 * (len(said) - begin) // max(1, len(blocks) - k))
+        places = min(len(said) - len(first) - begin, ahead)
+        if len(own) < 2 or places <= 0:
+            continue
+        score = _closeness(first, said[begin : begin + places + needle + 5], places)
+        good = np.flatnonzero(score >= 0.75)
+        at = int(good[0] if len(good) else score.argmax())
+        if score[at] >= 0.25:
+            out.append((k, begin + at))
+            last = begin + at + max(len(own) // 2, 5)
     return out
 
 
-def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.stack([((points - c) ** 2).sum(axis=1) for c in centres], axis=1).argmin(axis=1)
-
-
-def lloyd(points: np.ndarray, centres: np.ndarray, rounds: int, atol: float = 1e-4) -> np.ndarray:
+def clustered(points: np.ndarray, centres: np.ndarray, rounds: int, atol: float) -> np.ndarray:
+    """k-means from given centres on the matrix of squared distances; a centre without points stays where it is."""
+    squares = (points**2).sum(axis=1)[:, None]
+    own = lambda c: (squares - 2 * points @ c.T + (c**2).sum(axis=1)).argmin(axis=1)
     for _ in range(rounds):
-        own = nearest(points, centres)
-        new = np.array([points[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
-        if np.allclose(centres, new, atol=atol):
+        member = own(centres)[:, None] == np.arange(len(centres))
+        size = member.sum(axis=0)
+        moved = np.where(size[:, None] > 0, member.T @ points / np.maximum(size, 1)[:, None], centres)
+        still = np.allclose(centres, moved, atol=atol)
+        if still:
             break
-        centres = new
-    return nearest(points, centres)
+        centres = moved
+    return own(centres)
 
 
 def silhouette(points: np.ndarray, own: np.ndarray, most: int) -> float:
@@ -226,17 +256,18 @@ def silhouette(points: np.ndarray, own: np.ndarray, most: int) -> float:
 
 
 def face_clusters(cx: np.ndarray, cy: np.ndarray, max_k: int) -> np.ndarray:
-    """Labels of detections; how many, by silhouette, x counting more than y."""
+    """Labels of detections; how many, by silhouette, x counting more than y. Starts are spread over the width, at the mean height."""
     points = np.column_stack([cx, 0.3 * cy])
-
-    def labels(k: int) -> np.ndarray:
-        line = np.linspace(points[:, 0].min(), points[:, 0].max(), k)
-        return lloyd(points, np.column_stack([line, np.full(k, points[:, 1].mean())]), 20)
-
-    if len(points) < 4:
-        return labels(max(1, min(len(points), max_k)))
-    score = {k: silhouette(points, labels(k), 200) for k in range(2, min(max_k + 1, len(points)))}
-    return labels(max(score, key=lambda k: (score[k], -k)) if score else 2)
+    few = len(points) < 4
+    counts = [max(1, min(len(points), max_k))] if few else range(2, min(max_k + 1, len(points)))
+    best, label = -np.inf, None
+    for k in counts or [2]:
+        spread = points[:, 0].min() + np.ptp(points[:, 0]) * np.arange(k) / max(1, k - 1)
+        own = clustered(points, np.column_stack([spread, np.full(k, points[:, 1].mean())]), 20, 1e-4)
+        score = 0.0 if few else silhouette(points, own, 200)
+        if score > best:
+            best, label = score, own
+    return label
 
 
 def voice_clusters(x: np.ndarray, fixed: int | None, min_k: int, max_k: int) -> np.ndarray:
@@ -251,7 +282,7 @@ def voice_clusters(x: np.ndarray, fixed: int | None, min_k: int, max_k: int) ->
         while len(at) < k:
             at.append(int(far.argmax()))
             far = np.minimum(far, ((x - x[at[-1]]) ** 2).sum(axis=1))
-        return lloyd(x, x[at], 100, 1e-6)
+        return clustered(x, x[at], 100, 1e-6)
 
     if fixed and min_k <= fixed <= max_k:
         return labels(min(fixed, len(x)))
@@ -296,12 +327,9 @@ def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
 
 def greedy_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     """Best positive pair first."""
-    out, r_used, c_used = [], set(), set()
-    for k in np.argsort(-gain, axis=None, kind="stable"):
-        r, c = divmod(int(k), gain.shape[1])
-        if gain[r, c] <= 0:
-            break
-        if r not in r_used and c not in c_used:
-            out.append((r, c))
-            r_used.add(r), c_used.add(c)
+    left, out = gain.astype(float), []
+    while left.size and left.max() > 0:
+        r, c = np.unravel_index(left.argmax(), left.shape)
+        out.append((int(r), int(c)))
+        left[r, :] = left[:, c] = -np.inf
     return sorted(out)

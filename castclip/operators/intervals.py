@@ -38,9 +38,11 @@ def interval_join(left: DataFrame, right: DataFrame, keys=KEYS, closed: bool = F
     met = on(a, b, ["_bin"]).filter(F.col("_bin") == F.greatest(F.floor(F.col("start") / bin), F.floor(F.col("r_start") / bin))).drop("_bin")
     if how == "inner":
         return met
-    names = list(left.columns)
-    alone = left.exceptAll(met.select(*names).distinct())
-    return met.unionByName(alone, allowMissingColumns=True)
+    seen = met.select(*[F.col(c).alias(f"_s_{c}") for c in left.columns]).distinct()
+    same = F.lit(True)
+    for c in left.columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    return met.unionByName(left.join(seen, same, "left_anti"), allowMissingColumns=True)
 
 
 def speaker_at(lines: DataFrame, segments: DataFrame, keys=KEYS, default: str = "SPEAKER_?", bin: float | None = None) -> DataFrame:

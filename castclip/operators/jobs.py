@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.steps import ACTIVE, SERVER_ORDER, UI_ORDER, canonical_step
+from ..functions.steps import ACTIVE, SERVER_ORDER, STEPS, UI_ORDER, canonical_step
 from .intervals import KEYS
 
 
@@ -27,10 +27,18 @@ def validate_job_requests(df: DataFrame) -> DataFrame:
 
 
 def order_jobs(jobs: DataFrame, policy: str = "ui") -> DataFrame:
-    """By state, newest first, then names. policy: ui, or server, which puts states it doesn't know last."""
+    """By state, newest first, then names and id, with each job's position. policy: ui, or server, which puts states it doesn't know last.
+
+    Positions are counted within each state and time, after those of the states and times before."""
     names = UI_ORDER if policy == "ui" else SERVER_ORDER
     place = F.array_position(F.array(*[F.lit(s) for s in names]), F.col("status"))
-    return jobs.orderBy(F.when(place > 0, place).otherwise(99), F.desc("updated_at"), F.lower("project"), F.lower("episode"))
+    rows = jobs.withColumn("_place", F.when(place > 0, place).otherwise(99))
+    group = ["_place", "updated_at"]
+    before = F.sum("_n").over(Window.orderBy("_place", F.desc("updated_at")).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n")).select(F.col("_place").alias("_p"), F.col("updated_at").alias("_u"), F.coalesce(before, F.lit(0)).alias("_b"))
+    own = F.row_number().over(Window.partitionBy(*group).orderBy(F.lower("project"), F.lower("episode"), "id"))
+    rows = rows.join(sizes, F.col("_place").eqNullSafe(F.col("_p")) & F.col("updated_at").eqNullSafe(F.col("_u")))
+    return rows.withColumn("position", F.col("_b") + own).drop("_place", "_p", "_u", "_b").orderBy("position")
 
 
 def live_job(jobs: DataFrame, episodes: DataFrame, keys=KEYS) -> DataFrame:
@@ -49,8 +57,6 @@ def episode_state(episodes: DataFrame, jobs: DataFrame, statuses: DataFrame, art
     written = F.when(F.col("_w").isin("pending", "running", "paused"), "failed").otherwise(F.col("_w"))
     made = F.when(F.col("has_shorts"), "completed").when(F.col("has_transcript"), "transcribed").otherwise("ready")
     state = F.coalesce("job_status", written, made)
-    from ..functions.steps import STEPS
-
     steps = F.array(*[F.lit(s) for s in STEPS])
     done = F.when(state == "completed", steps).when(state == "transcribed", F.slice(steps, 1, 2)).otherwise(F.array().cast("array<string>"))
     return rows.withColumn("status", state).withColumn("steps_completed", done).drop("_w", "job_status")
@@ -71,7 +77,9 @@ def restore_zones(snapshots: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def snapshot_history(snapshots: DataFrame, keys=KEYS) -> DataFrame:
-    return snapshots.orderBy(*keys, F.desc("created_at"), F.desc("id"))
+    """Snapshots of each episode, newest first, with their position."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.desc("id")))
+    return snapshots.withColumn("position", place).orderBy(*keys, "position")
 
 
 def clip_catalog(moments: DataFrame, artifacts: DataFrame, keys=KEYS) -> DataFrame:
@@ -114,6 +122,15 @@ def step_progress(events: DataFrame) -> DataFrame:
     return rows.groupBy("job_id", "step").agg(F.max(F.coalesce("percent", F.lit(0.0))).alias("percent"))
 
 
+def finished_before(progress: DataFrame) -> DataFrame:
+    """``step_progress`` rows with a state: a step before the latest one that a job has come to is done, at 100. For a stream,
+    to be used on the whole result in foreachBatch."""
+    at = F.array_position(F.array(*[F.lit(s) for s in STEPS]), F.col("step"))
+    rows = progress.withColumn("_at", at).withColumn("_last", F.max("_at").over(Window.partitionBy("job_id")))
+    done = F.col("_at") < F.col("_last")
+    return rows.select("job_id", "step", F.when(done, 100.0).otherwise(F.col("percent")).alias("percent"), F.when(done, "done").otherwise("active").alias("state"))
+
+
 def stale_jobs(events: DataFrame, now: Column, limit_sec: float) -> DataFrame:
     """Jobs of which nothing was heard for limit_sec, as failed; the batch form of streaming.stale_jobs_stream."""
     last = events.groupBy("job_id").agg(F.max("occurred_at").alias("last"), F.max_by("step", F.struct("occurred_at", "id")).alias("step"))

@@ -26,7 +26,8 @@ def min_score(m: DataFrame, score: float = MIN_SCORE) -> DataFrame:
 
 def score_moments(m: DataFrame, calibration: str = "current") -> DataFrame:
     """Moments with categories, keyword_score, hook_score, duration_score, base_score and trend_score."""
-    out = m.withColumn("categories", clips.viral_categories(F.col("hook"), F.col("topic"), F.col("reason"))).withColumn("keyword_score", clips.keyword_score(F.col("categories")))
+    out = m.withColumn("_text", clips.viral_text(F.col("hook"), F.col("topic"), F.col("reason")))
+    out = out.withColumn("categories", clips.viral_categories(F.col("_text"))).drop("_text").withColumn("keyword_score", clips.keyword_score(F.col("categories")))
     out = out.withColumn("hook_score", clips.hook_score(F.col("hook"))).withColumn("duration_score", clips.duration_score(F.col("start"), F.col("end"), calibration))
     out = out.withColumn("base_score", F.coalesce(F.col("score").cast("double"), F.lit(5.0)))
     return out.withColumn("trend_score", clips.trend_score(F.col("score"), F.col("keyword_score"), F.col("hook_score"), F.col("duration_score")))
@@ -72,7 +73,7 @@ def dedup_moments(m: DataFrame, share: float = 0.70, keys=KEYS) -> DataFrame:
 
 def enforce_constraints(kept: DataFrame, pool: DataFrame, min_count: int = MIN_COUNT, max_count: int = MAX_COUNT, floor: float = MIN_SCORE, min_dur: float = MIN_DUR, max_dur: float = MAX_DUR, keys=KEYS) -> DataFrame:
     """Valid lengths, at most max_count; episodes short of min_count are topped up: from the pool, by merging short neighbours, by
-    filling gaps. Only those reach the helper; columns: keys, start, end, score, topic, hook, summary, reason."""
+    filling gaps. Only those reach the helper; ``short_episodes`` reports those still short. Columns: keys, start, end, score, topic, hook, summary, reason."""
     keys = list(keys)
     cols = [*keys, "start", "end", "score", "topic", "hook", "summary", "reason"]
     full = recover_moments(cap_moments(valid_moments(kept, min_dur, max_dur), max_count, keys), pool, min_count, max_count, floor, min_dur, max_dur, keys)
@@ -96,6 +97,13 @@ def enforce_constraints(kept: DataFrame, pool: DataFrame, min_count: int = MIN_C
     return cap_rows(enough.unionByName(both.groupBy(*keys).applyInPandas(run, enough.schema)), max_count, keys)
 
 
+def short_episodes(chosen: DataFrame, pool: DataFrame, min_count: int = MIN_COUNT, keys=KEYS) -> DataFrame:
+    """Episodes of the pool that have fewer than min_count clips even so: keys, clips, wanted."""
+    keys = list(keys)
+    count = pool.select(*keys).distinct().join(chosen.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "left")
+    return count.select(*keys, F.coalesce("_n", F.lit(0)).alias("clips"), F.lit(min_count).alias("wanted")).filter("clips < wanted")
+
+
 def cap_rows(m: DataFrame, n: int, keys) -> DataFrame:
     return m.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "start", "end"))).filter(F.col("_r") <= n).drop("_r")
 
@@ -146,9 +154,11 @@ def top_shorts(ranked: DataFrame, k: int, keys=KEYS) -> DataFrame:
 
 def category_rollup(ranked: DataFrame, keys=KEYS, cube: bool = False) -> DataFrame:
     """Clips and summed scores by category and rollup (or cube) of the keys, with the grouping's id."""
-    rows = ranked.withColumn("category", F.explode("categories"))
-    sets = (rows.cube if cube else rows.rollup)("category", *keys)
-    return sets.agg(F.count("*").alias("clips"), F.sum(F.col("trend_score").cast("decimal(12,2)")).cast("double").alias("total"), F.grouping_id().cast("bigint").alias("level"))
+    # summed by the finest groups first: only those are rolled up
+    rows = ranked.filter(F.size("categories") > 0).select(*keys, F.explode("categories").alias("category"), F.col("trend_score").cast("decimal(12,2)").alias("_t"))
+    fine = rows.groupBy("category", *keys).agg(F.count("*").alias("_n"), F.sum("_t").alias("_t"))
+    sets = (fine.cube if cube else fine.rollup)("category", *keys)
+    return sets.agg(F.sum("_n").alias("clips"), F.sum("_t").cast("double").alias("total"), F.grouping_id().cast("bigint").alias("level"))
 
 
 def union_chunk_results(cached: DataFrame, fresh: DataFrame, chunks: DataFrame, keys=KEYS) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import KEYS, attach_zones, overlap_join, speaker_at
+from ..functions.clips import SPEAKER_NAME
+from .intervals import KEYS, attach_zones, interval_join, overlap_join, speaker_at
 
 
 def _islands(rows: DataFrame, by: list[str], new, order: list[str]) -> DataFrame:
@@ -69,14 +70,18 @@ def limit_speakers(segments: DataFrame, n: int = 5, keys=(*KEYS, "moment_idx"))
     """In clips of more than n speakers, cuts of all but the n longest-speaking go to the speaker before them (the first ones
     to the longest-speaking), and equal neighbours become one."""
     keys = list(keys)
-    total = segments.groupBy(*keys, "speaker").agg(F.sum(F.round((F.col("end") - F.col("start")) * 1000).cast("bigint")).alias("s"), F.min(F.struct("start", "seg_idx")).alias("i"))
-    w = Window.partitionBy(*keys)
-    ranked = total.withColumn("_r", F.row_number().over(w.orderBy(F.desc("s"), "i"))).withColumn("_n", F.count("*").over(w)).withColumn("_top", F.first("speaker").over(w.orderBy(F.desc("s"), "i")))
-    rows = segments.join(ranked.select(*keys, "speaker", "_r", "_n", "_top"), [*keys, "speaker"])
-    before = Window.partitionBy(*keys).orderBy("start", "seg_idx").rowsBetween(Window.unboundedPreceding, 0)
-    many = rows.filter(F.col("_n") > n).withColumn("speaker", F.coalesce(F.last(F.when(F.col("_r") <= n, F.col("speaker")), True).over(before), F.col("_top")))
     cols = [*keys, "speaker", "start", "end", "seg_idx"]
-    return rows.filter(F.col("_n") <= n).select(*cols).unionByName(merge_turns(many.select(*cols), keys))
+    # all windows lie within one clip, so the rows are dealt once
+    clip, own = Window.partitionBy(*keys), Window.partitionBy(*keys, "speaker")
+    rows = segments.select(*cols).withColumn("_s", F.sum(F.round((F.col("end") - F.col("start")) * 1000).cast("bigint")).over(own)).withColumn("_i", F.min(F.struct("start", "seg_idx")).over(own))
+    rows = rows.withColumn("_r", F.dense_rank().over(clip.orderBy(F.desc("_s"), "_i"))).withColumn("_top", F.first("speaker").over(clip.orderBy(F.desc("_s"), "_i")))
+    rows = rows.withColumn("_many", F.max("_r").over(clip) > n)
+    before = clip.orderBy("start", "seg_idx").rowsBetween(Window.unboundedPreceding, 0)
+    name = F.coalesce(F.last(F.when(F.col("_r") <= n, F.col("speaker")), True).over(before), F.col("_top"))
+    rows = rows.withColumn("speaker", F.when(F.col("_many"), name).otherwise(F.col("speaker")))
+    rows = _islands(rows, keys, lambda w: ~F.col("_many") | (F.col("speaker") != F.lag("speaker").over(w)), ["start", "seg_idx"])
+    order = F.struct("start", "seg_idx")
+    return rows.groupBy(*keys, "_island").agg(F.first("speaker").alias("speaker"), F.min("start").alias("start"), F.max_by("end", order).alias("end"), F.min("seg_idx").alias("seg_idx")).select(*cols)
 
 
 def split_interruptions(segments: DataFrame, keys=(*KEYS, "moment_idx"), window: float = 5.0, speakers: int = 3, sub: float = 2.0, seed: float = 0.0) -> DataFrame:
@@ -178,8 +183,8 @@ def rotate_speakers(segments: DataFrame, max_speakers: int = 5, pause: float = 2
 def script_blocks(lines: DataFrame, keys=KEYS) -> DataFrame:
     """Blocks of a script: NAME: begins one, lines after it belong to it, [...] goes. Lines: line_no, line."""
     keys = list(keys)
-    name = F.regexp_extract("line", r"^\s*([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s\d]{0,30}):", 1)
-    rows = lines.withColumn("_h", F.trim(name)).withColumn("text", F.trim(F.regexp_replace(F.when(name != "", F.regexp_replace("line", r"^\s*[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\s\d]{0,30}:", "")).otherwise(F.col("line")), r"\[[^\]]*\]", "")))
+    name = F.regexp_extract("line", r"^\s*" + SPEAKER_NAME, 1)
+    rows = lines.withColumn("_h", F.trim(name)).withColumn("text", F.trim(F.regexp_replace(F.when(name != "", F.regexp_replace("line", r"^\s*" + SPEAKER_NAME, "")).otherwise(F.col("line")), r"\[[^\]]*\]", "")))
     w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("block_idx", F.sum((F.col("_h") != "").cast("int")).over(w)).filter("block_idx > 0")
     order = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("line_no", "text"))))
@@ -206,7 +211,8 @@ def split_long_segments(segments: DataFrame, lines: DataFrame, longest: float =
     gaps = lines.withColumn("_n", F.lead("start").over(w)).withColumn("g", F.round(F.col("_n") - F.col("end"), 6)).filter(F.col("g") >= gap).select(*keys, ((F.col("end") + F.col("_n")) / 2).alias("at"), "g")
     long_ = segments.filter(F.col("end") - F.col("start") > longest)
     own = Window.partitionBy(*keys, "seg_idx").orderBy(F.desc("g"), "at")
-    met = long_.join(gaps, keys).filter((F.col("at") > F.col("start")) & (F.col("at") < F.col("end"))).withColumn("_r", F.row_number().over(own))
+    points = gaps.select(*keys, F.col("at").alias("start"), F.col("at").alias("end"), "g")
+    met = interval_join(long_, points, keys, bin=longest).withColumn("at", F.col("r_start")).withColumn("g", F.col("r_g")).withColumn("_r", F.row_number().over(own))
     met = met.filter(F.col("_r") <= F.greatest(F.lit(1), F.floor((F.col("end") - F.col("start")) / longest)) * 2)
     cuts = met.groupBy(*keys, "seg_idx").agg(F.sort_array(F.collect_list("at")).alias("c"), F.max(F.when(F.col("_r") == 1, F.col("at"))).alias("widest"))
     rows = segments.join(cuts, [*keys, "seg_idx"], "left")

@@ -49,7 +49,7 @@ def best_clips(spark: SparkSession, sf_dir: str, top: int = 3) -> DataFrame:
     """The best clips of every episode, and who speaks most in them."""
     good = moments.valid_moments(moments.min_score(_moms(spark, sf_dir)))
     ranked = moments.rank_moments(moments.score_moments(good), K).filter(F.col("rank") <= top)
-    named = turns.dominant_speaker(ranked, _segs(spark, sf_dir), K)
+    named = turns.dominant_speaker(ranked, _segs(spark, sf_dir), K, bin=60.0)
     return named.select("episode_id", "rank", "moment_idx", ms("start"), ms("end"), "trend_score", "dominant_speaker")
 
 
@@ -153,15 +153,12 @@ _STEP_ROWS = ", ".join(f"({k + 1}, '{x}', {steps.SECONDS[x]})" for k, x in enume
 SELECT id, step, CASE WHEN i <= n_completed THEN 'done' WHEN i = n_completed + 1 THEN 'active' ELSE 'pending' END AS state,
   CAST(CASE WHEN i <= n_completed THEN 100 WHEN i = n_completed + 1 THEN least(progress, 100) ELSE 0 END AS BIGINT) AS percent FROM fx_jobs, st""")
 def fn10_step_state(s, d):
-    st = steps.step_state(F.col("status"), F.col("steps"), F.col("current_step"), F.col("steps_completed"))
-    rows = _job(s, d).withColumn("st", st)
-    both = F.arrays_zip(F.col("st"), steps.step_percent(F.col("st"), F.col("pct")).alias("p"))
-    return rows.select("id", F.explode(both).alias("x")).select("id", F.col("x.st.step").alias("step"), F.col("x.st.state").alias("state"), F.col("x.p.percent").alias("percent"))
+    return steps.step_states(_job(s, d), progress="pct").select("id", F.inline("states"))
 
 
 @query("""SELECT id, CAST(CASE WHEN status = 'completed' THEN 100 ELSE floor((n_completed + least(progress, 100) / 100.0) / (CASE WHEN n_completed = 8 THEN 9 ELSE 8 END) * 100 + 0.5) END AS BIGINT) AS percent FROM fx_jobs""")
 def fn11_overall_progress(s, d):
-    return _job(s, d).select("id", steps.overall_progress(*[F.col(c) for c in ("status", "steps", "current_step", "steps_completed", "pct")]).alias("percent"))
+    return steps.overall_progress(_job(s, d), progress="pct").select("id", "percent")
 
 
 @query(f"""WITH st(i, step, secs) AS (VALUES {_STEP_ROWS}), a AS (
@@ -174,8 +171,8 @@ e AS (SELECT *, greatest(spent, floor(coalesce(past, 0) + guess + coalesce(rest,
 SELECT id, CAST(total AS DOUBLE) AS estimated, CAST(CASE WHEN status IN ('running', 'pending', 'paused', 'stopped') THEN greatest(0, total - spent) ELSE 0 END AS DOUBLE) AS remaining FROM e""")
 def fn12_pipeline_eta(s, d):
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    eta = steps.pipeline_eta(*[F.col(c) for c in ("status", "steps", "current_step", "steps_completed", "pct")], none, F.col("pct") * 10, F.lit(None).cast("timestamp"), F.lit("2024-01-01").cast("timestamp"))
-    return _job(s, d).select("id", eta.alias("e")).select("id", "e.estimated", "e.remaining")
+    eta = steps.pipeline_eta(_job(s, d), none, F.col("pct") * 10, F.lit(None).cast("timestamp"), F.lit("2024-01-01").cast("timestamp"), progress="pct")
+    return eta.select("id", "estimated", "remaining")
 
 
 _SCRIPT = "script AS (SELECT episode_id, string_agg(CASE WHEN seg_idx % 3 = 0 THEN replace(speaker, '_', ' ') || ': ' || text ELSE text END, chr(10) ORDER BY seg_idx) AS t FROM fx_segments GROUP BY episode_id)"
@@ -230,7 +227,7 @@ def join2_overlap(s, d):
 
 @query(f"WITH {_OVER}, t AS (SELECT episode_id, moment_idx, md5(string_agg(text, ' ' ORDER BY ss, seg_idx)) AS text_md5 FROM met GROUP BY ALL) SELECT m.episode_id, m.moment_idx, text_md5 FROM fx_moments m LEFT JOIN t USING (episode_id, moment_idx)")
 def join3_cues_in_range(s, d):
-    return intervals.cues_in_range(_moms(s, d), _cues(s, d), K).select("episode_id", "moment_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return intervals.cues_in_range(_moms(s, d), _cues(s, d), K, bin=60.0).select("episode_id", "moment_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(f"""WITH {_OVER} SELECT episode_id, moment_idx, CAST(row_number() OVER (PARTITION BY episode_id, moment_idx ORDER BY ss, seg_idx) AS INTEGER) AS n,
@@ -239,7 +236,7 @@ def join4_sub_srt(s, d):
     return intervals.sub_srt(_moms(s, d), _cues(s, d), K, bin=60.0).select("episode_id", "moment_idx", "n", ms("start_in"), ms("end_in"))
 
 
-_WIN = "wins AS (SELECT episode_id, w, track_id, mad, CAST(floor(w / 100) * 400 AS BIGINT) AS ws, CAST(floor(w / 100) * 400 + 400 AS BIGINT) AS we FROM fx_track_windows WHERE episode_id < 60)"
+_WIN = "wins AS (SELECT episode_id, w, track_id, mad, CAST(floor(w / 100) * 400 AS BIGINT) AS ws, CAST(floor(w / 100) * 400 + 400 AS BIGINT) AS we FROM fx_track_windows)"
 _VOTE = f"{_WIN}, votes AS (SELECT a.episode_id, s.speaker, a.track_id, CAST(sum(mad) AS BIGINT) AS total, count(*) AS n FROM wins a JOIN fx_segments s ON a.episode_id = s.episode_id AND we >= s.start_ms AND ws <= s.end_ms GROUP BY ALL)"
 
 
@@ -389,12 +386,9 @@ def agg1_dominant_speaker(s, d):
 
 
 @query("""WITH a AS (SELECT episode_id, speaker, count(*) AS segments, CAST(sum(end_ms - start_ms) AS BIGINT) AS t FROM fx_segments GROUP BY ALL), b AS (SELECT *, CAST(sum(t) OVER (PARTITION BY episode_id) AS BIGINT) AS al FROM a)
-SELECT episode_id, speaker, segments, t / 1000.0 AS seconds, t * 1000 // al AS share_floor10, CAST(floor(floor(al / 1000.0) / 60) AS BIGINT) AS total_minutes, CAST(CAST(floor(al / 1000.0) AS BIGINT) % 60 AS BIGINT) AS total_seconds FROM b""")
+SELECT episode_id, speaker, segments, t / 1000.0 AS seconds, CAST((t * 2000 + al) // (2 * al) AS DOUBLE) / 10 AS share_pct, CAST(floor(floor(al / 1000.0) / 60) AS BIGINT) AS total_minutes, CAST(CAST(floor(al / 1000.0) AS BIGINT) % 60 AS BIGINT) AS total_seconds FROM b""")
 def agg2_speaker_shares(s, d):
-    out = quality.speaker_shares(_segs(s, d), K)
-    ms_ = F.round(F.col("seconds") * 1000)
-    whole = F.sum(ms_).over(Window.partitionBy("episode_id"))
-    return out.select("episode_id", "speaker", "segments", "seconds", F.floor(ms_ * 1000 / whole).alias("share_floor10"), "total_minutes", "total_seconds")
+    return quality.speaker_shares(_segs(s, d), K).select("episode_id", "speaker", "segments", "seconds", "share_pct", "total_minutes", "total_seconds")
 
 
 @query("""WITH g AS (SELECT *, start_ms - lag(end_ms) OVER (PARTITION BY episode_id ORDER BY start_ms, end_ms) AS gap FROM fx_segments),
@@ -434,15 +428,12 @@ def agg7_lip_matrix_median(s, d):
     return binding.lip_matrix(x, "median", K).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {_VOTE}, r AS (SELECT episode_id, speaker, sum(total) AS al FROM votes GROUP BY ALL)
-SELECT v.episode_id, v.speaker, track_id, CAST(floor(total * 1000 / al) AS BIGINT) AS confidence_floor, total / al < 0.4 AS needs_manual FROM votes v JOIN r USING (episode_id, speaker) WHERE track_id = 1""")
+@query(f"""WITH {_VOTE}, r AS (SELECT episode_id, speaker, CAST(sum(total) AS BIGINT) AS al FROM votes GROUP BY ALL)
+SELECT v.episode_id, v.speaker, track_id, CAST((total * 2000 + al) // (2 * al) AS DOUBLE) / 1000 AS confidence, (total * 2000 + al) // (2 * al) < 400 AS needs_manual FROM votes v JOIN r USING (episode_id, speaker) WHERE track_id = 1""")
 def agg8_binding_confidence(s, d):
     m = binding.vote_matrix(_windows(s, d), _segs(s, d), K, bin=10.0)
     a = m.filter("track_id = 1 and n > 0").select("episode_id", "speaker", "track_id")
-    out = binding.binding_confidence(m, a, keys=K)
-    whole = m.groupBy("episode_id", "speaker").agg(F.sum("total").alias("al"))
-    raw = out.join(m.select("episode_id", "speaker", "track_id", "total"), ["episode_id", "speaker", "track_id"]).join(whole, ["episode_id", "speaker"])
-    return raw.select("episode_id", "speaker", "track_id", F.floor(F.col("total") * 1000 / F.col("al")).alias("confidence_floor"), (F.col("total") / F.col("al") < 0.4).alias("needs_manual"))
+    return binding.binding_confidence(m, a, keys=K)
 
 
 @query("SELECT episode_id, concat('SPEAKER_0', CAST(label AS STRING)) AS speaker, CAST(avg(0.0625 + label * 0.0625) AS DOUBLE) AS cx, CAST(0.125 AS DOUBLE) AS w FROM fx_detections WHERE label < 4 GROUP BY ALL")
@@ -497,9 +488,10 @@ def _slots(s, d):
 @query(f"""WITH {_SLOTS}, g AS (SELECT *, lead(label) OVER (PARTITION BY episode_id ORDER BY label) - label AS dd FROM slots), a AS (SELECT episode_id, count(*) AS b, min(dd) * 0.0625 AS sep FROM g GROUP BY 1), n AS (SELECT episode_id, count(DISTINCT speaker) AS a FROM fx_segments GROUP BY 1),
 j AS (SELECT episode_id, coalesce(n.a, 0) AS a, coalesce(b, 0) AS b, sep FROM n FULL JOIN a USING (episode_id))
 SELECT episode_id, a AS n_speakers, b AS n_face_slots, a = b AND a > 0 AS match, CAST((CASE WHEN a = 0 OR b = 0 OR a <> b THEN 1 ELSE 0 END) + (CASE WHEN sep < 0.08 THEN 1 ELSE 0 END) AS INTEGER) AS n_issues,
-  CASE WHEN a > 0 AND b > 0 AND a = b THEN 0.95 WHEN a > 0 AND b > 0 AND abs(a - b) = 1 THEN 0.7 WHEN a > 0 AND b > 0 THEN 0.4 WHEN a > 0 OR b > 0 THEN 0.5 ELSE 0.2 END AS confidence_score FROM j""")
+  CASE WHEN a > 0 AND b > 0 AND a = b THEN 0.95 WHEN a > 0 AND b > 0 AND abs(a - b) = 1 THEN 0.7 WHEN a > 0 AND b > 0 THEN 0.4 WHEN a > 0 OR b > 0 THEN 0.5 ELSE 0.2 END AS confidence_score,
+  CAST(sep AS DOUBLE) AS min_separation, CASE WHEN a > 0 AND b > 0 AND a = b THEN 'alta' WHEN a > 0 AND b > 0 AND abs(a - b) > 1 THEN 'baja' WHEN a > 0 OR b > 0 THEN 'media' ELSE 'baja' END AS confidence FROM j""")
 def agg13_speaker_coherence(s, d):
-    return quality.speaker_coherence(_segs(s, d), _slots(s, d), K).select("episode_id", "n_speakers", "n_face_slots", "match", F.size("issues").alias("n_issues"), "confidence_score")
+    return quality.speaker_coherence(_segs(s, d), _slots(s, d), K).select("episode_id", "n_speakers", "n_face_slots", "match", F.size("issues").alias("n_issues"), "confidence_score", "min_separation", "confidence")
 
 
 @query(f"""WITH {_SLOTS} SELECT episode_id, count(*) AS n_slots, CAST(0.0313 AS DOUBLE) AS avg_width, round((max(label) - min(label)) * 0.0625, 4) AS spread, CAST(1 + (CASE WHEN (max(label) - min(label)) * 0.0625 < 0.15 AND count(*) > 1 THEN 1 ELSE 0 END) AS INTEGER) AS n_issues FROM slots GROUP BY 1""")
@@ -509,13 +501,15 @@ def agg14_slot_quality(s, d):
 
 @query(f"""WITH {_SLOTS}, g AS (SELECT *, lead(label) OVER (PARTITION BY episode_id ORDER BY label) - label AS dd FROM slots), x AS (SELECT episode_id, count(*) AS b, min(dd) * 0.0625 AS sep, (max(label) - min(label)) * 0.0625 AS spread FROM g GROUP BY 1),
 c AS (SELECT episode_id, count(DISTINCT speaker) AS a, sum(end_ms - start_ms) * 100.0 / (arg_max(end_ms, start_ms) - min(start_ms)) AS cov FROM fx_segments GROUP BY 1)
-SELECT episode_id, CAST((CASE WHEN cov < 70 THEN 1 ELSE 0 END) + (CASE WHEN coalesce(a, 0) = 0 OR coalesce(b, 0) = 0 OR a <> b THEN 1 ELSE 0 END) + (CASE WHEN sep < 0.08 THEN 1 ELSE 0 END) + (CASE WHEN b IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN spread < 0.15 AND b > 1 THEN 1 ELSE 0 END) AS INTEGER) AS n_issues FROM c FULL JOIN x USING (episode_id)""")
+SELECT episode_id, CAST(len(i) AS INTEGER) AS n_issues, array_to_string(i, '; ') AS issues FROM (SELECT episode_id, list_filter([CASE WHEN cov < 70 THEN 'low coverage' END,
+  CASE WHEN coalesce(a, 0) = 0 THEN 'no speakers in the script' WHEN coalesce(b, 0) = 0 THEN 'no face slots' WHEN a <> b THEN 'speaker mismatch' END, CASE WHEN sep < 0.08 THEN 'slots too close' END,
+  CASE WHEN spread < 0.15 AND b > 1 THEN 'slots close together' END, CASE WHEN b IS NOT NULL THEN 'small faces' END], lambda v: v IS NOT NULL) AS i FROM c FULL JOIN x USING (episode_id))""")
 def agg15_validation_report(s, d):
     segs, slots = _segs(s, d), _slots(s, d)
-    return quality.validation_report(quality.transcript_coverage(segs, K), quality.speaker_coherence(segs, slots, K), quality.slot_quality(slots, K), K).select("episode_id", "n_issues")
+    return quality.validation_report(quality.transcript_coverage(segs, K), quality.speaker_coherence(segs, slots, K), quality.slot_quality(slots, K), K).select("episode_id", "n_issues", F.array_join("issues", "; ").alias("issues"))
 
 
-@query("""WITH m AS (SELECT episode_id, count(*) AS shorts FROM fx_moments WHERE moment_idx % 50 = 0 GROUP BY 1), a AS (SELECT episode_id, count(*) FILTER (n_completed = 8) AS exported, bool_or(n_completed = 2) AS has_transcript FROM fx_jobs WHERE id % 40 = 1 GROUP BY 1)
+@query("""WITH m AS (SELECT episode_id, count(*) AS shorts FROM fx_moments GROUP BY 1), a AS (SELECT episode_id, count(*) FILTER (n_completed = 8) AS exported, bool_or(n_completed = 2) AS has_transcript FROM fx_jobs GROUP BY 1)
 SELECT episode_id, coalesce(shorts, 0) AS shorts, coalesce(has_transcript, false) AS has_transcript, CAST(coalesce(exported, 0) AS BIGINT) AS exported, CASE WHEN shorts > 0 THEN floor(least(coalesce(exported, 0), shorts) * 1000.0 / shorts + 0.5) / 10 ELSE 0 END AS export_pct FROM m FULL JOIN a USING (episode_id)""")
 def agg16_episode_counts(s, d):
     a = view(s, d, "fx_jobs").select("episode_id", F.when(F.col("n_completed") == 8, "final").when(F.col("n_completed") == 2, "transcript").otherwise("other").alias("kind"))
@@ -554,10 +548,10 @@ def win2_merge_turns(s, d):
     return turns.merge_turns(turns.clipped_turns(_moms(s, d), _segs(s, d), K, 60.0), ["episode_id", "moment_idx"]).select("episode_id", "moment_idx", "speaker", ms("start"), ms("end"))
 
 
-@query(f"WITH {_TURNS}, n AS (SELECT episode_id, moment_idx, string_agg(speaker || '@' || start_ms, ' ' ORDER BY start_ms, seg_idx) AS t FROM tu GROUP BY ALL) SELECT m.episode_id, m.moment_idx, coalesce(t, '') AS turns FROM fx_moments m LEFT JOIN n USING (episode_id, moment_idx)")
+@query(f"WITH {_TURNS}, n AS (SELECT episode_id, moment_idx, string_agg(speaker || '@' || start_ms || '-' || end_ms, ' ' ORDER BY start_ms, seg_idx) AS t FROM tu GROUP BY ALL) SELECT m.episode_id, m.moment_idx, coalesce(t, '') AS turns FROM fx_moments m LEFT JOIN n USING (episode_id, moment_idx)")
 def win3_speaker_turns(s, d):
     out = turns.speaker_turns(_moms(s, d), _segs(s, d), K, 60.0)
-    return out.select("episode_id", "moment_idx", F.array_join(F.transform("speaker_turns", lambda t: F.concat(t["speaker"], F.lit("@"), F.round(t["start"] * 1000).cast("bigint").cast("string"))), " ").alias("turns"))
+    return out.select("episode_id", "moment_idx", F.array_join(F.transform("speaker_turns", lambda t: F.concat(t["speaker"], F.lit("@"), F.round(t["start"] * 1000).cast("bigint").cast("string"), F.lit("-"), F.round(t["end"] * 1000).cast("bigint").cast("string"))), " ").alias("turns"))
 
 
 def _absorbed(limit: int) -> str:
@@ -611,10 +605,10 @@ def win10_smooth_labels(s, d):
 
 @query("""WITH x AS (SELECT episode_id, seg_idx, CAST(floor(seg_idx / 3.0) % 3 AS INTEGER) AS label, start_ms AS t, max(end_ms) OVER (PARTITION BY episode_id) AS dur FROM fx_segments),
 n AS (SELECT *, CASE WHEN label = lag(label) OVER w AND t - (lag(t) OVER w + 1500) < 2250 THEN 0 ELSE 1 END AS nn FROM x WINDOW w AS (PARTITION BY episode_id ORDER BY seg_idx)), g AS (SELECT *, sum(nn) OVER (PARTITION BY episode_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING) AS gg FROM n)
-SELECT episode_id, 'SPEAKER_0' || any_value(label) AS speaker, CAST(floor((min(t) + 5) / 10.0) AS BIGINT) AS start_cs FROM g GROUP BY episode_id, gg HAVING least(max(t) + 1500, any_value(dur)) - min(t) >= 500""")
+SELECT episode_id, 'SPEAKER_0' || any_value(label) AS speaker, CAST(floor((min(t) + 5) / 10.0) AS BIGINT) AS start_cs, CAST(floor((least(max(t) + 1500, any_value(dur)) + 5) / 10.0) AS BIGINT) AS end_cs FROM g GROUP BY episode_id, gg HAVING least(max(t) + 1500, any_value(dur)) - min(t) >= 500""")
 def win11_windows_to_segments(s, d):
     x = _segs(s, d).select("episode_id", F.col("seg_idx").alias("win_idx"), F.col("start").alias("t"), (F.floor(F.col("seg_idx") / 3) % 3).cast("int").alias("label"), F.max("end").over(Window.partitionBy("episode_id")).alias("duration"))
-    return turns.windows_to_segments(x, keys=K).select("episode_id", "speaker", F.floor((ms("start") + 5) / 10).alias("start_cs"))
+    return turns.windows_to_segments(x, keys=K).select("episode_id", "speaker", F.floor((ms("start") + 5) / 10).alias("start_cs"), F.floor((ms("end") + 5) / 10).alias("end_cs"))
 
 
 @query(f"WITH {_SCORED} SELECT episode_id, moment_idx, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY trend100 DESC, start_ms, moment_idx) AS INTEGER) AS rank FROM trend")
@@ -657,6 +651,13 @@ def win20_calibration_samples(s, d):
     return binding.calibration_samples(_segs(s, d), keys=K).select("episode_id", "speaker", "seg_idx", "k", F.floor(F.round(F.col("t") * 1000, 3)).alias("t_floor"))
 
 
+@query("""SELECT episode_id, count(*) FILTER (score10 >= 95 AND end_ms - start_ms BETWEEN 100000 AND 180000) AS clips, 60 AS wanted FROM fx_moments GROUP BY 1 HAVING clips < 60""")
+def win18_short_episodes(s, d):
+    m = _moms(s, d)
+    kept = moments.valid_moments(moments.min_score(m, 9.5), 100.0)
+    return moments.short_episodes(kept, m, 60, K)
+
+
 @query("""WITH r AS (SELECT *, end_ms - start_ms AS dd, row_number() OVER (PARTITION BY episode_id, speaker ORDER BY end_ms - start_ms DESC, start_ms, seg_idx) AS r FROM fx_segments),
 t AS (SELECT *, unnest(CASE WHEN dd >= 60000 THEN [15.0, 15 + 70 / 3.0, 15 + 140 / 3.0, 85] WHEN dd >= 20000 THEN [15.0, 85] ELSE [50.0] END) AS f FROM r WHERE r <= 15), n AS (SELECT *, row_number() OVER (PARTITION BY episode_id, speaker ORDER BY r, f) AS n FROM t)
 SELECT episode_id, speaker, CAST(n AS INTEGER) AS n, CAST(floor(round(start_ms + dd * f / 100, 3) / 10) AS BIGINT) AS t_cs FROM n WHERE n <= 15""")
@@ -739,9 +740,9 @@ def win31_assign_speakers(s, d):
 
 
 # sorts, sets, projections, texts -----------------------------------------------------------------
-@query("SELECT id, status, CAST(row_number() OVER (ORDER BY CASE status WHEN 'running' THEN 1 WHEN 'paused' THEN 2 WHEN 'pending' THEN 3 WHEN 'awaiting_export' THEN 4 WHEN 'stopped' THEN 5 WHEN 'failed' THEN 6 WHEN 'completed' THEN 7 ELSE 8 END, updated_at DESC, episode_id, id) AS BIGINT) > 0 AS placed FROM fx_jobs")
+@query("SELECT id, status, CAST(row_number() OVER (ORDER BY CASE status WHEN 'running' THEN 1 WHEN 'paused' THEN 2 WHEN 'pending' THEN 3 WHEN 'awaiting_export' THEN 4 WHEN 'stopped' THEN 5 WHEN 'failed' THEN 6 WHEN 'completed' THEN 7 ELSE 8 END, updated_at DESC, 'ep' || CAST(episode_id AS STRING), id) AS BIGINT) AS position FROM fx_jobs")
 def srt1_order_jobs(s, d):
-    return jobs.order_jobs(_project(view(s, d, "fx_jobs"))).select("id", "status", F.lit(True).alias("placed"))
+    return jobs.order_jobs(_project(view(s, d, "fx_jobs"))).select("id", "status", "position")
 
 
 @query("SELECT episode_id, moment_idx, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY start_ms, moment_idx) AS INTEGER) AS position FROM fx_moments")
@@ -754,9 +755,9 @@ def srt4_top_shorts(s, d):
     return moments.top_shorts(moments.score_moments(_moms(s, d)), 50, K).select("episode_id", "moment_idx", "trend_score")
 
 
-@query("SELECT episode_id, id FROM fx_jobs")
+@query("SELECT episode_id, id, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY updated_at DESC, id DESC) AS INTEGER) AS position FROM fx_jobs")
 def srt5_snapshot_history(s, d):
-    return jobs.snapshot_history(_snaps(s, d), K).select("episode_id", "id")
+    return jobs.snapshot_history(_snaps(s, d), K).select("episode_id", "id", "position")
 
 
 @query("SELECT episode_id, moment_idx % 7 AS chunk_idx, moment_idx FROM fx_moments WHERE (moment_idx % 3 = 0 AND moment_idx % 7 < 5) OR moment_idx % 3 = 1")
@@ -854,14 +855,45 @@ def src3_artifact_round_trip(s, d):
     return io.parse_artifact(rows, "speaker_segments", K).select("episode_id", F.col("idx").cast("bigint").alias("idx"), "speaker", ms("start"))
 
 
-@query("SELECT episode_id, moment_idx % 50 AS chunk_idx, count(*) FILTER (moment_idx % 50 % 7 <> 0) AS moments, CAST(max(CASE WHEN moment_idx % 50 % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS rejected FROM fx_moments GROUP BY ALL")
+def _kept(s) -> str:
+    """A new folder that all tasks can write to."""
+    import tempfile
+    import uuid
+
+    root = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/catalog-{uuid.uuid4().hex}"
+
+
+@query("SELECT id, CAST(n_completed AS INTEGER) AS done, CAST(CASE WHEN n_completed > 0 THEN 'download' END AS STRING) AS first, 9 AS planned FROM fx_jobs")
+def src4_read_jobs(s, d):
+    path = _kept(s)
+    _job(s, d).select("id", F.to_json("steps").alias("steps"), F.to_json("steps_completed").alias("steps_completed")).write.parquet(path)
+    return io.read_jobs(s, path).select("id", F.size("steps_completed").alias("done"), F.get("steps_completed", F.lit(0)).alias("first"), F.size("steps").alias("planned"))
+
+
+@query("SELECT 'project=P' AS project, 'episode=Ep' || episode_id AS episode, CAST(1 AS BIGINT) AS files FROM fx_segments GROUP BY episode_id")
+def src6_read_artifacts(s, d):
+    path = _kept(s)
+    io.write_artifact(_project(_segs(s, d)).repartition("project", "episode"), path)
+    return io.read_artifacts(s, path).filter("length > 0 and episode like 'episode=%'").groupBy("project", "episode").agg(F.count("*").alias("files"))
+
+
+@query("SELECT episode_id, seg_idx, CASE WHEN episode_id % 2 = 0 THEN 'new' ELSE speaker END AS speaker FROM fx_segments")
+def src7_write_artifact(s, d):
+    path, rows = _kept(s), _project(_segs(s, d))
+    io.write_artifact(rows, path)
+    io.write_artifact(rows.filter("episode_id % 2 = 0").withColumn("speaker", F.lit("new")), path)
+    return s.read.parquet(path).select("episode_id", "seg_idx", "speaker")
+
+
+@query("SELECT episode_id, moment_idx % 50 AS chunk_idx, count(*) FILTER (moment_idx % 50 % 7 <> 0) AS moments, CAST(coalesce(sum(start_ms) FILTER (moment_idx % 50 % 7 <> 0), 0) AS BIGINT) AS starts, CAST(coalesce(sum(score10) FILTER (moment_idx % 50 % 7 <> 0), 0) AS BIGINT) AS scores, CAST(max(CASE WHEN moment_idx % 50 % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS rejected FROM fx_moments GROUP BY ALL")
 def src5_parse_model_responses(s, d):
     c = _moms(s, d).withColumn("chunk_idx", F.col("moment_idx") % 50)
     body = F.to_json(F.collect_list(F.struct("start", "end", "score", "topic", "hook", "summary", "reason")))
     r = c.groupBy("episode_id", "chunk_idx").agg(F.concat(F.lit("Here:\n"), F.when(F.col("chunk_idx") % 7 == 0, F.lit("[{broken")).otherwise(body), F.lit("\nEnd")).alias("response"))
     good, bad = io.parse_model_responses(r, K)
-    n = good.groupBy("episode_id", "chunk_idx").agg(F.count("*").alias("moments"), F.lit(0).cast("bigint").alias("rejected"))
-    return n.unionByName(bad.select("episode_id", "chunk_idx", F.lit(0).cast("bigint").alias("moments"), F.lit(1).cast("bigint").alias("rejected")))
+    n = good.groupBy("episode_id", "chunk_idx").agg(F.count("*").alias("moments"), F.sum(ms("start")).alias("starts"), F.sum(F.round(F.col("score") * 10).cast("bigint")).alias("scores"), F.lit(0).cast("bigint").alias("rejected"))
+    return n.unionByName(bad.select("episode_id", "chunk_idx", *[F.lit(0).cast("bigint").alias(c) for c in ("moments", "starts", "scores")], F.lit(1).cast("bigint").alias("rejected")))
 
 
 @query("""WITH o AS (SELECT *, row_number() OVER w AS clip, coalesce(sum(end_ms - start_ms) OVER (PARTITION BY episode_id ORDER BY CASE WHEN moment_idx % 3 = 0 THEN moment_idx ELSE 10000 END, start_ms, moment_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM fx_moments WINDOW w AS (PARTITION BY episode_id ORDER BY CASE WHEN moment_idx % 3 = 0 THEN moment_idx ELSE 10000 END, start_ms, moment_idx))
@@ -890,11 +922,11 @@ def src13_resolve_moments(s, d):
 
 
 @query(f"""WITH {_TURNS}, n AS (SELECT episode_id, moment_idx, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS sp FROM tu GROUP BY ALL)
-SELECT m.episode_id, CAST(row_number() OVER (PARTITION BY m.episode_id ORDER BY start_ms, moment_idx) AS INTEGER) AS short_index, topic AS title, (end_ms - start_ms) / 1000.0 AS duration, coalesce(sp, '') AS speakers, 'rerun' AS snapshot_reason FROM fx_moments m LEFT JOIN n USING (episode_id, moment_idx)""")
+SELECT m.episode_id, CAST(row_number() OVER (PARTITION BY m.episode_id ORDER BY start_ms, moment_idx) AS INTEGER) AS short_index, topic AS title, start_ms, end_ms, score10, (end_ms - start_ms) / 1000.0 AS duration, coalesce(sp, '') AS speakers, 'rerun' AS snapshot_reason FROM fx_moments m LEFT JOIN n USING (episode_id, moment_idx)""")
 def src14_snapshot_moments(s, d):
     m = turns.speaker_turns(_moms(s, d), _segs(s, d), K, 60.0).withColumn("rank", F.lit(None).cast("int"))
     out = io.snapshot_moments(m, _zones(s, d), "rerun", F.lit("2024-01-01").cast("timestamp"), K)
-    return out.select("episode_id", "short_index", "title", "duration", F.array_join("speakers", ",").alias("speakers"), "snapshot_reason")
+    return out.select("episode_id", "short_index", "title", ms("start"), ms("end"), F.round(F.col("score") * 10).cast("bigint").alias("score10"), "duration", F.array_join("speakers", ",").alias("speakers"), "snapshot_reason")
 
 
 # streaming rules on tables, and the scorer -------------------------------------------------------
@@ -903,12 +935,15 @@ def str1_job_state(s, d):
     return jobs.job_state(view(s, d, "fx_job_events")).select("job_id", "current_step", "progress")
 
 
-@query("SELECT job_id, CASE step WHEN 'face_track' THEN 'face_positions' WHEN 'guion' THEN 'analyze' ELSE step END AS step, max(coalesce(percent, 0)) AS percent FROM fx_job_events WHERE step <> 'done' GROUP BY ALL")
+@query("""WITH p AS (SELECT job_id, CASE step WHEN 'face_track' THEN 'face_positions' WHEN 'guion' THEN 'analyze' ELSE step END AS step, max(coalesce(percent, 0)) AS percent,
+  CASE any_value(step) WHEN 'download' THEN 1 WHEN 'transcribe' THEN 2 WHEN 'face_track' THEN 4 ELSE 6 END AS i FROM fx_job_events WHERE step <> 'done' GROUP BY ALL), l AS (SELECT *, i < max(i) OVER (PARTITION BY job_id) AS d FROM p)
+SELECT job_id, step, CASE WHEN d THEN 100 ELSE percent END AS percent, CASE WHEN d THEN 'done' ELSE 'active' END AS state FROM l""")
 def str2_step_progress(s, d):
-    return jobs.step_progress(view(s, d, "fx_job_events"))
+    return jobs.finished_before(jobs.step_progress(view(s, d, "fx_job_events")))
 
 
-@query("SELECT job_id, nullif(arg_max(coalesce(percent, -1), (occurred_at, id)), -1) AS percent, bool_or(step = 'done') AS ended FROM fx_job_events GROUP BY job_id, floor(epoch(occurred_at) / 3600)")
+@query("""WITH e AS (SELECT *, min(CASE WHEN step = 'done' THEN (occurred_at, id) END) OVER (PARTITION BY job_id) AS stop FROM fx_job_events), x AS (SELECT * FROM e WHERE stop IS NULL OR (occurred_at, id) <= stop)
+SELECT job_id, nullif(arg_max(coalesce(percent, -1), (occurred_at, id)), -1) AS percent, bool_or(step = 'done') AS ended FROM x GROUP BY job_id, floor(epoch(occurred_at) / 3600)""")
 def str3_throttle(s, d):
     return streams.throttle_stream(view(s, d, "fx_job_events"), "1 hour").select("job_id", "percent", "ended")
 
@@ -940,10 +975,10 @@ def str7_stale_jobs(s, d):
 
 
 @query("""WITH l AS (SELECT job_id, CASE WHEN id % 3 = 0 THEN 'paused' ELSE 'running' END AS status, occurred_at, lead(occurred_at) OVER (PARTITION BY job_id ORDER BY occurred_at, id) AS n FROM fx_job_events)
-SELECT job_id, CAST(floor(sum(floor(epoch(n))) - sum(floor(epoch(occurred_at)))) AS BIGINT) / 60 >= 0 AS ran FROM l WHERE status = 'running' AND n IS NOT NULL GROUP BY 1""")
+SELECT job_id, CAST((CAST(sum(epoch_us(n) // 1000 - epoch_us(occurred_at) // 1000) AS BIGINT) + 50) // 100 AS DOUBLE) / 10 AS elapsed_seconds FROM l WHERE status = 'running' AND n IS NOT NULL GROUP BY 1""")
 def str8_active_elapsed(s, d):
     log = view(s, d, "fx_job_events").select("job_id", "id", F.when(F.col("id") % 3 == 0, "paused").otherwise("running").alias("status"), "occurred_at")
-    return jobs.active_elapsed(log).select("job_id", (F.col("elapsed_seconds") >= 0).alias("ran"))
+    return jobs.active_elapsed(log).select("job_id", "elapsed_seconds")
 
 
 @query("SELECT id, step FROM fx_job_events")
@@ -959,9 +994,10 @@ def udf1_score_chunks(s, d):
     return io.parse_model_responses(got, K)[0].select("episode_id", "chunk_idx", "moment_idx", ms("start"), ms("end"), "score")
 
 
-@query("SELECT episode_id, moment_idx, CAST(score10 AS DOUBLE) / 10 AS r1 FROM fx_moments")
+@query("SELECT episode_id, moment_idx, round_even(CAST(moment_idx * 31 + score10 AS DOUBLE) / 64, 2) AS r2 FROM fx_moments")
 def udf3_py_round(s, d):
-    return _moms(s, d).select("episode_id", "moment_idx", clips.py_round(F.col("score"), 1).alias("r1"))
+    # 64ths are exact in binary and hold true ties
+    return _moms(s, d).select("episode_id", "moment_idx", clips.py_round((F.col("moment_idx") * 31 + F.col("score10")) / F.lit(64.0), 2).alias("r2"))
 
 
 # Columns that SQL makes decimals of.

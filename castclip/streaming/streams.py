@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.intervals import KEYS
 from ..operators.jobs import job_state, step_progress
@@ -29,10 +30,72 @@ def latest(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def throttle_stream(events: DataFrame, every: str = "300 milliseconds", delay: str = "10 seconds") -> DataFrame:
-    """The last event of each job in each window; a job's feed ends with its ``done``."""
-    rows = events.withWatermark("occurred_at", delay).groupBy("job_id", F.window("occurred_at", every))
-    order = F.struct("occurred_at", "id")
-    return rows.agg(F.max_by("step", order).alias("step"), F.max_by("percent", order).alias("percent"), F.bool_or(F.col("step") == "done").alias("ended")).select("job_id", F.col("window.start").alias("at"), "step", "percent", "ended")
+    """The last event of each job in each window; a job's feed ends with its ``done``, which comes out at once in a stream.
+
+    A stream keeps of each job the event that waits and whether the feed has ended, the latter for a day."""
+    if not events.isStreaming:
+        order = F.struct("occurred_at", "id")
+        end = F.min(F.when(F.col("step") == "done", order)).over(Window.partitionBy("job_id"))
+        rows = events.withColumn("_end", end).filter(F.col("_end").isNull() | (order <= F.col("_end"))).groupBy("job_id", F.window("occurred_at", every))
+        return rows.agg(F.max_by("step", order).alias("step"), F.max_by("percent", order).alias("percent"), F.bool_or(F.col("step") == "done").alias("ended")).select("job_id", F.col("window.start").alias("at"), "step", "percent", "ended")
+
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    import pandas as pd
+
+    size = int(pd.Timedelta(every).total_seconds() * 1000)
+
+    def run(key, batches, state):
+        ended, at, step, percent = state.get if state.exists else (False, -1, None, None)
+        out = []
+        put = lambda: out.append((key[0], pd.Timestamp(at * size, unit="ms"), step, percent, ended))
+        if state.hasTimedOut:
+            if ended:
+                state.remove()
+                return
+            put()
+            at = -1
+        else:
+            rows = pd.concat(list(batches)).sort_values(["occurred_at", "id"])
+            for t, name, p in zip(rows["occurred_at"].astype("datetime64[ms]").astype("int64"), rows["step"], rows["percent"], strict=True):
+                if ended or t // size < at:
+                    continue
+                if at >= 0 and t // size > at:
+                    put()
+                at, step, percent = t // size, name, None if p is None or p != p else float(p)
+                if name == "done":
+                    ended = True
+                    put()
+        state.update((ended, at, step, percent))
+        if ended:
+            state.setTimeoutTimestamp(max((at + 1) * size, state.getCurrentWatermarkMs()) + 86_400_000)
+        elif at >= 0:
+            state.setTimeoutTimestamp(max((at + 1) * size, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["job_id", "at", "step", "percent", "ended"])
+
+    rows = events.withWatermark("occurred_at", delay).select("job_id", "id", "step", "percent", "occurred_at")
+    kind = f"job_id {events.schema['job_id'].dataType.simpleString()}, at timestamp, step string, percent double, ended boolean"
+    return rows.groupBy("job_id").applyInPandasWithState(run, kind, "ended boolean, at long, step string, percent double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries drop for being later than the watermark, by query id. Add it with ``spark.streams.addListener``."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+        self.dropped[str(event.progress.id)] = self.dropped.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def rms_stream(samples: DataFrame, every: str = "400 milliseconds", silence: float = 0.005, delay: str = "10 seconds", keys=KEYS) -> DataFrame:
@@ -54,7 +117,7 @@ def speech_sessions(labelled: DataFrame, gap: str = "3750 milliseconds", delay:
 
 
 def dedup_events(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Each event once, by id, within the watermark; in a batch, once at all."""
+    """Each event once, by id, within the watermark; in a batch, once at all. ``LateRows`` counts what comes too late."""
     return events.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["id"]) if events.isStreaming else events.dropDuplicates(["id"])
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from castclip.functions import clips, steps
 
-JOB = "status string, steps array<string>, current string, progress double, done array<string>"
+JOB = "status string, steps array<string>, current_step string, progress double, steps_completed array<string>"
 
 
 def test_times(spark):
@@ -51,10 +51,8 @@ def test_old_step_names(spark, name, wanted):
 
 def job(spark, status="running", planned=None, current=None, progress=0.0, done=()):
     df = spark.createDataFrame([(status, planned or steps.STEPS, current, progress, list(done))], JOB)
-    args = [F.col(c) for c in ("status", "steps", "current", "done")]
-    states = df.withColumn("s", steps.step_state(*args))
-    r = states.select("s", steps.step_percent(F.col("s"), F.col("progress")).alias("p"), steps.overall_progress(*args, F.col("progress")).alias("o")).first()
-    return dict(map(tuple, r["s"])), dict(map(tuple, r["p"])), r["o"]
+    states = steps.step_states(df).first()["states"]
+    return {x["step"]: x["state"] for x in states}, {x["step"]: x["percent"] for x in states}, steps.overall_progress(df).first()["percent"]
 
 
 def test_step_states(spark):
@@ -77,7 +75,7 @@ def test_overall_progress(spark):
 
 def test_eta(spark):
     df = spark.createDataFrame([("running", steps.STEPS, "transcribe", 50.0, ["download"], {"download": 300.0}, 1000.0)], JOB + ", d map<string,double>, e double")
-    got = df.select(steps.pipeline_eta(*[F.col(c) for c in ("status", "steps", "current", "done", "progress", "d", "e")], F.lit(None).cast("timestamp"), F.current_timestamp()).alias("x")).first()["x"]
+    got = steps.pipeline_eta(df, F.col("d"), F.col("e"), F.lit(None).cast("timestamp"), F.current_timestamp()).first()
     # download took 300, the active step 700 at half way, the others up to export as usual
     assert (got["active_step"], got["elapsed"], got["estimated"]) == ("transcribe", 1000.0, 300 + 1400 + 120 + 40 + 60 + 210 + 600 + 30)
     assert got["remaining"] == got["estimated"] - 1000

@@ -28,6 +28,14 @@ def test_touching_intervals(spark):
     assert intervals.interval_join(a, a, K, closed=True, bin=10.0).count() == 4
 
 
+def test_rows_that_occur_twice_and_meet_are_not_left_alone(spark):
+    left = spark.createDataFrame([(1, None, 0.0, 5.0), (1, None, 0.0, 5.0), (1, 3, 90.0, 95.0), (1, 3, 90.0, 95.0)], "ep long, a long, start double, end double")
+    right = spark.createDataFrame([(1, 1.0, 2.0)], "ep long, start double, end double")
+    for size in (None, 7.0):
+        got = intervals.interval_join(left, right, K, bin=size, how="left").select("a", "r_start").collect()
+        assert sorted(map(tuple, got), key=str) == [(3, None), (3, None), (None, 1.0), (None, 1.0)]
+
+
 def test_bins_change_nothing(spark):
     rng = random.Random(4)
     make = lambda n: [(rng.randrange(3), k, float(s := rng.randrange(200)), float(s + rng.randrange(1, 60))) for k in range(n)]
@@ -184,7 +192,53 @@ def test_alignment_goes_forward(spark):
     assert found == [(0, 0), (2, 40)]
     b = spark.createDataFrame([(1, 0, "A", "Uno, dos; tres cuatro cinco")], "ep long, block_idx long, speaker string, text string")
     t = spark.createDataFrame([(1, 7, "nada por aquí"), (1, 8, "uno dos tres cuatro cinco y así sigue la cosa por un buen rato más que nada")], "ep long, seg_idx long, text string")
-    assert rows(quality.align_script(b, t, K), "block_idx", "speaker", "seg_idx") == [(0, "A", 8)]
+    # the first window that holds all of the needle begins in the line before
+    assert rows(quality.align_script(b, t, K), "block_idx", "speaker", "seg_idx") == [(0, "A", 7)]
+
+
+def test_closeness_of_a_needle_is_as_told():
+    rng = random.Random(2)
+    words = [rng.choice("abcdefghij") for _ in range(400)]
+    first = [rng.choice("abcdefghijkl") for _ in range(7)]
+    code = {w: k for k, w in enumerate("abcdefghijkl")}
+    got = helpers._closeness(np.array([code[w] for w in first]), np.array([code[w] for w in words]), 390)
+    for at in range(390):
+        part = words[at : at + 12]
+        two = lambda x: {*zip(x, x[1:], strict=False)}
+        want = 0.35 * len([w for w in first if w in part]) / 7 + 0.5 * len(two(first) & two(part)) / len(two(first)) + 0.15 * (part[0] == first[0])
+        assert abs(got[at] - want) < 1e-12
+
+
+def test_gaps_and_fillers():
+    clip = lambda s, e: {"start": s, "end": e}
+    assert helpers._gaps([clip(61.0, 100.0), clip(161.0, 200.0)], 261.0, 61.0) == [(100.0, 161.0)]
+    assert helpers._gaps([clip(62.0, 100.0), clip(160.0, 200.0)], 262.0, 61.0) == [(0.0, 62.0), (200.0, 262.0)]
+    assert helpers._gaps([], 30.0, 61.0) == [(0.0, 30.0)]
+    made = helpers._fillers([(0.0, 70.0), (100.0, 400.0)], 1000.0, 6, 61.0, 180.0)
+    assert len(made) == 6 and all(61 <= m["end"] - m["start"] <= 180 for m in made)
+    inner = [m for m in made if m["reason"] == "auto-fill"]
+    assert inner[0]["start"] == 0.0 and inner[1]["start"] == 100.0 and all(b["start"] - a["end"] == 5 for a, b in zip(inner[1:], inner[2:], strict=False))
+    rest = [m["start"] for m in made if m["reason"] != "auto-fill"]
+    assert rest == [round(k * 1000.0 / (len(rest) + 1), 2) for k in range(len(rest))]
+
+
+def test_short_episodes_are_reported(spark):
+    pool = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "ep long, moment_idx long")
+    assert rows(moments.short_episodes(pool.filter("ep = 1"), pool, 2, K), "ep", "clips", "wanted") == [(2, 0, 2)]
+
+
+def test_long_segments_are_cut_at_the_widest_gaps(spark):
+    lines = spark.createDataFrame([(1, k, a, b) for k, (a, b) in enumerate([(0.0, 50.0), (53.0, 100.0), (102.0, 130.0), (130.5, 240.0), (250.0, 300.0)])], "ep long, line_no long, start double, end double")
+    segs = spark.createDataFrame([(1, 0, "A", 0.0, 240.0), (1, 1, "B", 240.0, 300.0)], "ep long, seg_idx long, speaker string, start double, end double")
+    assert rows(turns.split_long_segments(segs, lines, 120.0, 1.5, K), "seg_idx", "start", "end") == [(0, 0.0, 51.5), (0, 51.5, 101.0), (0, 101.0, 240.0), (1, 240.0, 300.0)]
+
+
+def test_jobs_and_snapshots_have_positions(spark):
+    at = "timestamp '2024-01-0%d'"
+    df = spark.sql(" union all ".join(f"select {i}L as id, 'P' as project, '{e}' as episode, '{st}' as status, {at % day} as updated_at" for i, e, st, day in ((1, "b", "failed", 1), (2, "A", "running", 1), (3, "a", "running", 1), (4, "z", "running", 2), (5, "q", "odd", 3))))
+    assert [(r["id"], r["position"]) for r in jobs.order_jobs(df).collect()] == [(4, 1), (2, 2), (3, 3), (1, 4), (5, 5)]
+    snaps = df.withColumnRenamed("updated_at", "created_at")
+    assert rows(jobs.snapshot_history(snaps, ("project",)), "position", "id") == [(1, 5), (2, 4), (3, 3), (4, 2), (5, 1)]
 
 
 def test_job_requests(spark):

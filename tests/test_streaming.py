@@ -1,6 +1,7 @@
 """A stream gives what the same rows give as a table; late and repeated rows."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -66,7 +67,39 @@ def test_repeats_go_within_the_watermark(spark, tmp_path):
 def test_throttle_and_late_rows(spark, tmp_path):
     rows = [[(1, 1, "a", 1.0, at(0.1)), (2, 1, "b", 2.0, at(0.2))], [(3, 1, "done", 100.0, at(60))], [(4, 1, "late", 5.0, at(0.15)), (5, 1, "x", 1.0, at(120))], [(6, 1, "y", 1.0, at(300))]]
     got = {r["at"]: (r["step"], r["percent"], r["ended"]) for r in run(spark, tmp_path, rows, EVENT, streams.throttle_stream, "append")}
-    assert got[at(0)] == ("b", 2.0, False) and got[at(60)] == ("done", 100.0, True)
+    assert got == {at(0): ("b", 2.0, False), at(60): ("done", 100.0, True)}
+    flat = spark.createDataFrame([x for b in rows for x in b], EVENT)
+    batch = {r["at"]: (r["step"], r["percent"], r["ended"]) for r in streams.throttle_stream(flat).collect()}
+    assert batch == {at(0): ("b", 2.0, False), at(60): ("done", 100.0, True)}
+
+
+def test_a_window_comes_out_when_its_time_is_over(spark, tmp_path):
+    rows = [[(1, 1, "a", 1.0, at(0.1)), (2, 2, "b", None, at(0.2))], [(3, 2, "c", 3.0, at(0.25)), (4, 2, "d", 4.0, at(0.7))], [(5, 3, "x", 1.0, at(300))], [(6, 3, "y", 1.0, at(301))]]
+    got = sorted((r["job_id"], r["at"], r["step"], r["percent"], r["ended"]) for r in run(spark, tmp_path, rows, EVENT, streams.throttle_stream, "append"))
+    assert [x for x in got if x[0] < 3] == [(1, at(0), "a", 1.0, False), (2, at(0), "c", 3.0, False), (2, at(0.6), "d", 4.0, False)]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    late = streams.LateRows()
+    spark.streams.addListener(late)
+    try:
+        rows = [[(1, 1, "a", 1.0, at(0))], [(2, 1, "b", 2.0, at(5000))], [(3, 1, "c", 3.0, at(10)), (4, 1, "d", 4.0, at(5001))], [(5, 1, "e", 4.0, at(5002))]]
+        got = run(spark, tmp_path, rows, EVENT, lambda e: streams.dedup_events(e, "10 minutes"), "append")
+        assert sorted(r["id"] for r in got) == [1, 2, 4, 5]
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for _ in range(50):
+            if sum(late.dropped.values()):
+                break
+            time.sleep(0.2)
+        assert list(late.dropped.values()) == [1]
+    finally:
+        spark.streams.removeListener(late)
+
+
+def test_steps_before_the_latest_are_done(spark):
+    df = spark.createDataFrame([(1, 1, "download", 40.0, at(0)), (2, 1, "guion", 30.0, at(1)), (3, 1, "transcribe", None, at(2)), (4, 2, "edit", 5.0, at(0))], EVENT)
+    got = sorted(map(tuple, jobs.finished_before(jobs.step_progress(df)).collect()))
+    assert got == [(1, "analyze", 30.0, "active"), (1, "download", 100.0, "done"), (1, "transcribe", 100.0, "done"), (2, "edit", 5.0, "active")]
 
 
 def test_audio_windows(spark):
