@@ -154,8 +154,9 @@ def top_shorts(ranked: DataFrame, k: int, keys=KEYS) -> DataFrame:
 
 def category_rollup(ranked: DataFrame, keys=KEYS, cube: bool = False) -> DataFrame:
     """Clips and summed scores by category and rollup (or cube) of the keys, with the grouping's id."""
-    # summed by the finest groups first: only those are rolled up
-    rows = ranked.filter(F.size("categories") > 0).select(*keys, F.explode("categories").alias("category"), F.col("trend_score").cast("decimal(12,2)").alias("_t"))
+    # summed by the finest groups first: only those are rolled up. An inner explode, or a filter before it, would have Spark work the
+    # categories out once more in a filter at the scan
+    rows = ranked.select(*keys, F.explode_outer("categories").alias("category"), F.col("trend_score").cast("decimal(12,2)").alias("_t")).filter("category is not null")
     fine = rows.groupBy("category", *keys).agg(F.count("*").alias("_n"), F.sum("_t").alias("_t"))
     sets = (fine.cube if cube else fine.rollup)("category", *keys)
     return sets.agg(F.sum("_n").alias("clips"), F.sum("_t").cast("double").alias("total"), F.grouping_id().cast("bigint").alias("level"))

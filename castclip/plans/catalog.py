@@ -153,7 +153,7 @@ _STEP_ROWS = ", ".join(f"({k + 1}, '{x}', {steps.SECONDS[x]})" for k, x in enume
 SELECT id, step, CASE WHEN i <= n_completed THEN 'done' WHEN i = n_completed + 1 THEN 'active' ELSE 'pending' END AS state,
   CAST(CASE WHEN i <= n_completed THEN 100 WHEN i = n_completed + 1 THEN least(progress, 100) ELSE 0 END AS BIGINT) AS percent FROM fx_jobs, st""")
 def fn10_step_state(s, d):
-    return steps.step_states(_job(s, d), progress="pct").select("id", F.inline("states"))
+    return steps.step_states(_job(s, d), progress="pct").select("id", F.inline_outer("states"))
 
 
 @query("""SELECT id, CAST(CASE WHEN status = 'completed' THEN 100 ELSE floor((n_completed + least(progress, 100) / 100.0) / (CASE WHEN n_completed = 8 THEN 9 ELSE 8 END) * 100 + 0.5) END AS BIGINT) AS percent FROM fx_jobs""")
