@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .bytesets import LOWER, per_text, slices, word_hashes
 from .shared import stored
 
-CLASS, CLASSES, GROUPS, HIDDEN = 32, 32, 64, 16
+CLASS, CLASSES, GROUPS, HIDDEN = 64, 32, 64, 16
 SYMBOLS = CLASS * CLASSES
 WORDS = SYMBOLS - GROUPS - 1
 NEAR = 1 << 18
@@ -167,10 +167,10 @@ ONES = np.ones(max(CLASS, CLASSES), dtype=np.float32)
 
 def outputs(p: dict, h: np.ndarray, y: np.ndarray, d: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Log-probability of each symbol y after state h; with d, gradients of the negated sum go there and to the second result."""
-    c = (y >> 5).astype(np.uint8)
+    c = (y // CLASS).astype(np.uint8)
     by = np.argsort(c, kind="stable")
     h, c = h[by], c[by]
-    k = y[by] & 31
+    k = y[by] % CLASS
     at = np.arange(len(y))
 
     def softmax(a: np.ndarray, own: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample (``SAMPLE`` vectors); every valid vector
 the nearest child. A query visits leaves best-bin-first: a priority queue holds nodes by their centroid's similarity, and the
 best one is opened next. How many leaves are visited is widened until ``probes`` vectors of the sample find ``recall`` of their
 true neighbours, which a pass over the whole table determines. Leaves are searched as blocks of at most ``BLOCK``
-vectors, so that a leaf with very many vectors is shared among tasks.
+vectors; each leaf is dealt to as many tasks as its share of the table fills, so one with very many vectors is shared among them. The
+tree has a bounded number of leaves, so the work grows with queries times the share of the table that the recall asks for.
 
 Similarity is the cosine in double precision. Cases: vectors that are null, zero, of another length than most, or hold
 null or non-finite components, or have no id, take no part; equal similarities go to the smaller id; a query is not its own neighbour,
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytesets import mix
 from .shared import stored
 
 SAMPLE, LEAF, BRANCH, BLOCK, PROBES = 20_000, 200, 8, 1024, 96
@@ -53,6 +55,7 @@ class Tree:
     leaf: dict[int, int] = field(default_factory=dict)  # node -> number of its leaf
     share: list[float] = field(default_factory=list)  # of the sample, by leaf
     visits: int = 1
+    parts: np.ndarray = field(default_factory=lambda: np.ones(1, np.int64))  # tasks that each leaf's vectors are dealt to
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each row of unit vectors."""
@@ -142,6 +145,7 @@ def fit(rows: DataFrame, dim: int, k: int, recall: float, probes: int = PROBES,
     ids, raw = np.array([r["id"] for r in got]), np.array([r["v"] for r in got], dtype=np.float64)
     x = unit(raw)
     tree = build(x, max(LEAF * len(x) / n, 12))
+    tree.parts = np.maximum(1, np.ceil(np.array(tree.share) * n / (8 * BLOCK))).astype(np.int64)
     pick = np.random.default_rng(3).choice(len(x), min(probes, len(x)), replace=False)
     sc = rows.sparkSession.sparkContext
     shared, asked = sc.broadcast(tree), sc.broadcast((ids[pick], raw[pick]))  # both bounded by the sample
@@ -190,7 +194,7 @@ def _packed(rows: DataFrame, by: list[Column], most: int, dim: int, kind: str) -
     return rows.repartition(*by).sortWithinPartitions("leaf").mapInArrow(run, f"leaf int, {kind}_ids binary, {kind} binary")
 
 
-def search(df: DataFrame, queries: Column, k: int = 5, recall: float = 0.97, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(df: DataFrame, queries: Column, k: int = 5, recall: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, id, score. queries: a condition on column ``id``."""
     rows, dim = valid(df, id_col, vec_col)
     tree = fit(rows, dim, k, recall) if dim else None
@@ -201,7 +205,8 @@ def search(df: DataFrame, queries: Column, k: int = 5, recall: float = 0.97, id_
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             leaf = shared.value.assign(unit(matrix(b.column(1), dim)))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), b.column(0), b.column(1)], names=["leaf", "id", "v"])
+            part = mix(b.column(0).to_numpy().astype(np.uint64)) % shared.value.parts[leaf].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), b.column(0), b.column(1), pa.array(part.astype(np.int32))], names=["leaf", "id", "v", "part"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -243,9 +248,7 @@ def search(df: DataFrame, queries: Column, k: int = 5, recall: float = 0.97, id_
         yield rows_()
 
     kind = "leaf int, id long, v array<double>"
-    # vectors of one leaf are dealt over as many tasks as blocks of 8 * BLOCK rows could hold by the leaf's share of the sample
-    salts = F.pmod(F.xxhash64("id"), F.lit(64))
-    members = _packed(rows.mapInArrow(assign, kind), [F.col("leaf"), salts] if max(tree.share) > 8 / len(tree.share) else [F.col("leaf")], BLOCK, dim, "m")
+    members = _packed(rows.mapInArrow(assign, kind + ", part int"), [F.col("leaf"), F.col("part")], BLOCK, dim, "m")
     asked = _packed(rows.filter(queries).mapInArrow(visit, kind), [F.col("leaf"), F.pmod(F.xxhash64("id"), F.lit(4))], BLOCK // 4, dim, "q")
     pairs = asked.join(stored(members, "leaves"), "leaf").select("leaf", "q_ids", "q", "m_ids", "m")
     found = pairs.mapInArrow(compare, "query_id long, id long, score double")

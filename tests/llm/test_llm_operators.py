@@ -292,7 +292,7 @@ def test_warc_salvages_an_archive_that_was_damaged(spark):
     assert len(got) == len(rows)
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((900, 12))
     x[100:140] = x[100]
@@ -310,6 +310,11 @@ def test_neighbours(spark):
         hit += len({r["id"] for r in own} & set(np.lexsort((np.arange(900), -np.round(near, 12)))[:5].tolist()))
     assert hit >= 0.9 * 5 * 45
     assert [r["id"] for r in sorted((r for r in got if r["query_id"] == 100), key=lambda r: r["rank"])] == [101, 102, 103, 104, 105]
+    # a leaf that holds most vectors is dealt to several tasks, to the same end
+    same = spark.createDataFrame([(k, (x[100] if k % 3 else x[k]).tolist()) for k in range(900)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    crowd = neighbours.search(same, F.col("id") == 301).collect()
+    assert [r["id"] for r in sorted(crowd, key=lambda r: r["rank"])] == [1, 2, 4, 5, 7]
     few = neighbours.search(df.filter("vec_id in (0, 1, 20)"), F.col("id") == 0).collect()
     assert {r["id"] for r in few} == {1, 20}
     assert neighbours.search(df.filter("vec_id < 0"), F.col("id") == 0).count() == 0
