@@ -378,8 +378,8 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         edges = edges.unionByName(linked(_dealt(some.drop("to").withColumnRenamed("g", "kind"), most, "kind").select("k", "u", "id", "set", "kind").repartition("k")))
     label = components(stored(edges, "links", True))
 
-    named = same.select("u", F.col("id").alias("v")).join(label.hint("merge"), "v").select("u", "c")
-    told = lambda c: F.when(F.col("id").isNotNull(), c)
-    out = first.filter("n > 0").select("id", "n", "u").join(same.select("u", F.col("id").alias("v")).hint("merge"), "u", "left").join(named.hint("merge"), "u", "left")
-    out = out.select("id", F.col("n").alias("n_shingles"), told(F.coalesce("c", "v")).alias("component_id"))
+    # one join back to the rows, by a table of its own, so that a set that very many rows have can be split
+    named = same.select("u", F.col("id").alias("v")).join(label.hint("merge"), "v", "left").select("u", F.coalesce("c", "v").alias("c"))
+    out = first.filter("n > 0").select("id", "n", "u").join(stored(named, "classes").hint("merge"), "u", "left")
+    out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("c")).alias("component_id"))
     return out.unionByName(first.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
