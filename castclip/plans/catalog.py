@@ -94,9 +94,16 @@ def prj4_min_score(s, d):
     return moments.min_score(_moms(s, d)).select("episode_id", "moment_idx")
 
 
-@query("""SELECT episode_id, seg_idx, lpad(CAST(CAST(floor(x / 3600) AS BIGINT) AS STRING), 2, '0') || ':' || lpad(CAST(CAST(floor(x / 60) AS BIGINT) % 60 AS STRING), 2, '0') || ':' ||
-  lpad(CAST(CAST(floor(x) AS BIGINT) % 60 AS STRING), 2, '0') || ',' || lpad(CAST(CAST(trunc((x % CAST(1 AS DOUBLE)) * CAST(1000 AS DOUBLE)) AS BIGINT) AS STRING), 3, '0') AS t
-FROM (SELECT *, CAST(start_ms AS DOUBLE) / CAST(1000 AS DOUBLE) AS x FROM fx_segments)""")
+def _stamp(ms: str) -> str:
+    """SQL of a subtitle time, from seconds in doubles."""
+    x = f"(CAST({ms} AS DOUBLE) / CAST(1000 AS DOUBLE))"
+    part = lambda e, n: f"lpad(CAST({e} AS STRING), {n}, '0')"
+    whole = lambda n: f"CAST(floor({x} / {n}) AS BIGINT)"
+    thousandths = f"CAST(trunc(({x} % CAST(1 AS DOUBLE)) * CAST(1000 AS DOUBLE)) AS BIGINT)"
+    return f"{part(whole(3600), 2)} || ':' || {part(whole(60) + ' % 60', 2)} || ':' || {part(whole(1) + ' % 60', 2)} || ',' || {part(thousandths, 3)}"
+
+
+@query(f"SELECT episode_id, seg_idx, {_stamp('start_ms')} AS t FROM fx_segments")
 def fn1_srt_time(s, d):
     return _segs(s, d).select("episode_id", "seg_idx", clips.srt_time(F.col("start")).alias("t"))
 
@@ -632,7 +639,11 @@ def win14_recover_moments(s, d):
     return moments.recover_moments(kept, m, 40, 45, keys=K).select("episode_id", "moment_idx")
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT episode_id, moment_idx, start_ms, end_ms, row_number() OVER (PARTITION BY episode_id ORDER BY score10 DESC, moment_idx) AS k FROM fx_moments WHERE score10 >= 35),
+g AS (SELECT episode_id, moment_idx, k, true AS ok, [struct_pack(s := start_ms, e := end_ms)] AS kept FROM m WHERE k = 1
+UNION ALL SELECT episode_id, moment_idx, k, ok, CASE WHEN ok THEN list_append(kept, struct_pack(s := start_ms, e := end_ms)) ELSE kept END
+FROM (SELECT m.*, g.kept, len(list_filter(g.kept, lambda x: 10 * (least(x.e, m.end_ms) - greatest(x.s, m.start_ms)) > 7 * (m.end_ms - m.start_ms))) = 0 AS ok FROM g JOIN m ON m.episode_id = g.episode_id AND m.k = g.k + 1))
+SELECT episode_id, moment_idx FROM g WHERE ok""")
 def win15_dedup_moments(s, d):
     return moments.dedup_moments(moments.min_score(_moms(s, d)), keys=K).select("episode_id", "moment_idx")
 
@@ -683,7 +694,15 @@ def win23_align_script(s, d):
     return quality.align_script(b, x, K)
 
 
-@query()
+@query("""WITH RECURSIVE lo AS (SELECT episode_id, CAST(floor(seg_idx / 30) AS BIGINT) AS seg, min(speaker) AS speaker, min(start_ms) AS s, max(end_ms) AS e FROM fx_segments GROUP BY ALL),
+ga AS (SELECT episode_id, (end_ms + n) / 2 AS p, n - end_ms AS wide FROM (SELECT *, lead(start_ms) OVER (PARTITION BY episode_id ORDER BY seg_idx) AS n FROM fx_segments) WHERE n - end_ms >= 900),
+me AS (SELECT lo.*, p, row_number() OVER (PARTITION BY lo.episode_id, seg ORDER BY wide DESC, p) AS r FROM lo JOIN ga ON lo.episode_id = ga.episode_id AND p BETWEEN s AND e WHERE e - s > 60000),
+cu AS (SELECT *, row_number() OVER (PARTITION BY episode_id, seg ORDER BY p) AS k FROM me WHERE r <= 2 * greatest(1, floor((e - s) / 60000))),
+fo AS (SELECT episode_id, seg, k, p, p - s >= 24000 AS ok, CASE WHEN p - s >= 24000 THEN p ELSE s END AS last FROM cu WHERE k = 1
+UNION ALL SELECT cu.episode_id, cu.seg, cu.k, cu.p, cu.p - last >= 24000, CASE WHEN cu.p - last >= 24000 THEN cu.p ELSE last END FROM fo JOIN cu ON cu.episode_id = fo.episode_id AND cu.seg = fo.seg AND cu.k = fo.k + 1),
+pt AS (SELECT episode_id, seg, p FROM fo WHERE ok UNION ALL SELECT episode_id, seg, p FROM cu WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM fo WHERE fo.episode_id = cu.episode_id AND fo.seg = cu.seg AND ok) UNION ALL SELECT episode_id, seg, s FROM lo),
+pc AS (SELECT lo.episode_id, seg, speaker, p AS a, coalesce(lead(p) OVER (PARTITION BY lo.episode_id, seg ORDER BY p), e) AS b FROM pt JOIN lo USING (episode_id, seg))
+SELECT episode_id, seg AS seg_idx, speaker, CAST(a AS BIGINT) AS start_ms, CAST(b AS BIGINT) AS end_ms FROM pc WHERE b - a > 500""")
 def win24_split_long_segments(s, d):
     long_ = _segs(s, d).groupBy("episode_id", F.floor(F.col("seg_idx") / 30).alias("seg_idx")).agg(F.min("speaker").alias("speaker"), F.min("start").alias("start"), F.max("end").alias("end"))
     return turns.split_long_segments(long_, _segs(s, d).withColumnRenamed("seg_idx", "line_no"), 60.0, 0.9, K).select("episode_id", "seg_idx", "speaker", ms("start"), ms("end"))
@@ -708,7 +727,11 @@ def win26_chunk_transcript(s, d):
     return quality.chunk_transcript(_stamped(s, d), 500, K).select("episode_id", "chunk_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT *, length(line) + 1 AS n, row_number() OVER (PARTITION BY episode_id ORDER BY seg_idx) AS k FROM (SELECT episode_id, seg_idx, '[' || {_stamp("start_ms")} || ' --> ' || {_stamp("end_ms")} || '] ' || text AS line FROM fx_segments)),
+c AS (SELECT episode_id, k, line, n AS size, 0 AS chunk_idx FROM l WHERE k = 1
+UNION ALL SELECT l.episode_id, l.k, l.line, CASE WHEN size + n > 1500 THEN n ELSE size + n END, chunk_idx + CASE WHEN size + n > 1500 THEN 1 ELSE 0 END FROM c JOIN l ON l.episode_id = c.episode_id AND l.k = c.k + 1),
+w AS (SELECT *, CASE WHEN sum(length(line) + 1) OVER (PARTITION BY episode_id) <= 1501 THEN 0 ELSE chunk_idx END AS own FROM c)
+SELECT episode_id, CAST(own AS INTEGER) AS chunk_idx, md5(string_agg(line, chr(10) ORDER BY k)) AS text_md5 FROM w GROUP BY episode_id, own""")
 def win27_chunk_simple(s, d):
     return quality.chunk_simple(_stamped(s, d), 1500, K).select("episode_id", "chunk_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -903,7 +926,10 @@ def src11_build_timeline(s, d):
     return io.build_timeline(m, _video(s, d), K).select("episode_id", "moment_idx", "clip", "start_frames", "dur_frames", "offset_frames")
 
 
-@query()
+@query("""WITH o AS (SELECT *, start_ms // 40 AS s, (end_ms - start_ms) // 40 AS d, CAST(coalesce(sum(end_ms - start_ms) OVER (PARTITION BY episode_id ORDER BY moment_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 40 AS b FROM fx_moments),
+x AS (SELECT episode_id, CAST(sum(d) AS BIGINT) AS total, string_agg('<asset-clip name="' || topic || '" ref="r2" offset="' || b || '/25s" start="' || s || '/25s" duration="' || d || '/25s" format="r1" tcFormat="NDF"><marker start="' || s || '/25s" value="Score: ' || CAST(score10 / 10 AS DOUBLE) || ' | Hook: ' || hook || ' | "/></asset-clip>', '' ORDER BY moment_idx) AS clips FROM o GROUP BY episode_id),
+t AS (SELECT episode_id, '<?xml version="1.0" encoding="utf-8"?><fcpxml version="1.10"><resources><format id="r1" frameDuration="1/25s" width="1920" height="1080"/></resources><library><event><project><sequence format="r1" tcStart="0/1s" tcFormat="NDF" duration="' || total || '/25s"><spine>' || clips || '</spine></sequence></project></event></library></fcpxml>' AS xml FROM x)
+SELECT episode_id, md5(xml) AS fcpxml_md5, CAST(length(xml) AS INTEGER) AS n FROM t""")
 def src11_render_fcpxml(s, d):
     m = _moms(s, d).withColumn("rank", F.col("moment_idx").cast("int"))
     return io.render_fcpxml(io.build_timeline(m, _video(s, d), K), K).select("episode_id", F.md5(F.col("fcpxml").cast("binary")).alias("fcpxml_md5"), F.length("fcpxml").alias("n"))

@@ -64,6 +64,7 @@ def oracle(sql: str) -> str:
     """``sql`` for DuckDB, with the views that it names before it."""
     used = [f"{n} AS ({VIEWS[n].format(**{t: t for t in TABLES})})" for n in VIEWS if n in sql]
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ", ".join(used) + ", " + body[5:]
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ", ".join(used) + ", " + body[len(start) :]
     return "WITH " + ", ".join(used) + " " + body if used else body
