@@ -11,7 +11,7 @@ successors; scanning buckets from the smallest first byte induces the others. Ne
 
 A context that a task meets twice is known to be repeated there; the task sends on one row of it, so that what fills a
 corpus (long runs of one byte, common lines) comes to one row a task. Where more than ``CONTEXTS`` different contexts have one
-hash, they are not sorted together: each of their strings is counted by its hash, rows in proportion to their bytes.
+hash, they are not sorted together: each of their strings is counted by its anchor's hash and its own, rows in proportion to their bytes.
 
 Cases: null texts are empty, and texts shorter than ``LENGTH`` stay whole; equal documents of that length lose every byte,
 all of them; overlapping repeats within one document count; strings are judged on the input; rows are told apart by id and text, so ids
@@ -331,18 +331,18 @@ def _sorted_rows(length: int, gram: int = GRAM):
 
 
 def _string_rows(length: int):
-    """Every string of each context: its hash and where it begins."""
+    """Every string of each context: the hashes of its anchor and of itself, and where it begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, start = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for lo, hi, data, offs in slices(b.column(2)):
+            anchor, row, start = (b.column(c).to_numpy() for c in range(3))
+            for lo, hi, data, offs in slices(b.column(3)):
                 many = np.maximum(np.diff(offs) - length + 1, 0)
                 part = np.repeat(np.arange(hi - lo), many)
                 inner = np.arange(len(part)) - np.repeat(np.cumsum(many) - many, many)
                 at = offs[part] + inner
                 k = span_hashes(data, at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(row[lo + part]), pa.array(start[lo + part] + inner)], names=["k", "row", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[lo + part]), pa.array(k.view(np.int64)), pa.array(row[lo + part]), pa.array(start[lo + part] + inner)], names=["h", "k", "row", "s"])
 
     return run
 
@@ -403,9 +403,9 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     whole = told.filter(F.col("full") & (F.col("e") - F.col("s") >= length)).select("row", "s", "e")
     if not crowded.isEmpty():
         parts = stored(parts, "contexts")
-        strings = parts.join(crowded.hint("merge"), "h", "left_semi").select("row", "s", "part").mapInArrow(_string_rows(length), "k long, row long, s long")
-        twice = strings.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k")
-        whole = whole.unionByName(strings.join(stored(twice, "strings").hint("merge"), "k").select("row", "s", (F.col("s") + length).alias("e")))
+        strings = parts.join(crowded.hint("merge"), "h", "left_semi").select("h", "row", "s", "part").mapInArrow(_string_rows(length), "h long, k long, row long, s long")
+        twice = strings.groupBy("h", "k").agg(F.count("*").alias("m")).filter("m > 1").select("h", "k")
+        whole = whole.unionByName(strings.join(stored(twice, "strings").hint("merge"), ["h", "k"]).select("row", "s", (F.col("s") + length).alias("e")))
         parts = parts.join(crowded.hint("merge"), "h", "left_anti")
     found = parts.select("h", "row", "s", "part", "a").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_rows(length, gram), "row long, s long, e long")
     return whole.unionByName(found)
