@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import clusters
 from .intervals import KEYS, activity_votes_join
 
 
@@ -22,8 +23,8 @@ def frame_sample_plan(videos: DataFrame, policy: str = "uniform", keys=KEYS) ->
     return rows.select(*keys, "k", (lo + (hi - lo) * F.col("k") / (F.col("_n") - 1)).alias("t"))
 
 
-def cluster_faces(detections: DataFrame, max_k: int = 6, keys=KEYS) -> DataFrame:
-    """Detections with the number of their cluster."""
+def cluster_faces(detections: DataFrame, max_k: int = 6, keys=KEYS, most: int = 100_000) -> DataFrame:
+    """Detections with the number of their cluster. Episodes of more than ``most`` rows are shared among tasks."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*detections.schema.fields, T.StructField("cluster", T.IntegerType())])
@@ -34,11 +35,13 @@ def cluster_faces(detections: DataFrame, max_k: int = 6, keys=KEYS) -> DataFrame
         pdf = pdf.sort_values(["t", "cx", "cy"], kind="stable")
         return pdf.assign(cluster=face_clusters(pdf["cx"].to_numpy(float), pdf["cy"].to_numpy(float), max_k).astype("int32"))
 
-    return detections.groupBy(*keys).applyInPandas(run, schema)
+    small, large = clusters.parted(detections, most, keys)
+    out = small.groupBy(*keys).applyInPandas(run, schema)
+    return out if large is None else out.unionByName(clusters.faces(large, max_k))
 
 
-def cluster_voices(features: DataFrame, fixed: int | None = None, min_k: int = 2, max_k: int = 6, keys=KEYS) -> DataFrame:
-    """Voice windows (win_idx, t, features) with a label."""
+def cluster_voices(features: DataFrame, fixed: int | None = None, min_k: int = 2, max_k: int = 6, keys=KEYS, most: int = 100_000) -> DataFrame:
+    """Voice windows (win_idx, t, features) with a label. Episodes of more than ``most`` rows are shared among tasks."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields) + ", label int"
 
     def run(pdf):
@@ -49,7 +52,9 @@ def cluster_voices(features: DataFrame, fixed: int | None = None, min_k: int = 2
         pdf = pdf.sort_values("win_idx")
         return pdf.assign(label=voice_clusters(np.array(pdf["features"].tolist(), dtype=float), fixed, min_k, max_k).astype("int32"))
 
-    return features.groupBy(*keys).applyInPandas(run, schema)
+    small, large = clusters.parted(features, most, keys)
+    out = small.groupBy(*keys).applyInPandas(run, schema)
+    return out if large is None else out.unionByName(clusters.voices(large, fixed, min_k, max_k))
 
 
 def face_positions(labelled: DataFrame, lowest: float = 0.55, keys=KEYS) -> DataFrame:
