@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, lm_scoring, neighbours, packing, suffix_dedup, tokens, toxicity, warc
+from . import automaton, exact_dedup, jaccard_join, language_id, lm_scoring, neighbours, packing, suffix_dedup, tokens, toxicity, warc
 from .shared import documents, fold
 
 
@@ -68,7 +68,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_language_id, op4_byte_bpe, op5_toxicity, op6_jaccard_join, op7_warc, op8_suffix_dedup, op9_neighbours, op10_best_fit_packing)}
+def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.json")
+    out = automaton.decode(automaton.encode(documents(spark, sf_dir), path), path, ["id", "n_tokens", "ids"])
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_language_id, op4_byte_bpe, op5_toxicity, op6_jaccard_join, op7_warc, op8_suffix_dedup, op9_neighbours, op10_best_fit_packing, op11_bpe_automaton)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
