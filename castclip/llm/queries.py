@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, exact_dedup, filter_audit, jaccard_join, language_id, lm_scoring, neighbours, packing, suffix_dedup, tokens, toxicity, warc
+from . import automaton, exact_dedup, filter_audit, jaccard_join, language_id, lm_scoring, neighbours, packing, suffix_dedup, tokens, toxicity, vector_codes, warc
 from .shared import documents, fold
 
 
@@ -80,7 +80,37 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_language_id, op4_byte_bpe, op5_toxicity, op6_jaccard_join, op7_warc, op8_suffix_dedup, op9_neighbours, op10_best_fit_packing, op11_bpe_automaton, op12_filter_audit)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes.compress(documents(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit("" if books is None else vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_language_id, op4_byte_bpe, op5_toxicity, op6_jaccard_join, op7_warc, op8_suffix_dedup, op9_neighbours, op10_best_fit_packing, op11_bpe_automaton, op12_filter_audit, op13_vector_codes)}
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """SQL of op13: each round is an assignment a, sums m and a codebook c."""
+    assigned = """
+a{k} AS MATERIALIZED (
+  SELECT r, part, x, arg_min(entry, far * {entries} + entry) AS entry, min(far) AS far
+  FROM (SELECT r, part, x, entry, list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far FROM p JOIN c{k} USING (part)) GROUP BY r, part, x)"""
+    moved = """
+m{k} AS (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e
+  FROM (SELECT part, entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY part, entry, i) GROUP BY part, entry),
+c{next} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.e, c.e) AS e FROM c{k} c LEFT JOIN m{k} m USING (part, entry))"""
+    steps = [assigned.format(k=k, entries=entries) + ("," + moved.format(k=k, next=k + 1) if k < rounds else "") for k in range(rounds + 1)]
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS e FROM p WHERE r <= {entries}),{",".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS sha FROM c{rounds})
+SELECT v.vec_id, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error,
+       CAST(sum(sum(far)) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, any_value(h.sha) AS codebooks_sha256
+FROM a{rounds} JOIN v USING (r), h GROUP BY v.r, v.vec_id, v.label
+"""
+
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
@@ -142,4 +172,5 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step,
        CAST(coalesce(sum(n * (120 // greatest(length(fails), 1))) FILTER (hit), 0) AS BIGINT) AS shapley
 FROM x GROUP BY ALL
 """,
+    "op13_vector_codes": _codes_sql(),
 }

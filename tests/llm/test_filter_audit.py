@@ -67,7 +67,7 @@ def test_every_order_and_step(spark):
     got = filter_audit.audit(docs, marks).collect()
     want = plain(rows, labels)
     assert {(r["part"], r["filter_order"], r["step"]): tuple(r[c] for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")) for r in got} == want
-    assert len(got) == len(want) == 600 * 4
+    assert len(got) == len(want) == 600 * 5
     assert filter_audit.audit(docs.limit(0), marks).count() == 0
     assert {r["good_lost"] + r["toxic_lost"] for r in filter_audit.audit(docs, marks.limit(0)).collect()} == {0}
 
