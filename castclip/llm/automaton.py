@@ -38,6 +38,7 @@ LONG = 256  # bytes of a word from which it is run alone
 RUN = 1 << 18  # bytes of words that are run side by side
 PIECES = 200_000  # words of a text that are looked up at once
 KEPT, KEPT_SIZE = 120_000, 48  # words whose ids a worker remembers, and the bytes of the longest
+IDS = 1 << 19  # ids that are decoded together, whole texts
 NEVER = np.iinfo(np.int32).max
 
 
@@ -239,6 +240,33 @@ class Automaton:
         return out
 
 
+def told(path: str) -> tuple[list[bytes], list[tuple[int, int, int]], dict[str, int]]:
+    """The labels of the ids, merges (ids of both parts and of what they make) and special tokens that the file of a tokenizer names."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    pre, model = said["pre_tokenizer"] or {}, said["model"]
+    plain = not any(a[k] for a in said["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or said["normalizer"] or model.get("ignore_merges") or model.get("dropout") or not plain:
+        raise ValueError(f"{path}: only byte-level BPE with plain special tokens and without a normalizer can be compiled")
+    back = {c: b for b, c in byte_characters().items()}
+    vocab: dict[str, int] = model["vocab"]
+    special = {a["content"]: a["id"] for a in said["added_tokens"]}
+    labels = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+    for word, i in vocab.items():
+        labels[i] = bytes(back[c] for c in word) if all(c in back for c in word) else word.encode()
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    return labels, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs], special
+
+
+@lru_cache(maxsize=2)
+def names(path: str) -> list[bytes]:
+    """What each id decodes to."""
+    labels, _, special = told(path)
+    for c, i in special.items():
+        labels[i] = c.encode()
+    return labels
+
+
 class Tokenizer:
     """What the file of a byte-level BPE tokenizer says, with the merges compiled. Its words are those of the library's own split: texts with
     characters that the pattern's Unicode tables and the library's class differently are split by the library."""
@@ -246,24 +274,8 @@ class Tokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
 
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        pre, model = told["pre_tokenizer"] or {}, told["model"]
-        plain = not any(a[k] for a in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
-        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or told["normalizer"] or model.get("ignore_merges") or model.get("dropout") or not plain:
-            raise ValueError(f"{path}: only byte-level BPE with plain special tokens and without a normalizer can be compiled")
-        back = {c: b for b, c in byte_characters().items()}
-        spelt = lambda x: bytes(back[c] for c in x) if all(c in back for c in x) else x.encode()
-        vocab: dict[str, int] = model["vocab"]
-        special = {a["content"]: a["id"] for a in told["added_tokens"]}
-        labels = [b""] * (max([*vocab.values(), *special.values()]) + 1)
-        for word, i in vocab.items():
-            labels[i] = b"" if word in special else spelt(word)
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.automaton = Automaton(labels, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs])
-        self.names = list(labels)
-        for c, i in special.items():
-            self.names[i] = c.encode()
+        labels, merges, special = told(path)
+        self.automaton = Automaton([b"" if i in special.values() else x for i, x in enumerate(labels)], merges)
         self.special = {c: np.array([i], dtype="<u4").tobytes() for c, i in special.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(c) for c in sorted(special, key=len, reverse=True)) + ")") if special else None
         import public_tokenizers as P
@@ -360,20 +372,20 @@ def decode(df: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> D
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = compiled(path).names
-        table = pa.array([*names, b""], pa.large_binary())
+        table = pa.array([*names(path), b""], pa.large_binary())
         for b in batches:
-            ids = b.column(len(keep))
-            size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
-            flat_ids = ids.flatten().fill_null(-1).to_numpy()
-            flat_ids = np.where((flat_ids >= 0) & (flat_ids < len(names)), flat_ids, len(names))
-            data, at = flat(table.take(pa.array(flat_ids)))
-            cut = at[np.concatenate([[0], np.cumsum(size)])]
-            raw = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)])
-            try:
-                text = raw.cast(pa.large_string()).cast(pa.string())
-            except pa.ArrowInvalid:  # some text has split characters
-                text = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], text], names=[*keep, "decoded"])
+            size = pc.fill_null(pc.list_value_length(b.column(len(keep))), 0).to_numpy()
+            ends = np.flatnonzero(np.diff(np.cumsum(size) // IDS, append=-1)) + 1  # of runs of rows
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                part = b.slice(lo, hi - lo)
+                ids = part.column(len(keep)).flatten().fill_null(-1).to_numpy()
+                data, at = flat(table.take(pa.array(np.where((ids >= 0) & (ids < len(table) - 1), ids, len(table) - 1).astype(np.int32))))
+                cut = at[np.concatenate([[0], np.cumsum(size[lo:hi])])]
+                raw = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)])
+                try:
+                    text = raw.cast(pa.large_string()).cast(pa.string())
+                except pa.ArrowInvalid:  # some text has split characters
+                    text = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], text], names=[*keep, "decoded"])
 
     return src.mapInArrow(run, kind)
