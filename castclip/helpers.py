@@ -25,6 +25,32 @@ def kept_by_overlap(start: np.ndarray, end: np.ndarray, share: float) -> np.ndar
     return keep
 
 
+def settled(start: np.ndarray, end: np.ndarray, open_: np.ndarray, inside: np.ndarray, share: float) -> np.ndarray:
+    """The same for a part of the intervals, best first: 0 covered, 1 kept, 2 not known.
+
+    open_: not yet kept; inside: such that no interval outside the part touches it. Others that nothing covers here are told 1, but as they may be covered elsewhere, what they cover isn't known."""
+    vote = np.ones(len(start), dtype=np.int32)
+    # edges of those kept, and of those that may be kept, as far as they have come
+    edges = np.empty((2, 2, len(start)))
+    n = [0, 0]
+    for i in range(len(start)):
+        length, sure = end[i] - start[i], 1
+        if open_[i]:
+            if length > 0:
+                for kind, told in ((0, 0), (1, 2)):
+                    common = np.minimum(edges[kind, 1, : n[kind]], end[i]) - np.maximum(edges[kind, 0, : n[kind]], start[i])
+                    if n[kind] and common.max() / length > share:
+                        vote[i] = told
+                        break
+            sure = vote[i] == 1 and inside[i]
+            if vote[i] == 0:
+                continue
+        kind = 0 if sure else 1
+        edges[kind, :, n[kind]] = start[i], end[i]
+        n[kind] += 1
+    return vote
+
+
 def interrupted(cuts: list[tuple], window: float, speakers: int, sub: float, seed: float) -> list[tuple]:
     """Cuts (speaker, start, end) with each burst dealt anew in pieces of ``sub`` seconds.
 

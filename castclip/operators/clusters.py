@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows with their lineage cut, in the folder of spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if place is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="castclip-"))
-    return df.checkpoint()
+from .scans import cut
 
 
 def parted(rows: DataFrame, most: int, keys) -> tuple[DataFrame, DataFrame | None]:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import Scan, bins
+
 KEYS = ("project", "episode")
 
 
@@ -85,26 +87,31 @@ def activity_votes_join(windows: DataFrame, segments: DataFrame, keys=KEYS, bin:
     return interval_join(windows, segments, keys, True, bin)
 
 
-def snap_to_words(moments: DataFrame, cues: DataFrame, keys=KEYS, least: float = 60.0) -> DataFrame:
+def snap_to_words(moments: DataFrame, cues: DataFrame, keys=KEYS, least: float = 60.0, bin: float | None = None) -> DataFrame:
     """Start goes to the next word's start (else the last one), end to the previous word's end (else the first one)."""
     keys = list(keys)
-    side = lambda col, t, flag: moments.select(*keys, F.col("moment_idx"), F.col(col).alias("x"), F.lit(None).cast("double").alias("w"), F.lit(1 - flag).alias("o")).unionByName(cues.select(*keys, F.lit(None).cast("bigint").alias("moment_idx"), F.col(t).alias("x"), F.col(t).cast("double").alias("w"), F.lit(flag).alias("o")))
-    after = Window.partitionBy(*keys).orderBy("x", "o").rowsBetween(0, Window.unboundedFollowing)
-    before = Window.partitionBy(*keys).orderBy("x", "o").rowsBetween(Window.unboundedPreceding, 0)
-    s = side("start", "start", 1).withColumn("s", F.first("w", True).over(after)).filter("moment_idx is not null").select(*keys, "moment_idx", "s")
-    e = side("end", "end", 0).withColumn("e", F.last("w", True).over(before)).filter("moment_idx is not null").select(*keys, "moment_idx", "e")
     ends = cues.groupBy(*keys).agg(F.max("start").alias("_last"), F.min("end").alias("_first"))
-    out = moments.join(s, [*keys, "moment_idx"]).join(e, [*keys, "moment_idx"]).join(ends, keys, "left")
-    start = F.coalesce("s", "_last", "start")
-    end = F.coalesce("e", "_first", "end")
+    rows = moments.select(*keys, F.struct(*moments.columns).alias("_m"))
+
+    def scanned(rows: DataFrame, at: str, first: int) -> Scan:
+        """Rows and words in one order of time; a word at the very time of a row's edge comes first (0) or last (1)."""
+        known = [c for c in rows.columns if c not in keys]
+        own = rows.withColumns({"_x": F.col(f"_m.{at}").cast("double"), "_o": F.lit(1 - first), "_w": F.lit(None).cast("double")})
+        words = cues.select(*keys, *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in known], F.col(at).cast("double").alias("_x"), F.lit(first).alias("_o"), F.col(at).cast("double").alias("_w"))
+        return Scan(own.unionByName(words), keys, ["_x", "_o"], bins(F.col("_x"), bin))
+
+    rows = scanned(rows, "start", 1).coming("_w", "_s").rows.filter("_m IS NOT NULL").select(*keys, "_m", "_s")
+    rows = scanned(rows, "end", 0).newest("_w", "_e").rows.filter("_m IS NOT NULL").select(*keys, "_m", "_s", "_e")
+    out = rows.join(ends, keys, "left").select("_m.*", "_s", "_e", "_last", "_first")
+    start = F.coalesce("_s", "_last", "start")
+    end = F.coalesce("_e", "_first", "end")
     return out.withColumn("start", start).withColumn("end", F.when(F.col("start") >= end, F.col("start") + least).otherwise(end)).select(*moments.columns)
 
 
-def silence_points(cues: DataFrame, keys=KEYS, min_gap: float = 0.3) -> DataFrame:
+def silence_points(cues: DataFrame, keys=KEYS, min_gap: float = 0.3, bin: float | None = None) -> DataFrame:
     """Middle of every gap of min_gap or more between a cue and the one before."""
-    w = Window.partitionBy(*keys).orderBy("start", "cue_idx")
-    gap = cues.withColumn("before", F.lag("end").over(w)).filter(F.round(F.col("start") - F.col("before"), 6) >= min_gap)
-    return gap.select(*keys, ((F.col("before") + F.col("start")) / 2).alias("point"))
+    rows = Scan(cues, keys, ["start", "cue_idx"], bins(F.col("start"), bin)).previous("end").rows.withColumn("before", F.col("_prev.end"))
+    return rows.filter(F.round(F.col("start") - F.col("before"), 6) >= min_gap).select(*keys, ((F.col("before") + F.col("start")) / 2).alias("point"))
 
 
 def snap_to_silences(moments: DataFrame, cues: DataFrame, keys=KEYS, window: float = 1.5, min_gap: float = 0.3, least: float = 60.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.steps import ACTIVE, SERVER_ORDER, STEPS, UI_ORDER, canonical_step
 from .intervals import KEYS
+from .scans import numbered
 
 
 def validate_job_requests(df: DataFrame) -> DataFrame:
@@ -27,18 +28,11 @@ def validate_job_requests(df: DataFrame) -> DataFrame:
 
 
 def order_jobs(jobs: DataFrame, policy: str = "ui") -> DataFrame:
-    """By state, newest first, then names and id, with each job's position. policy: ui, or server, which puts states it doesn't know last.
-
-    Positions are counted within each state and time, after those of the states and times before."""
+    """By state, newest first, then names and id, with each job's position. policy: ui, or server, which puts states it doesn't know last. Runs a job that sorts them."""
     names = UI_ORDER if policy == "ui" else SERVER_ORDER
     place = F.array_position(F.array(*[F.lit(s) for s in names]), F.col("status"))
     rows = jobs.withColumn("_place", F.when(place > 0, place).otherwise(99))
-    group = ["_place", "updated_at"]
-    before = F.sum("_n").over(Window.orderBy("_place", F.desc("updated_at")).rowsBetween(Window.unboundedPreceding, -1))
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n")).select(F.col("_place").alias("_p"), F.col("updated_at").alias("_u"), F.coalesce(before, F.lit(0)).alias("_b"))
-    own = F.row_number().over(Window.partitionBy(*group).orderBy(F.lower("project"), F.lower("episode"), "id"))
-    rows = rows.join(sizes, F.col("_place").eqNullSafe(F.col("_p")) & F.col("updated_at").eqNullSafe(F.col("_u")))
-    return rows.withColumn("position", F.col("_b") + own).drop("_place", "_p", "_u", "_b").orderBy("position")
+    return numbered(rows, [F.col("_place"), F.desc("updated_at"), F.lower("project"), F.lower("episode"), F.col("id")]).drop("_place")
 
 
 def live_job(jobs: DataFrame, episodes: DataFrame, keys=KEYS) -> DataFrame:

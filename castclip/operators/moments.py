@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import clips
 from .intervals import KEYS
+from .scans import Scan, cut
 
+BEST = ["_low", "_i", "s", "e", "_row"]  # the order of de-duplication
 MIN_DUR, MAX_DUR, MIN_COUNT, MAX_COUNT, MIN_SCORE = 61.0, 180.0, 15, 35, 3.5
 
 
@@ -33,9 +35,11 @@ def score_moments(m: DataFrame, calibration: str = "current") -> DataFrame:
     return out.withColumn("trend_score", clips.trend_score(F.col("score"), F.col("keyword_score"), F.col("hook_score"), F.col("duration_score")))
 
 
-def rank_moments(m: DataFrame, keys=KEYS) -> DataFrame:
-    """rank 1..n by trend_score; equal ones in order of time."""
-    return m.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("trend_score"), "start", "moment_idx")))
+def rank_moments(m: DataFrame, keys=KEYS, bin: float | None = None) -> DataFrame:
+    """rank 1..n by trend_score; equal ones in order of time. bin: seconds of which moments of one score are ranked together; without it an episode is one window."""
+    rows = m.withColumn("_low", F.struct(F.col("trend_score").isNull().alias("none"), (-F.col("trend_score")).alias("score")))
+    block = None if bin is None else F.struct("_low", F.floor(F.col("start") / bin).alias("bin"))
+    return Scan(rows, keys, ["_low", "start", "moment_idx"], block).number("rank").done("_low")
 
 
 def cap_moments(m: DataFrame, n: int = MAX_COUNT, keys=KEYS) -> DataFrame:
@@ -54,21 +58,79 @@ def recover_moments(kept: DataFrame, pool: DataFrame, min_count: int = MIN_COUNT
     return kept.unionByName(extra.select(kept.columns))
 
 
-def dedup_moments(m: DataFrame, share: float = 0.70, keys=KEYS) -> DataFrame:
-    """Best first, a moment goes when more than ``share`` of it lies in one kept. Moments that don't touch, directly or through
-    others, are independent: each run of overlapping ones is a group of its own."""
+def dedup_moments(m: DataFrame, share: float = 0.70, keys=KEYS, block: float = 3600.0, most: int = 4000) -> DataFrame:
+    """Best first (score, then moment_idx, start and end), a moment goes when more than ``share`` of it lies in one kept. Those without start or end stay.
+
+    Taken in rounds. In each the ``most`` best undecided of every block of ``block`` seconds meet what is kept there. Whatever is decided by what a block holds is
+    settled; a moment that reaches into other blocks stays if it is free in all of them, and goes if it is covered in one. Then what is
+    kept takes out the rest that it covers, in bins of time. Blocks shift by half from round to round, so that edges become middles. The best
+    undecided moment is settled in any round, so they end; each runs a job. No task takes in a whole episode."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("start", "end", "moment_idx")
-    apart = F.coalesce(F.col("start") >= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    cols, runs = m.columns, m.withColumn("_a", apart.cast("int")).withColumn("_run", F.sum("_a").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    low = F.coalesce(-F.col("score").cast("double"), F.lit(float("inf")))  # no score comes last
+    held = cut(m.withColumn("_row", F.monotonically_increasing_id()))
+    left = held.select("_row", *[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], low.alias("_low"), F.col("moment_idx").cast("double").alias("_i"), F.col("start").cast("double").alias("s"), F.col("end").cast("double").alias("e"))
+    left = left.filter("s IS NOT NULL AND e IS NOT NULL")
+    kept, done, turn = None, [held.filter("start IS NULL OR end IS NULL").select("_row")], 0
+    while True:
+        votes = _votes(left, kept, share, block, turn % 2 * block / 2, most)
+        told = cut(left.join(votes, "_row", "left"))
+        fresh = told.filter("_vote = 1").drop("_vote")
+        done.append(fresh.select("_row"))
+        rest = told.filter("_vote IS NULL OR _vote = 2").drop("_vote")
+        if rest.isEmpty():
+            break
+        left = cut(_uncovered(rest, fresh, share, block / 60))
+        kept = fresh if kept is None else cut(kept.unionByName(fresh))
+        turn += 1
+    chosen = done[0]
+    for more in done[1:]:
+        chosen = chosen.unionByName(more)
+    return held.join(chosen, "_row", "left_semi").drop("_row")
+
+
+def _touched(rows: DataFrame, size: float, shift: float = 0.0) -> DataFrame:
+    """Rows once for every block of time that they lie in, and in how many."""
+    at = lambda c: F.floor((F.col(c) + shift) / size)
+    return rows.withColumn("_in", F.sequence(at("s"), F.greatest(at("s"), at("e")))).withColumn("_n", F.size("_in")).withColumn("_block", F.explode("_in")).drop("_in")
+
+
+def _votes(left: DataFrame, kept: DataFrame | None, share: float, block: float, shift: float, most: int) -> DataFrame:
+    """_row and _vote of what was looked at: 0 covered, 1 kept, 2 not yet known."""
+    parts = _touched(left, block, shift)
+    by = [c for c in left.columns if c.startswith("_k")] + ["_block"]
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the best of each block, from the best of its shares, so that a crowded block is not sorted in one task
+    best = lambda rows, own: rows.withColumn("_r", F.row_number().over(Window.partitionBy(*own).orderBy(*BEST))).filter(F.col("_r") <= most).drop("_r")
+    parts = best(best(parts.withColumn("_s", F.pmod("_row", F.lit(64))), [*by, "_s"]).drop("_s").repartition(n, *by), by).withColumn("_open", F.lit(True))
+    if kept is not None:
+        name = F.struct(*by)
+        around = parts.select(name.alias("_b")).distinct()
+        parts = parts.unionByName(_touched(kept, block, shift).withColumn("_b", name).join(around, "_b", "left_semi").drop("_b").withColumn("_open", F.lit(False)))
 
     def run(pdf):
-        from ..helpers import kept_by_overlap
-
-        pdf = pdf.sort_values(["score", "moment_idx"], ascending=[False, True], kind="stable")
-        return pdf[kept_by_overlap(pdf["start"].to_numpy(float), pdf["end"].to_numpy(float), share)][cols]
-
-    return runs.groupBy(*keys, "_run").applyInPandas(run, m.schema)
+        from ..helpers import settled
+
+        pdf = pdf.sort_values(BEST)
+        vote = settled(pdf["s"].to_numpy(float), pdf["e"].to_numpy(float), pdf["_open"].to_numpy(bool), pdf["_n"].to_numpy() == 1, share)
+        return pdf[["_row", "_n"]].assign(_vote=vote)[pdf["_open"].to_numpy(bool)]
+
+    told = parts.groupBy(*by).applyInPandas(run, "_row bigint, _n int, _vote int")
+    free = F.count_if(F.col("_vote") == 1) == F.max("_n")
+    return told.groupBy("_row").agg(F.when(F.min("_vote") == 0, 0).when(free, 1).otherwise(2).alias("_vote"))
+
+
+def _uncovered(rest: DataFrame, fresh: DataFrame, share: float, bin: float) -> DataFrame:
+    """What better moments kept don't cover. Where more than half has to be covered the middle is, so a moment is met in its middle's bin; else in all of its bins."""
+    own = [c for c in rest.columns if c.startswith("_k")]
+    mine = rest.withColumn("_block", F.floor((F.col("s") + F.col("e")) / 2 / bin)) if share >= 0.5 else _touched(rest, bin).drop("_n")
+    # a crowded bin is shared among tasks
+    mine = mine.withColumn("_b", F.struct(*own, "_block", F.pmod("_row", F.lit(8)).alias("_s")))
+    theirs = _touched(fresh, bin).withColumn("_s", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(8)])))
+    theirs = theirs.select(F.struct(*own, "_block", "_s").alias("_b"), F.struct(*BEST).alias("_q"), F.col("s").alias("ks"), F.col("e").alias("ke"))
+    over = F.least("e", "ke") - F.greatest("s", "ks")
+    covered = (F.col("_q") < F.struct(*BEST)) & (F.col("e") > F.col("s")) & (over / (F.col("e") - F.col("s")) > share)
+    hit = mine.join(theirs, "_b").filter(covered).select("_row").distinct()
+    return rest.join(hit, "_row", "left_anti")
 
 
 def enforce_constraints(kept: DataFrame, pool: DataFrame, min_count: int = MIN_COUNT, max_count: int = MAX_COUNT, floor: float = MIN_SCORE, min_dur: float = MIN_DUR, max_dur: float = MAX_DUR, keys=KEYS) -> DataFrame:

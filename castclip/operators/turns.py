@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clips import SPEAKER_NAME
 from .intervals import KEYS, attach_zones, interval_join, overlap_join, speaker_at
+from .scans import Scan, bins
 
 
 def _islands(rows: DataFrame, by: list[str], new, order: list[str]) -> DataFrame:
@@ -15,19 +16,23 @@ def _islands(rows: DataFrame, by: list[str], new, order: list[str]) -> DataFrame
     return rows.withColumn("_new", F.coalesce(new(w), F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def annotate_transcript(lines: DataFrame, segments: DataFrame, keys=KEYS, bin: float | None = None) -> DataFrame:
-    """Lines (line_no, t, line) with [speaker] before those whose speaker differs from the previous timestamped line's."""
+def annotate_transcript(lines: DataFrame, segments: DataFrame, keys=KEYS, bin: float | None = None, block: int | None = None) -> DataFrame:
+    """Lines (line_no, t, line) with [speaker] before those whose speaker differs from the previous timestamped line's.
+
+    block: line numbers that are scanned together; without it an episode is one window."""
     keys = list(keys)
-    rows = speaker_at(lines, segments, keys, bin=bin)
-    w = Window.partitionBy(*keys, F.col("t").isNull()).orderBy("line_no")
-    changed = F.col("t").isNotNull() & ~F.coalesce(F.col("speaker") == F.lag("speaker").over(w), F.lit(False))
-    return rows.withColumn("line", F.when(changed, F.concat(F.lit("["), "speaker", F.lit("] "), "line")).otherwise(F.col("line")))
+    rows = speaker_at(lines, segments, keys, bin=bin).withColumn("_timed", F.col("t").isNotNull())
+    rows = Scan(rows, [*keys, "_timed"], ["line_no"], bins(F.col("line_no"), block)).previous("speaker").rows
+    changed = F.col("_timed") & ~F.coalesce(F.col("speaker") == F.col("_prev.speaker"), F.lit(False))
+    return rows.withColumn("line", F.when(changed, F.concat(F.lit("["), "speaker", F.lit("] "), "line")).otherwise(F.col("line"))).drop("_timed", "_prev", "_g")
+
 
+def merge_turns(turns: DataFrame, keys=(*KEYS, "moment_idx"), block: float | None = None) -> DataFrame:
+    """Neighbouring turns of one speaker as one, with the last one's end. Turns: speaker, start, end, seg_idx.
 
-def merge_turns(turns: DataFrame, keys=(*KEYS, "moment_idx")) -> DataFrame:
-    """Neighbouring turns of one speaker as one, with the last one's end. Turns: speaker, start, end, seg_idx."""
+    block: seconds that are scanned together, where keys may have very many turns (those of a clip have not)."""
     keys = list(keys)
-    rows = _islands(turns, keys, lambda w: F.col("speaker") != F.lag("speaker").over(w), ["start", "seg_idx"])
+    rows = Scan(turns, keys, ["start", "seg_idx"], bins(F.col("start"), block)).islands(lambda p: F.col("speaker") != p["speaker"], "speaker").rows
     return rows.groupBy(*keys, "_island").agg(F.first("speaker").alias("speaker"), F.min("start").alias("start"), F.max_by("end", F.struct("start", "seg_idx")).alias("end"), F.min("seg_idx").alias("seg_idx")).drop("_island")
 
 
@@ -153,15 +158,11 @@ def smooth_labels(windows: DataFrame, size: int = 5, keys=KEYS) -> DataFrame:
     return windows.withColumn("label", (-F.array_max(ranked)["m"]).cast("int"))
 
 
-def windows_to_segments(windows: DataFrame, win: float = 1.5, hop: float = 0.75, least: float = 0.5, keys=KEYS) -> DataFrame:
-    """Runs of windows (win_idx, t, label, duration of the episode) of one label without gaps of 3 hops as segments."""
+def windows_to_segments(windows: DataFrame, win: float = 1.5, hop: float = 0.75, least: float = 0.5, keys=KEYS, block: int | None = None) -> DataFrame:
+    """Runs of windows (win_idx, t, label, duration of the episode) of one label without gaps of 3 hops as segments. block: windows that are scanned together."""
     keys = list(keys)
-
-    def new(w):
-        gap = F.col("t") - (F.lag("t").over(w) + win)
-        return (F.col("label") != F.lag("label").over(w)) | ~(F.round(gap, 6) < 3 * hop)
-
-    rows = _islands(windows, keys, new, ["win_idx"])
+    new = lambda p: (F.col("label") != p["label"]) | ~(F.round(F.col("t") - (p["t"] + win), 6) < 3 * hop)
+    rows = Scan(windows, keys, ["win_idx"], bins(F.col("win_idx"), block)).islands(new, "label", "t").rows
     out = rows.groupBy(*keys, "_island").agg(F.first("label").alias("label"), F.min("t").alias("s"), F.max("t").alias("t"), F.max("duration").alias("d"))
     end = F.least(F.col("t") + win, F.col("d"))
     return out.select(*keys, F.format_string("SPEAKER_%02d", "label").alias("speaker"), F.round("s", 2).alias("start"), F.round(end, 2).alias("end"), F.round(end - F.col("s"), 2).alias("duration")).filter(F.col("duration") >= least)
@@ -191,7 +192,7 @@ def script_blocks(lines: DataFrame, keys=KEYS) -> DataFrame:
     return rows.groupBy(*keys, "block_idx").agg(F.max("_h").alias("speaker"), F.array_join(F.transform(order, lambda x: x["text"]), " ").alias("text"))
 
 
-def matches_to_segments(matches: DataFrame, lines: DataFrame, least: float = 0.5, keys=KEYS) -> DataFrame:
+def matches_to_segments(matches: DataFrame, lines: DataFrame, least: float = 0.5, keys=KEYS, block: float | None = None) -> DataFrame:
     """Matches (block_idx, speaker, seg_idx) that move forward as segments up to the next one's start; short ones go, equal neighbours merge.
 
     Lines: seg_idx, start, end of the transcript."""
@@ -201,7 +202,7 @@ def matches_to_segments(matches: DataFrame, lines: DataFrame, least: float = 0.5
     last = lines.groupBy(*keys).agg(F.max("end").alias("_end"))
     rows = kept.join(lines.select(*keys, "seg_idx", "start"), [*keys, "seg_idx"]).join(last, keys)
     rows = rows.withColumn("end", F.coalesce(F.lead("start").over(w), "_end")).filter(F.round(F.col("end") - F.col("start"), 6) >= least)
-    return merge_turns(rows.select(*keys, "speaker", "start", "end", "seg_idx"), keys)
+    return merge_turns(rows.select(*keys, "speaker", "start", "end", "seg_idx"), keys, block)
 
 
 def split_long_segments(segments: DataFrame, lines: DataFrame, longest: float = 120.0, gap: float = 1.5, keys=KEYS) -> DataFrame:

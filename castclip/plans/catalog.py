@@ -224,7 +224,7 @@ def join1_speaker_at(s, d):
 p AS (SELECT *, lag(speaker) OVER (PARTITION BY episode_id, timed ORDER BY moment_idx) AS before FROM l)
 SELECT episode_id, moment_idx AS line_no, CASE WHEN timed AND (before IS NULL OR before <> speaker) THEN '[' || speaker || '] ' || hook ELSE hook END AS line FROM p""")
 def win1_annotate_transcript(s, d):
-    return turns.annotate_transcript(_lines(s, d), _segs(s, d), K, bin=30.0).select("episode_id", "line_no", "line")
+    return turns.annotate_transcript(_lines(s, d), _segs(s, d), K, bin=30.0, block=4096).select("episode_id", "line_no", "line")
 
 
 @query(f"WITH {_OVER} SELECT episode_id, moment_idx, seg_idx, c_start_ms, c_end_ms FROM met")
@@ -267,7 +267,7 @@ x AS (SELECT m.episode_id, m.moment_idx, m.start_ms, m.end_ms, coalesce((SELECT
   coalesce((SELECT max(s.end_ms) FROM fx_segments s WHERE s.episode_id = m.episode_id AND s.end_ms <= m.end_ms), first, m.end_ms) AS b FROM fx_moments m LEFT JOIN e USING (episode_id))
 SELECT episode_id, moment_idx, a AS start_ms, CASE WHEN a >= b THEN a + 60000 ELSE b END AS end_ms FROM x""")
 def join6_snap_to_words(s, d):
-    return intervals.snap_to_words(_moms(s, d), _cues(s, d), K).select("episode_id", "moment_idx", ms("start"), ms("end"))
+    return intervals.snap_to_words(_moms(s, d), _cues(s, d), K, bin=600.0).select("episode_id", "moment_idx", ms("start"), ms("end"))
 
 
 _SIL = "sil AS (SELECT episode_id, (before + start_ms) / 2 AS p FROM (SELECT *, lag(end_ms) OVER (PARTITION BY episode_id ORDER BY start_ms, seg_idx) AS before FROM fx_segments) WHERE start_ms - before >= 300)"
@@ -275,7 +275,7 @@ _SIL = "sil AS (SELECT episode_id, (before + start_ms) / 2 AS p FROM (SELECT *,
 
 @query(f"WITH {_SIL} SELECT episode_id, CAST(p AS BIGINT) AS point_ms FROM sil")
 def win9_silence_points(s, d):
-    return intervals.silence_points(_cues(s, d), K).select("episode_id", ms("point"))
+    return intervals.silence_points(_cues(s, d), K, bin=600.0).select("episode_id", ms("point"))
 
 
 @query(f"""WITH {_SIL}, x AS (SELECT m.episode_id, m.moment_idx,
@@ -615,12 +615,12 @@ n AS (SELECT *, CASE WHEN label = lag(label) OVER w AND t - (lag(t) OVER w + 150
 SELECT episode_id, 'SPEAKER_0' || any_value(label) AS speaker, CAST(floor((min(t) + 5) / 10.0) AS BIGINT) AS start_cs, CAST(floor((least(max(t) + 1500, any_value(dur)) + 5) / 10.0) AS BIGINT) AS end_cs FROM g GROUP BY episode_id, gg HAVING least(max(t) + 1500, any_value(dur)) - min(t) >= 500""")
 def win11_windows_to_segments(s, d):
     x = _segs(s, d).select("episode_id", F.col("seg_idx").alias("win_idx"), F.col("start").alias("t"), (F.floor(F.col("seg_idx") / 3) % 3).cast("int").alias("label"), F.max("end").over(Window.partitionBy("episode_id")).alias("duration"))
-    return turns.windows_to_segments(x, keys=K).select("episode_id", "speaker", F.floor((ms("start") + 5) / 10).alias("start_cs"), F.floor((ms("end") + 5) / 10).alias("end_cs"))
+    return turns.windows_to_segments(x, keys=K, block=4096).select("episode_id", "speaker", F.floor((ms("start") + 5) / 10).alias("start_cs"), F.floor((ms("end") + 5) / 10).alias("end_cs"))
 
 
 @query(f"WITH {_SCORED} SELECT episode_id, moment_idx, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY trend100 DESC, start_ms, moment_idx) AS INTEGER) AS rank FROM trend")
 def win12_rank_moments(s, d):
-    return moments.rank_moments(moments.score_moments(_moms(s, d)), K).select("episode_id", "moment_idx", "rank")
+    return moments.rank_moments(moments.score_moments(_moms(s, d)), K, bin=600.0).select("episode_id", "moment_idx", "rank")
 
 
 @query("SELECT episode_id, moment_idx FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY score10 DESC, start_ms, moment_idx) AS r FROM fx_moments) WHERE r <= 35")
@@ -684,7 +684,7 @@ SELECT episode_id, any_value(speaker) AS speaker, min(start_ms) AS start_ms, arg
 def win22_matches_to_segments(s, d):
     x = _segs(s, d)
     m = x.filter("seg_idx % 2 = 0").select("episode_id", F.col("seg_idx").alias("block_idx"), "speaker", F.when(F.col("seg_idx") % 5 == 4, F.col("seg_idx") - 3).otherwise(F.col("seg_idx")).alias("seg_idx"))
-    return turns.matches_to_segments(m, x, keys=K).select("episode_id", "speaker", ms("start"), ms("end"))
+    return turns.matches_to_segments(m, x, keys=K, block=600.0).select("episode_id", "speaker", ms("start"), ms("end"))
 
 
 @query()
