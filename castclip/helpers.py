@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import xxhash
@@ -95,13 +97,17 @@ def _value(m: dict) -> float:
     return m["score"] or 0.0
 
 
+# Fixed value: the reason of a clip made of two.
+MERGED = "Merge: {} + {}"
+
+
 def _merged(short: list[dict], most: int, min_dur: float, max_dur: float, apart: float = 5.0) -> list[dict]:
     """At most ``most`` clips, each of two neighbours that are too short alone; none is in two of them."""
     out: list[dict] = []
     used = None
     for a, b in zip(short, short[1:], strict=False):
         if len(out) < most and a is not used and b["start"] - a["end"] <= apart and min_dur <= b["end"] - a["start"] <= max_dur:
-            why = f"Merge: {a['topic'] or ''} + {b['topic'] or ''}"
+            why = MERGED.format(a["topic"] or "", b["topic"] or "")
             out.append({**{c: a[c] for c in ("start", "topic", "hook")}, "end": b["end"], "score": max(_value(a), _value(b)), "summary": a["summary"] or b["summary"], "reason": why})
             used = b
     return out
@@ -153,54 +159,56 @@ def stamp_seconds(line: str) -> float | None:
     return int(m[1]) * 3600 + int(m[2]) * 60 + int(m[3]) + int(m[4]) / 1000 if m else None
 
 
-def chunks(lines: list[str], max_chars: int) -> list[str]:
+# Fixed value: what stands before the context of a chunk.
+CONTEXT = "[Contexto previo: {}]\n\n"
+
+
+def chunks(lines: Iterable[str], max_chars: int) -> Iterator[str]:
     """Chunks of a transcript of about max_chars: cut after a pause of over 2 s in the last part if there is one; each
-    later chunk begins with the end of the one before as context, and with its last stamped lines."""
-    at = [stamp_seconds(x) for x in lines]
-    upto = np.cumsum([0, *map(len, lines)])
-    stamped = lambda some: [k for k in some if at[k] is not None]
-    out: list[str] = []
-    held: list[int] = []  # numbers of the lines of the chunk to come
-    fresh, context = 0, ""
-
-    def put(part: list[int]) -> None:
-        head = f"[Contexto previo: {context}]\n\n" if context else ""
-        out.append(head + "\n".join(lines[k] for k in part))
-
-    while fresh < len(lines):
-        # the first line with which the chunk is large enough
-        wanted = upto[fresh] + max_chars - sum(len(lines[k]) for k in held)
-        past = max(fresh + 1, int(np.searchsorted(upto, wanted)))
-        held, fresh = held + list(range(fresh, min(past, len(lines)))), past
-        if past > len(lines):
-            break
+    later chunk begins with the end of the one before as context, and with its last stamped lines. No more than a chunk is held."""
+    held: list[tuple[str, float | None]] = []
+    size, context = 0, ""
+    text = lambda part: (CONTEXT.format(context) if context else "") + "\n".join(x for x, _ in part)
+    stamped = lambda part: [x for x in part if x[1] is not None]
+    for line in lines:
+        held.append((line, stamp_seconds(line)))
+        size += len(line)
+        if size < max_chars:
+            continue
         n = len(held)
-        late = range(max(int(n * 0.5), int(n * 0.6)) + 1, min(int(n * 0.95), n - 1) + 1)
-        times = [(k, at[held[k]]) for k in late if at[held[k]] is not None]
-        pauses = [k + 1 for (k, t), (_, then) in zip(times, times[1:], strict=False) if then - t > 2.0]
+        late = [(k, held[k][1]) for k in range(int(n * 0.6) + 1, min(int(n * 0.95), n - 1) + 1) if held[k][1] is not None]
+        pauses = [k + 1 for (k, t), (_, then) in zip(late, late[1:], strict=False) if then - t > 2.0]
         cut = pauses[-1] if pauses else n
-        put(held[:cut])
-        context = " ".join(lines[k] for k in stamped(held[:cut][-10:])[-3:])[:200]
+        yield text(held[:cut])
+        context = " ".join(x for x, _ in stamped(held[:cut][-10:])[-3:])[:200]
         held = stamped(held[:cut][-30:]) + held[cut:]
+        size = sum(len(x) for x, _ in held)
     if held:
-        put(held)
-    return out
+        yield text(held)
 
 
-def simple_chunks(lines: list[str], max_chars: int) -> list[str]:
-    """Lines together up to max_chars, each with its line end."""
-    if sum(map(len, lines)) + max(0, len(lines) - 1) <= max_chars:
-        return ["\n".join(lines)]
-    out: list[str] = []
+def simple_chunks(lines: Iterable[str], max_chars: int) -> Iterator[str]:
+    """Lines together up to max_chars, each with its line end; a text that fits without the last one's is one chunk. No more than a chunk is held."""
     held: list[str] = []
-    size = 0
+    size, cuts = 0, 0
+    last: str | None = None  # would fill the first chunk but for its line end: it belongs there if it ends the text
     for line in lines:
-        if held and size + len(line) + 1 > max_chars:
-            out.append("\n".join(held))
-            held, size = [], 0
+        if last is not None:
+            yield "\n".join(held)
+            held, size, cuts, last = [last], len(last) + 1, 1, None
+        more = size + len(line) + 1
+        if more == max_chars + 1 and held and not cuts:
+            last = line
+            continue
+        if held and more > max_chars:
+            yield "\n".join(held)
+            held, more, cuts = [], len(line) + 1, 1
         held.append(line)
-        size += len(line) + 1
-    return [*out, "\n".join(held)] if held else out
+        size = more
+    if last is not None:
+        held.append(last)
+    if held:
+        yield "\n".join(held)
 
 
 def _closeness(first: np.ndarray, words: np.ndarray, places: int) -> np.ndarray:
@@ -220,26 +228,34 @@ def _closeness(first: np.ndarray, words: np.ndarray, places: int) -> np.ndarray:
     return 0.35 * found / len(first) + 0.5 * both / max(1, len(pairs)) + np.where(words[:places] == first[0], 0.15, 0.0)
 
 
-def aligned(blocks: list[list[str]], words: list[str], needle: int = 10) -> list[tuple[int, int]]:
-    """(block, word position) of script blocks found in a transcript's words, always forward."""
-    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
-    said = np.array([number[w] for w in words], dtype=np.int64)
-    out: list[tuple[int, int]] = []
-    last = 0
-    for k, own in enumerate(blocks):
-        first = np.array([number.setdefault(w, len(number)) for w in own[:needle]], dtype=np.int64)
+def aligned(blocks: list[tuple[list[str], int]], said: Iterable[tuple[str, int]], total: int, needle: int = 10) -> Iterator[tuple[int, int]]:
+    """(block, place) of script blocks found in a transcript's words, always forward.
+
+    blocks: their first words and their length; said: ``total`` words and their places. Of these no more are held, as numbers, than one search looks at and later ones can go back to."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for own, _ in blocks for w in own[:needle]))}
+    source = iter(said)
+    codes, places = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    base = last = 0  # the number of the first word held, and of the word after what was found
+    for k, (own, length) in enumerate(blocks):
+        first = np.array([number[w] for w in own[:needle]], dtype=np.int64)
         begin = max(0, last - 50)
-        ahead = max(500, 3 * (len(said) - begin) // max(1, len(blocks) - k))
-        places = min(len(said) - len(first) - begin, ahead)
-        if len(own) < 2 or places <= 0:
+        ahead = max(500, 3 * (total - begin) // max(1, len(blocks) - k))
+        upto = min(total - len(first) - begin, ahead)
+        if length < 2 or upto <= 0:
             continue
-        score = _closeness(first, said[begin : begin + places + needle + 5], places)
+        past = max(0, begin - 45 * (len(blocks) - k) - base)  # a later search may begin up to 45 words before the one before it
+        codes, places, base = codes[past:], places[past:], base + min(past, len(codes))
+        missing = begin + upto + needle + 5 - base - len(codes)
+        if missing > 0:
+            more = list(islice(source, missing))
+            codes = np.concatenate([codes, np.array([number.get(w, -1) for w, _ in more], dtype=np.int32)])
+            places = np.concatenate([places, np.array([at for _, at in more], dtype=np.int64)])
+        score = _closeness(first, codes[begin - base : begin - base + upto + needle + 5], upto)
         good = np.flatnonzero(score >= 0.75)
         at = int(good[0] if len(good) else score.argmax())
         if score[at] >= 0.25:
-            out.append((k, begin + at))
-            last = begin + at + max(len(own) // 2, 5)
-    return out
+            yield k, int(places[begin - base + at])
+            last = begin + at + max(length // 2, 5)
 
 
 def clustered(points: np.ndarray, centres: np.ndarray, rounds: int, atol: float) -> np.ndarray:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clips import normalize_text
 from .intervals import KEYS
+from .scans import streamed
 
 
 def transcript_coverage(cues: DataFrame, keys=KEYS, pause: float = 2.0) -> DataFrame:
@@ -80,23 +83,13 @@ def clean_transcript(lines: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def _chunked(lines: DataFrame, keys, make) -> DataFrame:
-    keys = list(keys)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*keys).schema.fields) + ", chunk_idx int, text string"
-
-    def run(pdf):
-        import pandas as pd
-
-        texts = make(pdf.sort_values("line_no")["line"].tolist())
-        out = pd.DataFrame({"chunk_idx": range(len(texts)), "text": texts})
-        for c in keys:
-            out[c] = pdf[c].iloc[0]
-        return out[[*keys, "chunk_idx", "text"]]
-
-    return lines.select(*keys, "line_no", "line").groupBy(*keys).applyInPandas(run, schema)
+    """Chunks that ``make`` gives of the lines (line_no, line), numbered."""
+    texts = lambda rows: ((k, text) for k, text in enumerate(make(line or "" for _, line in rows)))
+    return streamed(lines.select(*keys, "line_no", "line"), keys, ["line_no"], texts, "chunk_idx int, text string")
 
 
 def chunk_transcript(lines: DataFrame, max_tokens: int, keys=KEYS) -> DataFrame:
-    """Chunks of about max_tokens * 4 characters, cut at pauses, each with context of the one before."""
+    """Chunks of about max_tokens * 4 characters, cut at pauses, each with context of the one before. Lines are read as a stream."""
 
     def make(texts):
         from ..helpers import chunks
@@ -107,6 +100,8 @@ def chunk_transcript(lines: DataFrame, max_tokens: int, keys=KEYS) -> DataFrame:
 
 
 def chunk_simple(lines: DataFrame, max_chars: int, keys=KEYS) -> DataFrame:
+    """Chunks of up to max_chars. Lines are read as a stream."""
+
     def make(texts):
         from ..helpers import simple_chunks
 
@@ -115,22 +110,35 @@ def chunk_simple(lines: DataFrame, max_chars: int, keys=KEYS) -> DataFrame:
     return _chunked(lines, keys, make)
 
 
-def align_script(blocks: DataFrame, lines: DataFrame, keys=KEYS) -> DataFrame:
-    """Script blocks (block_idx, speaker, text) found in a transcript (seg_idx, text): block_idx, speaker, seg_idx."""
-    keys = list(keys)
-    b = blocks.select(*keys, "block_idx", "speaker", normalize_text(F.col("text")).alias("words"))
-    t = lines.select(*keys, "seg_idx", normalize_text(F.col("text")).alias("words"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in b.select(*keys, "block_idx", "speaker").schema.fields) + ", seg_idx bigint"
-
-    def run(left, right):
-        import pandas as pd
+def align_script(blocks: DataFrame, lines: DataFrame, keys=KEYS, needle: int = 10) -> DataFrame:
+    """Script blocks (block_idx, speaker, text) found in a transcript (seg_idx, text): block_idx, speaker, seg_idx.
 
+    A block is looked for after the one found before, so an episode is one task; it reads the number of words, the blocks' first words and then the
+    transcript as a stream, of which it holds the words of one search."""
+    keys = list(keys)
+    words = normalize_text(F.col("text"))
+    t = lines.select(*keys, "seg_idx", words.alias("words"))
+    none = F.lit(None)
+    told = t.groupBy(*keys).agg(F.sum(F.greatest(F.size("words"), F.lit(0))).cast("long").alias("n")).select(*keys, F.lit(0).alias("kind"), F.col("n").alias("at"), none.cast("string").alias("speaker"), none.cast("array<string>").alias("words"), F.lit(0).alias("n"))
+    asked = blocks.select(*keys, "block_idx", "speaker", words.alias("words"))
+    asked = asked.select(*keys, F.lit(1).alias("kind"), F.col("block_idx").cast("long").alias("at"), F.col("speaker").cast("string").alias("speaker"), F.slice("words", 1, needle).alias("words"), F.size("words").alias("n"))
+    said = t.select(*keys, F.lit(2).alias("kind"), F.col("seg_idx").cast("long").alias("at"), none.cast("string").alias("speaker"), "words", F.size("words").alias("n"))
+
+    def make(rows):
         from ..helpers import aligned
 
-        left, right = left.sort_values("block_idx"), right.sort_values("seg_idx")
-        seq = [(w, s) for s, ws in zip(right["seg_idx"], right["words"], strict=True) for w in ws]
-        found = aligned([list(w) for w in left["words"]], [w for w, _ in seq])
-        out = left.iloc[[k for k, _ in found]][[*keys, "block_idx", "speaker"]]
-        return out.assign(seg_idx=[seq[p][1] for _, p in found]) if len(out) else pd.DataFrame(columns=[*keys, "block_idx", "speaker", "seg_idx"])
-
-    return b.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(run, schema)
+        total, own = 0, []
+        for kind, at, speaker, first, n in rows:
+            if kind == 2:
+                break
+            if kind == 0:
+                total = at
+            else:
+                own.append((at, speaker, (first or [], n)))
+        else:
+            return
+        spoken = chain(((w, at) for w in first or []), ((w, seg) for _, seg, _, some, _ in rows for w in some or []))
+        for k, seg in aligned([b for _, _, b in own], spoken, total, needle):
+            yield own[k][0], own[k][1], seg
+
+    return streamed(told.unionByName(asked).unionByName(said), keys, ["kind", "at"], make, "block_idx bigint, speaker string, seg_idx bigint")

@@ -9,6 +9,8 @@ any lost task is worked out again alike.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,3 +114,41 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "position") -> Da
     sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of as many rows as there are ranges
     return held.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def streamed(rows: DataFrame, keys, order: list[str], make: Callable[[Iterator[tuple]], Iterator[tuple]], columns: str) -> DataFrame:
+    """For rules that depend on their own earlier output: ``make`` reads the rows of one key in order, as tuples of the other columns, and
+    gives tuples of ``columns`` as it goes. What it doesn't hold isn't held: an episode is never in memory as a whole."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    keys = list(keys)
+    rest = [c for c in rows.columns if c not in keys]
+    src = rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *rest)
+    kept = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keys)
+    made_ = StructType.fromDDL(columns)
+    names = [*keys, *made_.names]
+    kinds = [to_arrow_type(f.dataType) for f in [*src.select(*keys).schema.fields, *made_.fields]]
+    n, most = len(keys), 1000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for b in batches:
+                for at in range(0, len(b), most):
+                    yield from zip(*(c.slice(at, most).to_pylist() for c in b.columns), strict=True)
+
+        def out(made: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
+
+        made: list[tuple] = []
+        for key, own in groupby(each(), lambda r: r[:n]):
+            for row in make(r[n:] for r in own):
+                made.append((*key, *row))
+                if len(made) == most:
+                    yield out(made)
+                    made = []
+        if made:
+            yield out(made)
+
+    return src.mapInArrow(run, f"{kept}, {columns}")

@@ -178,18 +178,18 @@ def test_clusters_are_found(spark):
 
 def test_chunks():
     lines = [f"[00:00:{k:02d},000 --> 00:00:{k + 1:02d},000] text {k}" for k in range(20)] + [f"[00:01:{k:02d},000 --> 00:01:{k + 1:02d},000] text" for k in range(5)]
-    out = helpers.chunks(lines, 600)
+    out = list(helpers.chunks(lines, 600))
     assert out[0].splitlines()[0] == lines[0] and all(x.startswith("[Contexto previo: ") for x in out[1:])
     assert all(any(x in c for c in out) for x in lines)
-    assert helpers.simple_chunks(["abc", "de", "fgh"], 7) == ["abc\nde", "fgh"] and helpers.simple_chunks(["ab"], 9) == ["ab"]
+    assert list(helpers.simple_chunks(["abc", "de", "fgh"], 7)) == ["abc\nde", "fgh"] and list(helpers.simple_chunks(["ab"], 9)) == ["ab"]
 
 
 def test_alignment_goes_forward(spark):
     said = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince".split()
     words = said + [f"x{k}" for k in range(30)] + said[::-1] + [f"y{k}" for k in range(30)]
-    found = helpers.aligned([said[:12], ["zz", "yy"], said[::-1][:8]], words)
+    found = helpers.aligned([(b, len(b)) for b in (said[:12], ["zz", "yy"], said[::-1][:8])], zip(words, range(len(words)), strict=True), len(words))
     # the first window that holds the whole needle is good enough
-    assert found == [(0, 0), (2, 40)]
+    assert list(found) == [(0, 0), (2, 40)]
     b = spark.createDataFrame([(1, 0, "A", "Uno, dos; tres cuatro cinco")], "ep long, block_idx long, speaker string, text string")
     t = spark.createDataFrame([(1, 7, "nada por aquí"), (1, 8, "uno dos tres cuatro cinco y así sigue la cosa por un buen rato más que nada")], "ep long, seg_idx long, text string")
     # the first window that holds all of the needle begins in the line before
