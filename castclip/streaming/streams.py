@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.intervals import KEYS
 from ..operators.jobs import job_state, step_progress
+from .sink import LiveTable, latest, upsert  # noqa: F401
 
 job_state_stream = job_state
 step_progress_stream = step_progress
 
 
-def upsert(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes each batch of changed rows as one more folder; ``latest`` reads the newest row of each key."""
-
-    def write(batch: DataFrame, n: int) -> None:
-        batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    return write
-
-
-def latest(df: DataFrame, key: list[str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in (*key, "_batch", "batch")]
-    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("_v")).select(*key, "_v.*")
-
-
 def throttle_stream(events: DataFrame, every: str = "300 milliseconds", delay: str = "10 seconds") -> DataFrame:
     """The last event of each job in each window; a job's feed ends with its ``done``, which comes out at once in a stream.
 
@@ -121,30 +106,48 @@ def dedup_events(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["id"]) if events.isStreaming else events.dropDuplicates(["id"])
 
 
-def stale_jobs_stream(events: DataFrame, limit_sec: float, delay: str = "1 minute") -> DataFrame:
-    """Jobs from which nothing comes for limit_sec of event time, once each, as failed."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+def keep_states_on_disk(spark: SparkSession) -> None:
+    """State of streams that start from now on lives in RocksDB, which stateful processors need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def run(key, batches, state):
-        import pandas as pd
 
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "last": [pd.Timestamp(last, unit="ms")], "status": ["failed"], "reason": ["no event within the limit"]})
-            return
-        last, ended = state.get[0] if state.exists else 0, False
-        for b in batches:
-            newest = b["occurred_at"].astype("datetime64[ms]").astype("int64")
-            if len(newest):
-                last = max(last, int(newest.max()))
-            ended = ended or bool((b["step"] == "done").any())
-        if ended:
-            if state.exists:
-                state.remove()
-            return
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + int(limit_sec * 1000), state.getCurrentWatermarkMs() + 1))
+def stale_jobs_stream(events: DataFrame, limit_sec: float, delay: str = "1 minute") -> DataFrame:
+    """Jobs from which nothing comes for limit_sec of event time, as failed, once for each silence; a job whose newest event is ``done`` is not waited for.
 
-    rows = events.withWatermark("occurred_at", delay).select("job_id", "occurred_at", "step")
-    return rows.groupBy("job_id").applyInPandasWithState(run, f"job_id {events.schema['job_id'].dataType.simpleString()}, last timestamp, status string, reason string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    The newest event of each job is a value state, its limit a timer of event time; both come back after a restart. Needs ``keep_states_on_disk``."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    limit = int(limit_sec * 1000)
+
+    class Silence(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle, self.newest = handle, handle.getValueState("newest", "at long, id long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            at, number = self.newest.get() if self.newest.exists() else (-1, -1)
+            step = None
+            for part in rows:
+                part = part.assign(at=part["occurred_at"].astype("datetime64[ms]").astype("int64")).sort_values(["at", "id"])
+                t, n, name = (part[c].iloc[-1] for c in ("at", "id", "step"))
+                if (t, n) > (at, number):
+                    at, number, step = int(t), int(n), name
+            if step is not None:  # not only late rows
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old)
+                self.newest.update((at, number))
+                if step != "done":
+                    self.handle.registerTimer(max(at + limit, timerValues.getCurrentWatermarkInMs() + 1))
+            yield pd.DataFrame()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            at, _ = self.newest.get()
+            self.newest.clear()
+            yield pd.DataFrame({"job_id": [key[0]], "last": [pd.Timestamp(at, unit="ms")], "status": ["failed"], "reason": ["no event within the limit"]})
+
+        def close(self) -> None:
+            pass
+
+    rows = events.withWatermark("occurred_at", delay).select("job_id", "id", "occurred_at", "step")
+    kind = f"job_id {events.schema['job_id'].dataType.simpleString()}, last timestamp, status string, reason string"
+    return rows.groupBy("job_id").transformWithStateInPandas(Silence(), kind, "append", "eventTime")

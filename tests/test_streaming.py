@@ -50,14 +50,6 @@ def test_job_state_and_progress(spark, tmp_path):
     assert {(r["job_id"], r["step"]): r["percent"] for r in got} == want
 
 
-def test_upsert_keeps_the_newest(spark, tmp_path):
-    write = streams.upsert(f"{tmp_path}/t", ["job_id"])
-    for n in range(2):
-        write(spark.createDataFrame([(1, f"s{n}")], "job_id long, step string"), n)
-    got = streams.latest(spark.read.parquet(f"{tmp_path}/t"), ["job_id"]).collect()
-    assert [tuple(r) for r in got] == [(1, "s1")]
-
-
 def test_repeats_go_within_the_watermark(spark, tmp_path):
     rows = [(1, 1, "a", 1.0, at(0)), (2, 1, "b", 2.0, at(30))]
     got = run(spark, tmp_path, [rows, [rows[0], (3, 1, "c", 3.0, at(40))], [(3, 1, "c", 3.0, at(40))]], EVENT, lambda e: streams.dedup_events(e, "10 minutes"), "append")
@@ -116,7 +108,13 @@ def test_sessions(spark):
 
 def test_stale_jobs(spark, tmp_path):
     rows = [[(1, 1, "download", 1.0, at(0)), (2, 2, "download", 1.0, at(0)), (3, 3, "download", 1.0, at(0))], [(4, 2, "done", 1.0, at(20)), (5, 3, "edit", 1.0, at(250))], [(6, 9, "x", 1.0, at(400))], [(7, 9, "x", 1.0, at(401))]]
-    got = run(spark, tmp_path, rows, EVENT, lambda e: streams.stale_jobs_stream(e, 120.0, "10 seconds"), "append")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    streams.keep_states_on_disk(spark)
+    try:
+        got = run(spark, tmp_path, rows, EVENT, lambda e: streams.stale_jobs_stream(e, 120.0, "10 seconds"), "append")
+    finally:
+        spark.conf.set(key, old)
     assert sorted((r["job_id"], r["status"]) for r in got) == [(1, "failed"), (3, "failed")]
     flat = spark.createDataFrame([x for b in rows for x in b], EVENT)
     batch = jobs.stale_jobs(flat, F.lit(at(401)), 120.0)
