@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import clusters
 from .intervals import KEYS, activity_votes_join
+from .scans import exact_median
 
 
 def frame_sample_plan(videos: DataFrame, policy: str = "uniform", keys=KEYS) -> DataFrame:
@@ -82,6 +83,39 @@ def audio_rms(samples: DataFrame, rate: float, window: float, keys=KEYS) -> Data
     return rows.groupBy(*keys, "w").agg(F.sqrt(F.avg(F.col("amplitude") * F.col("amplitude"))).alias("rms"))
 
 
+def audio_rms_blocks(blocks: DataFrame, rate: float, window: float, full: float = 32768.0, keys=KEYS) -> DataFrame:
+    """The same of sound kept as blocks: one row has ``pcm``, an array of whole numbers of which ``full`` is amplitude 1, and ``first``, the number of its first sample.
+
+    Blocks may be of any length and begin anywhere in a window: each gives the sum of squares and the number of samples of every window it
+    has a part of, as whole numbers, and a window's parts are added up. Null blocks count as empty."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    keys, per = list(keys), int(rate * window)
+    src = blocks.select(*keys, F.col("first").cast("long").alias("_first"), F.col("duration").cast("double").alias("_d"), F.coalesce(F.col("pcm").cast("array<int>"), F.array().cast("array<int>")).alias("_pcm"))
+    kinds = [to_arrow_type(f.dataType) for f in src.select(*keys).schema.fields]
+
+    def run(batches):
+        for b in batches:
+            first, pcm = b.column(len(keys)).to_numpy(zero_copy_only=False), b.column(len(keys) + 2)
+            size = pcm.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            start = np.concatenate([[0], np.cumsum(size)])[:-1]
+            squares = np.concatenate([[0], np.cumsum(pcm.flatten().to_numpy(zero_copy_only=False).astype(np.int64) ** 2)])
+            low, high = first // per, (first + size - 1) // per  # first and last window of each block
+            many = np.where(size > 0, high - low + 1, 0)
+            row = np.repeat(np.arange(len(size)), many)
+            w = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            a = np.maximum(w * per - first[row], 0) + start[row]
+            e = np.minimum((w + 1) * per - first[row], size[row]) + start[row]
+            taken = [c.take(pa.array(row)) for c in b.columns[: len(keys)]]
+            yield pa.RecordBatch.from_arrays([*[c.cast(t) for c, t in zip(taken, kinds, strict=True)], pa.array(w), pa.array(squares[e] - squares[a]), pa.array(e - a), b.column(len(keys) + 1).take(pa.array(row))], names=[*keys, "w", "_s", "_n", "_d"])
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*keys).schema.fields) + ", w long, _s long, _n long, _d double"
+    parts = src.mapInArrow(run, kind).filter(F.col("w") < F.floor(F.col("_d") / window + 1e-9))
+    return parts.groupBy(*keys, "w").agg((F.sqrt(F.sum("_s") / F.sum("_n")) / full).alias("rms"))
+
+
 def voice_activity(audio_windows: DataFrame, silence: float = 0.005, keys=KEYS) -> DataFrame:
     """Active and all windows, and the percentage skipped."""
     rows = audio_windows.groupBy(*keys).agg(F.count_if(F.col("rms") >= silence).alias("active"), F.count("*").alias("total"))
@@ -112,7 +146,7 @@ def lip_matrix(samples: DataFrame, stat: str = "mean", keys=KEYS) -> DataFrame:
     keys = list(keys)
     if stat == "mean":
         return samples.groupBy(*keys, "speaker", "position_id").agg(F.avg("mad").alias("score"))
-    rows = samples.groupBy(*keys, "speaker", "position_id").agg(F.median("mad").alias("m"))
+    rows = exact_median(samples, [*keys, "speaker", "position_id"], "mad", "m")
     w = Window.partitionBy(*keys, "position_id")
     sd = F.stddev_pop("m").over(w)
     return rows.withColumn("score", (F.col("m") - F.avg("m").over(w)) / F.when(sd < 0.01, 1.0).otherwise(sd)).drop("m")

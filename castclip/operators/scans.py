@@ -116,6 +116,20 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "position") -> Da
     return held.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
+def exact_median(rows: DataFrame, by: list[str], col: str, name: str, buckets: int = 1024) -> DataFrame:
+    """The median of each group, exact, without holding a group: its distinct values are counted, dealt to ``buckets`` of its range, and
+    added up bucket by bucket until the middle is reached. Nulls don't count; a group of nulls alone has none."""
+    each = rows.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_n")).withColumn("_by", F.struct(*by))
+    edges = each.groupBy("_by").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    place = F.nanvl((F.col("_v") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0), F.lit(1.0))
+    upto = Scan(each.join(edges, "_by"), ["_by"], ["_v"], F.floor(F.least(F.greatest(place, F.lit(0.0)), F.lit(1.0)) * buckets)).total(F.col("_n"), "_upto").done()
+    holds = lambda k: (F.col("_upto") - F.col("_n") < k) & (F.col("_upto") >= k)
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    middle = upto.groupBy(*by).agg(((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2).alias(name))
+    groups = rows.select(F.struct(*by).alias("_by")).distinct()
+    return groups.join(middle.select(F.struct(*by).alias("_by"), name), "_by", "left").select("_by.*", name)
+
+
 def streamed(rows: DataFrame, keys, order: list[str], make: Callable[[Iterator[tuple]], Iterator[tuple]], columns: str) -> DataFrame:
     """For rules that depend on their own earlier output: ``make`` reads the rows of one key in order, as tuples of the other columns, and
     gives tuples of ``columns`` as it goes. What it doesn't hold isn't held: an episode is never in memory as a whole."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clips, steps
 from ..operators import binding, intervals, jobs, moments, quality, scoring, turns
+from ..operators.scans import Scan
 from ..sources import io
 from ..streaming import streams
 from .fixtures import oracle, view
@@ -16,13 +17,14 @@ from .fixtures import oracle, view
 K = ("episode_id",)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+ORACLE: dict[str, str] = {}  # as written, over the views' names
 
 
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = oracle(sql)
+            ORACLE[f.__name__], ORACLE_SQL[f.__name__] = sql, oracle(sql)
         return f
 
     return add
@@ -459,6 +461,17 @@ def agg10_audio_rms(s, d):
     return binding.audio_rms(rows, 1000.0, 0.4, K).withColumn("rms", F.round("rms", 6))
 
 
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY sample_idx) - 1 AS i, count(*) OVER (PARTITION BY episode_id) AS a FROM fx_samples)
+SELECT episode_id, CAST(i // 400 AS BIGINT) AS w, round(sqrt(sum(amp100 * amp100) / 400.0) / 100, 6) AS rms FROM n WHERE i // 400 < a // 400 GROUP BY ALL""")
+def agg10_audio_rms_blocks(s, d):
+    x = Scan(view(s, d, "fx_samples"), K, ["sample_idx"], F.floor(F.col("sample_idx") / 65536)).number("n").done().withColumn("i", F.col("n") - 1)
+    all_ = x.groupBy("episode_id").agg((F.count("*") / 1000.0).alias("duration"))
+    # blocks of 1,000 samples, which windows of 400 straddle
+    pcm = F.transform(F.array_sort(F.collect_list(F.struct("i", "amp100"))), lambda v: v["amp100"].cast("smallint"))
+    blocks = x.groupBy("episode_id", F.floor(F.col("i") / 1000).alias("b")).agg(pcm.alias("pcm")).withColumn("first", F.col("b") * 1000).join(all_, "episode_id")
+    return binding.audio_rms_blocks(blocks, 1000.0, 0.4, 100.0, K).withColumn("rms", F.round("rms", 6))
+
+
 _AUDIO = "aud AS (SELECT DISTINCT episode_id, w, rms1000 FROM fx_track_windows)"
 
 
@@ -883,7 +896,11 @@ def _kept(s) -> str:
     import tempfile
     import uuid
 
-    root = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    root = s.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/catalog-{uuid.uuid4().hex}"
 
 
@@ -894,6 +911,18 @@ def src4_read_jobs(s, d):
     return io.read_jobs(s, path).select("id", F.size("steps_completed").alias("done"), F.get("steps_completed", F.lit(0)).alias("first"), F.size("steps").alias("planned"))
 
 
+@query("SELECT id, status, CAST(n_completed AS INTEGER) AS done, CAST(CASE WHEN n_completed > 0 THEN 'download' END AS STRING) AS first FROM fx_jobs WHERE id % 3 = 0 OR status = 'running'")
+def src4_read_jobs_jdbc(s, d):
+    """Through a database in the driver's memory, which only tasks in that process can reach: for local masters."""
+    import uuid
+
+    base = {"url": f"jdbc:derby:memory:jobs{uuid.uuid4().hex};create=true", "dbtable": "jobs"}
+    rows = _job(s, d).select("id", "status", "updated_at", "steps_completed")
+    io.write_jdbc(rows, base | {"createTableColumnTypes": "status VARCHAR(20)"})
+    jobs_ = io.read_jobs(s, base | {"partitionColumn": "id", "numPartitions": 4})
+    return jobs_.filter("id % 3 = 0 or status = 'running'").select("id", "status", F.size("steps_completed").alias("done"), F.get("steps_completed", F.lit(0)).alias("first"))
+
+
 @query("SELECT 'project=P' AS project, 'episode=Ep' || episode_id AS episode, CAST(1 AS BIGINT) AS files FROM fx_segments GROUP BY episode_id")
 def src6_read_artifacts(s, d):
     path = _kept(s)
@@ -1013,6 +1042,60 @@ def str9_dedup_events(s, d):
     return streams.dedup_events(e.unionByName(e.filter("id % 3 = 0"))).select("id", "step")
 
 
+def _replayed(s, rows, make, write, batches: int = 1) -> str:
+    """A stream over ``rows``, which come in so many batches, run to its end. Returns the folder that ``write`` has been given."""
+    src, to = _kept(s), _kept(s)
+    rows.repartition(batches).write.parquet(src)
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    write(make(stream).writeStream, to).option("checkpointLocation", _kept(s)).trigger(availableNow=True).start().awaitTermination()
+    return to
+
+
+def _upserted(key, mode: str = "update"):
+    return lambda w, to: w.outputMode(mode).foreachBatch(streams.upsert(to, key, fan=3))
+
+
+def _appended(w, to):
+    return w.outputMode("append").format("parquet").option("path", to)
+
+
+@query(ORACLE["str1_job_state"])
+def str1_job_state_live(s, d):
+    to = _replayed(s, view(s, d, "fx_job_events"), streams.job_state_stream, _upserted(["job_id"]), 4)
+    return streams.latest(s, to, ["job_id"]).select("job_id", "current_step", "progress")
+
+
+@query(ORACLE["str2_step_progress"])
+def str2_step_progress_live(s, d):
+    to = _replayed(s, view(s, d, "fx_job_events"), streams.step_progress_stream, _upserted(["job_id", "step"]), 4)
+    return jobs.finished_before(streams.latest(s, to, ["job_id", "step"]))
+
+
+@query(ORACLE["str4_rms_windows"])
+def str4_rms_windows_live(s, d):
+    to = _replayed(s, _samples(s, d), lambda e: streams.rms_stream(e, "1 hour", 0.5, keys=K), _upserted(["episode_id", "at"]))
+    return streams.latest(s, to, ["episode_id", "at"]).select("episode_id", F.round("rms", 6).alias("rms"), "voiced")
+
+
+@query(ORACLE["str7_stale_jobs"])
+def str7_stale_jobs_live(s, d):
+    e = view(s, d, "fx_job_events").repartition(1)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = s.conf.get(key)
+    streams.keep_states_on_disk(s)
+    try:
+        to = _replayed(s, e, lambda e: streams.stale_jobs_stream(e, 3600.0, "0 seconds"), _appended)
+    finally:
+        s.conf.set(key, old)
+    return s.read.parquet(to).select("job_id")
+
+
+@query(ORACLE["str9_dedup_events"])
+def str9_dedup_events_live(s, d):
+    e = view(s, d, "fx_job_events")
+    return s.read.parquet(_replayed(s, e.unionByName(e.filter("id % 3 = 0")), streams.dedup_events, _appended)).select("id", "step")
+
+
 @query()
 def udf1_score_chunks(s, d):
     chunks = quality.chunk_transcript(_stamped(s, d), 500, K)

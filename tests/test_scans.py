@@ -88,3 +88,35 @@ def test_jobs_are_numbered_in_ranges(spark):
         assert [r["position"] for r in jobs.order_jobs(df).collect()] == list(range(1, 401))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("buckets", [1, 8, 1024])
+def test_medians_are_exact(spark, buckets):
+    rng = random.Random(7)
+    rows = [("hot", rng.choice((rng.random(), 0.5, rng.gauss(0, 1) ** 9))) for _ in range(2000)] + [("even", 1.0), ("even", 4.0), ("one", -3.0), ("same", 2.0), ("same", 2.0), ("none", None), (None, 7.0), (None, None), (None, 8.5)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    want = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    got = {r["g"]: r["m"] for r in scans.exact_median(df, ["g"], "v", "m", buckets).collect()}
+    assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in got if got[k] is not None) and got["none"] is want["none"] is None
+    odd = spark.createDataFrame([("a", x) for x in (1.0, float("inf"), float("inf"))] + [("b", x) for x in (float("-inf"), 2.0, 3.0)], "g string, v double")
+    assert {r["g"]: r["m"] for r in scans.exact_median(odd, ["g"], "v", "m", buckets).collect()} == {"a": float("inf"), "b": 2.0}
+
+
+def test_sound_in_blocks_is_sound_in_samples(spark):
+    from castclip.operators import binding
+
+    rng = random.Random(9)
+    rows, blocks = [], []
+    for ep, n in (("a", 1003), (None, 410), ("short", 3)):
+        own = [rng.randrange(-32768, 32768) for _ in range(n)]
+        rows += [(ep, k, v / 32768, n / 100) for k, v in enumerate(own)]
+        at = 0
+        while at < n:
+            size = rng.choice((1, 7, 60, 200))
+            blocks.append((ep, at, own[at : at + size], n / 100))
+            at += size
+        blocks += [(ep, n, [], n / 100), (ep, n, None, n / 100)]
+    one = binding.audio_rms(spark.createDataFrame(rows, "ep string, sample_idx long, amplitude double, duration double"), 100.0, 0.4, K)
+    many = binding.audio_rms_blocks(spark.createDataFrame(blocks, "ep string, first long, pcm array<smallint>, duration double").repartition(5), 100.0, 0.4, keys=K)
+    told = lambda d: sorted((r["ep"] or "", r["w"], round(r["rms"], 9)) for r in d.collect())
+    assert told(one) == told(many) and len(told(one)) == 25 + 10
