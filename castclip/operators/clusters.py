@@ -1,22 +1,33 @@
-"""k-means of episodes too large for one task: the points stay where they are, centres are a small table of their own."""
+"""k-means of episodes too large for one task: the points stay where they are, tasks send sums and counts, and the driver moves the centres."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scans import cut
 
+MOST = 1_000_000  # components of the centres that are worked on at once
+FEW = 4_000_000  # values of a table that is broadcast, about 32 MB
+
 
 def parted(rows: DataFrame, most: int, keys) -> tuple[DataFrame, DataFrame | None]:
     """Rows of episodes of up to ``most`` rows, and those of larger ones with their key as ``_e`` (None if there are none)."""
     large = cut(rows.groupBy(F.struct(*keys).alias("_e")).count().filter(F.col("count") > most).select("_e"))
-    if large.isEmpty():
+    n = large.count()
+    if not n:
         return rows, None
-    named = rows.withColumn("_e", F.struct(*keys))
+    named, large = rows.withColumn("_e", F.struct(*keys)), _small(large, n)
     return named.join(large, "_e", "left_anti").drop("_e"), named.join(large, "_e", "left_semi")
 
 
+def _small(table: DataFrame, size: int) -> DataFrame:
+    """The table for a join in which large episodes should stay where they are: broadcast, unless it has over FEW values."""
+    return F.broadcast(table) if size <= FEW else table
+
+
 def _distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
@@ -26,28 +37,82 @@ def _nearest(p: Column, centres: Column) -> Column:
     return F.array_min(F.transform(centres, lambda c, i: F.struct(_distance(p, c).alias("d"), i.alias("i"))))["i"]
 
 
-def _dealt(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """Each point once for every set of centres of its episode, with the cluster it is in there."""
+def _dealt(points: DataFrame, centres: DataFrame, size: int) -> DataFrame:
+    """Each point once for every set of centres of its episode, with the cluster it is in there. size: components of all centres."""
     sets = centres.groupBy("_e").agg(F.collect_list(F.struct("k", "centres")).alias("_s"))
-    rows = points.join(sets, "_e").withColumn("_s", F.explode("_s"))
+    rows = points.join(_small(sets, size), "_e").withColumn("_s", F.explode("_s"))
     return rows.withColumn("k", F.col("_s.k")).withColumn("c", _nearest(F.col("p"), F.col("_s.centres"))).drop("_s")
 
 
-def lloyd(points: DataFrame, starts: DataFrame, rounds: int, atol: float) -> DataFrame:
-    """Centres of each episode and number of clusters. Points: _e, p; starts: _e, k, centres. A centre without points stays."""
-    centres = cut(starts)
-    for _ in range(rounds):
-        rows = _dealt(points.select("_e", "p"), centres).select("_e", "k", "c", F.posexplode("p").alias("j", "v"))
-        mean = rows.groupBy("_e", "k", "c", "j").agg(F.avg("v").alias("v")).groupBy("_e", "k", "c").agg(F.array_sort(F.collect_list(F.struct("j", "v")))["v"].alias("m"))
-        moved = mean.groupBy("_e", "k").agg(F.map_from_entries(F.collect_list(F.struct("c", "m"))).alias("_m"))
-        both = centres.join(moved, ["_e", "k"]).withColumn("_to", F.transform("centres", lambda old, i: F.coalesce(F.element_at(F.col("_m"), i), old)))
-        close = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= atol + 1e-5 * F.abs(y)), lambda ok: ok)
-        both = both.withColumn("still", F.forall(F.zip_with("centres", "_to", close), lambda ok: ok))
-        centres = cut(both.select("_e", "k", F.when(F.col("still"), F.col("centres")).otherwise(F.col("_to")).alias("centres"), "still"))
-        if centres.filter("not still").isEmpty():
-            break
-        centres = centres.drop("still")
-    return centres.select("_e", "k", "centres")
+def _sums(points: DataFrame, centres: dict[tuple[str, int], np.ndarray]) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """Of every episode's name and number of clusters, how many points each centre has, and their sum. A task sends one row for each centre."""
+    by: dict[str, list[int]] = {}
+    for name, k in centres:
+        by.setdefault(name, []).append(k)
+
+    def run(batches):
+        total: dict[tuple[str, int], list[np.ndarray]] = {}
+        for b in batches:
+            names = b.column(0).dictionary_encode()
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+            which = names.indices.to_numpy()
+            for j, name in enumerate(names.dictionary.to_pylist()):
+                own = x[which == j]
+                for k in by.get(name, ()):
+                    c = centres[name, k]
+                    near = (own @ c.T * -2 + (c**2).sum(axis=1)).argmin(axis=1)
+                    member = near[:, None] == np.arange(len(c))
+                    n, s = total.setdefault((name, k), [np.zeros(len(c), np.int64), np.zeros(c.shape)])
+                    n += member.sum(axis=0)
+                    s += member.T @ own
+        rows = [(name, k, j, int(n[j]), s[j].tolist()) for (name, k), (n, s) in total.items() for j in range(len(n)) if n[j]]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["name", "k", "c", "n", "s"])
+
+    told = points.select("_n", "p").mapInArrow(run, "name string, k int, c int, n long, s array<double>")
+    each = told.select("name", "k", "c", "n", F.posexplode("s").alias("j", "v")).groupBy("name", "k", "c", "j").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    out = {key: (np.zeros(len(c), np.int64), np.zeros(c.shape)) for key, c in centres.items()}
+    for r in each.toArrow().to_pylist():  # as many as the centres have components
+        n, s = out[r["name"], r["k"]]
+        n[r["c"]], s[r["c"], r["j"]] = r["n"], r["v"]
+    return out
+
+
+def lloyd(points: DataFrame, starts: DataFrame, rounds: int, atol: float) -> tuple[DataFrame, int]:
+    """Centres of each episode and number of clusters, and how many components they have. Points: _e, p; starts: _e, k, centres. A centre without points stays.
+
+    Episodes come here for their size, so they are few for the rows that there are; of their centres MOST components are worked on at once, in as
+    many turns as it takes."""
+    named = points.withColumn("_n", F.to_json("_e", {"ignoreNullFields": "false"}))
+    begun = starts.withColumn("_n", F.to_json("_e", {"ignoreNullFields": "false"}))
+    made: list[DataFrame] = []
+    held: dict[tuple[str, int], np.ndarray] = {}
+    size = 0
+
+    def settle() -> None:
+        moving = dict(held)
+        for _ in range(rounds):
+            if not moving:
+                break
+            for key, (n, s) in _sums(named, moving).items():
+                to = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], held[key])
+                if np.allclose(held[key], to, atol=atol):
+                    del moving[key]
+                else:
+                    moving[key] = held[key] = to
+        made.append(cut(points.sparkSession.createDataFrame([(*key, c.tolist()) for key, c in held.items()], "_n string, k int, centres array<array<double>>")))
+        held.clear()
+
+    for r in cut(begun.select("_n", "k", "centres")).toLocalIterator():
+        held[r["_n"], r["k"]] = np.array(r["centres"], dtype=float)
+        size += held[r["_n"], r["k"]].size
+        if sum(c.size for c in held.values()) >= MOST:
+            settle()
+    settle()
+    told = made[0]
+    for more in made[1:]:
+        told = told.unionByName(more)
+    return begun.drop("centres").join(_small(told, size), ["_n", "k"]).select("_e", "k", "centres"), size
 
 
 def _first(rows: DataFrame, order, n: int) -> DataFrame:
@@ -61,18 +126,19 @@ def faces(detections: DataFrame, max_k: int) -> DataFrame:
     wide = points.groupBy("_e").agg(F.min(F.col("p")[0]).alias("lo"), F.max(F.col("p")[0]).alias("hi"), F.avg(F.col("p")[1]).alias("y"))
     sets = wide.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(2, max_k + 1) or [2]])))
     spread = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.array(F.col("lo") + (F.col("hi") - F.col("lo")) * i / (F.col("k") - 1), F.col("y")))
-    centres = lloyd(points, sets.select("_e", "k", spread.alias("centres")), 20, 1e-4)
+    centres, size = lloyd(points, sets.select("_e", "k", spread.alias("centres")), 20, 1e-4)
     # mean distances of 200 points to each cluster, summed up over all points
-    head = _dealt(_first(rows, ("t", "cx", "cy"), 200).select("_e", "i", "p"), centres)
+    head = _dealt(_first(rows, ("t", "cx", "cy"), 200).select("_e", "i", "p"), centres, size)
     head = head.groupBy("_e", "k").agg(F.collect_list(F.struct("i", "p", F.col("c").alias("own"))).alias("_h"))
-    met = _dealt(points, centres).join(head, ["_e", "k"]).withColumn("_h", F.explode("_h"))
+    met = _dealt(points, centres, size).join(_small(head, 500 * size), ["_e", "k"]).withColumn("_h", F.explode("_h"))
     far = met.groupBy("_e", "k", F.col("_h.i").alias("i"), F.col("_h.own").alias("own"), "c").agg(F.sum(F.sqrt(_distance(F.col("p"), F.col("_h.p")))).alias("d"), F.count("*").alias("n"))
     one = F.when(F.col("c") == F.col("own"), F.when(F.col("n") > 1, F.col("d") / F.nullif(F.col("n") - 1, F.lit(0))).otherwise(0.0))
     each = far.groupBy("_e", "k", "i").agg(F.max(one).alias("a"), F.coalesce(F.min(F.when(F.col("c") != F.col("own"), F.col("d") / F.col("n"))), F.lit(0.0)).alias("b"))
     top = F.greatest("a", "b")
     score = each.groupBy("_e", "k").agg(F.avg(F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)).alias("s"))
-    best = score.groupBy("_e").agg(F.max_by("k", F.struct("s", -F.col("k"))).alias("k"))
-    named = _dealt(rows, centres.join(best, ["_e", "k"]))
+    # numbers that leave a centre without points score alike, but for the order of sums
+    best = score.groupBy("_e").agg(F.max_by("k", F.struct(F.round("s", 9), -F.col("k"))).alias("k"))
+    named = _dealt(rows, centres.join(best, ["_e", "k"]), size)
     return named.withColumn("cluster", F.col("c").cast("int")).drop("_e", "p", "k", "c")
 
 
@@ -95,9 +161,9 @@ def voices(features: DataFrame, fixed: int | None, min_k: int, max_k: int) -> Da
     if not counts:
         return features.withColumn("label", F.lit(0)).drop("_e")
     starts = taken.withColumn("k", F.explode(F.array(*[F.lit(k) for k in counts]))).select("_e", "k", F.slice("centres", F.lit(1), F.col("k")).alias("centres"))
-    centres = lloyd(points, starts, 100, 1e-6)
+    centres, size = lloyd(points, starts, 100, 1e-6)
     if not picked:
-        head = _dealt(_first(points, ("win_idx",), 2000), centres)
+        head = _dealt(_first(points, ("win_idx",), 2000), centres, size)
 
         def run(pdf):
             import numpy as np
@@ -117,4 +183,4 @@ def voices(features: DataFrame, fixed: int | None, min_k: int, max_k: int) -> Da
         best = best.select("_e", F.aggregate("_s", F.struct(F.lit(0).alias("k"), F.lit(-1.0).alias("s")), rule)["k"].alias("k"))
         none = taken.join(best.filter("k = 0"), "_e", "left_semi").select("_e", F.lit(0).alias("k"), F.slice("centres", 1, 1).alias("centres"))
         centres = centres.join(best, ["_e", "k"]).unionByName(none)
-    return _dealt(rows, centres).withColumn("label", F.col("c").cast("int")).drop("_e", "p", "k", "c")
+    return _dealt(rows, centres, size).withColumn("label", F.col("c").cast("int")).drop("_e", "p", "k", "c")
