@@ -105,6 +105,12 @@ def _stamp(ms: str) -> str:
     return f"{part(whole(3600), 2)} || ':' || {part(whole(60) + ' % 60', 2)} || ':' || {part(whole(1) + ' % 60', 2)} || ',' || {part(thousandths, 3)}"
 
 
+def _stamped_ms(ms: str) -> str:
+    """The milliseconds that such a time tells."""
+    x = f"(CAST({ms} AS DOUBLE) / CAST(1000 AS DOUBLE))"
+    return f"(CAST(floor({x}) AS BIGINT) * 1000 + CAST(trunc(({x} % CAST(1 AS DOUBLE)) * CAST(1000 AS DOUBLE)) AS BIGINT))"
+
+
 @query(f"SELECT episode_id, seg_idx, {_stamp('start_ms')} AS t FROM fx_segments")
 def fn1_srt_time(s, d):
     return _segs(s, d).select("episode_id", "seg_idx", clips.srt_time(F.col("start")).alias("t"))
@@ -775,6 +781,31 @@ def win31_assign_speakers(s, d):
     return binding.assign_speakers(m, keys=K)
 
 
+_CELLS = f"""{_VOTE}, cells AS (SELECT c.episode_id, c.speaker, c.track_id, coalesce(total / CAST(n AS DOUBLE), 0) AS average FROM (SELECT * FROM (SELECT DISTINCT episode_id, speaker FROM fx_segments) JOIN (SELECT DISTINCT episode_id, track_id FROM wins) USING (episode_id)) c LEFT JOIN votes USING (episode_id, speaker, track_id))"""
+
+
+@query(f"""WITH RECURSIVE {_CELLS}, l AS (SELECT episode_id, list(struct_pack(s := speaker, t := track_id) ORDER BY average DESC, speaker, track_id) AS l FROM cells WHERE average > 0 GROUP BY 1),
+g AS (SELECT episode_id, l, CAST(NULL AS VARCHAR) AS speaker, CAST(NULL AS BIGINT) AS track_id FROM l
+UNION ALL SELECT episode_id, list_filter(l, lambda x: x.s <> l[1].s AND x.t <> l[1].t), l[1].s, l[1].t FROM g WHERE len(l) > 0)
+SELECT episode_id, speaker, track_id FROM g WHERE speaker IS NOT NULL""")
+def win31_assign_greedy(s, d):
+    return binding.assign_speakers(binding.vote_matrix(_windows(s, d), _segs(s, d), K, bin=10.0), "greedy", K)
+
+
+@query(f"""WITH RECURSIVE {_CELLS}, n AS (SELECT episode_id, speaker, row_number() OVER (PARTITION BY episode_id ORDER BY speaker) AS k FROM (SELECT DISTINCT episode_id, speaker FROM cells)),
+q AS (SELECT episode_id, least(count(DISTINCT speaker), count(DISTINCT track_id)) AS least FROM cells GROUP BY 1),
+g AS (SELECT DISTINCT episode_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(0 AS DOUBLE) AS total FROM cells
+UNION ALL SELECT g.episode_id, g.k + 1, CASE WHEN c.track_id IS NULL THEN used ELSE list_append(used, c.track_id) END, total + c.average
+FROM g JOIN n ON n.episode_id = g.episode_id AND n.k = g.k + 1 JOIN (SELECT episode_id, speaker, track_id, average FROM cells UNION ALL SELECT DISTINCT episode_id, speaker, NULL, 0 FROM cells) c ON c.episode_id = n.episode_id AND c.speaker = n.speaker WHERE c.track_id IS NULL OR NOT list_contains(used, c.track_id)),
+e AS (SELECT episode_id, max(k) AS k FROM g GROUP BY 1)
+SELECT g.episode_id, any_value(q.least) AS pairs, round(max(total), 6) AS total FROM g JOIN e ON e.episode_id = g.episode_id AND e.k = g.k JOIN q ON q.episode_id = g.episode_id WHERE len(used) = q.least GROUP BY 1""")
+def win31_assigned_total(s, d):
+    """The optimum may be reached by several assignments, its total by one number only."""
+    m = binding.vote_matrix(_windows(s, d), _segs(s, d), K, bin=10.0)
+    got = binding.assign_speakers(m, keys=K).join(m, ["episode_id", "speaker", "track_id"])
+    return got.groupBy("episode_id").agg(F.count("*").alias("pairs"), F.round(F.sum("average"), 6).alias("total"))
+
+
 # sorts, sets, projections, texts -----------------------------------------------------------------
 @query("SELECT id, status, CAST(row_number() OVER (ORDER BY CASE status WHEN 'running' THEN 1 WHEN 'paused' THEN 2 WHEN 'pending' THEN 3 WHEN 'awaiting_export' THEN 4 WHEN 'stopped' THEN 5 WHEN 'failed' THEN 6 WHEN 'completed' THEN 7 ELSE 8 END, updated_at DESC, 'ep' || CAST(episode_id AS STRING), id) AS BIGINT) AS position FROM fx_jobs")
 def srt1_order_jobs(s, d):
@@ -1103,6 +1134,19 @@ def udf1_score_chunks(s, d):
     return io.parse_model_responses(got, K)[0].select("episode_id", "chunk_idx", "moment_idx", ms("start"), ms("end"), "score")
 
 
+@query(f"""WITH RECURSIVE l AS (SELECT *, length(line) + 1 AS n, row_number() OVER (PARTITION BY episode_id ORDER BY seg_idx) AS k FROM (SELECT episode_id, seg_idx, start_ms, end_ms, text, '[' || {_stamp("start_ms")} || ' --> ' || {_stamp("end_ms")} || '] ' || text AS line FROM fx_segments)),
+c AS (SELECT episode_id, k, n AS size, 0 AS chunk_idx FROM l WHERE k = 1
+UNION ALL SELECT l.episode_id, l.k, CASE WHEN size + n > 1500 THEN n ELSE size + n END, chunk_idx + CASE WHEN size + n > 1500 THEN 1 ELSE 0 END FROM c JOIN l ON l.episode_id = c.episode_id AND l.k = c.k + 1),
+w AS (SELECT l.*, CASE WHEN sum(n) OVER (PARTITION BY episode_id) <= 1501 THEN 0 ELSE chunk_idx END AS own FROM c JOIN l USING (episode_id, k)),
+o AS (SELECT *, (row_number() OVER (PARTITION BY episode_id, own ORDER BY k) - 1) // 3 AS part FROM w),
+p AS (SELECT episode_id, own, part, min({_stamped_ms("start_ms")}) AS start_ms, max({_stamped_ms("end_ms")}) AS end_ms, lower(string_agg(split_part(text, chr(10), 1), ' ' ORDER BY k)) AS t FROM o GROUP BY ALL)
+SELECT episode_id, CAST(own AS INTEGER) AS chunk_idx, CAST(part AS INTEGER) AS moment_idx, start_ms, end_ms, least(10.0, 3 + 1.5 * ({" + ".join(f"CAST(({x}) AS INTEGER)" for x in _HITS.values())})) AS score FROM p""")
+def udf1_score_simple_chunks(s, d):
+    chunks = quality.chunk_simple(_stamped(s, d), 1500, K)
+    got = scoring.score_chunks(chunks.withColumnRenamed("text", "prompt"), keys=K)
+    return io.parse_model_responses(got, K)[0].select("episode_id", "chunk_idx", "moment_idx", ms("start"), ms("end"), "score")
+
+
 @query("SELECT episode_id, moment_idx, round_even(CAST(moment_idx * 31 + score10 AS DOUBLE) / 64, 2) AS r2 FROM fx_moments")
 def udf3_py_round(s, d):
     # 64ths are exact in binary and hold true ties
