@@ -151,11 +151,14 @@ def place(pieces: DataFrame, capacity: int = 1024, bucket: int = BUCKET) -> Data
     split = {int(n): int(m) for n, m in enumerate(many) if m > 1}
     of = F.element_at(F.create_map(*[F.lit(x) for kv in split.items() for x in kv]), F.col("length")) if split else F.lit(None).cast("int")
     rows = pieces.withColumn(_BUCKET, F.coalesce(F.pmod(F.xxhash64("doc_id", "piece"), of).cast("int"), F.lit(0)))
-    before, sums = np.zeros((capacity + 1, int(many.max())), dtype=np.int64), Counter()
-    for r in sorted(rows.groupBy("length", _BUCKET).count().collect()):  # one row for each length and each ``bucket`` pieces
-        before[r["length"], r[_BUCKET]] = sums[r["length"]]
+    # ranks before each bucket, one length's buckets after another's: as many as there are times ``bucket`` pieces, and lengths
+    row = np.concatenate([[0], np.cumsum(many)])
+    before, sums = np.zeros(int(row[-1]), dtype=np.int64), Counter()
+    for r in sorted(rows.groupBy("length", _BUCKET).count().collect()):
+        before[row[r["length"]] + r[_BUCKET]] = sums[r["length"]]
         sums[r["length"]] += r["count"]
     at = _places(plan(total, capacity))
+    shared = pieces.sparkSession.sparkContext.broadcast((row, before))
     names = pieces.columns
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
     ranked = rows.withColumn(_RANK, F.row_number().over(Window.partitionBy("length", _BUCKET).orderBy("doc_id", "piece", "start", "ids_crc32")))
@@ -163,7 +166,8 @@ def place(pieces: DataFrame, capacity: int = 1024, bucket: int = BUCKET) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = b.column("length").to_numpy().astype(np.int64)
-            rank = before[size, b.column(_BUCKET).to_numpy()] + b.column(_RANK).to_numpy() - 1
+            row, before = shared.value
+            rank = before[row[size] + b.column(_BUCKET).to_numpy()] + b.column(_RANK).to_numpy() - 1
             k = np.searchsorted(at["key"], (size << 44) + rank, "right") - 1
             inner = rank - at["first"][k]
             sequence = at["sequence"][k] + inner // at["each"][k]
