@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, SLICE, pieces, slices, span_hashes, words
@@ -82,15 +82,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def sample(df: DataFrame, lang: Column, id_col: str, text_col: str, per_language: int, passage: int) -> list[tuple[str, str]]:
-    """About per_language (text, language) pairs of each language, picked by a hash of the id."""
+    """About per_language (text, language) pairs of each language, and no more than a fifth above that, picked by a hash of id and text; equal rows count once."""
     rows = df.filter(F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang")).filter("lang is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return []
     rate = F.element_at(F.create_map(*[F.lit(x) for k, c in sorted(counts.items()) for x in (k, min(1.0, per_language / c))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    draw = F.xxhash64("id", "text")
     start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("text") - passage, F.lit(1))).cast("int") + 1
-    got = rows.filter(draw < rate).select("id", F.substring("text", start, F.lit(passage)).alias("text"), "lang").collect()
+    picked = rows.withColumn("draw", draw).filter(F.col("draw") / F.lit(2.0**64) + 0.5 < rate).select("id", F.substring("text", start, F.lit(passage)).alias("text"), "lang", "draw").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
+    got = picked.withColumn("n", first).filter(F.col("n") <= per_language * 6 // 5 + 50).collect()
     return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["id"] or 0, r["text"], r["lang"]))]
 
 

@@ -1,13 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney bigram models, of toxic and of ordinary texts, back off to a unigram model of their class,
-then to a model of its word beginnings (``STEM`` bytes, for inflected forms that were never seen), and from there
+Two interpolated Kneser-Ney bigram models, of toxic and of ordinary texts, back off to the continuation counts of their class (in how many
+contexts it has a word), then to those of its word beginnings (``STEM`` bytes, for inflected forms that were never seen), and from there
 to one shared continuation distribution, counted over both classes: an expression rare in either class gets the
 same smoothing in both. A text's evidence is the difference of the two log-likelihoods, normalised by
 length, over the whole text and over its most toxic windows of 1, 3, 8 and 32 words; a logistic
 layer, fitted on texts that the counts left out, turns it into a probability.
 
-The models are fitted on a bounded sample: about ``toxic`` and ``ordinary`` labelled texts, picked by a hash of the id, of
+The models are fitted on a bounded sample: about ``toxic`` and ``ordinary`` labelled texts, and no more than a fifth above that, picked by a hash of the id, of
 which a longer text gives one passage of ``passage`` characters that begins at a place given by a hash of its id. Bigrams seen
 once are left to the backoff, a usual cut-off of such models: held out, more toxic texts are found with it and fewer others marked.
 
@@ -23,14 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER_VALUE, mix, per_text, pieces, slices, span_hashes, word_hashes
 
 TOXIC, ORDINARY, PASSAGE = 1500, 2500, 40_000
 WINDOWS = (1, 3, 8, 32)
-DISCOUNT = 0.75
+DISCOUNT = 0.3  # chosen by parts of the training rows; near copies make higher ones unsure of what they have seen
 STEM = 4
 WORD = np.array([chr(b).isalpha() or b > 127 for b in range(128)] + [True] * 128)
 
@@ -74,35 +74,42 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def count_models(texts: list[str], labels: np.ndarray) -> Model:
+    """Kneser-Ney models of both classes over one vocabulary.
+
+    A bigram's count less the discount stands over that of its first word; what is left over goes to the class's continuation probability of the second
+    word: in how many different contexts (words before it, or a text's beginning) the class has it. Its own remainder goes to words that begin alike,
+    and theirs to the shared counts: contexts in either class. Every step's remainder is what its kept counts leave of 1."""
     h, g, doc = _tokens(texts)
     y = labels[doc]
     d = DISCOUNT
     word, at_word, inv = np.unique(h, return_index=True, return_inverse=True)
     stem, sinv = np.unique(g, return_inverse=True)
-    by_class = lambda ids, n, c: np.stack([np.bincount(ids[c == k], minlength=n) for k in (0, 1)]).astype(float)
-    uni, beg = by_class(inv, len(word), y), by_class(sinv, len(stem), y)
-    total = np.maximum(uni.sum(axis=1), 1)[:, None]
+    of = sinv[at_word]
     key, at = _pairs(h, doc)
     pair, first, pinv = np.unique(key, return_index=True, return_inverse=True)
-    two = by_class(pinv, len(pair), y[at])
+    two = np.stack([np.bincount(pinv[y[at] == k], minlength=len(pair)) for k in (0, 1)]).astype(float)
     left, right = inv[at[first] - 1], inv[at[first]]
-    of = sinv[at_word]
-    # shared: distinct words seen before each word, in either class
-    kinds = np.bincount(right, minlength=len(word)) + 1.0
-    base = len(pair) + len(word) + 1.0
-    family = np.bincount(of, weights=kinds, minlength=len(stem))
-    lam = d * (beg > 0).sum(axis=1)[:, None] / total
+    begins = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+    starts = np.stack([np.bincount(inv[begins & (y == k)], minlength=len(word)) for k in (0, 1)]) > 0
+    # different contexts of each word, in each class and in either
+    kinds = np.stack([np.bincount(right, weights=two[k] > 0, minlength=len(word)) for k in (0, 1)]) + starts
+    shared = np.bincount(right, minlength=len(word)) + starts.any(axis=0) + 0.0
+    total = np.maximum(kinds.sum(axis=1), 1)[:, None]
+    by_stem = lambda x: np.bincount(of, weights=x, minlength=len(stem))
+    beg, family = np.stack([by_stem(kinds[k]) for k in (0, 1)]), by_stem(shared)
+    base = shared.sum() + 1.0  # a word that was never seen counts one context
+    lam = 1 - np.maximum(beg - d, 0).sum(axis=1)[:, None] / total
     begun = np.maximum(beg - d, 0) / total + lam * (family / base)
-    lam_word = d * (uni > 0).sum(axis=1)[:, None] / total
-    unigram = np.maximum(uni - d, 0) / total + lam_word * begun[:, of] * (kinds / family[of])
+    lam_word = 1 - np.maximum(kinds - d, 0).sum(axis=1)[:, None] / total
+    unigram = np.maximum(kinds - d, 0) / total + lam_word * begun[:, of] * (shared / family[of])
     unseen = lam_word * np.append(begun, lam / base, axis=1)
-    after = np.stack([np.bincount(left, weights=two[c], minlength=len(word)) for c in (0, 1)])
-    follow = np.stack([np.bincount(left, weights=two[c] > 0, minlength=len(word)) for c in (0, 1)])
-    weight = np.where(after > 0, d * follow / np.maximum(after, 1), 1.0)
-    bigram = np.maximum(two - d, 0) / np.maximum(after[:, left], 1) + weight[:, left] * unigram[:, right]
+    after = np.stack([np.bincount(left, weights=two[k], minlength=len(word)) for k in (0, 1)])
     keep = two.sum(axis=0) > 1
+    sure = np.maximum(two - d, 0) / np.maximum(after[:, left], 1)
+    weight = 1 - np.stack([np.bincount(left[keep], weights=sure[k, keep], minlength=len(word)) for k in (0, 1)])
+    bigram = sure[:, keep] + weight[:, left[keep]] * unigram[:, right[keep]]
     z = np.zeros(0)
-    return Model(word, np.log(unigram), stem, np.log(unseen + 1e-300), np.log(np.append(weight, np.ones((2, 1)), axis=1)), pair[keep], np.log(bigram[:, keep]), z, z, z)
+    return Model(word, np.log(unigram), stem, np.log(unseen + 1e-300), np.log(np.append(weight, np.ones((2, 1)), axis=1)), pair[keep], np.log(bigram), z, z, z)
 
 
 def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -173,11 +180,16 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if len(counts) < 2:
         return Model(z, z, z, z, z, z, z, z, z, z, False)
     rate = F.when(F.col("y") == 1, min(1.0, toxic / counts[1])).otherwise(min(1.0, ordinary / counts[0]))
-    picked = marks.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < rate)
+    first = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    most = F.when(F.col("y") == 1, toxic * 6 // 5 + 50).otherwise(ordinary * 6 // 5 + 50)
+    picked = marks.filter("id IS NOT NULL").withColumn("draw", F.xxhash64("id")).filter(F.col("draw") / F.lit(2.0**64) + 0.5 < rate)
+    picked = picked.withColumn("n", first("y", "draw", "id")).filter(F.col("n") <= most).select("id", "y", "draw")
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("text") - passage + 1, F.lit(1))).cast("int") + 1
     texts = texts.select("id", F.substring("text", start, F.lit(passage)).alias("text"))
-    rows = sorted((r["id"], r["y"], r["text"]) for r in texts.join(F.broadcast(picked), "id").select("id", "y", "text").collect())  # toxic + ordinary passages, more or less
+    # an id may stand for several texts
+    rows = texts.join(F.broadcast(picked), "id").select("id", "y", "text", "draw").distinct().withColumn("n", first("y", "draw", "id", "text")).filter(F.col("n") <= most)
+    rows = sorted((r["id"], r["y"], r["text"]) for r in rows.collect())
     y = np.array([r[1] for r in rows])
     text = [r[2] for r in rows]
     del rows
