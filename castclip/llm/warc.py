@@ -28,6 +28,7 @@ from .shared import shared_dir, stored
 VERSION = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
 MAGIC = b"\x1f\x8b\x08"
 WINDOW = 1 << 20
+LONGEST = 256 << 20  # bytes of the longest record, not zipped
 READERS = 100_000  # tasks that read at most
 RECORD = "path string, at long, size long, id long, uri string, kind string, refers_to long, digest string, payload_bytes long, payload binary, problem string"
 
@@ -124,28 +125,35 @@ class _Source:
             self.drop(at)
 
 
-def _member_at(src: _Source, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at a place and the place after it; ValueError or zlib.error if it fails its checks."""
-    z, out, pos = zlib.decompressobj(31), [], at
+def _member_at(src: _Source, at: int, longest: int) -> tuple[bytes, int]:
+    """The content of the gzip member at a place and the place after it; ValueError or zlib.error if it fails its checks or is longer than ``longest``."""
+    z, out, pos, size = zlib.decompressobj(31), [], at, 0
     while not z.eof:
         src.fill(pos + WINDOW)
         part = src.buf[pos - src.base : pos - src.base + WINDOW]
         if not part:
             raise ValueError("a cut member")
-        out.append(z.decompress(part))
         pos += len(part)
+        while part and not z.eof:
+            out.append(z.decompress(part, WINDOW))
+            size += len(out[-1])
+            if size > longest:
+                raise ValueError(f"a member of over {longest} bytes")
+            part = z.unconsumed_tail
     return b"".join(out), pos - len(z.unused_data)
 
 
-def _plain_at(src: _Source, at: int) -> tuple[bytes, int]:
+def _plain_at(src: _Source, at: int, longest: int) -> tuple[bytes, int]:
     src.fill(at + WINDOW)
-    head = src.buf[at - src.base :]
+    head = src.buf[at - src.base : at - src.base + WINDOW]
     if not VERSION.match(head):
         raise ValueError("no version line")
     split = head.find(b"\r\n\r\n")
     m = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", head[: split + 2]) if split >= 0 else None
     if not m:
         raise ValueError("no content length")
+    if len(m[1]) > 18 or int(m[1]) > longest:
+        raise ValueError(f"a record of over {longest} bytes")
     end = at + split + 4 + int(m[1]) + 4
     src.fill(end)
     return src.buf[at - src.base : end - src.base], end
@@ -154,8 +162,9 @@ def _plain_at(src: _Source, at: int) -> tuple[bytes, int]:
 NEXT = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]\.[0-9]\r\n")
 
 
-def salvage(f, path: str = "") -> Iterator[tuple]:
-    """Rows of RECORD from a file object: records, and for each quarantined gap a row with its problem."""
+def salvage(f, path: str = "", longest: int = LONGEST) -> Iterator[tuple]:
+    """Rows of RECORD from a file object: records, and for each quarantined gap a row with its problem. A record of over ``longest`` bytes, or that says it is, is quarantined:
+    a damaged length is not believed, so memory is bounded by that."""
     src, at, gap, why = _Source(f), 0, None, ""
     while True:
         src.fill(at + len(MAGIC))
@@ -163,14 +172,13 @@ def salvage(f, path: str = "") -> Iterator[tuple]:
             break
         try:
             zipped = src.buf.startswith(MAGIC, at - src.base)
-            raw, end = (_member_at if zipped else _plain_at)(src, at)
+            raw, end = (_member_at if zipped else _plain_at)(src, at, longest)
             row = parse(raw, path, at, end - at)
         except (ValueError, zlib.error) as e:
             if gap is None:
                 gap, why = at, str(e)
             found = src.find(NEXT, at + 1)
-            if found is None:
-                src.fill(1 << 62)
+            if found is None:  # ``find`` has come to the end, window by window
                 at = src.base + len(src.buf)
                 break
             at = found
@@ -209,41 +217,42 @@ def write(df: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_
             nonlocal out
             if out is not None:
                 out.close()
-                made.append((f"{folder}/{name}", records, size))
+                made.append((f"{folder}/{name}", records, size, longest))
                 out = None
 
         for b in batches:
             for i, uri, payload, ref in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if out is None:
-                    name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    name, records, size, longest = f"{uuid.uuid4().hex}.warc.gz", 0, 0, 0
                     out = system.open_output_stream(f"{base}/{name}", compression=None)
-                raw = member(record(i, uri, payload, digest(payload), ref))
+                plain = record(i, uri, payload, digest(payload), ref)
+                raw = member(plain)
                 out.write(raw)
-                records, size = records + 1, size + len(raw)
+                records, size, longest = records + 1, size + len(raw), max(longest, len(plain))
                 if size >= file_bytes:
                     close()
         close()
         if made:
-            p, r, s = zip(*made, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(r, pa.int64()), pa.array(s, pa.int64())], names=["path", "records", "bytes"])
+            p, *n = zip(*made, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p), *(pa.array(x, pa.int64()) for x in n)], names=["path", "records", "bytes", "longest"])
 
     # a payload that very many rows have is split by Spark's own handling of skewed joins
     refers_to = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     marked = rows.join(first.hint("merge"), "sha", "left").select("id", "uri", "payload", refers_to.alias("refers_to"))
-    return stored(marked.mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    return stored(marked.mapInArrow(run, "path string, records long, bytes long, longest long"), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """RECORD rows of every archive that the manifest's ``path`` names."""
+    """RECORD rows of every archive that the manifest's ``path`` names. Records of up to LONGEST bytes are read, and longer ones if its ``longest`` knows of such."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("id", pa.int64()), ("uri", pa.string()), ("kind", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("problem", pa.string())])
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path, longest in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 system, place = _file_system(path)
                 rows, held = [], 0
                 with system.open_input_stream(place, compression=None) as f:
-                    for row in salvage(f, path):
+                    for row in salvage(f, path, max(longest or 0, LONGEST)):
                         rows.append(row)
                         held += 200 + len(row[9] or b"")
                         if held > 4 << 20:
@@ -252,5 +261,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    # as many tasks as archives: a given number is not merged into fewer tasks for being few bytes
-    return manifest.select("path").repartition(min(max(1, manifest.count()), READERS), "path").mapInArrow(run, RECORD)
+    # as many tasks as archives, dealt in turn: a given number is not merged into fewer tasks for being few bytes
+    known = F.col("longest").cast("long") if "longest" in manifest.columns else F.lit(None).cast("long")
+    n = min(max(1, manifest.count()), READERS)
+    return manifest.select("path", known.alias("longest")).orderBy("path").repartition(n).mapInArrow(run, RECORD)
