@@ -9,7 +9,7 @@ tree has a bounded number of leaves, so the work grows with queries times the sh
 
 Similarity is the cosine in double precision. Cases: vectors that are null, zero, of another length than most, or hold
 null or non-finite components, or have no id, take no part; equal similarities go to the smaller id; a query is not its own neighbour,
-yet equal vectors under other ids are; with fewer candidates than k all are returned; an empty table gives no rows.
+yet equal vectors in other rows are, under its own id too: rows are told apart by number, and each row that is asked has a list of its own; with fewer candidates than k all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -122,9 +122,9 @@ def build(x: np.ndarray, per_leaf: float, branch: int = BRANCH, seed: int = 5) -
     return tree
 
 
-def best(ids: np.ndarray, x: np.ndarray, qid: int, q: np.ndarray, near: np.ndarray, k: int) -> list[tuple[int, float]]:
-    """The k nearest of a block, scored on the original vectors; near: their similarities but for rounding."""
-    ok = np.flatnonzero(ids != qid)
+def best(ids: np.ndarray, x: np.ndarray, other: np.ndarray, q: np.ndarray, near: np.ndarray, k: int) -> list[tuple[int, float]]:
+    """The k nearest of a block, scored on the original vectors. other: which are not the query itself; near: their similarities but for rounding."""
+    ok = np.flatnonzero(other)
     if len(ok) > k:
         cut = np.partition(near[ok], len(ok) - k)[len(ok) - k]
         ok = ok[near[ok] >= cut - 1e-9]
@@ -157,7 +157,7 @@ def fit(rows: DataFrame, dim: int, k: int, recall: float, probes: int = PROBES,
             u = unit(y)
             near, leaf = unit(q) @ u.T, shared.value.assign(u)
             at = dict(zip(own.tolist(), leaf.tolist(), strict=True))
-            out = [(j, i, s, at[i]) for j in range(len(qid)) for i, s in best(own, y, qid[j], q[j], near[j], k)]
+            out = [(j, i, s, at[i]) for j in range(len(qid)) for i, s in best(own, y, own != qid[j], q[j], near[j], k)]
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.float64(), pa.int32()), strict=True)], names=["j", "id", "score", "leaf"])
 
@@ -171,7 +171,7 @@ def fit(rows: DataFrame, dim: int, k: int, recall: float, probes: int = PROBES,
 
 
 def _packed(rows: DataFrame, by: list[Column], most: int, dim: int, kind: str) -> DataFrame:
-    """Blocks (leaf, ids, vectors) of at most ``most`` rows of one leaf."""
+    """Blocks (leaf, row numbers and ids, vectors) of at most ``most`` rows of one leaf. rows: leaf, id, v, row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, ids, vecs = None, [], []
@@ -181,7 +181,7 @@ def _packed(rows: DataFrame, by: list[Column], most: int, dim: int, kind: str) -
 
         for b in batches:
             x = matrix(b.column(2), dim)
-            for j, (own, i) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            for j, (own, *i) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 3, 1)), strict=True)):
                 if ids and (own != leaf or len(ids) == most):
                     yield block()
                     ids, vecs = [], []
@@ -206,7 +206,7 @@ def search(df: DataFrame, queries: Column, k: int = 5, recall: float = 0.95, id_
         for b in batches:
             leaf = shared.value.assign(unit(matrix(b.column(1), dim)))
             part = mix(b.column(0).to_numpy().astype(np.uint64)) % shared.value.parts[leaf].astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), b.column(0), b.column(1), pa.array(part.astype(np.int32))], names=["leaf", "id", "v", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), *b.columns, pa.array(part.astype(np.int32))], names=["leaf", "id", "v", "row", "part"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -214,29 +214,29 @@ def search(df: DataFrame, queries: Column, k: int = 5, recall: float = 0.95, id_
             near = unit(matrix(b.column(1), dim)) @ t.centre.T
             order = [t.order(x, t.visits) for x in near]
             take = np.repeat(np.arange(len(order)), [len(o) for o in order])
-            yield pa.RecordBatch.from_arrays([pa.array([x for o in order for x in o], pa.int32()), b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take))], names=["leaf", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for o in order for x in o], pa.int32()), *(c.take(pa.array(take)) for c in b.columns)], names=["leaf", "id", "v", "row"])
 
-    def nearest(q: np.ndarray, i: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def nearest(row: np.ndarray, q: np.ndarray, i: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
         """The k best of each query."""
-        by = np.lexsort((i, -score, q))
-        q, i, score = q[by], i[by], score[by]
-        first = np.append(True, q[1:] != q[:-1]) if len(q) else np.zeros(0, bool)
-        keep = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) < k
-        return q[keep], i[keep], score[keep]
+        by = np.lexsort((i, -score, row))
+        row, q, i, score = row[by], q[by], i[by], score[by]
+        first = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
+        keep = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)) < k
+        return row[keep], q[keep], i[keep], score[keep]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        held = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0))
         new: list[tuple] = []
 
         def rows_() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(held, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["row", "query_id", "id", "score"])
 
         for b in batches:
             for qi, qv, mi, mv in zip(*(b.column(c).to_pylist() for c in range(1, 5)), strict=True):
-                qid, ids = np.frombuffer(qi, np.int64), np.frombuffer(mi, np.int64)
+                asked, ids = np.frombuffer(qi, np.int64).reshape(-1, 2), np.frombuffer(mi, np.int64).reshape(-1, 2)
                 q, y = np.frombuffer(qv).reshape(-1, dim), np.frombuffer(mv).reshape(-1, dim)
                 near = unit(q) @ unit(y).T
-                new += [(int(qid[j]), i, s) for j in range(len(qid)) for i, s in best(ids, y, qid[j], q[j], near[j], k)]
+                new += [(row, qid, i, s) for j, (row, qid) in enumerate(asked.tolist()) for i, s in best(ids[:, 1], y, ids[:, 0] != row, q[j], near[j], k)]
                 if len(new) > 1 << 16:
                     held = nearest(*(np.concatenate([a, np.array(c, dtype=a.dtype)]) for a, c in zip(held, zip(*new, strict=True), strict=True)))
                     new = []
@@ -247,10 +247,12 @@ def search(df: DataFrame, queries: Column, k: int = 5, recall: float = 0.95, id_
             held = nearest(*(np.concatenate([a, np.array(c, dtype=a.dtype)]) for a, c in zip(held, zip(*new, strict=True), strict=True)))
         yield rows_()
 
-    kind = "leaf int, id long, v array<double>"
-    members = _packed(rows.mapInArrow(assign, kind + ", part int"), [F.col("leaf"), F.col("part")], BLOCK, dim, "m")
-    asked = _packed(rows.filter(queries).mapInArrow(visit, kind), [F.col("leaf"), F.pmod(F.xxhash64("id"), F.lit(4))], BLOCK // 4, dim, "q")
+    kind = "leaf int, id long, v array<double>, row long"
+    # a row is known by its number, as ids may repeat; the same scan numbers rows alike each time
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    members = _packed(numbered.mapInArrow(assign, kind + ", part int"), [F.col("leaf"), F.col("part")], BLOCK, dim, "m")
+    asked = _packed(numbered.filter(queries).mapInArrow(visit, kind), [F.col("leaf"), F.pmod(F.xxhash64("id"), F.lit(4))], BLOCK // 4, dim, "q")
     pairs = asked.join(stored(members, "leaves"), "leaf").select("leaf", "q_ids", "q", "m_ids", "m")
-    found = pairs.mapInArrow(compare, "query_id long, id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = pairs.mapInArrow(compare, "row long, query_id long, id long, score double")
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
