@@ -87,6 +87,20 @@ def name_of(s: np.ndarray) -> int:
     return int(mix(x).view(np.int64)[0])
 
 
+def second_of(s: np.ndarray) -> int:
+    """Another hash of a whole set."""
+    x = mix(s * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7)).sum(dtype=np.uint64) + np.uint64(len(s))
+    return int(mix(np.array([x], dtype=np.uint64)).view(np.int64)[0])
+
+
+def told_as(s: np.ndarray, shared: dict[int, int], bits: int = 64) -> int:
+    """The name of a set: its hash, or where sets share that one (shared: the second hash of one of them), for the others a hash of their second one. bits: of the first hash, fewer than 64 in tests."""
+    u = name_of(s) >> (64 - bits)
+    if u in shared and (other := second_of(s)) != shared[u]:
+        u = int(mix(np.array([u, other], dtype=np.int64).view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+    return u
+
+
 def parity(s: np.ndarray) -> np.ndarray:
     """Bits that tell whether an odd number of the set's hashes fall on them; four bits a hash at least, in 64-bit words."""
     size = 512
@@ -95,13 +109,13 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little")
 
 
-def prefixes(rows: DataFrame, size: int, percent: int, heavy) -> DataFrame:
-    """id, n, u (a hash of the set), keys (the prefix in order), bits."""
+def prefixes(rows: DataFrame, size: int, percent: int, heavy, shared: dict[int, int], bits_: int) -> DataFrame:
+    """id, n, u (the name of the set), second (another hash of it), keys (the prefix in order), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = heavy.value
         for b in batches:
-            n, name, keys, bits = [], [], [], []
+            n, name, second, keys, bits = [], [], [], [], []
             for s in shingle_sets(b.column(1), size):
                 p = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 if p and len(often):
@@ -110,14 +124,15 @@ def prefixes(rows: DataFrame, size: int, percent: int, heavy) -> DataFrame:
                 else:
                     first = s[:p]
                 n.append(len(s))
-                name.append(name_of(s) if len(s) else 0)
+                name.append(told_as(s, shared, bits_) if len(s) else 0)
+                second.append(second_of(s) if len(s) else 0)
                 keys.append(first.view(np.int64))
                 bits.append(parity(s).tobytes() if len(s) else b"")
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "u", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "u", "second", "keys", "bits"])
 
-    return rows.mapInArrow(run, "id long, n long, u long, keys array<long>, bits binary")
+    return rows.mapInArrow(run, "id long, n long, u long, second long, keys array<long>, bits binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], work: Callable[[list[tuple]], list[tuple]], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -276,7 +291,7 @@ def _dealt(rows: DataFrame, most: int, kind: str | None = None) -> DataFrame:
     return rows.withColumn("k", F.explode(F.when(F.col("w") <= most, F.array("r")).otherwise(pair))).drop("w", "m", "blocks", "many", "own", "g")
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame, size: int, shared: dict[int, int], bits: int) -> DataFrame:
     """wanted: id, u and the regions rs. A row (r, u, id, n, set) for each region of each document."""
     names, kinds = ["r", "u", "id", "n", "set"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -284,7 +299,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for b in batches:
             out, held = [], 0
             for i, u, rs, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), shingle_sets(b.column(1), size), strict=True):
-                if len(s) and name_of(s) == u:  # another text may have the same id
+                if len(s) and told_as(s, shared, bits) == u:  # another text may have the same id
                     raw = s.tobytes()
                     for r in rs:
                         out.append((r, u, i, len(s), raw))
@@ -334,12 +349,17 @@ def _pivoted(sets: DataFrame, most: int, percent: int) -> DataFrame:
     return rows.repartition("k").sortWithinPartitions("k", "later", "u").mapInArrow(run, SET + ", to array<long>, g int")
 
 
-def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, most: int = MOST) -> DataFrame:
-    """id, n_shingles, component_id of every row."""
+def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, most: int = MOST, name_bits: int = 64) -> DataFrame:
+    """id, n_shingles, component_id of every row. name_bits: of the hash that names a set; sets that share a name are told apart by a second hash."""
     spark = df.sparkSession
     rows = _texts(df, id_col, text_col)
     heavy = spark.sparkContext.broadcast(heavy_shingles(rows, size))  # HEAVY entries at most
-    first = stored(prefixes(rows, size, percent, heavy), "prefixes")
+    first = stored(prefixes(rows, size, percent, heavy, {}, name_bits), "prefixes")
+    # of n sets about n * n / 2**65 pairs share a 64-bit name; then names are given once more
+    names = first.filter("n > 0").groupBy("u").agg(F.min("second").alias("a"), F.max("second").alias("b")).filter("a <> b")
+    shared = {r["u"]: r["a"] for r in names.collect()}
+    if shared:
+        first = stored(prefixes(rows, size, percent, heavy, shared, name_bits), "prefixes")
     same = stored(first.filter("n > 0 and id is not null").groupBy("u").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "sets")
 
     # cells of more than one document; two places allow a link if their t add up to 0 at most
@@ -366,7 +386,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     linked = lambda x: x.sortWithinPartitions(x.columns[0], "u").mapInArrow(lambda batches: grouped(batches, links, pair), "a long, b long")
     wanted = live.groupBy("u").agg(F.collect_list("r").alias("rs")).join(same.select("u", "id").hint("merge"), "u").select("id", "u", "rs")
-    sets = _sets(rows, wanted, size)
+    sets = _sets(rows, wanted, size, shared, name_bits)
     large = stored(live.groupBy("r").agg(F.sum(F.col("n") + ROW).alias("w")).filter(F.col("w") > most).select("r"), "large", True)
     if large.isEmpty():
         edges = linked(sets.select("r", "u", "id", "set").repartition("r"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, per_text, slices, word_hashes
-from .shared import stored
+from .shared import stored, told_apart
 
 CLASS, CLASSES, GROUPS, HIDDEN = 64, 32, 64, 16
 SYMBOLS = CLASS * CLASSES
@@ -405,6 +405,7 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     """id, n_tokens, n_known, train_tokens, base_score, score of every row; training: which rows are learned from."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), training.alias("t")).withColumn("row", F.xxhash64("id", "text"))
+    rows = told_apart(rows, "row", "id", "text")
     learn = rows.filter("t").select("id", "text")
     counts = stored(word_counts(learn), "counts")
     texts = learn.count()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import BYTE_VALUE, SLICE, mix, slices, span_hashes
-from .shared import stored
+from .shared import stored, told_apart
 
 LENGTH, GRAM = 200, 32
 CONTEXTS = 4096  # different ones of one hash that are sorted together
@@ -387,7 +387,7 @@ def _cut_out(with_kept: bool, others: int):
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, *others) -> DataFrame:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *others)
-    return rows.withColumn("row", F.xxhash64("id", "text"))
+    return told_apart(rows.withColumn("row", F.xxhash64("id", "text")), "row", "id", "text")
 
 
 def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
