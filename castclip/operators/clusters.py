@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .scans import cut
 
-MOST = 1_000_000  # components of the centres that are worked on at once
+MOST, EPISODES = 1_000_000, 200  # components of the centres, and episodes, that are worked on at once
 FEW = 4_000_000  # values of a table that is broadcast, about 32 MB
 
 
@@ -44,10 +46,13 @@ def _dealt(points: DataFrame, centres: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("k", F.col("_s.k")).withColumn("c", _nearest(F.col("p"), F.col("_s.centres"))).drop("_s")
 
 
-def _sums(points: DataFrame, centres: dict[tuple[str, int], np.ndarray]) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
-    """Of every episode's name and number of clusters, how many points each centre has, and their sum. A task sends one row for each centre."""
+Centres = dict[tuple[str, int], np.ndarray]  # of an episode's name and a number of clusters
+
+
+def _gathered(points: DataFrame, keys: list[tuple[str, int]], each: Callable[[str, int, np.ndarray], tuple[np.ndarray, np.ndarray]], width: int) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """``each`` gives of an episode's points, for a number of clusters, a count and ``width`` sums for each cluster; these are added up over all tasks, of which each sends one row a cluster."""
     by: dict[str, list[int]] = {}
-    for name, k in centres:
+    for name, k in keys:
         by.setdefault(name, []).append(k)
 
     def run(batches):
@@ -59,32 +64,71 @@ def _sums(points: DataFrame, centres: dict[tuple[str, int], np.ndarray]) -> dict
             for j, name in enumerate(names.dictionary.to_pylist()):
                 own = x[which == j]
                 for k in by.get(name, ()):
-                    c = centres[name, k]
-                    near = (own @ c.T * -2 + (c**2).sum(axis=1)).argmin(axis=1)
-                    member = near[:, None] == np.arange(len(c))
-                    n, s = total.setdefault((name, k), [np.zeros(len(c), np.int64), np.zeros(c.shape)])
-                    n += member.sum(axis=0)
-                    s += member.T @ own
-        rows = [(name, k, j, int(n[j]), s[j].tolist()) for (name, k), (n, s) in total.items() for j in range(len(n)) if n[j]]
+                    n, s = each(name, k, own)
+                    held = total.setdefault((name, k), [np.zeros(k, np.int64), np.zeros((k, width))])
+                    held[0] += n
+                    held[1] += s
+        rows = [(name, k, j, int(n[j]), s[j].tolist()) for (name, k), (n, s) in total.items() for j in range(k) if n[j]]
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["name", "k", "c", "n", "s"])
 
     told = points.select("_n", "p").mapInArrow(run, "name string, k int, c int, n long, s array<double>")
-    each = told.select("name", "k", "c", "n", F.posexplode("s").alias("j", "v")).groupBy("name", "k", "c", "j").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    out = {key: (np.zeros(len(c), np.int64), np.zeros(c.shape)) for key, c in centres.items()}
-    for r in each.toArrow().to_pylist():  # as many as the centres have components
+    sums = told.select("name", "k", "c", "n", F.posexplode("s").alias("j", "v")).groupBy("name", "k", "c", "j").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    out = {key: (np.zeros(key[1], np.int64), np.zeros((key[1], width))) for key in keys}
+    for r in sums.toArrow().to_pylist():  # as many as there are sums
         n, s = out[r["name"], r["k"]]
         n[r["c"]], s[r["c"], r["j"]] = r["n"], r["v"]
     return out
 
 
-def lloyd(points: DataFrame, starts: DataFrame, rounds: int, atol: float) -> tuple[DataFrame, int]:
+def _own(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (x @ c.T * -2 + (c**2).sum(axis=1)).argmin(axis=1)
+
+
+def _sums(points: DataFrame, centres: Centres) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """How many points each centre has, and their sum."""
+
+    def each(name, k, x):
+        member = _own(x, centres[name, k])[:, None] == np.arange(k)
+        return member.sum(axis=0), member.T @ x
+
+    return _gathered(points, list(centres), each, next(iter(centres.values())).shape[1])
+
+
+def _silhouettes(points: DataFrame, centres: Centres, heads: dict[str, np.ndarray]) -> dict[tuple[str, int], float]:
+    """Mean silhouette of each episode's head, some of its points, against all of its points."""
+    most = max(map(len, heads.values()))
+
+    def each(name, k, x):
+        near, head = _own(x, centres[name, k]), heads[name]
+        d = np.sqrt(sum((head[:, None, j] - x[None, :, j]) ** 2 for j in range(x.shape[1])))
+        sums = np.zeros((k, most))
+        for c in range(k):
+            sums[c, : len(head)] = d[:, near == c].sum(axis=1)
+        return np.bincount(near, minlength=k), sums
+
+    out = {}
+    for (name, k), (n, s) in _gathered(points, list(centres), each, most).items():
+        mine = _own(heads[name], centres[name, k])
+        s = s[:, : len(mine)].T
+        at = np.arange(len(mine))
+        a = np.where(n[mine] > 1, s[at, mine] / np.maximum(n[mine] - 1, 1), 0.0)
+        mean = np.where(n > 0, s / np.maximum(n, 1), np.inf)
+        mean[at, mine] = np.inf
+        b = mean.min(axis=1) if (n > 0).sum() > 1 else np.zeros(len(mine))
+        top = np.maximum(a, b)
+        out[name, k] = float(np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0.0).mean())
+    return out
+
+
+def lloyd(points: DataFrame, starts: DataFrame, rounds: int, atol: float, heads: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Centres of each episode and number of clusters, and how many components they have. Points: _e, p; starts: _e, k, centres. A centre without points stays.
+    With heads (_e, p), some points of each episode, the centres come with s, their mean silhouette.
 
     Episodes come here for their size, so they are few for the rows that there are; of their centres MOST components are worked on at once, in as
     many turns as it takes."""
-    named = points.withColumn("_n", F.to_json("_e", {"ignoreNullFields": "false"}))
-    begun = starts.withColumn("_n", F.to_json("_e", {"ignoreNullFields": "false"}))
+    name = F.to_json("_e", {"ignoreNullFields": "false"}).alias("_n")
+    named, begun = points.withColumn("_n", name), starts.withColumn("_n", name)
     made: list[DataFrame] = []
     held: dict[tuple[str, int], np.ndarray] = {}
     size = 0
@@ -100,19 +144,25 @@ def lloyd(points: DataFrame, starts: DataFrame, rounds: int, atol: float) -> tup
                     del moving[key]
                 else:
                     moving[key] = held[key] = to
-        made.append(cut(points.sparkSession.createDataFrame([(*key, c.tolist()) for key, c in held.items()], "_n string, k int, centres array<array<double>>")))
+        score: dict[tuple[str, int], float] = {}
+        if heads is not None:
+            some: dict[str, list[list[float]]] = {}
+            for r in heads.select(name, "p").filter(F.col("_n").isin(sorted({n for n, _ in held}))).collect():
+                some.setdefault(r["_n"], []).append(r["p"])
+            score = _silhouettes(named, held, {n: np.array(p) for n, p in some.items()})
+        made.append(cut(points.sparkSession.createDataFrame([(*key, c.tolist(), score.get(key)) for key, c in held.items()], "_n string, k int, centres array<array<double>>, s double")))
         held.clear()
 
-    for r in cut(begun.select("_n", "k", "centres")).toLocalIterator():
+    for r in cut(begun.select("_n", "k", "centres").repartition("_n").sortWithinPartitions("_n", "k")).toLocalIterator():
+        if len({n for n, _ in held} | {r["_n"]}) > EPISODES or sum(c.size for c in held.values()) >= MOST:
+            settle()
         held[r["_n"], r["k"]] = np.array(r["centres"], dtype=float)
         size += held[r["_n"], r["k"]].size
-        if sum(c.size for c in held.values()) >= MOST:
-            settle()
     settle()
     told = made[0]
     for more in made[1:]:
         told = told.unionByName(more)
-    return begun.drop("centres").join(_small(told, size), ["_n", "k"]).select("_e", "k", "centres"), size
+    return begun.drop("centres").join(_small(told, size), ["_n", "k"]).select("_e", "k", "centres", "s"), size
 
 
 def _first(rows: DataFrame, order, n: int) -> DataFrame:
@@ -126,19 +176,11 @@ def faces(detections: DataFrame, max_k: int) -> DataFrame:
     wide = points.groupBy("_e").agg(F.min(F.col("p")[0]).alias("lo"), F.max(F.col("p")[0]).alias("hi"), F.avg(F.col("p")[1]).alias("y"))
     sets = wide.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(2, max_k + 1) or [2]])))
     spread = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.array(F.col("lo") + (F.col("hi") - F.col("lo")) * i / (F.col("k") - 1), F.col("y")))
-    centres, size = lloyd(points, sets.select("_e", "k", spread.alias("centres")), 20, 1e-4)
-    # mean distances of 200 points to each cluster, summed up over all points
-    head = _dealt(_first(rows, ("t", "cx", "cy"), 200).select("_e", "i", "p"), centres, size)
-    head = head.groupBy("_e", "k").agg(F.collect_list(F.struct("i", "p", F.col("c").alias("own"))).alias("_h"))
-    met = _dealt(points, centres, size).join(_small(head, 500 * size), ["_e", "k"]).withColumn("_h", F.explode("_h"))
-    far = met.groupBy("_e", "k", F.col("_h.i").alias("i"), F.col("_h.own").alias("own"), "c").agg(F.sum(F.sqrt(_distance(F.col("p"), F.col("_h.p")))).alias("d"), F.count("*").alias("n"))
-    one = F.when(F.col("c") == F.col("own"), F.when(F.col("n") > 1, F.col("d") / F.nullif(F.col("n") - 1, F.lit(0))).otherwise(0.0))
-    each = far.groupBy("_e", "k", "i").agg(F.max(one).alias("a"), F.coalesce(F.min(F.when(F.col("c") != F.col("own"), F.col("d") / F.col("n"))), F.lit(0.0)).alias("b"))
-    top = F.greatest("a", "b")
-    score = each.groupBy("_e", "k").agg(F.avg(F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)).alias("s"))
+    heads = _first(rows, ("t", "cx", "cy"), 200).select("_e", "p")
+    centres, size = lloyd(points, sets.select("_e", "k", spread.alias("centres")), 20, 1e-4, heads)
     # numbers that leave a centre without points score alike, but for the order of sums
-    best = score.groupBy("_e").agg(F.max_by("k", F.struct(F.round("s", 9), -F.col("k"))).alias("k"))
-    named = _dealt(rows, centres.join(best, ["_e", "k"]), size)
+    best = centres.groupBy("_e").agg(F.max_by("k", F.struct(F.round("s", 9), -F.col("k"))).alias("k"))
+    named = _dealt(rows, centres.join(best, ["_e", "k"]).drop("s"), size)
     return named.withColumn("cluster", F.col("c").cast("int")).drop("_e", "p", "k", "c")
 
 
@@ -162,6 +204,7 @@ def voices(features: DataFrame, fixed: int | None, min_k: int, max_k: int) -> Da
         return features.withColumn("label", F.lit(0)).drop("_e")
     starts = taken.withColumn("k", F.explode(F.array(*[F.lit(k) for k in counts]))).select("_e", "k", F.slice("centres", F.lit(1), F.col("k")).alias("centres"))
     centres, size = lloyd(points, starts, 100, 1e-6)
+    centres = centres.drop("s")
     if not picked:
         head = _dealt(_first(points, ("win_idx",), 2000), centres, size)
 
