@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clips import normalize_text
 from .intervals import KEYS
-from .scans import streamed
+from .scans import Scan, bins, streamed
 
 
 def transcript_coverage(cues: DataFrame, keys=KEYS, pause: float = 2.0) -> DataFrame:
@@ -75,11 +75,11 @@ def speaker_shares(segments: DataFrame, keys=KEYS) -> DataFrame:
     return rows.select(*keys, "speaker", "segments", (F.col("_ms") / 1000).alias("seconds"), F.round(F.col("_ms") * F.lit(100).cast("decimal(10,0)") / F.col("_all"), 1).cast("double").alias("share_pct"), F.floor(total / 60).alias("total_minutes"), (total % 60).alias("total_seconds"))
 
 
-def clean_transcript(lines: DataFrame, keys=KEYS) -> DataFrame:
-    """Lines (line_no, line) stripped, runs of blank ones as one, times with a point."""
+def clean_transcript(lines: DataFrame, keys=KEYS, block: int | None = None) -> DataFrame:
+    """Lines (line_no, line) stripped, runs of blank ones as one, times with a point. block: line numbers that are scanned together."""
     rows = lines.withColumn("line", F.regexp_replace(F.regexp_replace("line", r"^\s+|\s+$", ""), r"(\d{2}:\d{2}:\d{2}),(\d{3})", "$1.$2"))
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    return rows.withColumn("_b", (F.col("line") == "") & F.coalesce(F.lag("line").over(w) == "", F.lit(False))).filter("not _b").drop("_b")
+    rows = Scan(rows, keys, ["line_no"], bins(F.col("line_no"), block)).previous("line").rows
+    return rows.filter(~((F.col("line") == "") & F.coalesce(F.col("_prev.line") == "", F.lit(False)))).select(lines.columns)
 
 
 def _chunked(lines: DataFrame, keys, make) -> DataFrame:

@@ -168,26 +168,24 @@ def windows_to_segments(windows: DataFrame, win: float = 1.5, hop: float = 0.75,
     return out.select(*keys, F.format_string("SPEAKER_%02d", "label").alias("speaker"), F.round("s", 2).alias("start"), F.round(end, 2).alias("end"), F.round(end - F.col("s"), 2).alias("duration")).filter(F.col("duration") >= least)
 
 
-def rotate_speakers(segments: DataFrame, max_speakers: int = 5, pause: float = 2.0, keys=KEYS) -> DataFrame:
-    """Where a segment has no label, the speaker moves on to the next of 1..max at each longer pause; a label given wins and starts anew."""
-    keys = list(keys)
-    rows = _islands(segments, keys, lambda w: F.col("speaker").isNotNull() | (F.row_number().over(w) == 1), ["start", "seg_idx"])
-    w = Window.partitionBy(*keys).orderBy("start", "seg_idx")
-    own = Window.partitionBy(*keys, "_island").orderBy("start", "seg_idx")
-    first = F.row_number().over(own) == 1
-    rows = rows.withColumn("_p", F.when(F.round(F.col("start") - F.lag("end").over(w), 6) > pause, 1).otherwise(0)).withColumn("_p", F.when(first, 0).otherwise(F.col("_p")))
-    step = F.sum("_p").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    named = F.first("speaker").over(own)
-    return rows.withColumn("speaker", F.when(named.isNotNull() & (step == 0), named).otherwise(F.format_string("SPEAKER_%02d", F.pmod(step, F.lit(max_speakers)) + 1))).drop("_island", "_p")
+def rotate_speakers(segments: DataFrame, max_speakers: int = 5, pause: float = 2.0, keys=KEYS, block: float | None = None) -> DataFrame:
+    """Where a segment has no label, the speaker moves on to the next of 1..max at each longer pause; a label given wins and starts anew. block: seconds that are scanned together."""
+    scan = Scan(segments, keys, ["start", "seg_idx"], bins(F.col("start"), block)).previous("end")
+    anew = F.col("speaker").isNotNull() | F.col("_prev").isNull()
+    scan.total(F.when(~anew & (F.round(F.col("start") - F.col("_prev.end"), 6) > pause), 1).otherwise(0), "_t")
+    scan.rows = scan.rows.withColumn("_head", F.when(anew, F.struct("speaker", "_t")))
+    rows = scan.newest("_head", "_from").rows
+    named, step = F.col("_from.speaker"), F.col("_t") - F.col("_from._t")
+    name = F.when(named.isNotNull() & (step == 0), named).otherwise(F.format_string("SPEAKER_%02d", F.pmod(step, F.lit(max_speakers)) + 1))
+    return rows.withColumn("speaker", name).select(segments.columns)
 
 
-def script_blocks(lines: DataFrame, keys=KEYS) -> DataFrame:
-    """Blocks of a script: NAME: begins one, lines after it belong to it, [...] goes. Lines: line_no, line."""
+def script_blocks(lines: DataFrame, keys=KEYS, block: int | None = None) -> DataFrame:
+    """Blocks of a script: NAME: begins one, lines after it belong to it, [...] goes. Lines: line_no, line. block: line numbers that are scanned together."""
     keys = list(keys)
     name = F.regexp_extract("line", r"^\s*" + SPEAKER_NAME, 1)
     rows = lines.withColumn("_h", F.trim(name)).withColumn("text", F.trim(F.regexp_replace(F.when(name != "", F.regexp_replace("line", r"^\s*" + SPEAKER_NAME, "")).otherwise(F.col("line")), r"\[[^\]]*\]", "")))
-    w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("block_idx", F.sum((F.col("_h") != "").cast("int")).over(w)).filter("block_idx > 0")
+    rows = Scan(rows, keys, ["line_no"], bins(F.col("line_no"), block)).total((F.col("_h") != "").cast("int"), "block_idx").done().filter("block_idx > 0")
     order = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("line_no", "text"))))
     return rows.groupBy(*keys, "block_idx").agg(F.max("_h").alias("speaker"), F.array_join(F.transform(order, lambda x: x["text"]), " ").alias("text"))
 

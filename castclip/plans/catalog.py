@@ -733,7 +733,7 @@ q AS (SELECT *, first_value(lab) OVER (PARTITION BY episode_id, g ORDER BY start
 SELECT episode_id, seg_idx, CASE WHEN nm IS NOT NULL AND st = 0 THEN nm ELSE 'SPEAKER_0' || CAST(st % 5 + 1 AS BIGINT) END AS speaker FROM q""")
 def win25_rotate_speakers(s, d):
     x = _segs(s, d).withColumn("speaker", F.when(F.col("seg_idx") % 10 == 4, "HOST"))
-    return turns.rotate_speakers(x, 5, 1.0, K).select("episode_id", "seg_idx", "speaker")
+    return turns.rotate_speakers(x, 5, 1.0, K, block=600.0).select("episode_id", "seg_idx", "speaker")
 
 
 def _stamped(s, d):
@@ -760,7 +760,7 @@ SELECT episode_id, CAST(b AS BIGINT) AS block_idx, max(h) AS speaker, string_agg
 def win28_script_blocks(s, d):
     head = F.when(F.col("seg_idx") % 4 == 1, F.concat(F.lit("HOST "), F.substring("speaker", -1, 1), F.lit(": "))).otherwise("")
     x = _segs(s, d).select("episode_id", F.col("seg_idx").alias("line_no"), F.concat(head, F.lit("line "), F.col("seg_idx").cast("string"), F.lit(" [aside]")).alias("line"))
-    return turns.script_blocks(x, K)
+    return turns.script_blocks(x, K, block=4096)
 
 
 @query()
@@ -856,7 +856,7 @@ def prj5_validate_job_requests(s, d):
 @query("""SELECT episode_id, line_no, line FROM (SELECT *, lag(line) OVER (PARTITION BY episode_id ORDER BY line_no) AS b FROM (SELECT episode_id, seg_idx AS line_no, CASE WHEN seg_idx % 4 < 2 THEN '' ELSE '00:00:' || lpad(CAST(seg_idx % 60 AS STRING), 2, '0') || '.500 x' END AS line FROM fx_segments)) WHERE NOT (line = '' AND coalesce(b, 'x') = '')""")
 def prj1_clean_transcript(s, d):
     line = F.when(F.col("seg_idx") % 4 < 2, "  ").otherwise(F.format_string(" 00:00:%02d,500 x ", F.col("seg_idx") % 60))
-    return quality.clean_transcript(_segs(s, d).select("episode_id", F.col("seg_idx").alias("line_no"), line.alias("line")), K)
+    return quality.clean_transcript(_segs(s, d).select("episode_id", F.col("seg_idx").alias("line_no"), line.alias("line")), K, block=4096)
 
 
 @query("SELECT episode_id, seg_idx AS chunk_idx, md5('Between 61 and 180' || chr(10) || chr(10) || CASE WHEN episode_id % 2 = 0 THEN 'Two speakers' || chr(10) || chr(10) ELSE '' END || text) AS prompt_md5 FROM fx_segments")

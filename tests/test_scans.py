@@ -70,6 +70,16 @@ def test_operators_scan_in_blocks(talk):
     same(turns.annotate_transcript(lines, said.limit(300), K), turns.annotate_transcript(lines, said.limit(300), K, block=16))
 
 
+def test_scripts_and_rotations_scan_in_blocks(talk):
+    from castclip.operators import quality
+
+    said = talk.filter("start is not null").withColumn("speaker", F.when(F.col("seg_idx") % 37 == 5, "HOST"))
+    same(turns.rotate_speakers(said, 3, 1.5, K), turns.rotate_speakers(said, 3, 1.5, K, block=15.0))
+    lines = talk.select("ep", F.col("seg_idx").alias("line_no"), F.concat(F.when(F.col("seg_idx") % 11 == 3, F.concat(F.lit("ANNA "), "label", F.lit(": "))).otherwise(""), F.when(F.col("label") == 0, "").otherwise("said [aside] 00:00:01,500")).alias("line"))
+    same(turns.script_blocks(lines, K), turns.script_blocks(lines, K, block=16))
+    same(quality.clean_transcript(lines, K), quality.clean_transcript(lines, K, block=16))
+
+
 def test_jobs_are_numbered_in_ranges(spark):
     rng = random.Random(5)
     states = ["running", "paused", "odd", "failed", None]
