@@ -139,7 +139,9 @@ def streamed(rows: DataFrame, keys, order: list[str], make: Callable[[Iterator[t
 
     keys = list(keys)
     rest = [c for c in rows.columns if c not in keys]
-    src = rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *rest)
+    # dealt by a struct: where rows are a union of parts that are dealt by the keys already, Spark (4.1) leaves out a repartition by the same keys, and adaptive
+    # execution may then merge each part's partitions in its own way
+    src = rows.withColumn("_key", F.struct(*keys)).repartition("_key").sortWithinPartitions(*keys, *order).select(*keys, *rest)
     kept = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keys)
     made_ = StructType.fromDDL(columns)
     names = [*keys, *made_.names]

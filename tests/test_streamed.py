@@ -4,10 +4,12 @@ import random
 import tracemalloc
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from castclip import helpers
 from castclip.functions.clips import normalize_text
-from castclip.operators import quality
+from castclip.operators import quality, scans
 
 K = ("ep",)
 
@@ -144,3 +146,24 @@ def test_scripts_of_episodes(spark):
     t = spark.createDataFrame(said, "ep string, seg_idx long, text string").repartition(4)
     assert t.select(normalize_text(t["text"]).alias("w")).first()["w"]
     assert sorted((r["ep"] or "", r["block_idx"], r["seg_idx"]) for r in quality.align_script(b, t, K).collect()) == sorted(want)
+
+
+def test_parts_of_a_union_meet(spark):
+    """The parts are dealt by the key already, and differ in size, so that adaptive execution would merge their partitions differently."""
+    w = Window.partitionBy("k").orderBy("id")
+    large = spark.range(60_000).withColumn("k", F.col("id") % 50).withColumn("at", F.row_number().over(w).cast("long")).select("k", F.lit(2).alias("kind"), "at", F.concat(*[F.sha2((F.col("id") + j).cast("string"), 512) for j in range(4)]).alias("pad"))
+    small = spark.range(1000).withColumn("k", F.col("id") % 50).groupBy("k").agg(F.sum("id").alias("at")).select("k", F.lit(0).alias("kind"), "at", F.lit("").alias("pad"))
+
+    def make(rows):
+        kinds = [(kind, at) for kind, at, _ in rows]
+        yield kinds[0][0], len(kinds), int(kinds == sorted(kinds))
+
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        got = scans.streamed(small.unionByName(large), ["k"], ["kind", "at"], make, "first int, n int, sorted int").collect()
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+    assert sorted(map(tuple, got)) == [(k, 0, 1201, 1) for k in range(50)]
