@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, slices
-from .shared import stored
+from .shared import released, stored
 
 PRIMES = (2147483647, 2147483629)
 RADIX = (1000003, 69069)
@@ -135,7 +135,7 @@ def text_sha(text) -> F.Column:
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge_bytes: int = HUGE) -> DataFrame:
     """id, fp, n (bytes), sha (SHA-256 of the lower-cased text) of every row."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    small = rows.filter(F.octet_length("text") <= huge_bytes).mapInArrow(_hash_rows, "id long, fp long, n long, sha string")
+    small = rows.filter(F.octet_length("text") <= huge_bytes).mapInArrow(released(_hash_rows), "id long, fp long, n long, sha string")
     huge = rows.filter(F.octet_length("text") > huge_bytes).withColumn("sha", text_sha(F.col("text")))
     step = 1 << 20
     parts = (

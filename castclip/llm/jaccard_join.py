@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import mix, shingle_sets
-from .shared import stored
+from .shared import released, stored
 
 SHINGLE, PERCENT = 5, 80
 COUNTED, HEAVY_SEEN, HEAVY = 0.3, 8, 400_000  # share of hashes that are counted, the lowest; of those at most HEAVY come last
@@ -69,7 +69,7 @@ def heavy_shingles(rows: DataFrame, size: int) -> np.ndarray:
         if held:
             yield counted(held)
 
-    often = stored(rows.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= HEAVY_SEEN), "heavy")
+    often = stored(rows.select("text").mapInArrow(released(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= HEAVY_SEEN), "heavy")
     # from the highest counts down, as many levels as HEAVY allows
     level, least, total = F.floor(F.log2("c") * 16).cast("int"), None, 0
     for r in sorted(often.groupBy(level.alias("l")).count().collect(), reverse=True):
@@ -132,7 +132,7 @@ def prefixes(rows: DataFrame, size: int, percent: int, heavy, shared: dict[int,
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "u", "second", "keys", "bits"])
 
-    return rows.mapInArrow(run, "id long, n long, u long, second long, keys array<long>, bits binary")
+    return rows.mapInArrow(released(run), "id long, n long, u long, second long, keys array<long>, bits binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], work: Callable[[list[tuple]], list[tuple]], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -310,7 +310,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, size: int, shared: dict[int, int],
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return rows.join(wanted.hint("merge"), "id").select("id", "text", "u", "rs").mapInArrow(run, SET)
+    return rows.join(wanted.hint("merge"), "id").select("id", "text", "u", "rs").mapInArrow(released(run), SET)
 
 
 def _pivoted(sets: DataFrame, most: int, percent: int) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, SLICE, pieces, slices, span_hashes, words
+from .shared import released
 
 BITS = 16
 PER_LANGUAGE = 1500
@@ -179,4 +180,4 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     text = F.col(f"`{text_col}`").cast("string")
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     src = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], lettered.alias("_lettered"), text.alias("_text"))
-    return src.mapInArrow(run, kind).toDF(*kept, *new)
+    return src.mapInArrow(released(run), kind).toDF(*kept, *new)

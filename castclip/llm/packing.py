@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import released, stored
 from .tokens import encoder, grouped
 
 BUCKET = 1 << 17
@@ -56,7 +56,7 @@ def cut(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col:
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()][: 5 + with_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECE + ", ids binary" * with_ids)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), PIECE + ", ids binary" * with_ids)
 
 
 def _exact(gap: int, have: np.ndarray) -> tuple[int, ...] | None:
@@ -174,7 +174,7 @@ def place(pieces: DataFrame, capacity: int = 1024, bucket: int = BUCKET) -> Data
             offset = at["at"][k] + inner % at["each"][k] * size
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, kind)
+    return ranked.mapInArrow(released(run), kind)
 
 
 def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,20 @@ def told_apart(rows: DataFrame, name: str, *of: str) -> DataFrame:
     return rows.join(F.broadcast(twice), name, "left").withColumn(name, F.when(F.col("_a") != second, F.xxhash64(name, second)).otherwise(F.col(name))).drop("_a")
 
 
+def released(run: Callable) -> Callable:
+    """``run`` for mapInArrow, after which the worker gives unused Arrow memory back: workers live on, idle, while tasks of other stages need it."""
+
+    def whole(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import BYTE_VALUE, SLICE, mix, slices, span_hashes
-from .shared import stored, told_apart
+from .shared import released, stored, told_apart
 
 LENGTH, GRAM = 200, 32
 CONTEXTS = 4096  # different ones of one hash that are sorted together
@@ -393,7 +393,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, *others) -> DataFrame:
 def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """row, s, e: byte spans (they may overlap) that cover every repeated passage. rows: row (a name for it) and text."""
     rows = rows.select("row", "text")
-    marks = rows.mapInArrow(_anchor_rows(length, gram), "h long, c long, row long, at long, s long, e long, kind byte")
+    marks = rows.mapInArrow(released(_anchor_rows(length, gram)), "h long, c long, row long, at long, s long, e long, kind byte")
     told = stored(marks.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_sort_out, "h long, row long, at long, s long, e long, full boolean, open boolean"), "anchors")
     open_ = told.filter("open").select("h", "row", "at", "s", "e")
     crowded = stored(open_.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > CONTEXTS).select("h"), "crowded", True)
@@ -407,7 +407,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         twice = strings.groupBy("h", "k").agg(F.count("*").alias("m")).filter("m > 1").select("h", "k")
         whole = whole.unionByName(strings.join(stored(twice, "strings").hint("merge"), ["h", "k"]).select("row", "s", (F.col("s") + length).alias("e")))
         parts = parts.join(crowded.hint("merge"), "h", "left_anti")
-    found = parts.select("h", "row", "s", "part", "a").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_rows(length, gram), "row long, s long, e long")
+    found = parts.select("h", "row", "s", "part", "a").repartition("h").sortWithinPartitions("h").mapInArrow(released(_sorted_rows(length, gram)), "row long, s long, e long")
     return whole.unionByName(found)
 
 
@@ -420,4 +420,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_kept
     if with_row:
         kind += f", other {rows.schema['other'].dataType.simpleString()}"
-    return rows.mapInArrow(_cut_out(with_kept, int(with_row)), kind)
+    return rows.mapInArrow(released(_cut_out(with_kept, int(with_row))), kind)
