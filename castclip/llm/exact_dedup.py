@@ -143,7 +143,7 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         .withColumn("k", F.explode(F.expr(f"sequence(0L, cast((octet_length(text) - 1) div {step} as bigint))")))
         .select("sha", "k", F.substring(F.encode("text", "utf-8"), F.col("k").cast("int") * step + 1, F.lit(step)).alias("part"))
         .repartition("sha", "k")
-        .mapInArrow(_chunk_rows, "sha string, k long, h1 long, h2 long, size long")
+        .mapInArrow(released(_chunk_rows), "sha string, k long, h1 long, h2 long, size long")
     )
     folded = parts.groupBy("sha").applyInPandas(_fold_chunks, "sha string, fp long, n long")
     return small.unionByName(huge.select("id", "sha").join(folded, "sha").select("id", "fp", "n", "sha"))
@@ -184,7 +184,7 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.select("fp", "n", F.col("x.salt").alias("salt"), F.col("x.later").alias("later"), "id", "sha", F.col("text").cast("binary").alias("text"))
         .repartition("fp", "n", "salt")
         .sortWithinPartitions("fp", "n", "salt", "later")
-        .mapInArrow(_compare, "id long, fp long, n long, sha string, twin string")
+        .mapInArrow(released(_compare), "id long, fp long, n long, sha string, twin string")
     )
     checked = stored(checked, "checked")
     final = stored(checked.groupBy("fp", "n", "twin").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "classes", True)

@@ -346,7 +346,7 @@ def _pivoted(sets: DataFrame, most: int, percent: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["r", "u", "id", "n", "set", "to", "g"])
 
-    return rows.repartition("k").sortWithinPartitions("k", "later", "u").mapInArrow(run, SET + ", to array<long>, g int")
+    return rows.repartition("k").sortWithinPartitions("k", "later", "u").mapInArrow(released(run), SET + ", to array<long>, g int")
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, most: int = MOST, name_bits: int = 64) -> DataFrame:
@@ -377,14 +377,14 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     schema = pa.schema([("r", pa.int64()), ("u", pa.int64()), ("n", pa.int64())])
     near = _dealt(members, most).join(same.select("u", "bits").hint("merge"), "u").select("k", "u", "r", "n", "bits").repartition("k").sortWithinPartitions("k", "u")
-    live = stored(near.mapInArrow(lambda batches: grouped(batches, alive, schema), "r long, u long, n long").distinct(), "live", True)
+    live = stored(near.mapInArrow(released(lambda batches: grouped(batches, alive, schema)), "r long, u long, n long").distinct(), "live", True)
 
     # sets, and links that make classes
     def links(held: list[tuple]) -> list[tuple]:
         return region_links([x[2] for x in held], [np.frombuffer(x[3], np.uint64) for x in held], percent, [x[4] for x in held] if len(held[0]) > 4 else None)
 
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    linked = lambda x: x.sortWithinPartitions(x.columns[0], "u").mapInArrow(lambda batches: grouped(batches, links, pair), "a long, b long")
+    linked = lambda x: x.sortWithinPartitions(x.columns[0], "u").mapInArrow(released(lambda batches: grouped(batches, links, pair)), "a long, b long")
     wanted = live.groupBy("u").agg(F.collect_list("r").alias("rs")).join(same.select("u", "id").hint("merge"), "u").select("id", "u", "rs")
     sets = _sets(rows, wanted, size, shared, name_bits)
     large = stored(live.groupBy("r").agg(F.sum(F.col("n") + ROW).alias("w")).filter(F.col("w") > most).select("r"), "large", True)

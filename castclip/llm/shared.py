@@ -46,15 +46,24 @@ def told_apart(rows: DataFrame, name: str, *of: str) -> DataFrame:
 
 
 def released(run: Callable) -> Callable:
-    """``run`` for mapInArrow, after which the worker gives unused Arrow memory back: workers live on, idle, while tasks of other stages need it."""
+    """``run`` for mapInArrow, before and after which the worker gives unused memory back, Arrow's and the C library's: workers live on, idle, while tasks of other stages need it."""
+
+    def give_back() -> None:
+        import ctypes
 
-    def whole(batches):
         import pyarrow as pa
 
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    def whole(batches):
+        give_back()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return whole
 

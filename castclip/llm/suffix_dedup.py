@@ -394,7 +394,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """row, s, e: byte spans (they may overlap) that cover every repeated passage. rows: row (a name for it) and text."""
     rows = rows.select("row", "text")
     marks = rows.mapInArrow(released(_anchor_rows(length, gram)), "h long, c long, row long, at long, s long, e long, kind byte")
-    told = stored(marks.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_sort_out, "h long, row long, at long, s long, e long, full boolean, open boolean"), "anchors")
+    told = stored(marks.repartition("h").sortWithinPartitions("h", "c").mapInArrow(released(_sort_out), "h long, row long, at long, s long, e long, full boolean, open boolean"), "anchors")
     open_ = told.filter("open").select("h", "row", "at", "s", "e")
     crowded = stored(open_.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > CONTEXTS).select("h"), "crowded", True)
     wanted = open_.groupBy("row").agg(F.collect_list(F.struct("h", "at", "s", "e")).alias("w"))
@@ -403,7 +403,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     whole = told.filter(F.col("full") & (F.col("e") - F.col("s") >= length)).select("row", "s", "e")
     if not crowded.isEmpty():
         parts = stored(parts, "contexts")
-        strings = parts.join(crowded.hint("merge"), "h", "left_semi").select("h", "row", "s", "part").mapInArrow(_string_rows(length), "h long, k long, row long, s long")
+        strings = parts.join(crowded.hint("merge"), "h", "left_semi").select("h", "row", "s", "part").mapInArrow(released(_string_rows(length)), "h long, k long, row long, s long")
         twice = strings.groupBy("h", "k").agg(F.count("*").alias("m")).filter("m > 1").select("h", "k")
         whole = whole.unionByName(strings.join(stored(twice, "strings").hint("merge"), ["h", "k"]).select("row", "s", (F.col("s") + length).alias("e")))
         parts = parts.join(crowded.hint("merge"), "h", "left_anti")
