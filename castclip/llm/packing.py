@@ -31,6 +31,7 @@ from .tokens import encoder, grouped
 
 BUCKET = 1 << 17
 KEPT = 800_000  # pieces of text whose ids a worker process remembers
+RUN = 1 << 22  # characters of texts that are encoded together
 _BUCKET, _RANK = "_packing_bucket", "_packing_rank"
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -42,7 +43,7 @@ def cut(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col:
         enc, end = encoder(path, kept=KEPT), int(end_id).to_bytes(4, "little")
         for b in batches:
             doc, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in grouped(texts):
+            for lo, hi in grouped(texts, RUN):
                 rows: list[tuple] = []
                 for d, raw in zip(doc[lo:hi], enc.ids(texts[lo:hi]), strict=True):
                     raw += end

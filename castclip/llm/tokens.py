@@ -3,7 +3,9 @@
 ``encode`` returns ids, and on request each token's byte and character span; ``decode`` turns ids back
 into bytes, and into text that shows U+FFFD for bytes of split characters (or keeps them for the next piece,
 ``decode_stream``). A text is cut where white space follows other characters, places no pre-token ever
-crosses, and the ids of each such segment are kept in a bounded table: a segment is encoded once per task.
+crosses, and the ids of each such segment are kept in a bounded table: a segment is encoded once per task. New
+segments of letters and punctuation are put together from the ids of their parts, which tables keep too, so a
+word is encoded once, whatever follows it.
 
 Cases: null texts count as empty; an empty text has no ids; ids outside the vocabulary decode to nothing;
 text that looks like a special token is ordinary text; an empty table gives no rows.
@@ -16,17 +18,24 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesets import flat
+
 #: Unicode White_Space, as the pattern's \s has it.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-ROUGH = re.compile(f"[{SPACES}](?: |$)|[{SPACES}]\\Z")
+WHITE = frozenset(re.findall(f"[{SPACES}]", "".join(map(chr, range(0x3001)))))
 SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+#: Letters that every version of Unicode has as such, and punctuation but the apostrophe: no pre-token crosses from the first to the second.
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-&(-/:-@\\[-`{-~"
+#: Pieces, with a space after each: word, punctuation, word of the next line and its punctuation, or another piece as a whole.
+PARTS = re.compile(f"(?:([{LETTERS}]++)([{MARKS}]*+)(?:\n([{LETTERS}]++)([{MARKS}]*+))?+|([^ ]++)) ")
 KEPT, KEPT_SIZE = 150_000, 48  # pieces that are kept, and the characters of the longest of them
 
 
@@ -83,8 +92,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.kept = kept
         self.tok = tokenizer(path)
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # pieces, with the space before them
+        self.words: dict[str, bytes] = {"": b""}  # words, with the space before them
+        self.lines: dict[str, bytes] = {"": b""}  # words, with the line feed before them
+        self.plain: dict[str, bytes] = {"": b""}
         self.size = np.array([len(b) for b in id_bytes(path)], dtype=np.int64)
         self.new = None
         if ranks:
@@ -93,42 +104,89 @@ class Encoder:
             if not np.array_equal(new[new >= 0], np.arange(len(own))[new >= 0]):
                 self.new = new
 
-    def _own(self, ids: list[int]) -> np.ndarray:
-        x = np.array(ids, dtype=np.int64)
-        return x if self.new is None else self.new[x]
+    def _own(self, ids: np.ndarray) -> np.ndarray:
+        return ids if self.new is None else self.new[ids]
 
-    def _learn_spaced(self, pieces: list[str]) -> None:
-        """Encode many pieces as one text, which the tokenizer cuts before each piece's space."""
+    def _joined(self, pieces: list[str], before: str) -> dict[str, bytes]:
+        """Ids of many pieces, encoded as one text, which the tokenizer cuts before each piece's space or line feed."""
+        out = {}
         runs = [pieces[k : k + 2000] for k in range(0, len(pieces), 2000)]
-        for run, e in zip(runs, self.tok.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ends = np.cumsum([len(s.encode()) + 1 for s in run])
-            cut = (np.searchsorted(np.cumsum(self.size[e.ids]), ends) + 1) * 4
-            raw = self._own(e.ids).astype("<u4").tobytes()
-            self.spaced.update(zip(run, map(raw.__getitem__, map(slice, [0, *cut[:-1].tolist()], cut.tolist())), strict=True))
+        for run, e in zip(runs, self.tok.encode_batch_fast([before + before.join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=np.int64)
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, run)), np.int64, len(run)) + 1)
+            cut = ((np.searchsorted(np.cumsum(self.size[ids]), ends) + 1) * 4).tolist()
+            raw = self._own(ids).astype("<u4").tobytes()
+            out.update(zip(run, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
+        return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        rough = [t == "" or ROUGH.search(t) is not None for t in texts]
-        cut = [SEGMENT.findall(t) if r else t.split(" ") for t, r in zip(texts, rough, strict=True)]
-        alone = {s for c, r in zip(cut, rough, strict=True) for s in (c if r else c[:1])}
-        alone.discard("")
-        here = set().union(*[c[1:] for c, r in zip(cut, rough, strict=True) if not r])
-        self._learn_spaced(list(here.difference(self.spaced)))
-        new = list(alone.difference(self.plain))
+    def _alone(self, pieces: set[str]) -> None:
+        new = list(pieces.difference(self.plain))
         for s, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.plain[s] = self._own(e.ids).astype("<u4").tobytes()
-        self.plain[""] = b""
-        spaced, plain = self.spaced.__getitem__, self.plain.__getitem__
-        out = [b"".join(map(plain, c)) if r else plain(c[0]) + b"".join(map(spaced, c[1:])) for c, r in zip(cut, rough, strict=True)]
-        for table in (self.spaced, self.plain):
-            for s in [s for s in (here if table is self.spaced else alone) if len(s) > KEPT_SIZE]:
+            self.plain[s] = self._own(np.array(e.ids, dtype=np.int64)).astype("<u4").tobytes()
+
+    def _learned(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the table lacks, put together from those of their parts."""
+        parts: tuple[list[str], ...] = ([], [], [], [], [])
+        for k in range(0, len(pieces), 500):  # few rows at once, or Python's collector goes through them again and again
+            for own, more in zip(parts, zip(*PARTS.findall(" ".join(pieces[k : k + 500]) + " "), strict=True), strict=True):
+                own.extend(more)
+        word, mark, line, last, other = parts
+        marks = {*mark, *last}
+        self._alone(marks)
+        for table, own, before in ((self.words, set(word), " "), (self.lines, set(line), "\n")):
+            table.update(self._joined(list(own.difference(table)), before))
+        rest = self._joined(list(set(other) - {""}), " ") | {"": b""}
+        words, lines, plain = self.words.__getitem__, self.lines.__getitem__, self.plain.__getitem__
+        out = list(map(b"".join, zip(map(words, word), map(plain, mark), map(lines, line), map(plain, last), map(rest.__getitem__, other), strict=True)))
+        for table in (self.words, self.lines, self.plain):
+            for s in [s for s in (marks if table is self.plain else {*word, *line}) if len(s) > KEPT_SIZE]:
                 table.pop(s, None)
-        here, alone = {s for s in here if len(s) <= KEPT_SIZE}, {s for s in alone if len(s) <= KEPT_SIZE}
-        if len(self.spaced) > self.kept:  # what came first stays, being most frequent, and what these texts have used
-            self.spaced = dict(islice(self.spaced.items(), self.kept // 3)) | {s: spaced(s) for s in here}
-        if len(self.plain) > self.kept:
-            self.plain = {s: plain(s) for s in alone}
+        self.words, self.lines = (t if len(t) <= self.kept * 2 // 3 else dict(islice(t.items(), self.kept // 3)) for t in (self.words, self.lines))
         return out
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        begin, at, pieces = cut.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first = [pieces[k] for k in at[begin[:-1]].tolist()]
+        found = list(map(self.spaced.get, pieces))
+        missed = [k for k, x in enumerate(found) if x is None]
+        uneven = np.zeros(len(pieces), dtype=bool)
+        uneven[[k for k in missed if not pieces[k] or pieces[k][-1] in WHITE]] = True
+        uneven = uneven[at]
+        uneven[begin[:-1]] = [f[-1:] in WHITE for f in first]
+        rough = np.logical_or.reduceat(uneven, begin[:-1])
+        whole = np.repeat(~rough, np.diff(begin))
+        whole[begin[:-1]] = False
+        used = np.zeros(len(pieces), dtype=bool)
+        used[at[whole]] = True
+
+        missed = [k for k in missed if used[k]]
+        new = [pieces[k] for k in missed]
+        for k, s, x in zip(missed, new, self._learned(new), strict=True):
+            found[k] = x
+            if len(s) <= KEPT_SIZE:
+                self.spaced[s] = x
+        segments = [SEGMENT.findall(t) if r else [f] for t, f, r in zip(texts, first, rough.tolist(), strict=True)]
+        alone = set(chain.from_iterable(segments))
+        self._alone(alone)
+        head = [b"".join(map(self.plain.__getitem__, some)) for some in segments]
+
+        at[begin[:-1]] = len(pieces) + np.arange(len(texts))
+        whole[begin[:-1]] = True
+        data, offs = flat(pa.array([*found, *head], pa.large_binary()).take(pa.array(at[whole])))
+        raw, ends = data.tobytes(), offs[np.concatenate([[0], np.cumsum(whole)])[begin]].tolist()
+        for s in [s for s in alone if len(s) > KEPT_SIZE]:
+            del self.plain[s]
+        if len(self.spaced) > self.kept * 2 // 3:  # what came first stays, being most frequent, and what these texts have used
+            here = {s: x for s, x, u in zip(pieces, found, used.tolist(), strict=True) if u and len(s) <= KEPT_SIZE}
+            self.spaced = dict(islice(self.spaced.items(), self.kept * 2 // 9)) | here
+        if len(self.plain) > self.kept:
+            self.plain = {s: self.plain[s] for s in alone if len(s) <= KEPT_SIZE} | {"": b""}
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, byte offsets (one more than ids), and character offsets of the same places (start of the character that a byte lies in)."""
         ids = np.frombuffer(self.ids([text])[0], dtype="<u4")

@@ -117,6 +117,38 @@ def test_encoder_equals_the_rank_library():
             assert tokens.decode_bytes(ids, table) == t.encode()
 
 
+def test_encoder_takes_each_word_to_the_tokenizer_once():
+    import public_tokenizers as P
+
+    class Counting:
+        def __init__(self, tok):
+            self.tok, self.characters = tok, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.characters += sum(map(len, texts))
+            return self.tok.encode_batch_fast(texts, **options)
+
+    words = [f"{a}{b}thonre" for a in "abcdefgé" for b in "stuvwxyzñ"]
+    ends = ["", ".", ",", "...", "$$$,", ".\nThe", ".\nÉtat,"]
+    enc = tokens.Encoder(P.path("byte_bpe_50k.json"))
+    plain = enc.tok
+    enc.tok = Counting(plain)
+    for k in range(len(ends)):  # each word with each end, in different texts
+        some = [" ".join(w + ends[(i + k) % len(ends)] for i, w in enumerate(words)) + " it's"]
+        assert np.frombuffer(enc.ids(some)[0], "<u4").tolist() == plain.encode(some[0], add_special_tokens=False).ids
+    assert enc.tok.characters < 2 * sum(len(w) + 1 for w in words)
+
+
+@given(st.lists(st.lists(st.sampled_from(["the", "Éa", "ª", "×", "日本", "12", "'s", "’", ".", ",", "$$$", "_", "\n", "\r\n", "\t", "\x85", "\xa0", "\x1c", " ", " ", " ", "  ", ".\nThe", "a" * 60, "." * 60, "\0"]), max_size=12).map("".join), max_size=8), st.sampled_from([3, 30, 1000]))
+@settings(max_examples=150, deadline=None)
+def test_encoder_with_small_tables_equals_the_tokenizer(some, kept):
+    import public_tokenizers as P
+
+    enc = tokens.Encoder(P.path("byte_bpe_50k.json"), kept=kept)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.ids(some)] == [e.ids for e in enc.tok.encode_batch(some, add_special_tokens=False)]
+
+
 def test_spans_and_split_characters():
     import public_tokenizers as P
 
