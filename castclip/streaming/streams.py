@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -83,15 +83,21 @@ class LateRows(StreamingQueryListener):
         pass
 
 
-def rms_stream(samples: DataFrame, every: str = "400 milliseconds", silence: float = 0.005, delay: str = "10 seconds", keys=KEYS) -> DataFrame:
-    """RMS of tumbling windows, and whether there is voice. Samples: ts, amplitude."""
-    rows = samples.withWatermark("ts", delay).groupBy(*keys, F.window("ts", every)).agg(F.sqrt(F.avg(F.col("amplitude") * F.col("amplitude"))).alias("rms"))
+def _rms(full: float) -> Column:
+    """Squares of whole-number samples add up exactly, so that no order of rows moves a window across a limit that it just meets."""
+    a = F.col("amplitude").cast("double")
+    return (F.sqrt(F.avg(a * a)) / F.lit(float(full))).alias("rms")
+
+
+def rms_stream(samples: DataFrame, every: str = "400 milliseconds", silence: float = 0.005, delay: str = "10 seconds", keys=KEYS, full: float = 1.0) -> DataFrame:
+    """RMS of tumbling windows, and whether there is voice. Samples: ts, amplitude, of which ``full`` is full scale (100 for whole hundredths)."""
+    rows = samples.withWatermark("ts", delay).groupBy(*keys, F.window("ts", every)).agg(_rms(full))
     return rows.select(*keys, F.col("window.start").alias("at"), "rms", (F.col("rms") >= silence).alias("voiced"))
 
 
-def voice_windows_stream(samples: DataFrame, size: str = "1500 milliseconds", hop: str = "750 milliseconds", least: float = 0.008, delay: str = "10 seconds", keys=KEYS) -> DataFrame:
-    """Sliding windows that are loud enough."""
-    rows = samples.withWatermark("ts", delay).groupBy(*keys, F.window("ts", size, hop)).agg(F.sqrt(F.avg(F.col("amplitude") * F.col("amplitude"))).alias("rms"))
+def voice_windows_stream(samples: DataFrame, size: str = "1500 milliseconds", hop: str = "750 milliseconds", least: float = 0.008, delay: str = "10 seconds", keys=KEYS, full: float = 1.0) -> DataFrame:
+    """Sliding windows that are loud enough. Samples as for ``rms_stream``."""
+    rows = samples.withWatermark("ts", delay).groupBy(*keys, F.window("ts", size, hop)).agg(_rms(full))
     return rows.filter(F.col("rms") >= least).select(*keys, F.col("window.start").alias("at"), "rms")
 
 
