@@ -22,3 +22,8 @@ def test_windows_at_the_limit_are_voiced(spark, tmp_path):
     want = [(3, 0.5, True), (4, 0.493001, False), (5, 0.55, True)]
     assert sorted(map(tuple, catalog.str4_rms_windows(spark, data).collect())) == want
     assert {r["episode_id"] for r in catalog.str5_voice_windows(spark, data).collect()} == {5}
+
+
+def test_streamed_windows_at_the_limit_are_voiced(spark, tmp_path):
+    data = edge_sounds(spark, tmp_path)
+    assert sorted(map(tuple, catalog.str4_rms_windows_live(spark, data).collect())) == [(3, 0.5, True), (4, 0.493001, False), (5, 0.55, True)]
