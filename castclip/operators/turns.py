@@ -204,19 +204,20 @@ def matches_to_segments(matches: DataFrame, lines: DataFrame, least: float = 0.5
 
 
 def split_long_segments(segments: DataFrame, lines: DataFrame, longest: float = 120.0, gap: float = 1.5, keys=KEYS) -> DataFrame:
-    """Segments longer than ``longest`` are cut at the widest gaps of the transcript (lines: line_no, start, end)."""
+    """Segments longer than ``longest`` are cut at the widest gaps of the transcript (lines: line_no, start, end). Lengths are compared in microseconds, as differences of seconds miss a limit that they just meet."""
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("line_no")
+    span, apart = F.round(F.col("end") - F.col("start"), 6), round(longest * 0.4, 6)
     gaps = lines.withColumn("_n", F.lead("start").over(w)).withColumn("g", F.round(F.col("_n") - F.col("end"), 6)).filter(F.col("g") >= gap).select(*keys, ((F.col("end") + F.col("_n")) / 2).alias("at"), "g")
-    long_ = segments.filter(F.col("end") - F.col("start") > longest)
+    long_ = segments.filter(span > longest)
     own = Window.partitionBy(*keys, "seg_idx").orderBy(F.desc("g"), "at")
     points = gaps.select(*keys, F.col("at").alias("start"), F.col("at").alias("end"), "g")
     met = interval_join(long_, points, keys, bin=longest).withColumn("at", F.col("r_start")).withColumn("g", F.col("r_g")).withColumn("_r", F.row_number().over(own))
-    met = met.filter(F.col("_r") <= F.greatest(F.lit(1), F.floor((F.col("end") - F.col("start")) / longest)) * 2)
+    met = met.filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.round(span / longest, 9))) * 2)
     cuts = met.groupBy(*keys, "seg_idx").agg(F.sort_array(F.collect_list("at")).alias("c"), F.max(F.when(F.col("_r") == 1, F.col("at"))).alias("widest"))
     rows = segments.join(cuts, [*keys, "seg_idx"], "left")
     start = F.struct(F.array().cast("array<double>").alias("k"), F.col("start").cast("double").alias("p"))
-    fold = F.aggregate("c", start, lambda acc, x: F.when(x - acc["p"] >= longest * 0.4, F.struct(F.concat(acc["k"], F.array(x)).alias("k"), x.alias("p"))).otherwise(acc), lambda acc: acc["k"])
+    fold = F.aggregate("c", start, lambda acc, x: F.when(F.round(x - acc["p"], 6) >= apart, F.struct(F.concat(acc["k"], F.array(x)).alias("k"), x.alias("p"))).otherwise(acc), lambda acc: acc["k"])
     kept = F.when(F.size(fold) > 0, fold).otherwise(F.array("widest"))
     edges = F.when(F.col("c").isNull(), F.array("start", "end")).otherwise(F.concat(F.array("start"), kept, F.array("end")))
     pieces = rows.withColumn("_e", edges).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_e") - 1)))
