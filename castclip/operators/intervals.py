@@ -63,12 +63,26 @@ def overlap_join(moments: DataFrame, segments: DataFrame, keys=KEYS, bin: float
 
 
 def cues_in_range(moments: DataFrame, cues: DataFrame, keys=KEYS, bin: float | None = None) -> DataFrame:
-    """Each moment with the text of its cues in order (NULL if it has none)."""
-    keys = list(keys)
-    met = interval_join(moments.select(*keys, "moment_idx", "start", "end"), cues.select(*keys, "cue_idx", "start", "end", "text"), keys, bin=bin)
-    order = F.array_sort(F.collect_list(F.struct("r_start", "r_cue_idx", "r_text")))
-    text = met.groupBy(*keys, "moment_idx").agg(order.alias("c")).select(*keys, "moment_idx", F.array_join(F.transform("c", lambda x: x["r_text"]), " ").alias("text"))
-    return moments.join(text, [*keys, "moment_idx"], "left")
+    """Each moment with the text of its cues in order (NULL if it has none). Rows that share a moment_idx have all their cues; rows without one have none.
+
+    Pairs of a moment and a cue are never dealt out. Time is cut in blocks, for moments shorter than four bins (of 60 s, if not given) twice as long as that, for longer ones four times as long, and so on.
+    A moment goes to the block of its start; to a block come, as one row, all cues that its moments may reach, once for each size of block that moments need."""
+    keys, bin = list(keys), bin or 60.0
+    reach = F.pow(F.lit(4.0), F.col("_size")) * bin
+    own = Window.partitionBy(*keys, "moment_idx")
+    rows = moments.withColumns({"_n": F.count("*").over(own), "_from": F.least(F.min("start").over(own), F.min("end").over(own)), "_to": F.greatest(F.max("start").over(own), F.max("end").over(own))})
+    rows = rows.withColumn("_spans", F.collect_list(F.when((F.col("_n") > 1) & F.col("moment_idx").isNotNull(), F.struct("start", "end"))).over(own))
+    rows = rows.withColumn("_size", F.floor(F.log(4.0, F.greatest((F.col("_to") - F.col("_from")) / bin, F.lit(1.0))) + 1e-9) + 1).withColumn("_block", F.floor(F.col("_from") / (reach * 2)))
+    blocks = F.sequence(F.floor((F.least("start", "end") - reach) / (reach * 2)), F.floor(F.greatest("start", "end") / (reach * 2)))
+    said = cues.select(*keys, "cue_idx", "start", "end", "text").crossJoin(F.broadcast(rows.select("_size").filter("_size is not null").distinct())).withColumn("_block", F.explode(blocks))
+    said = said.groupBy(*keys, "_size", "_block").agg(F.array_sort(F.collect_list(F.struct("start", "cue_idx", "text", "end"))).alias("_cues"))
+
+    meet = lambda m, c: (m["end"] > c["start"]) & (m["start"] < c["end"])
+    one = F.transform(F.filter("_cues", lambda c: meet({"start": F.col("start"), "end": F.col("end")}, c)), lambda c: c["text"])
+    each = F.flatten(F.transform("_cues", lambda c: F.transform(F.filter("_spans", lambda m: meet(m, c)), lambda m: c["text"])))
+    met = rows.join(said, [*keys, "_size", "_block"], "left").withColumn("_texts", F.when(F.col("moment_idx").isNotNull(), F.when(F.col("_n") == 1, one).otherwise(each)))
+    text = F.when(F.size("_texts") > 0, F.array_join("_texts", " ")).alias("text")
+    return met.select(*keys, "moment_idx", *[c for c in moments.columns if c not in (*keys, "moment_idx")], text)
 
 
 def sub_srt(moments: DataFrame, cues: DataFrame, keys=KEYS, bin: float | None = None) -> DataFrame:
